@@ -33,6 +33,7 @@ THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
     ("bar_ratio", None, 0.25),
     ("shout_ratio", None, 0.25),
     ("dup_line_ratio", None, 0.60),
+    ("stutter_ratio", None, 0.30),
 )
 
 WINDOW = 8
@@ -94,6 +95,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "_q_n_stop": F.size(F.filter("_q_words", lambda w: F.lower(w).isin(_stop_words()))).cast("bigint"),
             "_q_n_upper": F.length(F.regexp_replace("_q_text", r"[^A-Z]+", "")).cast("bigint"),
             "_q_n_bars": F.size(F.filter("_q_words", lambda w: w == "|")).cast("bigint"),
+            "_q_n_stutters": F.size(F.filter("_q_words", lambda w, i: w == F.get(F.col("_q_words"), i - 1))).cast("bigint"),
             "_q_n_shouts": F.size(F.filter("_q_words", lambda w: w.endswith("!!"))).cast("bigint"),
         }
     )
@@ -111,6 +113,7 @@ def compiled(thresholds=THRESHOLDS) -> Column:
         "upper_ratio": F.col("_q_n_upper") / F.greatest(F.col("_q_word_chars"), F.lit(1)),
         "bar_ratio": per_word("_q_n_bars"),
         "shout_ratio": per_word("_q_n_shouts"),
+        "stutter_ratio": per_word("_q_n_stutters"),
         "dup_line_ratio": F.col("_q_n_dup_lines") / F.greatest(F.col("_q_n_lines"), F.lit(1)),
     }
     verdict = F.lit(True)

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat_format, quality_rules
+from tidegrid.llm import chat_format, line_dedup, pii, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_pii": op5_pii,
+    "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
@@ -49,7 +59,8 @@ m AS (
     cast(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
     len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
-    len(list_filter(w, lambda x: x = '|')) AS n_bars, len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_shouts
+    len(list_filter(w, lambda x: x = '|')) AS n_bars, len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_shouts,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters
   FROM d LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -57,10 +68,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND word_chars / greatest(n_words, 1) BETWEEN 2.0 AND 14.0 AND n_symbols / greatest(n_words, 1) <= 0.25
   AND n_stop / greatest(n_words, 1) >= 0.05 AND n_upper / greatest(word_chars, 1) <= 0.40
   AND n_bars / greatest(n_words, 1) <= 0.25 AND n_shouts / greatest(n_words, 1) <= 0.25
-  AND n_dup_lines / greatest(n_lines, 1) <= 0.60 AS kept
+  AND n_dup_lines / greatest(n_lines, 1) <= 0.60
+  AND n_stutters / greatest(n_words, 1) <= 0.30 AS kept
 FROM f
 """
 
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, x FROM (
+    SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+n AS (
+  SELECT doc_id, i, x, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2
+  FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY x, x1, x2 ORDER BY doc_id, i) AS k FROM n WHERE i2 IS NOT NULL),
+m AS (SELECT doc_id, i FROM r WHERE k > 1 UNION SELECT doc_id, i1 FROM r WHERE k > 1 UNION SELECT doc_id, i2 FROM r WHERE k > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(m.i) AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN m.i IS NULL THEN l.x END, chr(10) ORDER BY l.i), '')) AS kept_sha256
+FROM l LEFT JOIN m ON l.doc_id = m.doc_id AND l.i = m.i GROUP BY l.doc_id
+"""
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -78,6 +104,7 @@ FROM m GROUP BY conv_id
 """
 
 ORACLES = {
+    "op6_line_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }
