@@ -1 +1,10 @@
-"""Operators that prepare text corpora: deduplication, filtering, scoring, formatting."""
+"""Operators that prepare text corpora: deduplication, filtering, scoring, formatting.
+
+Their functions travel to the executors by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
