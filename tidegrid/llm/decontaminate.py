@@ -100,9 +100,15 @@ class Index:
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items that reach the threshold, by block-max WAND over distinct terms."""
-        end = len(self.ids)
-        lists = [[0, self.postings[t], float(self.list_max[t]), t] for t in terms]
-        found = []
+        end, found = len(self.ids), []
+        # Blocks whose maxima over the distinct terms fall short are left out of the lists beforehand.
+        maxima = self.block_max[terms]
+        live = maxima.sum(axis=0, dtype=np.float64) >= threshold - 1e-6
+        if not live.any():
+            return found
+        maxima = np.where(live, maxima, 0).max(axis=1).tolist()
+        open_ = live.tolist()
+        lists = [[0, [p for p in self.postings[t] if open_[p[0] // BLOCK]], most, t] for t, most in zip(terms, maxima, strict=True) if most > 0]
         at = lambda x: x[1][x[0]][0] if x[0] < len(x[1]) else end
 
         def seek(x: list, item: int) -> None:
