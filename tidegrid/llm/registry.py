@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from tidegrid.llm import chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_sentencepieces": op3_sentencepieces,
     "op2_decontaminate": op2_decontaminate,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_toxicity": op9_toxicity,
