@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each class that a classifier is fitted on, at most.
-PER_CLASS = 6000
+PER_CLASS = 4000
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:

@@ -184,3 +184,147 @@ def classes(docs: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document: its fingerprint in hexadecimal digits and its component."""
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Similarity mode. At a similarity of 0.8 on five-word shingles, fingerprints differ in up to 18 of
+# 64 bits, which no set of segment keys of bounded size covers. The links by fingerprint are joined
+# there by links from min-wise sketches of the same shingle hashes.
+
+SKETCH, BANDS, ROWS = 128, 16, 4
+#: One and a half standard errors under the similarity asked for, so that estimates keep the pairs at the bound.
+SLACK = 0.05
+PIVOTS = 64
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(5)
+    return rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+
+
+def sketch(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least of each of SKETCH hash functions over the distinct shingles."""
+    a, b = factors
+    out = np.full(SKETCH, 0xFFFFFFFF, np.uint64)
+    hashes = np.unique(hashes)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048]
+        np.minimum(out, ((part[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)).min(axis=1), out=out)
+    return out
+
+
+def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp, sig (a byte of each minimum) and bands (hashes of groups of whole minima)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors()
+        for b in batches:
+            fps, sigs, bands = [], [], []
+            for t in b.column("text"):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                least = sketch(hashes, factors).astype(np.uint32)
+                fps.append(vote(hashes))
+                sigs.append((least & 0xFF).astype(np.uint8).tobytes())
+                bands.append([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "sig", "bands"]
+            )
+
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return keyed.mapInArrow(run, "doc_id long, fp long, sig binary, bands array<long>")
+
+
+class Bucket:
+    """Links the members of one band key as they stream by, in memory that doesn't grow with them.
+
+    The first PIVOTS members are compared with all members. In a large bucket they may all be edited
+    copies of a text that none of them equals; the byte most of them have at each place makes up that
+    text's sketch, and the members near it are linked as well.
+    """
+
+    def __init__(self, ids: list[int], sigs: np.ndarray, least: float) -> None:
+        self.least, self.ids, self.owner = least, ids[:PIVOTS], None
+        pivots = sigs[:PIVOTS]
+        if len(ids) >= PIVOTS:
+            centre = np.array([np.bincount(c, minlength=256).argmax() for c in sigs[:512].T], np.uint8)
+            pivots = np.vstack([pivots, centre])
+        self.pivots, self.root = pivots, list(range(len(pivots)))
+
+    def _find(self, i: int) -> int:
+        while self.root[i] != i:
+            i = self.root[i]
+        return i
+
+    def links(self, ids: list[int], sigs: np.ndarray) -> list[tuple[int, int]]:
+        out = []
+        for at in range(0, len(ids), 512):
+            near = (sigs[at : at + 512, None, :] == self.pivots[None, :, :]).mean(axis=2) >= self.least
+            for i in np.flatnonzero(near.any(axis=1)):
+                doc, found = ids[at + i], np.flatnonzero(near[i]).tolist()
+                if found[-1] == PIVOTS and self.owner is None:
+                    self.owner = doc
+                named = [self.owner if k == PIVOTS else self.ids[k] for k in found]
+                if named[0] != doc:
+                    out.append((doc, named[0]))
+                for k, other in zip(found[1:], named[1:], strict=True):
+                    a, b = self._find(found[0]), self._find(k)
+                    if a != b:
+                        self.root[max(a, b)] = min(a, b)
+                        out.append((other, named[0]))
+        return out
+
+
+def _banded_links(reps: DataFrame, least: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bucket, held = None, None, ([], [])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band, key = (np.asarray(b.column(c)) for c in ("band", "key"))
+            ids = b.column("rep").to_pylist()
+            sigs = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            edge = [0, *(np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(ids)]
+            out = []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                new, m = ids[lo:hi], sigs[lo:hi]
+                if last == (band[lo], key[lo]):  # goes on from the batch before
+                    if bucket is None:
+                        new, m = held[0] + new, np.vstack([held[1], m])
+                else:
+                    bucket = None
+                last, held = (band[lo], key[lo]), (new, m)
+                if len(new) > 1 or bucket is not None:
+                    bucket = bucket or Bucket(new, m, least)
+                    out += bucket.links(new, m)
+            held = (held[0], held[1].copy())
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["u", "v"])
+
+    keyed = reps.select("rep", "sig", F.posexplode("bands").alias("band", "key"))
+    return keyed.repartition("band", "key").sortWithinPartitions("band", "key", F.xxhash64("rep", "band")).mapInArrow(run, "u long, v long")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, group (its least doc_id) of every document that is not alone, at the similarity given.
+
+    Links are fingerprints within two bits and sketches that estimate the similarity.
+    """
+    found = cut(_sketched(docs, shingle).where("doc_id IS NOT NULL"))
+    reps = cut(found.groupBy("sig", "bands", "fp").agg(F.min("doc_id").alias("rep")))
+    by_fp = reps.groupBy("fp").agg(F.min("rep").alias("first"))
+    same = reps.join(by_fp, "fp").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    by_code = (
+        links(reps, 2)
+        .join(by_fp.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u")
+        .join(by_fp.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+        .select(F.col("a").alias("u"), F.col("b").alias("v"))
+    )
+    roots = components(same.union(by_code).union(_banded_links(reps, similarity - SLACK)))
+    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("sig", "bands", "fp", "rep", F.coalesce("root", "rep").alias("group"))
+    exact = found.join(named, ["sig", "bands", "fp"]).select("doc_id", "group", "rep")
+    alone = exact.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    return exact.join(alone, "group").select("doc_id", "group").distinct()
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with the one of the least doc_id left of each group; a null doc_id stays."""
+    gone = similar(docs, shingle, similarity).where("doc_id <> group").select(F.col("doc_id").alias("_sh_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_sh_gone"), "left_anti")
