@@ -2,5 +2,599 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidegrid import oracles as o
+from tidegrid.functions import ln, rounded
+from tidegrid.models import mlp
+from tidegrid.operators import panel as pn
+from tidegrid.operators import windows as wd
+from tidegrid.operators import xsection as xs
+from tidegrid.plans import evaluate as ev
+from tidegrid.plans import groups
+from tidegrid.plans.factors import FactorDef as Fd
+from tidegrid.plans.factors import compile_factors
+from tidegrid.sources import bars, walks
+from tidegrid.sources.bars import SLOTS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    """Floats rounded and integers as longs, so that engines can be compared value by value."""
+    out = rounded(df)
+    return out.select(*[F.col(c).cast("bigint").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in out.dtypes])
+
+
+def query(name: str, sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: comparable(f(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+KEY, SLOTKEY = ["date", "instrument"], ["date", "instrument", "slot"]
+
+
+def daily(s: SparkSession, d: str) -> DataFrame:
+    return bars.daily_panel(s, d)
+
+
+def dense(s: SparkSession, d: str) -> DataFrame:
+    return bars.dense_daily(bars.daily_panel(s, d))
+
+
+def intra(s: SparkSession, d: str) -> DataFrame:
+    return bars.intraday_panel(s, d)
+
+
+def pred(s: SparkSession, d: str) -> DataFrame:
+    return bars.pred_panel(s, d)
+
+
+def month(s: SparkSession, d: str) -> DataFrame:
+    return pn.densify(bars.month_panel(s, d).drop("factor"))
+
+
+# Panel algebra -----------------------------------------------------------------------
+
+ALL = ["open", "high", "low", "close", "volume", "amount", "factor", "daily_return", "alpha"]
+query("panel_daily_ohlcv", o.pick(o.DAILY, "daily", KEY, ALL))(daily)
+query("panel_intraday_bars", o.pick(f"{o.EVENTS},\n{o.INTRA}", "intra", SLOTKEY, [*o._PRICES, *o._FLOWS, "resid"]))(lambda s, d: intra(s, d).select(*SLOTKEY, *o._PRICES, *o._FLOWS, "resid"))
+
+
+@query("panel_project_filter_between", o.pick(o.DAILY, "daily", KEY, ["close", "volume"], "WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' AND instrument = 3"))
+def _project(s, d):
+    return pn.fields(pn.between(daily(s, d), "2024-01-05", "2024-01-12").where("instrument = 3"), ["close", "volume"])
+
+
+@query("panel_filter_instrument_count", o.pick(o.DAILY, "daily", KEY, ["close"], "QUALIFY count(*) OVER (PARTITION BY instrument) > 26"))
+def _count_filter(s, d):
+    return pn.with_more_rows_than(daily(s, d), 26).select(*KEY, "close")
+
+
+@query("panel_recent_count", o.pick(o.DAILY, "(SELECT *, count(*) OVER (PARTITION BY instrument ORDER BY date RANGE BETWEEN INTERVAL 9 DAY PRECEDING AND CURRENT ROW) AS k FROM daily)", KEY, ["close"], "WHERE k > 8"))
+def _recent_count(s, d):
+    return pn.with_recent_rows(daily(s, d), 8, 9).select(*KEY, "close")
+
+
+query("panel_densify_fill", o.pick(o.DENSE, "dense", KEY, ALL))(lambda s, d: dense(s, d).select(*KEY, *ALL))
+
+_FIRST = "first_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@query("panel_backfill", o.pick(f"{o.DENSE}, x AS (SELECT date, instrument, {_FIRST} AS close FROM dense)", "x", KEY, ["close"]))
+def _backfill(s, d):
+    return pn.backfill(dense(s, d).select(*KEY, "close"), ["instrument"], "date", ["close"])
+
+
+@query("panel_validity", f"WITH {o.DENSE}, j AS (SELECT g.date, g.instrument, p.close FROM dense g LEFT JOIN daily p ON p.date = g.date AND p.instrument = g.instrument) SELECT DISTINCT instrument, count(*) FILTER (WHERE close IS NULL) OVER (PARTITION BY instrument) < 4 AS is_valid FROM j")
+def _validity(s, d):
+    gaps = pn.densify(daily(s, d).select(*KEY, "close"), ffill=False)
+    return pn.validity(gaps, ["close"], max_missing=4).select("instrument", "is_valid").distinct()
+
+
+@query("time_grid", "SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS slot FROM (SELECT TIMESTAMP '2024-01-05 09:25:00' AS datetime UNION SELECT unnest(generate_series(TIMESTAMP '2024-01-05 09:30:00', TIMESTAMP '2024-01-05 11:29:00', INTERVAL 1 MINUTE)) UNION SELECT unnest(generate_series(TIMESTAMP '2024-01-05 13:00:00', TIMESTAMP '2024-01-05 14:56:00', INTERVAL 1 MINUTE)))")
+def _time_grid(s, d):
+    return pn.time_grid(s, "2024-01-05")
+
+
+_ANCHOR = "{f}(factor IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+for _last, _f in ((True, "last_value"), (False, "first_value")):
+    _a = _ANCHOR.format(f=_f)
+    query(f"adjust_by_{'last' if _last else 'first'}", o.pick(f"{o.DAILY}, x AS (SELECT *, {_a} AS a FROM daily)", "x", KEY, {"adjusted_close": "close / factor * a", "adjusted_volume": "volume * factor / a"}))(
+        lambda s, d, last=_last: pn.adjusted(daily(s, d), ["close", "volume"], last=last).select(*KEY, "adjusted_close", "adjusted_volume")
+    )
+
+
+@query("align_semi", o.pick(o.DAILY, "daily", KEY, ["close"], "WHERE (date, instrument) IN (SELECT date, instrument FROM daily WHERE instrument % 5 = 1 AND volume > 1)"))
+def _align(s, d):
+    p = daily(s, d)
+    return pn.align(p, p.where("instrument % 5 = 1 AND volume > 1"), strict=False).select(*KEY, "close")
+
+
+@query("incremental_anti", f"WITH {o.EVENTS} SELECT DISTINCT date FROM e WHERE date NOT IN (SELECT date FROM e WHERE event_type = 'signup' AND instrument < 2)")
+def _todo(s, d):
+    e = bars.events(s, d)
+    return pn.missing_dates(e, e.where("event_type = 'signup' AND instrument < 2"))
+
+
+_SETS = {"a": "value > 40", "b": "event_type = 'view' AND value > 20"}
+
+
+@query("date_set_ops", f"WITH {o.EVENTS}, a AS (SELECT DISTINCT date, instrument FROM e WHERE {_SETS['a']}), b AS (SELECT DISTINCT date, instrument FROM e WHERE {_SETS['b']}) SELECT 'both' AS part, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'any', * FROM (SELECT * FROM a UNION SELECT * FROM b)")
+def _sets(s, d):
+    e = bars.events(s, d)
+    a, b = (e.where(_SETS[k]).select(*KEY).distinct() for k in "ab")
+    tag = lambda name, df: df.select(F.lit(name).alias("part"), *KEY)
+    return tag("both", pn.common_keys(a, b)).union(tag("only_a", a.exceptAll(b))).union(tag("any", a.union(b).distinct()))
+
+
+_X = "SELECT date, instrument, close FROM daily WHERE instrument % 2 = 0"
+_Y = "SELECT date, instrument, volume FROM daily WHERE instrument % 3 = 0"
+for _how in ("left", "inner", "full"):
+    query(f"merge_{'outer' if _how == 'full' else _how}", o.pick(f"{o.DAILY}, a AS ({_X}), b AS ({_Y})", f"a {_how} JOIN b USING (date, instrument)", KEY, ["close", "volume"]))(
+        lambda s, d, how=_how: pn.merge(daily(s, d).where("instrument % 2 = 0").select(*KEY, "close"), daily(s, d).where("instrument % 3 = 0").select(*KEY, "volume"), how)
+    )
+
+
+@query("series_side_by_side", o.pick(f"{o.DAILY}, a AS ({_X}), b AS ({_Y}), c AS (SELECT date, instrument, high FROM daily WHERE volume > 2)", "a FULL JOIN b USING (date, instrument) FULL JOIN c USING (date, instrument)", KEY, ["close", "volume", "high"]))
+def _side(s, d):
+    p = daily(s, d)
+    return pn.side_by_side([p.where("instrument % 2 = 0").select(*KEY, "close"), p.where("instrument % 3 = 0").select(*KEY, "volume"), p.where("volume > 2").select(*KEY, "high")])
+
+
+@query("execution_period", o.pick(f"{o.EVENTS},\n{o.INTRA}", "intra", SLOTKEY, ["mid_price"], "WHERE slot % 2 = 0 AND slot / 2 >= 7"))
+def _execution(s, d):
+    return pn.execution_period(intra(s, d), "close", 2, slots=SLOTS).select(*SLOTKEY, "mid_price")
+
+
+@query("sample_one_slot", o.pick(f"{o.EVENTS},\n{o.INTRA}", "intra", [*SLOTKEY, "CAST(floor((slot - 6) / 12.0 * 240) AS BIGINT) AS position"], ["mid_price"], "WHERE slot >= 6 AND slot < 18 QUALIFY row_number() OVER (PARTITION BY date, instrument ORDER BY (((instrument * 7919 + slot * 104729 + 9097900) * 31) % 10007), slot) = 1"))
+def _one_slot(s, d):
+    return pn.one_random_slot(intra(s, d), 7, period=(6, 18)).select(*SLOTKEY, "position", "mid_price")
+
+
+@query("train_part", o.pick(o.DAILY, "daily", KEY, ["close"], "WHERE date >= DATE '2024-01-03' AND date < DATE '2024-01-20'"))
+def _train(s, d):
+    return pn.train_part(daily(s, d), "2024-01-03", "2024-01-20").select(*KEY, "close")
+
+
+@query("sample_timestamps", f"WITH {o.EVENTS},\n{o.HOURLY}, m AS (SELECT unnest([0, 1, 2, 4, 6, 9, 12, 16, 20, 22, 23]) AS mark) SELECT date, instrument, slot, max(mark) AS mark FROM (SELECT date, instrument, mark, min(slot) AS slot FROM h1 JOIN m ON slot >= mark GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
+def _sampled(s, d):
+    return pn.first_at_or_after(bars.hourly_bars(s, d).select(*SLOTKEY), [0, 1, 2, 4, 6, 9, 12, 16, 20, 22, 23], "slot", KEY).select(*SLOTKEY, "mark")
+
+
+# History, running day, future --------------------------------------------------------------
+
+_B5 = o.back(5)
+
+
+def _hist(name: str, sql: dict[str, str], build: Callable[[], dict]) -> None:
+    query(name, o.pick(f"{o.DENSE}, x AS (SELECT *, {', '.join(f'{x} AS x_{n}' for n, x in sql.items())} FROM dense)", "x", KEY, {n: f"x_{n}" for n in sql}))(
+        lambda s, d: dense(s, d).withColumns(c := build()).select(*KEY, *c)
+    )
+
+
+_hist("hist_lag", {"yest": f"lag(close) {o.BY_DAY}", "lag5": f"lag(close, 5) {o.BY_DAY}"}, lambda: {"yest": wd.yesterday("close"), "lag5": wd.lag_filled("close", 5)})
+_hist("hist_ma", {"ma5": f"avg(close) {_B5}", "ma10": f"avg(amount) {o.back(10)}"}, lambda: {"ma5": wd.mean("close", 5), "ma10": wd.mean("amount", 10)})
+_hist("hist_vwap", {"vwap5": f"CASE WHEN coalesce(sum(volume) {_B5}, 0) = 0 THEN avg(close) {_B5} ELSE coalesce(sum(close * volume) {_B5}, 0) / (coalesce(sum(volume) {_B5}, 0) + 1e-6) END"}, lambda: {"vwap5": wd.vwap("close", "volume", 5)})
+_hist("hist_high_low", {"high5": f"max(high) {_B5}", "low5": f"min(low) {_B5}"}, lambda: {"high5": wd.high("high", 5), "low5": wd.low("low", 5)})
+_hist("hist_valid_ratio", {"valid5": f"count(close) {_B5} / 5.0"}, lambda: {"valid5": wd.valid_ratio("close", 5)})
+_hist("hist_pow_sum", {f"p{k}": o.power("daily_return", k, 5) for k in (0, 1, 2, 3, 4)}, lambda: {f"p{k}": wd.pow_sum("daily_return", k, 5) for k in (0, 1, 2, 3, 4)})
+_hist("hist_prod_sum", {"rv5": f"coalesce(sum(daily_return * volume) {_B5}, 0)"}, lambda: {"rv5": wd.product_sum("daily_return", "volume", 5)})
+_W = f"3 * sqrt(avg(daily_return * daily_return) {_B5})"
+_hist("hist_winsor", {"r": f"CASE WHEN {_W} IS NULL THEN daily_return ELSE greatest(least(daily_return, {_W}), -{_W}) END"}, lambda: {"r": wd.winsorized("daily_return", 5)})
+_R5 = "OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+_hist("hist_rolling_moment", {"m2": f"CASE WHEN count(*) {_R5} >= 5 THEN coalesce(sum(daily_return * daily_return) {_R5}, 0) / 5 END"}, lambda: {"m2": wd.rolling_moment("daily_return", 2, 5)})
+_hist("hist_recent_value", {"alpha": f"last_value(alpha IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}, lambda: {"alpha": wd.recent("alpha")})
+_LONG = {"s21": ("daily_return", 21), "q63": ("daily_return * daily_return", 63), "v63": ("volume", 63)}
+
+
+@query("hist_long_windows", o.pick(f"{o.MONTH_DENSE}, x AS (SELECT date, instrument, {', '.join(f'coalesce(sum({t}) {o.back(w)}, 0) AS {n}' for n, (t, w) in _LONG.items())} FROM dense)", "x", KEY, list(_LONG)))
+def _long(s, d):
+    return wd.with_history_sums(month(s, d), {n: (F.expr(t), w) for n, (t, w) in _LONG.items()}).select(*KEY, *_LONG)
+
+
+_hist("future_ndays", {f"f{k}": f"lead(close, {k}) {o.BY_DAY}" for k in (1, 3)}, lambda: {f"f{k}": wd.future("close", k) for k in (1, 3)})
+_AH = "OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)"
+_hist("future_extremes", {"hi3": f"max(high) {_AH}", "lo3": f"min(low) {_AH}"}, lambda: {"hi3": wd.future_high("high", 3), "lo3": wd.future_low("low", 3)})
+_hist("future_sum", {"s3": f"coalesce(sum(daily_return) {_AH}, 0)", "over_close": f"lead(close, 3) {o.BY_DAY} / close"}, lambda: {"s3": wd.future_sum("daily_return", 3), "over_close": F.try_divide(wd.future("close", 3), F.col("close"))})
+
+
+@query("today_open_diff_cumsum_highlow_fraction", o.pick(f"{o.EVENTS},\n{o.INTRA}, x AS (SELECT *, first_value(mid_price) {o.RUN} AS o, coalesce(mid_price - lag(mid_price) {o.SLOT}, mid_price) AS d, sum(volume) {o.RUN} AS t, max(high) {o.RUN} AS hi, min(low) {o.RUN} AS lo, (slot + 1) / 24.0 AS f FROM intra)", "x", SLOTKEY, ["o", "d", "t", "hi", "lo", "f"]))
+def _running(s, d):
+    return intra(s, d).select(*SLOTKEY, wd.opening("mid_price").alias("o"), wd.change("mid_price").alias("d"), wd.total("volume").alias("t"), wd.high_so_far("high").alias("hi"), wd.low_so_far("low").alias("lo"), wd.time_fraction(SLOTS).alias("f"))
+
+
+@query("intraday_return_ahead", o.pick(f"{o.EVENTS},\n{o.INTRA}, x AS (SELECT *, {o.ln(f'coalesce(lead(mid_price, 3) {o.SLOT}, last_value(mid_price) {o.REST})')} - {o.ln('mid_price')} AS r3, {o.ln(f'last_value(mid_price) {o.REST}')} - {o.ln('mid_price')} AS rc FROM intra)", "x", SLOTKEY, ["r3", "rc"]))
+def _ahead(s, d):
+    return intra(s, d).select(*SLOTKEY, wd.return_ahead("mid_price", 3).alias("r3"), wd.return_ahead("mid_price", -1).alias("rc"))
+
+
+# Factors -------------------------------------------------------------------------------------
+
+
+def factors(s: SparkSession, d: str, defs: list[Fd], raw: bool = True, ranks: bool = False) -> DataFrame:
+    return compile_factors(defs, dense(s, d), intra(s, d), SLOTS, ranks=ranks, raw=raw)
+
+
+def _factor(name: str, defs: list[Fd], day: dict, final: dict, running=(), day2=None, keep: list[str] | None = None) -> None:
+    query(name, o.factor_sql(day, final, running, day2))(lambda s, d: factors(s, d, defs).select(*SLOTKEY, *(keep or [x.name for x in defs])))
+
+
+MID, L = "mid_price", o.ln
+_mom1 = Fd("daily_mom", 1, daily=("adjusted_close",), intraday=(MID,))
+_back = dict(daily=("daily_return",), cache=("daily_mom_1",))
+_Y1 = {"y": o.YEST}
+_M1 = f"({o.MOM1})"
+
+_factor("f_daily_mom", [Fd("daily_mom", 5, daily=("adjusted_close",), intraday=(MID,))], {"c5": f"lag({o.AC}, 5) {o.BY_DAY} * factor"}, {"daily_mom_5": f"({L(MID)} - {L('c5')}) / sqrt(5)"})
+_factor("f_price_dev_ma", [Fd("price_dev_from_ma", 5, daily=("adjusted_close",), intraday=(MID,))], {"m": f"avg({o.AC}) {_B5} * factor"}, {"price_dev_from_ma_5": f"({L(MID)} - {L('m')}) / sqrt(5)"})
+_factor(
+    "f_price_dev_vwap",
+    [Fd("price_dev_from_vwap", 5, daily=("adjusted_close", "volume"), intraday=(MID,))],
+    {"m": f"CASE WHEN coalesce(sum(volume) {_B5}, 0) = 0 THEN avg({o.AC}) {_B5} * factor ELSE coalesce(sum({o.AC} * volume) {_B5}, 0) * factor / (coalesce(sum(volume) {_B5}, 0) + 1e-6) END"},
+    {"price_dev_from_vwap_5": f"({L(MID)} - {L('m')}) / sqrt(5)"},
+)
+_factor("f_price_dev_yest", [Fd("price_dev_from_yest_vwap", 0, daily=("adjusted_close",), intraday=(MID,))], _Y1, {"price_dev_from_yest_vwap": o.MOM1})
+_factor(
+    "f_price_position",
+    [Fd("price_position", 5, daily=("adjusted_high", "adjusted_low"), intraday=(MID,))],
+    {"h5": f"max(high / factor) {_B5} * factor", "l5": f"min(low / factor) {_B5} * factor"},
+    {"price_position_5": f"CASE WHEN h5 IS NOT NULL AND greatest(h5, {MID}) > least(l5, {MID}) THEN ({MID} - least(l5, {MID})) / (greatest(h5, {MID}) - least(l5, {MID})) END"},
+)
+_factor("f_mom_sum", [Fd("daily_mom_sum", 5, daily=("alpha",), intraday=("resid",))], {"a4": o.power("alpha", 1, 4)}, {"daily_mom_sum_5": "(resid + a4) / sqrt(5)"})
+_factor("f_intraday_mom", [Fd("intraday_mom", 0, intraday=(MID,))], {}, {"intraday_mom": f"{L(MID)} - {L('o')}"}, [{"o": f"first_value({MID}) {o.RUN}"}])
+_sums = {f"s{k}": o.power("daily_return", k, 4) for k in range(5)}
+_with = {k: f"(s{k} + {' * '.join([_M1] * k)})" for k in (1, 2, 3, 4)}
+_factor("f_volatility", [_mom1, Fd("daily_volatility", 5, **_back)], _Y1 | _sums, {"daily_volatility_5": f"sqrt({_with[2]} / (s0 + 1))"}, keep=["daily_volatility_5"])
+_factor("f_skewness", [_mom1, Fd("daily_skewness", 5, **_back)], _Y1 | _sums, {"daily_skewness_5": o.skew_pop("(s0 + 1)", _with[1], _with[2], _with[3])}, keep=["daily_skewness_5"])
+_factor("f_kurtosis", [_mom1, Fd("daily_kurtosis", 5, **_back)], _Y1 | _sums, {"daily_kurtosis_5": f"CASE WHEN s0 + 1 >= 5 THEN {o.kurt('5.0', *(_with[k] for k in (1, 2, 3, 4)))} END"}, keep=["daily_kurtosis_5"])
+_R2 = "OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)"
+_factor(
+    "f_volvol",
+    [_mom1, Fd("daily_volvol", 2, window2=6, **_back)],
+    _Y1 | {"v": f"CASE WHEN count(*) {_R2} >= 2 THEN sqrt(sum(daily_return * daily_return) {_R2} / 2) END", "q1": o.power("daily_return", 2, 1)},
+    {"daily_volvol_2": f"sqrt(greatest((v2 + (q1 + {_M1} * {_M1}) / 2) / 6 - pow((v1 + sqrt((q1 + {_M1} * {_M1}) / 2)) / 6, 2), 0))"},
+    day2={"v1": f"CASE WHEN count(v) {_B5} >= 5 THEN sum(v) {_B5} END", "v2": f"CASE WHEN count(v) {_B5} >= 5 THEN sum(v * v) {_B5} END"},
+    keep=["daily_volvol_2"],
+)
+_TV = {"t": f"sum(total_volume) {o.RUN}"}
+_factor(
+    "f_volume_ratio",
+    [Fd("volume_ratio", 5, daily=("adjusted_volume",), intraday=("total_volume",))],
+    {"m": f"avg(volume * factor) {_B5} / factor"},
+    {"volume_ratio_5": f"{L('(t + 1) / ((slot + 1) / 24.0)')} - {L('m')}"},
+    [_TV],
+)
+_V = "(t / ((slot + 1) / 24.0))"
+_OK = "CASE WHEN factor IS NOT NULL THEN"
+_factor(
+    "f_rv_corr",
+    [_mom1, Fd("rv_corr", 5, daily=("daily_return", "adjusted_volume"), cache=("daily_mom_1",), intraday=("total_volume",))],
+    _Y1
+    | {
+        "n": f"CAST(count(volume * factor) {o.back(4)} AS DOUBLE) + 1",
+        "sx": f"coalesce(sum({_OK} daily_return END) {o.back(4)}, 0)",
+        "sxx": f"coalesce(sum({_OK} daily_return * daily_return END) {o.back(4)}, 0)",
+        "sy": f"coalesce(sum(volume * factor) {o.back(4)}, 0) / factor",
+        "syy": f"coalesce(sum(volume * factor * volume * factor) {o.back(4)}, 0) / (factor * factor)",
+        "sxy": f"coalesce(sum(daily_return * volume * factor) {o.back(4)}, 0) / factor",
+    },
+    {
+        "rv_corr_5": f"CASE WHEN n >= 2 AND n * (sxx + {_M1} * {_M1}) - pow(sx + {_M1}, 2) > 1e-12 AND n * (syy + {_V} * {_V}) - pow(sy + {_V}, 2) > 1e-12 THEN "
+        f"(n * (sxy + {_M1} * {_V}) - (sx + {_M1}) * (sy + {_V})) / sqrt((n * (sxx + {_M1} * {_M1}) - pow(sx + {_M1}, 2)) * (n * (syy + {_V} * {_V}) - pow(sy + {_V}, 2))) END"
+    },
+    [_TV],
+    keep=["rv_corr_5"],
+)
+_factor(
+    "f_obv_ratio",
+    [_mom1, Fd("daily_on_balance_volume_ratio", 5, daily=("daily_return", "adjusted_volume"), cache=("daily_mom_1",), intraday=("total_volume",))],
+    _Y1 | {"b": f"coalesce(sum(sign(daily_return) * volume * factor) {o.back(4)}, 0) / factor", "m": f"avg(volume * factor) {_B5} / factor"},
+    {"daily_on_balance_volume_ratio_5": f"(b / 5 + {_V} * sign({_M1}) / 5) / (m + 1)"},
+    [_TV],
+    keep=["daily_on_balance_volume_ratio_5"],
+)
+_factor("f_amount_ratio", [Fd("today_amount_ratio", intraday=("buy_amount", "amount"))], {}, {"today_amount_ratio": "a / (b + 1)"}, [{"a": f"sum(buy_amount) {o.RUN}", "b": f"sum(amount) {o.RUN}"}])
+_factor("f_today_mom", [_mom1, Fd("today_mom", cache=("daily_mom_1",))], _Y1, {"today_mom": "r - ro"}, [{"r": _M1}, {"ro": f"first_value(r) {o.RUN}"}], keep=["today_mom"])
+_DR = [{"v": f"CASE WHEN slot = 0 THEN resid ELSE resid - lag(resid) {o.SLOT} END"}, {"n": f"CAST(count(v) {o.RUN} AS DOUBLE)"} | {f"s{k}": f"sum({' * '.join(['v'] * k)}) {o.RUN}" for k in (1, 2, 3)}]
+_factor("f_today_vol", [Fd("today_volatility", intraday=("resid",))], {}, {"today_volatility": "CASE WHEN n > 1 THEN sqrt(s2 / (n - 1)) ELSE sqrt(s2) * 0.5 END"}, _DR)
+_factor("f_today_skew", [Fd("today_skewness", intraday=("resid",))], {}, {"today_skewness": o.skew_adj("n", "s1", "s2", "s3")}, _DR)
+_LV = [{"v": "ln(volume + 1)"}, {"n": f"CAST(count(v) {o.RUN} AS DOUBLE)", "sd": f"stddev_pop(v) {o.RUN}"} | {f"s{k}": f"sum({' * '.join(['v'] * k)}) {o.RUN}" for k in (1, 2, 3)}]
+_factor("f_today_std", [Fd("today_std", intraday=("volume",))], {}, {"today_std": "sd"}, _LV)
+_factor("f_today_logskew", [Fd("today_log_skewness", intraday=("volume",))], {}, {"today_log_skewness": o.skew_adj("n", "s1", "s2", "s3")}, _LV)
+_factor(
+    "f_today_position", [Fd("today_position", intraday=(MID, "high", "low"))], {}, {"today_position": f"CASE WHEN hi = lo OR {MID} = 0 THEN 0.5 ELSE ({MID} - lo) / (hi - lo) END"}, [{"hi": f"max(high) {o.RUN}", "lo": f"min(low) {o.RUN}"}]
+)
+_factor(
+    "f_transform_id_abs_div",
+    [_mom1, Fd("id", intraday=("resid_rank",)), Fd("abs", cache=("daily_mom_1",)), Fd("div", cache=("daily_mom_1",), intraday=("resid_rank",))],
+    _Y1,
+    {"id_resid_rank": "resid_rank", "abs_daily_mom_1": f"abs({o.MOM1})", "div": f"{_M1} / resid_rank"},
+    keep=["id_resid_rank", "abs_daily_mom_1", "div"],
+)
+_factor("f_vacancy", [Fd("daily_recent_vacancy", w, daily=("adjusted_close",)) for w in (1, 3, 5)], {f"c{w}": f"count({o.AC}) {o.back(w)}" for w in (1, 3, 5)}, {f"daily_recent_vacancy_{w}": f"CASE WHEN c{w} / {w}.0 > 0.8 THEN 1 ELSE 0 END" for w in (1, 3, 5)})
+_RD = "round_even(({p} / y - 1) * 100, 0) / 100"
+_BOOK = (MID, "ask_volume1", "bid_volume1")
+
+
+def _limit_sql(up: bool) -> str:
+    at = " OR ".join(f"{_RD.format(p=MID)} = {x if up else -x}" for x in (0.05, 0.1, 0.2))
+    return f"CASE WHEN y IS NOT NULL AND ({at}) AND {'ask_volume1 = 0 AND bid_volume1 > 0' if up else 'bid_volume1 = 0 AND ask_volume1 > 0'} THEN 1 ELSE 0 END"
+
+
+for _n, _k, _sql in (("f_tradable", "is_tradable", f"1 - {_limit_sql(True)}"), ("f_up_limit", "is_up_limit", _limit_sql(True)), ("f_down_limit", "is_down_limit", _limit_sql(False))):
+    _factor(_n, [Fd(_k, daily=("adjusted_close",), intraday=_BOOK)], _Y1, {_k: _sql})
+
+# Targets
+_BUY = f"CASE WHEN ask_price1 = 0 THEN {MID} ELSE ask_price1 END"
+_factor(
+    "t_future_day",
+    [Fd("future_day_targets", w, future=("adjusted_close",), intraday=("ask_price1", MID)) for w in (3, 1, 0)],
+    {f"c{w}": f"lead({o.AC}, {w}) {o.BY_DAY} * factor" for w in (3, 1, 0)},
+    {f"future_day_targets_{w}": f"{L(f'c{w}')} - {L(_BUY)}" for w in (3, 1, 0)},
+)
+_factor("t_inter_day", [Fd("inter_day_targets", 1, future=("adjusted_close",), intraday=(MID,))], {"c1": f"lead({o.AC}, 1) {o.BY_DAY} * factor"}, {"inter_day_targets_1": f"{L('c1')} - {L('z')}"}, [{"z": f"last_value({MID}) {o.REST}"}])
+_HL = {"h3": f"max(high / factor) {_AH} * factor", "l3": f"min(low / factor) {_AH} * factor"}
+_factor("t_range", [Fd("future_day_range_targets", 3, future=("adjusted_high", "adjusted_low"))], _HL, {"future_day_range_targets_3": f"{L('h3')} - {L('l3')}"})
+_factor("t_up_range", [Fd("future_day_up_range_targets", 3, future=("adjusted_high",), intraday=(MID,))], _HL, {"future_day_up_range_targets_3": f"{L('h3')} - {L(MID)}"})
+_factor("t_down_range", [Fd("future_day_down_range_targets", 3, future=("adjusted_low",), intraday=(MID,))], _HL, {"future_day_down_range_targets_3": f"{L('l3')} - {L(MID)}"})
+_factor(
+    "t_today",
+    [Fd("today_targets", 10, intraday=("ask_price1", "bid_price1", MID))],
+    {},
+    {"today_targets_10": f"{L('z')} - {L(_BUY)}"},
+    [{"sp": f"CASE WHEN bid_price1 = 0 THEN {MID} ELSE bid_price1 END"}, {"z": f"coalesce(lead(sp, 10) {o.SLOT}, last_value(sp) {o.REST})"}],
+)
+
+# Groups: every factor of a group is made in one plan; the oracle checks some of its columns.
+SHORT = (1, 2, 3, 5, 10)
+
+
+def clipped(x: str, shift: float, scale: float) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(least((({x}) - {shift}) * {scale}, 5), -5) END"
+
+
+@query("group_lib", o.factor_sql(_Y1 | {"m": f"avg({o.AC}) {_B5} * factor"} | _sums, {"price_dev_from_ma_5": clipped(f"({L(MID)} - {L('m')}) / sqrt(5)", 0, 100), "daily_mom_1": clipped(o.MOM1, 0, 50), "daily_volatility_5": clipped(f"sqrt({_with[2]} / (s0 + 1))", 0.025, 100)}))
+def _group_lib(s, d):
+    return factors(s, d, groups.group("lib"), raw=False).select(*SLOTKEY, "price_dev_from_ma_5", "daily_mom_1", "daily_volatility_5")
+
+
+@query("group_filters", o.factor_sql(_Y1 | {f"c{w}": f"count({o.AC}) {o.back(w)}" for w in (1, 3, 5)}, {f"daily_recent_vacancy_{w}": f"CASE WHEN c{w} / {w}.0 > 0.8 THEN 1 ELSE 0 END" for w in (1, 3, 5)}))
+def _group_filters(s, d):
+    return factors(s, d, groups.group("filters"), raw=False).select(*SLOTKEY, *[f"daily_recent_vacancy_{w}" for w in (1, 3, 5)])
+
+
+@query("group_targets", o.factor_sql({f"c{w}": f"lead({o.AC}, {w}) {o.BY_DAY} * factor" for w in (3, 1)} | _HL, {f"future_day_targets_{w}": clipped(f"{L(f'c{w}')} - {L(_BUY)}", 0, 1) for w in (3, 1)} | {"future_day_range_targets_3": clipped(f"{L('h3')} - {L('l3')}", 0, 1)}))
+def _group_targets(s, d):
+    return factors(s, d, groups.group("targets_with_costs_10m_3D_with_range"), raw=False).select(*SLOTKEY, "future_day_targets_3", "future_day_targets_1", "future_day_range_targets_3")
+
+
+@query("group_fg260114")
+def _group_large(s, d):
+    return factors(s, d, groups.group("fg260114"), raw=False)
+
+
+# Ranks ------------------------------------------------------------------------------------------
+
+query("rank_binned_pop", o.binned(o.DAILY, "daily", "close", "date", 2000, 3.5, False, KEY))(lambda s, d: xs.binned_percentile(daily(s, d).select(*KEY, "close"), "close", ["date"], 2000, 3.5).select(*KEY, "rank"))
+query("rank_binned_samp", o.binned(o.DAILY, "daily", "close", "date", 1000, 3.5, True, KEY))(lambda s, d: xs.binned_percentile(daily(s, d).select(*KEY, "close"), "close", ["date"], 1000, 3.5, sample_std=True).select(*KEY, "rank"))
+query("rank_exact", o.pick(f"{o.DAILY}, x AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY close) + (count(*) OVER (PARTITION BY date, close) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY date) AS n FROM daily)", "x", KEY, {"rank": "(r - 0.5) / n"}))(
+    lambda s, d: xs.exact_percentile(daily(s, d).select(*KEY, "close"), "close", ["date"]).select(*KEY, "rank")
+)
+
+
+@query("rank_factors", o.binned(o.DAILY, "daily", "volume", "date", 2000, 3.5, False, KEY, "rank_volume").replace("AS rank_volume", "* 4 - 2 AS rank_volume"))
+def _rank_factors(s, d):
+    return xs.ranked_columns(daily(s, d).select(*KEY, "volume", "close"), ["volume", "close"], KEY, ["date"]).select(*KEY, "rank_volume")
+
+
+# Cross-sections and evaluation --------------------------------------------------------------------
+
+_D = ["date"]
+query("xs_ic", f"WITH {o.PRED}, a AS (SELECT date, count(*) AS n, corr(pred, gt_1) AS c FROM pairs GROUP BY date) SELECT d.date, coalesce(n, 0) AS n, round(CASE WHEN n >= 20 THEN c END, 6) + 0.0 AS ic FROM (SELECT DISTINCT date FROM pred) d LEFT JOIN a USING (date)")(lambda s, d: xs.ic(pred(s, d), "pred", "gt_1", _D))
+_RK = "rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred, instrument) AS p, row_number() OVER (PARTITION BY date ORDER BY gt_1, instrument) AS g, row_number() OVER (PARTITION BY date ORDER BY pred DESC, instrument) AS t, count(*) OVER (PARTITION BY date) AS n FROM pairs)"
+query("xs_rankic", f"WITH {o.PRED}, {_RK} SELECT date, n, round(corr(p, g) * (n - 1) / n, 6) + 0.0 AS rank_ic FROM rk GROUP BY date, n")(lambda s, d: xs.rank_ic(pred(s, d), "pred", "gt_1", _D))
+query("xs_long_rank_ic", f"WITH {o.PRED}, {_RK}, h AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY pred, instrument) AS p, row_number() OVER (PARTITION BY date ORDER BY gt_1, instrument) AS g FROM rk WHERE t <= floor(n * 0.5)), a AS (SELECT date, count(*) AS k, corr(p, g) * (count(*) - 1) / count(*) AS c FROM h GROUP BY date) SELECT d.date, coalesce(k, 0) AS k, round(coalesce(CASE WHEN k >= 2 THEN c END, 0), 6) + 0.0 AS long_ic FROM (SELECT DISTINCT date FROM pred) d LEFT JOIN a USING (date)")(
+    lambda s, d: xs.long_rank_ic(pred(s, d), "pred", "gt_1", _D)
+)
+query("xs_long_ic", f"WITH {o.PRED}, q AS (SELECT *, quantile_cont(pred, 0.5) OVER (PARTITION BY date) AS q FROM pairs), a AS (SELECT date, count(*) AS n, corr(pred, gt_1) AS c FROM q WHERE pred >= q GROUP BY date) SELECT date, n, round(CASE WHEN n >= 20 THEN c END, 6) + 0.0 AS ic FROM a")(lambda s, d: xs.long_ic(pred(s, d), "pred", "gt_1", _D, 0.5))
+query("xs_hit", f"WITH {o.PRED}, q AS (SELECT *, quantile_cont(pred, 0.5) OVER (PARTITION BY date) AS q FROM pairs) SELECT date, round(avg(CASE WHEN (pred > q) = (gt_1 > 0) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hit_rate FROM q GROUP BY date")(lambda s, d: xs.hit_rate(pred(s, d), "pred", "gt_1", _D))
+query("xs_auc", f"WITH {o.PRED}, r AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY pred) + (count(*) OVER (PARTITION BY date, pred) - 1) / 2.0 AS r FROM pairs), a AS (SELECT date, count(*) AS n, sum(r) FILTER (WHERE gt_1 > 0) AS r, count(*) FILTER (WHERE gt_1 > 0) AS p FROM r GROUP BY date) SELECT date, n, round(CASE WHEN n >= 20 AND p > 0 AND p < n THEN (r - p * (p + 1) / 2.0) / (p * (n - p)) END, 6) + 0.0 AS auc FROM a")(
+    lambda s, d: xs.auc(pred(s, d), "pred", "gt_1", _D)
+)
+_BK = "bk AS (SELECT date, gt_1, CAST(floor((p * 5.0 - 1) / n) AS BIGINT) AS bucket FROM rk WHERE n >= 50)"
+query("xs_quantile_stats", f"WITH {o.PRED}, {_RK}, {_BK} SELECT date, bucket, count(*) AS n, round(avg(gt_1), 6) + 0.0 AS mean FROM bk GROUP BY date, bucket")(lambda s, d: xs.quantile_stats(pred(s, d), "pred", "gt_1", _D, 5))
+query(
+    "xs_quantile_summary",
+    f"WITH {o.PRED}, {_RK}, {_BK}, m AS (SELECT date, bucket, avg(gt_1) AS mean FROM bk GROUP BY 1, 2), mr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mean, bucket) AS r FROM m), "
+    "b AS (SELECT date, arg_max(mean, bucket) - arg_min(mean, bucket) AS spread, corr(bucket, r) AS monotonicity FROM mr GROUP BY date), "
+    "t AS (SELECT date, avg(gt_1) FILTER (WHERE t <= greatest(1, round(n * 0.01))) - avg(gt_1) FILTER (WHERE p <= greatest(1, round(n * 0.01))) AS tail, avg(gt_1) FILTER (WHERE t <= 5) AS top_5, avg(gt_1) FILTER (WHERE t <= 10) AS top_10 FROM rk WHERE n >= 50 GROUP BY date) "
+    "SELECT date, round(spread, 6) + 0.0 AS spread, round(monotonicity, 6) + 0.0 AS monotonicity, round(tail, 6) + 0.0 AS tail, round(top_5, 6) + 0.0 AS top_5, round(top_10, 6) + 0.0 AS top_10 FROM b JOIN t USING (date)",
+)(lambda s, d: xs.quantile_summary(pred(s, d), "pred", "gt_1", _D, 5))
+_EDGES = (-2.0, -1.0, 0.0, 1.0, 2.0)
+query("xs_value_buckets", f"WITH {o.PRED}, z AS (SELECT date, gt_1, CASE WHEN stddev_pop(pred) OVER (PARTITION BY date) > 0 THEN (pred - avg(pred) OVER (PARTITION BY date)) / stddev_pop(pred) OVER (PARTITION BY date) END AS z FROM pairs) SELECT date, CAST({' + '.join(f'(z >= {e})::BIGINT' for e in _EDGES)} AS BIGINT) AS bucket, count(*) AS n, round(avg(gt_1), 6) + 0.0 AS mean FROM z WHERE z IS NOT NULL GROUP BY 1, 2")(
+    lambda s, d: xs.value_buckets(pred(s, d), "pred", "gt_1", _D, _EDGES)
+)
+_TOP = "coalesce(avg(gt_1) FILTER (WHERE {c} <= floor(n * 0.1)), 0)"
+query("xs_tiered", f"WITH {o.PRED}, {_RK} SELECT date, round({_TOP.format(c='t')}, 6) + 0.0 AS top, round({_TOP.format(c='p')}, 6) + 0.0 AS bottom, round({_TOP.format(c='t')} - {_TOP.format(c='p')}, 6) + 0.0 AS spread FROM rk GROUP BY date")(lambda s, d: xs.tiered_returns(pred(s, d), "pred", "gt_1", _D))
+query("xs_precision", f"WITH {o.PRED}, {_RK} SELECT date, round(coalesce(avg(CASE WHEN gt_1 > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE t <= floor(n * 0.1)), 0), 6) + 0.0 AS precision FROM rk GROUP BY date")(lambda s, d: xs.precision(pred(s, d), "pred", "gt_1", _D))
+query("xs_coverage", f"WITH {o.PRED} SELECT date, round(avg(CASE WHEN gt_1 < abs(pred) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS coverage, round(avg(abs(pred)), 6) + 0.0 AS interval_width FROM pairs GROUP BY date")(lambda s, d: xs.coverage(pred(s, d), "pred", "gt_1", _D))
+
+
+@query("xs_metric_table", f"WITH {o.PRED}, {_RK} SELECT date, round(corr(p, g) * (n - 1) / n, 6) + 0.0 AS day_ic_gt_1, round({_TOP.format(c='t')} - {_TOP.format(c='p')}, 6) + 0.0 AS day_tiered_returns_gt_1 FROM rk GROUP BY date, n")
+def _metric_table(s, d):
+    return ev.metric_table(pred(s, d), [("day", "pred", ["gt_1"], ["ic", "tiered_returns"])], _D)
+
+
+def _daily_sql(h: int) -> str:
+    pairs = f"SELECT date, instrument, pred, gt_{h} AS gt FROM pred WHERE pred IS NOT NULL AND gt_{h} IS NOT NULL"
+    return f"""SELECT date, 'gt_{h}' AS horizon, CASE WHEN count(*) >= 20 THEN corr(pred, gt) END AS ic, corr(p, g) AS rank_ic, avg(CASE WHEN (pred > q) = (gt > 0) THEN 1.0 ELSE 0.0 END) AS hit_rate,
+  CASE WHEN count(*) >= 20 AND count(*) FILTER (WHERE gt > 0) BETWEEN 1 AND count(*) - 1 THEN (sum(r) FILTER (WHERE gt > 0) - count(*) FILTER (WHERE gt > 0) * (count(*) FILTER (WHERE gt > 0) + 1) / 2.0) / (count(*) FILTER (WHERE gt > 0) * (count(*) - count(*) FILTER (WHERE gt > 0))) END AS auc
+  FROM (SELECT *, quantile_cont(pred, 0.5) OVER (PARTITION BY date) AS q, row_number() OVER (PARTITION BY date ORDER BY pred, instrument) AS p, row_number() OVER (PARTITION BY date ORDER BY gt, instrument) AS g,
+    rank() OVER (PARTITION BY date ORDER BY pred) + (count(*) OVER (PARTITION BY date, pred) - 1) / 2.0 AS r FROM ({pairs})) GROUP BY date"""
+
+
+_EV = f"{o.PRED}, ev AS ({' UNION ALL '.join(_daily_sql(h) for h in (1, 2, 3))})"
+_MS = ["ic", "rank_ic", "hit_rate", "auc"]
+query("eval_daily", o.pick(_EV, "ev", ["date", "horizon"], _MS))(lambda s, d: ev.daily_metrics(pred(s, d), "pred", ["gt_1", "gt_2", "gt_3"]))
+query("eval_summary", f"WITH {_EV} SELECT horizon, count(*) AS n_days, {', '.join(f'round(avg({m}), 6) + 0.0 AS {m}_mean, round(stddev_samp({m}), 6) + 0.0 AS {m}_std' for m in _MS)} FROM ev GROUP BY horizon")(
+    lambda s, d: ev.summary(ev.daily_metrics(pred(s, d), "pred", ["gt_1", "gt_2", "gt_3"]), _MS)
+)
+query("eval_peak_horizon", f"WITH {_EV}, sm AS (SELECT horizon, {', '.join(f'abs(avg({m})) AS {m}' for m in _MS)} FROM ev GROUP BY horizon) SELECT {', '.join(f'arg_max(horizon, {m}) AS {m}_peak' for m in _MS)} FROM sm")(
+    lambda s, d: ev.peak_horizon(ev.summary(ev.daily_metrics(pred(s, d), "pred", ["gt_1", "gt_2", "gt_3"]), _MS), _MS)
+)
+
+
+@query("eval_cumulative", f"WITH {o.PRED}, {_RK}, t AS (SELECT date, {_TOP.format(c='t')} - {_TOP.format(c='p')} AS spread FROM rk GROUP BY date) SELECT 'gt_1' AS horizon, date, round(avg(spread) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS mean_so_far, round(exp(sum(ln(1 + spread)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS equity FROM t")
+def _cumulative(s, d):
+    t = xs.tiered_returns(pred(s, d), "pred", "gt_1", _D).withColumn("horizon", F.lit("gt_1"))
+    return ev.cumulative(t, "spread")
+
+
+_P = "(rank() OVER (PARTITION BY date ORDER BY pred) + (count(*) OVER (PARTITION BY date, pred) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY date)"
+_BIN = f"CASE WHEN p < 0.99 THEN floor(p * 100) ELSE 99 {' '.join(f'+ (p >= {e})::INT' for e in xs.TAIL_EDGES)} END"
+
+
+@query(
+    "global_quantile_bins",
+    f"WITH {o.PRED}, q AS (SELECT *, {_P} AS p FROM pred WHERE pred IS NOT NULL), l AS ({' UNION ALL '.join(f'''SELECT 'gt_{h}' AS horizon, p, gt_{h} AS v FROM q''' for h in (1, 2, 3))}) "
+    f"SELECT horizon, CAST({_BIN} AS BIGINT) AS bin, count(*) AS n, round(sum(v), 6) + 0.0 AS total, round(avg(v), 6) + 0.0 AS mean FROM l WHERE v IS NOT NULL GROUP BY 1, 2",
+)
+def _bins(s, d):
+    p = xs.exact_percentile(pred(s, d).where("pred IS NOT NULL"), "pred", _D, "p")
+    return xs.quantile_accumulator(p, "p", ["gt_1", "gt_2", "gt_3"])
+
+
+@query(
+    "newey_west",
+    f"WITH {o.PRED}, {_RK}, s AS (SELECT date, corr(p, g) AS x FROM rk GROUP BY date), c AS (SELECT date, x, x - avg(x) OVER () AS c FROM s WHERE x IS NOT NULL), "
+    f"l AS (SELECT x, c, {', '.join(f'lag(c, {j}) OVER (ORDER BY date) AS c{j}' for j in (1, 2, 3))} FROM c), a AS (SELECT count(*) AS n, avg(x) AS mean, (sum(c * c) {' '.join(f'+ 2 * {1 - j / 4} * coalesce(sum(c * c{j}), 0)' for j in (1, 2, 3))}) / count(*) AS v FROM l) "
+    "SELECT n, round(mean, 6) + 0.0 AS mean, round(CASE WHEN n >= 10 AND v > 0 THEN mean / sqrt(v / n) END, 6) + 0.0 AS t FROM a",
+)
+def _newey(s, d):
+    return xs.newey_west(xs.rank_ic(pred(s, d), "pred", "gt_1", _D, scaled=False), "rank_ic", "date", 3)
+
+
+# Neutralisation on the monthly panel ---------------------------------------------------------------
+
+
+@query("neutralize_1f", o.pick(f"{o.MONTH}, x AS (SELECT date, instrument, alpha, daily_return, count(*) OVER w AS n, regr_slope(daily_return, alpha) OVER w AS b, regr_intercept(daily_return, alpha) OVER w AS a FROM month WINDOW w AS (PARTITION BY date))", "x", KEY, {"beta_alpha": "b", "residual": "daily_return - (a + b * alpha)"}, "WHERE n >= 20"))
+def _neutral(s, d):
+    return xs.neutralize(bars.month_panel(s, d), "daily_return", ["alpha"], ["date"], least=20).select(*KEY, "beta_alpha", "residual")
+
+
+_CEN = ", ".join(f"{x} - avg({x}) OVER (PARTITION BY date) AS d{i}" for i, x in enumerate(("daily_return", "alpha", "high")))
+
+
+@query(
+    "neutralize_2f",
+    o.pick(
+        f"{o.MONTH}, c AS (SELECT date, instrument, {_CEN}, count(*) OVER (PARTITION BY date) AS n FROM month), "
+        f"f AS (SELECT date, {', '.join(f'sum(d{i} * d{j}) AS s{i}{j}' for i in range(3) for j in range(i, 3))} FROM c GROUP BY date), "
+        "b AS (SELECT date, (s01 * s22 - s02 * s12) / (s11 * s22 - s12 * s12) AS b1, (s02 * s11 - s01 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM f WHERE s11 * s22 - s12 * s12 <> 0)",
+        "c JOIN b USING (date)", KEY, {"residual": "d0 - b1 * d1 - b2 * d2"}, "WHERE n >= 20",
+    ),
+)
+def _neutral2(s, d):
+    return xs.neutralize(bars.month_panel(s, d), "daily_return", ["alpha", "high"], ["date"], least=20).select(*KEY, "residual")
+
+
+# Sketches, profiles, losses, sampling, models, streams ------------------------------------------------
+
+_TL = (0.9, 0.99, 0.999)
+
+
+@query("sketch_tail", " UNION ALL ".join(f"SELECT '{c}' AS horizon, CAST({x} AS DOUBLE) AS level, round(quantile_cont({c}, {x}), 6) + 0.0 AS upper, round(quantile_cont({c}, {round(1 - x, 6)}), 6) + 0.0 AS lower FROM lineitem" for c in ("l_quantity", "l_extendedprice") for x in _TL))
+def _tail(s, d):
+    return ev.tails(bars.read(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], _TL)
+
+
+@query("sketch_cdf", "SELECT 'l_extendedprice' AS horizon, CAST(x AS DOUBLE) AS x, true AS near FROM (VALUES (10000), (30000), (60000)) t(x)")
+def _cdf(s, d):
+    """The sketch's cdf, compared with the exact one: within one hundredth."""
+    line = bars.read(s, d, "lineitem")
+    points = (10000.0, 30000.0, 60000.0)
+    got = ev.sketch_ranks(ev.quantile_sketches(line, ["l_extendedprice"]), points)
+    exact = line.agg(*[F.avg((F.col("l_extendedprice") <= p).cast("double")).alias(f"p{i}") for i, p in enumerate(points)])
+    long = exact.select(F.explode(F.array(*[F.struct(F.lit(p).alias("x"), F.col(f"p{i}").alias("exact")) for i, p in enumerate(points)])).alias("e")).select("e.*")
+    return got.join(long, "x").select("horizon", "x", (F.abs(F.col("cdf") - F.col("exact")) < 0.01).alias("near"))
+
+
+@query(
+    "vol_profile_ewma",
+    f"WITH {o.EVENTS},\n{o.INTRA}, c AS (SELECT date, instrument, slot, sum(volume) {o.RUN} / sum(volume) OVER (PARTITION BY instrument, date) AS share FROM intra), k AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY instrument, slot) - 1 AS last FROM c WHERE slot % 6 = 5 WINDOW w AS (PARTITION BY instrument, slot ORDER BY date)) "
+    "SELECT instrument, slot, round(sum(CASE WHEN k = 0 THEN pow(0.95, last) * share ELSE 0.05 * pow(0.95, last - k) * share END), 6) + 0.0 AS profile FROM k GROUP BY instrument, slot",
+)
+def _profile(s, d):
+    """Each instrument's cumulative volume share at sampled slots, averaged over days with decay 0.95: the last day's weights in closed form."""
+    w = Window.partitionBy("instrument", "date")
+    share = intra(s, d).withColumn("share", wd.total("volume") / F.sum("volume").over(w)).where("slot % 6 = 5")
+    by = Window.partitionBy("instrument", "slot")
+    k = share.select("instrument", "slot", "share", (F.row_number().over(by.orderBy("date")) - 1).alias("k"), (F.count("*").over(by) - 1).alias("last"))
+    decayed = F.pow(F.lit(0.95), F.col("last") - F.col("k"))
+    return k.groupBy("instrument", "slot").agg(F.sum(F.when(F.col("k") == 0, decayed).otherwise(0.05 * decayed) * F.col("share")).alias("profile"))
+
+
+_PW = "FROM pairs a JOIN pairs b ON a.date = b.date AND a.instrument < b.instrument WHERE a.date = DATE '2024-01-15'"
+
+
+@query("pairwise_loss", f"WITH {o.PRED} SELECT a.date, count(*) AS pairs, round(sum(greatest(a.pred - b.pred, 0) + ln(1 + exp(-abs(a.pred - b.pred))) - (a.pred - b.pred) * (a.gt_1 - b.gt_1 > 0.001)::INT) / (count(*) + 1e-8), 6) + 0.0 AS loss {_PW} GROUP BY a.date")
+def _pairwise(s, d):
+    return xs.pair_loss(pred(s, d).where("date = DATE '2024-01-15'"), "pred", "gt_1", ["date"])
+
+
+@query("losses", f"WITH {o.PRED} SELECT date, round(avg(abs(pred - gt_1)), 6) + 0.0 AS mae_pred_gt_1, round(avg((pred - gt_1) * (pred - gt_1)), 6) + 0.0 AS mse_pred_gt_1, round(0.5 * avg(abs(pred - gt_1)) + 2 * avg((pred - gt_1) * (pred - gt_1)), 6) + 0.0 AS total FROM pairs GROUP BY date")
+def _losses(s, d):
+    return mlp.hybrid(pred(s, d), [("mae", "pred", "gt_1", 0.5), ("mse", "pred", "gt_1", 2.0)], _D)
+
+
+@query("random_walk")
+def _walk(s, d):
+    return walks.noisy_walk(s, 0.01, latent=True, steps=100, paths=8)
+
+
+@query("time_embedding", "SELECT DISTINCT CAST(hour(ts) AS BIGINT) AS slot, round(sin(hour(ts)), 6) + 0.0 AS s0, round(cos(hour(ts) * exp(-2 * ln(500) / 4)), 6) + 0.0 AS c2 FROM events")
+def _embedding(s, d):
+    e = mlp.time_embedding(F.col("slot").cast("double"), 4)
+    return bars.events(s, d).select(F.hour("ts").alias("slot")).distinct().select("slot", F.get(e, F.lit(0)).alias("s0"), F.get(e, F.lit(3)).alias("c2"))
+
+
+@query("infer_mlp")
+def _infer(s, d):
+    v = bars.read(s, d, "embeddings").select("vec_id", "embedding")
+    width = len(v.first().embedding)
+    return mlp.predict(v, "embedding", mlp.init_weights(width, 4, gated=True), ["vec_id"], outputs=[0, 2])
+
+
+@query("timing_stats", "SELECT event_type AS label, event_id, round(value, 6) + 0.0 AS seconds, round(avg(value) OVER w, 6) + 0.0 AS mean, round(stddev_samp(value) OVER w, 6) + 0.0 AS std, round(1.96 * stddev_samp(value) OVER w / sqrt(count(value) OVER w), 6) + 0.0 AS half_width FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+def _timings(s, d):
+    e = bars.read(s, d, "events").select(F.col("event_type").alias("label"), "event_id", F.col("value").alias("seconds"))
+    return ev.timing_stats(e, "label", "seconds", "event_id")
+
+
+@query("factor_summary", o.pick(f"{o.DENSE},\n{o.INTRA}, x AS (SELECT {L(MID)} - {L('c')} AS v FROM intra i JOIN (SELECT date, instrument, lag({o.AC}) {o.BY_DAY} * factor AS c FROM dense) d USING (date, instrument))", "(SELECT 'daily_mom_1' AS factor, count(*) - count(v) AS missing, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS least, max(v) AS most FROM x)", ["factor", "missing"], ["mean", "std", "least", "most"]))
+def _factor_summary(s, d):
+    f = factors(s, d, [_mom1])
+    v = "daily_mom_1"
+    return f.agg(F.lit(v).alias("factor"), F.count_if(F.col(v).isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+@query("stream_running", "SELECT CAST(ts AS DATE) AS date, user_id AS instrument, count(*) AS n, round(sum(value), 6) + 0.0 AS total, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low FROM events GROUP BY 1, 2")
+def _stream(s, d):
+    """A file stream drained into the shared folder in update mode; the last state of each key."""
+    from uuid import uuid4
+
+    from tidegrid.streaming import running
+
+    top = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
+    out = running.running_day(running.event_stream(s, d)).select("date", "instrument", "n", "total", "high", "low")
+    return running.run_to_table(out, f"{top.rstrip('/')}/stream-{uuid4().hex}", "running", "update", ("date", "instrument"))
