@@ -156,7 +156,7 @@ def _execution(s, d):
     return pn.execution_period(intra(s, d), "close", 2, slots=SLOTS).select(*SLOTKEY, "mid_price")
 
 
-@query("sample_one_slot", o.pick(f"{o.EVENTS},\n{o.INTRA}", "intra", [*SLOTKEY, "CAST(floor((slot - 6) / 12.0 * 240) AS BIGINT) AS position"], ["mid_price"], "WHERE slot >= 6 AND slot < 18 QUALIFY row_number() OVER (PARTITION BY date, instrument ORDER BY (((instrument * 7919 + slot * 104729 + 9097900) * 31) % 10007), slot) = 1"))
+@query("sample_one_slot", o.pick(f"{o.EVENTS},\n{o.INTRA}", "intra", [*SLOTKEY, "CAST(floor((slot - 6) / 12.0 * 240) AS BIGINT) AS position"], ["mid_price"], "WHERE slot >= 6 AND slot < 18 QUALIFY row_number() OVER (PARTITION BY date, instrument ORDER BY (((instrument * 7919 + slot * 104729 + 9097963) * 31) % 10007), slot) = 1"))
 def _one_slot(s, d):
     return pn.one_random_slot(intra(s, d), 7, period=(6, 18)).select(*SLOTKEY, "position", "mid_price")
 
@@ -262,7 +262,7 @@ _factor(
     "f_volvol",
     [_mom1, Fd("daily_volvol", 2, window2=6, **_back)],
     _Y1 | {"v": f"CASE WHEN count(*) {_R2} >= 2 THEN sqrt(sum(daily_return * daily_return) {_R2} / 2) END", "q1": o.power("daily_return", 2, 1)},
-    {"daily_volvol_2": f"sqrt(greatest((v2 + (q1 + {_M1} * {_M1}) / 2) / 6 - pow((v1 + sqrt((q1 + {_M1} * {_M1}) / 2)) / 6, 2), 0))"},
+    {"daily_volvol_2": f"CASE WHEN v1 IS NOT NULL AND {_M1} IS NOT NULL THEN sqrt(greatest((v2 + (q1 + {_M1} * {_M1}) / 2) / 6 - pow((v1 + sqrt((q1 + {_M1} * {_M1}) / 2)) / 6, 2), 0)) END"},
     day2={"v1": f"CASE WHEN count(v) {_B5} >= 5 THEN sum(v) {_B5} END", "v2": f"CASE WHEN count(v) {_B5} >= 5 THEN sum(v * v) {_B5} END"},
     keep=["daily_volvol_2"],
 )
@@ -392,7 +392,7 @@ query("rank_exact", o.pick(f"{o.DAILY}, x AS (SELECT *, rank() OVER (PARTITION B
 )
 
 
-@query("rank_factors", o.binned(o.DAILY, "daily", "volume", "date", 2000, 3.5, False, KEY, "rank_volume").replace("AS rank_volume", "* 4 - 2 AS rank_volume"))
+@query("rank_factors", o.binned(o.DAILY, "daily", "volume", "date", 2000, 3.5, False, KEY, "rank_volume", "4 * ({}) - 2"))
 def _rank_factors(s, d):
     return xs.ranked_columns(daily(s, d).select(*KEY, "volume", "close"), ["volume", "close"], KEY, ["date"]).select(*KEY, "rank_volume")
 
@@ -454,9 +454,9 @@ query("eval_peak_horizon", f"WITH {_EV}, sm AS (SELECT horizon, {', '.join(f'abs
 )
 
 
-@query("eval_cumulative", f"WITH {o.PRED}, {_RK}, t AS (SELECT date, {_TOP.format(c='t')} - {_TOP.format(c='p')} AS spread FROM rk GROUP BY date) SELECT 'gt_1' AS horizon, date, round(avg(spread) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS mean_so_far, round(exp(sum(ln(1 + spread)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS equity FROM t")
+@query("eval_cumulative", f"WITH {o.PRED}, {_RK}, t AS (SELECT date, ({_TOP.format(c='t')} - {_TOP.format(c='p')}) / 100 AS spread FROM rk GROUP BY date) SELECT 'gt_1' AS horizon, date, round(avg(spread) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS mean_so_far, round(exp(sum(ln(1 + spread)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS equity FROM t")
 def _cumulative(s, d):
-    t = xs.tiered_returns(pred(s, d), "pred", "gt_1", _D).withColumn("horizon", F.lit("gt_1"))
+    t = xs.tiered_returns(pred(s, d), "pred", "gt_1", _D).select("date", (F.col("spread") / 100).alias("spread"), F.lit("gt_1").alias("horizon"))
     return ev.cumulative(t, "spread")
 
 

@@ -119,7 +119,7 @@ def kurt(n: str, s1: str, s2: str, s3: str, s4: str) -> str:
     return f"CASE WHEN {ssd} IS NULL THEN NULL WHEN {ssd} <= 1e-12 THEN 0 ELSE ({n} * ({n} + 1) / (({n} - 1) * ({n} - 2) * ({n} - 3))) * {m4} * ({n} - 1) * ({n} - 1) / ({ssd} * {ssd}) - 3 * ({n} - 1) * ({n} - 1) / (({n} - 2) * ({n} - 3)) END"
 
 
-def binned(ctes: str, source: str, x: str, by: str, bins: int, sigmas: float, sample: bool, keys: Sequence[str], name: str = "rank") -> str:
+def binned(ctes: str, source: str, x: str, by: str, bins: int, sigmas: float, sample: bool, keys: Sequence[str], name: str = "rank", scaled: str = "{}") -> str:
     sd = "stddev_samp" if sample else "stddev_pop"
     bin_ = f"least(greatest(floor((v - lo) * {bins} / (hi - lo)), 0), {bins - 1})"
     if sample:
@@ -130,5 +130,5 @@ b0 AS (SELECT *, {x} AS v, count({x}) OVER (PARTITION BY {by}) AS m, {sd}({x}) O
 b1 AS (SELECT *, mu - sd * {sigmas} AS lo, mu + sd * {sigmas} AS hi, coalesce(sd < 1e-12, true) AS flat FROM b0),
 b2 AS (SELECT *, CASE WHEN NOT flat AND v IS NOT NULL THEN {bin_} END AS k, CASE WHEN NOT flat THEN (v - lo) * {bins} / (hi - lo) END AS place FROM b1),
 b3 AS (SELECT *, count(v) OVER (PARTITION BY {by}, k) AS here, count(v) OVER (PARTITION BY {by} ORDER BY k NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM b2)""",
-        "b3", keys, {name: "CASE WHEN v IS NULL THEN NULL WHEN flat THEN 0.5 WHEN v <= lo THEN 0 WHEN v >= hi THEN 1 ELSE (upto - here + here * (place - k)) / m END"},
+        "b3", keys, {name: scaled.format("CASE WHEN v IS NULL THEN NULL WHEN flat THEN 0.5 WHEN v <= lo THEN 0 WHEN v >= hi THEN 1 ELSE (upto - here + here * (place - k)) / m END")},
     )

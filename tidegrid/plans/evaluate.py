@@ -64,7 +64,7 @@ def summary(daily: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def peak_horizon(summed: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """For each metric the horizon with the largest absolute mean."""
-    return summed.agg(*[F.max_by("horizon", F.struct(F.abs(f"{m}_mean"), F.col("horizon"))).alias(f"{m}_peak") for m in metrics])
+    return summed.agg(*[F.max_by("horizon", F.when(F.col(f"{m}_mean").isNotNull(), F.struct(F.abs(f"{m}_mean"), F.col("horizon")))).alias(f"{m}_peak") for m in metrics])
 
 
 def quantile_sketches(df: DataFrame, values: Sequence[str], k: int = 800) -> DataFrame:
@@ -74,7 +74,8 @@ def quantile_sketches(df: DataFrame, values: Sequence[str], k: int = 800) -> Dat
 
 
 def sketch_ranks(sketches: DataFrame, points: Sequence[float]) -> DataFrame:
-    return sketches.select("horizon", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("x"), "sketch").select("horizon", "x", F.kll_sketch_get_rank_double("sketch", "x").alias("cdf"))
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("x"), F.kll_sketch_get_rank_double("sketch", F.lit(float(p))).alias("cdf")) for p in points])
+    return sketches.select("horizon", F.explode(ranks).alias("r")).select("horizon", "r.x", "r.cdf")
 
 
 def tails(df: DataFrame, values: Sequence[str], levels: Sequence[float] = (0.9, 0.95, 0.99, 0.999, 0.9999)) -> DataFrame:
