@@ -237,9 +237,9 @@ def neutralize(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], leas
 
 def pair_loss(df: DataFrame, pred: str, gt: str, by: Sequence[str], order: str = "instrument", margin: float = 0.001) -> DataFrame:
     """Mean over pairs i < j of a group of softplus(d) - d [gt_i - gt_j > margin], d = pred_i - pred_j. by fixes one cross-section."""
-    rows = df.where(both(pred, gt)).select(*by, F.col(order).alias("i"), F.col(pred).alias("p"), F.col(gt).alias("g"))
-    other = rows.select(*by, F.col("i").alias("j"), F.col("p").alias("q"), F.col("g").alias("h"))
-    d = F.col("p") - F.col("q")
-    y = (F.col("g") - F.col("h") > margin).cast("double")
+    rows = df.where(both(pred, gt)).select(*by, F.col(order).alias("_i"), F.col(pred).alias("_p"), F.col(gt).alias("_g"))
+    other = rows.select(*by, F.col("_i").alias("_j"), F.col("_p").alias("_q"), F.col("_g").alias("_h"))
+    d = F.col("_p") - F.col("_q")
+    y = (F.col("_g") - F.col("_h") > margin).cast("double")
     loss = F.greatest(d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d))) - d * y
-    return rows.join(other, list(by)).where("i < j").groupBy(*by).agg(F.count("*").alias("pairs"), (F.sum(loss) / (F.count("*") + 1e-8)).alias("loss"))
+    return rows.join(other, list(by)).where("_i < _j").groupBy(*by).agg(F.count("*").alias("pairs"), (F.sum(loss) / (F.count("*") + 1e-8)).alias("loss"))
