@@ -132,8 +132,14 @@ def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
 
 
 def keep_good(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """The rows that pass, with the columns they came with."""
-    return judge(docs, text, thresholds).where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that pass, with the columns they came with.
+
+    The optimizer would write the verdict's whole expression, arrays within arrays, into a filter
+    below the projections and so work each array out again for each of its elements. A row number
+    beside the verdict, which is not deterministic, keeps the filter above them.
+    """
+    judged = judge(docs, text, thresholds).withColumn("_q_row", F.monotonically_increasing_id())
+    return judged.where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
