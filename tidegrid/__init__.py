@@ -1 +1,10 @@
-"""Panel analytics on Spark: panels, factors, targets, cross-sections, evaluation."""
+"""Panel analytics on Spark: panels, factors, targets, cross-sections, evaluation.
+
+Functions of this package travel to the executors by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -15,11 +15,14 @@ def skewness(n: Column, s1: Column, s2: Column, s3: Column) -> Column:
 
 
 def adjusted_skewness(n: Column, s1: Column, s2: Column, s3: Column) -> Column:
-    """Fisher-Pearson skewness adjusted for the sample; 0 under three values or without variance."""
+    """Fisher-Pearson skewness adjusted for the sample; 0 under three values or without variance.
+
+    Variance within rounding of the raw sums counts as none, or equal values would give noise over noise.
+    """
     mu = F.try_divide(s1, n)
     m2 = s2 - s1 * mu
     m3 = s3 - 3 * mu * s2 + 2 * n * mu * mu * mu
-    return F.when(n < 3, 0.0).when(m2 <= 1e-18, 0.0).otherwise(F.try_divide(n * F.sqrt(n - 1), n - 2) * F.try_divide(m3, F.pow(F.greatest(m2, F.lit(1e-18)), 1.5)))
+    return F.when(n < 3, 0.0).when(m2 <= F.greatest(F.lit(1e-18), s2 * 1e-13), 0.0).otherwise(F.try_divide(n * F.sqrt(n - 1), n - 2) * F.try_divide(m3, F.pow(F.greatest(m2, F.lit(1e-18)), 1.5)))
 
 
 def excess_kurtosis(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) -> Column:

@@ -110,7 +110,7 @@ def skew_pop(n: str, s1: str, s2: str, s3: str) -> str:
 def skew_adj(n: str, s1: str, s2: str, s3: str) -> str:
     m2 = f"({s2} - {s1} * {s1} / {n})"
     m3 = f"({s3} - 3 * ({s1} / {n}) * {s2} + 2 * {n} * pow({s1} / {n}, 3))"
-    return f"CASE WHEN {n} < 3 THEN 0 WHEN {m2} <= 1e-18 THEN 0 ELSE {n} * sqrt({n} - 1) / ({n} - 2) * {m3} / pow({m2}, 1.5) END"
+    return f"CASE WHEN {n} < 3 THEN 0 WHEN {m2} <= greatest(1e-18, {s2} * 1e-13) THEN 0 ELSE {n} * sqrt({n} - 1) / ({n} - 2) * {m3} / pow({m2}, 1.5) END"
 
 
 def kurt(n: str, s1: str, s2: str, s3: str, s4: str) -> str:
