@@ -31,6 +31,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,10 +179,26 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
 _SENT = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("copy", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("words", pa.binary())])
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc, th and the text compressed, for the two exchanges that move whole texts; a null text stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            packed = [None if not t.is_valid else press.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array(packed, pa.binary())], ["doc", "th", "packed"])
+
+    return docs.select("doc", "th", "text").mapInArrow(run, "doc long, th long, packed binary")
+
+
+def _unpacked(packed: pa.Scalar, press: zstandard.ZstdDecompressor) -> str | None:
+    return press.decompress(packed.as_py()).decode("utf-8", "surrogatepass") if packed.is_valid else None
+
+
 def _sent(docs: DataFrame, window: int) -> DataFrame:
     """The runs of windows that each document sends: kind 0 to its own shards, kind 1 to those of others.
 
-    docs: doc, th, text, and held, an array of (k, owner, block, copies).
+    docs: doc, th, packed, and held, an array of (k, owner, block, copies).
     """
 
     def rows(doc: int, th: int, text: str, held: pa.Scalar) -> Iterator[tuple]:
@@ -206,10 +223,10 @@ def _sent(docs: DataFrame, window: int) -> DataFrame:
                 yield o, bl, hash((doc, th)) % many, 1, doc, th, a, span
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
+        out, size, press = [], 0, zstandard.ZstdDecompressor()
         for b in batches:
-            for doc, th, text, held in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text"), b.column("held"), strict=True):
-                for row in rows(doc, th, text.as_py(), held):
+            for doc, th, packed, held in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("packed"), b.column("held"), strict=True):
+                for row in rows(doc, th, _unpacked(packed, press), held):
                     out.append(row)
                     size += len(row[-1])
                     if size > 1 << 22:
@@ -271,8 +288,8 @@ def marked_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .join(sharded, "k")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("k", "owner", "block", "copies")).alias("held"))
-        .join(known, "doc")
-        .select("doc", "th", "text", "held")
+        .join(_packed(known), "doc")
+        .select("doc", "th", "packed", "held")
     )
     found = cut(_matched(_sent(sending, window), window))
     open_ = found.where("h1 IS NOT NULL")
@@ -286,10 +303,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for b in batches:
             total, gone, kept = [], [], []
-            for text, marks in zip(b.column("text"), b.column("marks").to_pylist(), strict=True):
-                words = split_words(text.as_py())
+            for packed, marks in zip(b.column("packed"), b.column("marks").to_pylist(), strict=True):
+                words = split_words(_unpacked(packed, press))
                 stays = np.ones(len(words), bool)
                 for m in marks or ():
                     stays[m["at"] : m["at"] + m["n"] + window - 1] = False
@@ -298,7 +316,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(compress(words, stays) if gone[-1] else words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = keyed.join(marked_windows(keyed, window), ["doc", "th"], "left").select("doc", "text", "marks")
+    joined = _packed(keyed).join(marked_windows(keyed, window), ["doc", "th"], "left").select("doc", "packed", "marks")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
