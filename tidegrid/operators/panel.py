@@ -130,9 +130,12 @@ def last_of_slot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def backfill(df: DataFrame, by: Sequence[str], time: str, columns: Sequence[str]) -> DataFrame:
-    """Every missing value takes the next one there is."""
-    w = Window.partitionBy(*by).orderBy(time).rowsBetween(0, Window.unboundedFollowing)
-    return df.select(*[F.first(c, ignorenulls=True).over(w).alias(c) if c in columns else F.col(c) for c in df.columns])
+    """Every missing value takes the next one there is.
+
+    The rows are walked backwards: a frame that ends at the last row would be read anew for each row.
+    """
+    w = Window.partitionBy(*by).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def validity(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("instrument",), max_missing: int = 0) -> DataFrame:

@@ -190,7 +190,7 @@ def future_sum(x, w: int) -> Column:
 
 def return_ahead(price, w: int) -> Column:
     """Log return to w slots ahead, at most to the last slot; w = -1: to the close."""
-    close = F.last(col(price)).over(today().rowsBetween(0, Window.unboundedFollowing))
+    close = F.last(col(price)).over(today().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     to = close if w < 0 else F.coalesce(F.lead(col(price), w).over(today()), close)
     return ln(to) - ln(price)
 

@@ -419,7 +419,7 @@ def _future_day(plan: Plan, d: FactorDef) -> Column:
 def _inter_day(plan: Plan, d: FactorDef) -> Column:
     ahead = plan.daily(f"fut{d.window}", d.future[0], lambda x: windows.future(x, d.window))
     f = d.intraday[-1]
-    close = plan.running(0, f"_c_{f}", F.last(f).over(windows.today().rowsBetween(0, Window.unboundedFollowing)))
+    close = plan.running(0, f"_c_{f}", F.last(f).over(windows.today().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return ln(ahead) - ln(close)
 
 
@@ -444,7 +444,7 @@ def _future_down(plan: Plan, d: FactorDef) -> Column:
 def _today_target(plan: Plan, d: FactorDef) -> Column:
     buy, sell, mid = d.intraday
     price = plan.running(0, f"_sell_{sell}_{mid}", _or_mid(F.col(sell), F.col(mid)))
-    end = F.last(price).over(windows.today().rowsBetween(0, Window.unboundedFollowing))
+    end = F.last(price).over(windows.today().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     then = plan.running(1, f"_to{d.window}_{sell}_{mid}", F.coalesce(F.lead(price, d.window).over(windows.today()), end))
     return ln(then) - ln(_or_mid(plan.now(buy), plan.now(mid)))
 

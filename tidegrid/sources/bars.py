@@ -89,7 +89,7 @@ def intraday_panel(spark: SparkSession, folder: str) -> DataFrame:
     grid = days.join(bars, ["date", "instrument", "slot"], "left")
     keys = ["date", "instrument", "slot"]
     fields = [c for c in grid.columns if c not in keys]
-    filled = fill_columns(grid, ["date", "instrument"], "slot", fields, zero=ZERO_HOURLY)
+    filled = fill_columns(grid, ["date", "instrument"], "slot", fields, zero=ZERO_HOURLY, bar=F.col("volume").isNotNull())  # every bar has a volume
     prices = [c for c in fields if c not in ZERO_HOURLY]
     out = backfill(filled, ["date", "instrument"], "slot", prices)
     return out.withColumn("total_volume", F.col("volume")).withColumn("resid", ln(F.col("mid_price") / 100)).withColumn("resid_rank", F.col("mid_price") / (F.col("mid_price") + 100))
