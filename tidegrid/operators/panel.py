@@ -1,6 +1,6 @@
 """Panel algebra on tidy frames (time, instrument, fields): schema, selection, grids, filling, adjusting, aligning.
 
-A dense panel has a row for every instrument and grid time. Filling follows the reference policy: flows
+A dense panel has a row for every instrument and grid time. Filling follows one policy: flows
 are zero where there was no bar, levels keep the last bar's value even if that was missing, and
 values before the first bar stay missing unless they are filled backwards.
 """
