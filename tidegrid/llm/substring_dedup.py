@@ -42,7 +42,7 @@ WINDOW = 50
 GRAM = 12
 BLOCK = 1 << 14
 #: Words that a copy of a shard should have to match.
-LOAD = 200_000
+LOAD = 20_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
