@@ -174,3 +174,42 @@ def test_near_duplicates_at_similarity(make):
     rows += clean + [(2000, None), (2001, ""), (None, rows[0][1])]
     kept = {x.doc_id for x in simhash.drop_similar(make(rows).withColumn("rep", F.lit(0)).withColumn("fp", F.lit(0))).collect()}
     assert kept == {0, None, 2000} | {i for i, _ in clean}
+
+
+def naive_groups(rows, least=0.8):
+    """Groups by the exact similarity of five-word shingles, all pairs compared."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    members = {}
+    for (i, _), x in zip(rows, root, strict=True):
+        members.setdefault(x, set()).add(i)
+    return sorted(sorted(m) for m in members.values() if len(m) > 1)
+
+
+def found_groups(make, rows):
+    members = {}
+    for x in simhash.similar(make(rows)).collect():
+        members.setdefault(x.group, set()).add(x.doc_id)
+    return sorted(map(sorted, members.values()))
+
+
+def edited(r, words, n, tag):
+    out = list(words)
+    for k in range(n):
+        out[r.randrange(len(out))] = f"{tag}_{k}"
+    return out
+
+
+def test_links_have_the_exact_similarity(make):
+    r = random.Random(21)
+    rows = []
+    for i in range(150):  # pairs on both sides of 0.8
+        base = [f"w{r.randrange(5000)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(r, base, r.randint(3, 6), f"n{i}")))]
+    assert 20 < len(want := naive_groups(rows)) < 130
+    assert found_groups(make, rows) == want

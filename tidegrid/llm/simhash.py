@@ -187,13 +187,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 # Similarity mode. At a similarity of 0.8 on five-word shingles, fingerprints differ in up to 18 of
-# 64 bits, which no set of segment keys of bounded size covers. The links by fingerprint are joined
-# there by links from min-wise sketches of the same shingle hashes.
+# 64 bits, which no set of segment keys of bounded size covers. Fingerprints and the bands of min-wise
+# sketches of the same shingle hashes give candidate pairs there; a link is a pair whose sets of
+# shingles have the exact similarity. Under a key of up to HELD documents every pair is a candidate.
+# Under a larger one, documents are compared with the first HELD.
 
 SKETCH, BANDS, ROWS = 128, 16, 4
-#: One and a half standard errors under the similarity asked for, so that estimates keep the pairs at the bound.
-SLACK = 0.05
-PIVOTS = 64
+#: More than four standard errors of a sketch: what it rules out is below the similarity asked for.
+SLACK = 0.15
+HELD = 32
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -213,69 +215,103 @@ def sketch(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp, sig (a byte of each minimum) and bands (hashes of groups of whole minima)."""
+    """doc_id, fp, whole (a digest of the set of shingles), sig (a byte of each minimum) and bands (hashes of groups of whole minima)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors()
         for b in batches:
-            fps, sigs, bands = [], [], []
+            fps, wholes, sigs, bands = [], [], [], []
             for t in b.column("text"):
                 hashes = shingle_hashes(t.as_py(), shingle)
                 least = sketch(hashes, factors).astype(np.uint32)
                 fps.append(vote(hashes))
+                wholes.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
                 sigs.append((least & 0xFF).astype(np.uint8).tobytes())
                 bands.append([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "sig", "bands"]
+                [b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(wholes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "fp", "whole", "sig", "bands"],
             )
 
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, fp long, sig binary, bands array<long>")
+    return _keyed_texts(docs).mapInArrow(run, "doc_id long, fp long, whole binary, sig binary, bands array<long>")
+
+
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _sets(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """rep and set, the sorted distinct shingle hashes, for the rows (rep, whole) of reps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["rep", "whole", "set"])
+
+    texts = _keyed_texts(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    made = texts.mapInArrow(run, "rep long, whole binary, set binary")
+    # Rows that share a doc_id may differ in text: the digest picks those of the representative.
+    return made.join(reps.select("rep", "whole"), ["rep", "whole"], "left_semi").dropDuplicates(["rep", "whole"]).select("rep", "set")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets; two empty ones are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+    both = int((b[at] == a).sum()) if len(b) else 0
+    return both / (len(a) + len(b) - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(c).to_pylist() for c in ("x", "y"))
+            keep = [jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= similarity for p, q in zip(x, y, strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sets.select(F.col("rep").alias("u"), F.col("set").alias("x")), sets.select(F.col("rep").alias("v"), F.col("set").alias("y"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 class Bucket:
-    """Links the members of one band key as they stream by, in memory that doesn't grow with them.
+    """Candidate pairs of one band key as its members stream by, in memory that doesn't grow with them.
 
-    The first PIVOTS members are compared with all members. In a large bucket they may all be edited
-    copies of a text that none of them equals; the byte most of them have at each place makes up that
-    text's sketch, and the members near it are linked as well.
+    Each member is paired with the near ones of up to HELD members before it; beyond the first HELD
+    with the two nearest of these only, and the key counts as crowded.
     """
 
-    def __init__(self, ids: list[int], sigs: np.ndarray, least: float) -> None:
-        self.least, self.ids, self.owner = least, ids[:PIVOTS], None
-        pivots = sigs[:PIVOTS]
-        if len(ids) >= PIVOTS:
-            centre = np.array([np.bincount(c, minlength=256).argmax() for c in sigs[:512].T], np.uint8)
-            pivots = np.vstack([pivots, centre])
-        self.pivots, self.root = pivots, list(range(len(pivots)))
-
-    def _find(self, i: int) -> int:
-        while self.root[i] != i:
-            i = self.root[i]
-        return i
-
-    def links(self, ids: list[int], sigs: np.ndarray) -> list[tuple[int, int]]:
-        out = []
-        for at in range(0, len(ids), 512):
-            near = (sigs[at : at + 512, None, :] == self.pivots[None, :, :]).mean(axis=2) >= self.least
-            for i in np.flatnonzero(near.any(axis=1)):
-                doc, found = ids[at + i], np.flatnonzero(near[i]).tolist()
-                if found[-1] == PIVOTS and self.owner is None:
-                    self.owner = doc
-                named = [self.owner if k == PIVOTS else self.ids[k] for k in found]
-                if named[0] != doc:
-                    out.append((doc, named[0]))
-                for k, other in zip(found[1:], named[1:], strict=True):
-                    a, b = self._find(found[0]), self._find(k)
-                    if a != b:
-                        self.root[max(a, b)] = min(a, b)
-                        out.append((other, named[0]))
-        return out
-
-
-def _banded_links(reps: DataFrame, least: float) -> DataFrame:
+    def __init__(self, least: float) -> None:
+        self.least, self.ids, self.sigs, self.crowded = least, [], np.empty((0, SKETCH), np.uint8), False
+
+    def pairs(self, ids: list[int], sigs: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+        """Candidates among the next members and with those held, and the members found to be of a crowd."""
+        room = HELD - len(self.ids)
+        out, crowd, rest = [], [], len(ids)
+        if room > 0:
+            known, rest = len(self.ids), max(len(ids) - room, 0)
+            self.ids, self.sigs = self.ids + ids[:room], np.vstack([self.sigs, sigs[:room]])
+            for i in range(max(known, 1), len(self.ids)):
+                near = (self.sigs[:i] == self.sigs[i]).mean(axis=1) >= self.least
+                out += [(self.ids[i], self.ids[k]) for k in np.flatnonzero(near).tolist()]
+        for at in range(len(ids) - rest, len(ids), 512):
+            if not self.crowded:
+                self.crowded, crowd = True, list(self.ids)
+            crowd += ids[at : at + 512]
+            near = (sigs[at : at + 512, None, :] == self.sigs[None, :, :]).mean(axis=2)
+            for i, row in enumerate(near):
+                best = np.argpartition(row, -2)[-2:] if len(row) > 1 else np.arange(len(row))
+                out += [(ids[at + i], self.ids[k]) for k in best.tolist() if row[k] >= self.least]
+        return out, crowd
+
+
+def _banded_pairs(reps: DataFrame, least: float) -> DataFrame:
+    """Candidates (u, v), and for members u of crowded keys a row with no v; band and key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, bucket, held = None, None, ([], [])
+        last, bucket = None, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -283,32 +319,30 @@ def _banded_links(reps: DataFrame, least: float) -> DataFrame:
             ids = b.column("rep").to_pylist()
             sigs = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, SKETCH)
             edge = [0, *(np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(ids)]
-            out = []
+            rows = []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                new, m = ids[lo:hi], sigs[lo:hi]
-                if last == (band[lo], key[lo]):  # goes on from the batch before
-                    if bucket is None:
-                        new, m = held[0] + new, np.vstack([held[1], m])
-                else:
-                    bucket = None
-                last, held = (band[lo], key[lo]), (new, m)
-                if len(new) > 1 or bucket is not None:
-                    bucket = bucket or Bucket(new, m, least)
-                    out += bucket.links(new, m)
-            held = (held[0], held[1].copy())
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["u", "v"])
+                if last != (band[lo], key[lo]):
+                    last, bucket = (band[lo], key[lo]), None
+                    if hi - lo == 1 and hi < len(ids):
+                        continue  # alone under its key
+                bucket = bucket or Bucket(least)
+                pairs, crowd = bucket.pairs(ids[lo:hi], sigs[lo:hi])
+                rows += [(u, v, None, None) for u, v in pairs] + [(u, None, int(band[lo]), int(key[lo])) for u in crowd]
+            u, v, bands, keys = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(bands, pa.int32()), pa.array(keys, pa.int64())], ["u", "v", "band", "key"])
 
     keyed = reps.select("rep", "sig", F.posexplode("bands").alias("band", "key"))
-    return keyed.repartition("band", "key").sortWithinPartitions("band", "key", F.xxhash64("rep", "band")).mapInArrow(run, "u long, v long")
+    return keyed.repartition("band", "key").sortWithinPartitions("band", "key", F.xxhash64("rep", "band")).mapInArrow(run, "u long, v long, band int, key long")
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group (its least doc_id) of every document that is not alone, at the similarity given.
 
-    Links are fingerprints within two bits and sketches that estimate the similarity.
+    Candidates are fingerprints within two bits and sketches that share a band; links are those of
+    them whose sets of shingles have the similarity.
     """
     found = cut(_sketched(docs, shingle).where("doc_id IS NOT NULL"))
-    reps = cut(found.groupBy("sig", "bands", "fp").agg(F.min("doc_id").alias("rep")))
+    reps = cut(found.groupBy("whole").agg(F.min(F.struct("doc_id", "fp", "sig", "bands")).alias("x")).select("whole", F.col("x.doc_id").alias("rep"), "x.fp", "x.sig", "x.bands"))
     by_fp = reps.groupBy("fp").agg(F.min("rep").alias("first"))
     same = reps.join(by_fp, "fp").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
     by_code = (
@@ -317,9 +351,15 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         .join(by_fp.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
-    roots = components(same.union(by_code).union(_banded_links(reps, similarity - SLACK)))
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("sig", "bands", "fp", "rep", F.coalesce("root", "rep").alias("group"))
-    exact = found.join(named, ["sig", "bands", "fp"]).select("doc_id", "group", "rep")
+    banded = cut(_banded_pairs(reps, similarity - SLACK))
+    pairs = same.union(by_code).union(banded.where("v IS NOT NULL").select("u", "v")).where("u <> v")
+    pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    named = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
+    sets = cut(_sets(docs, reps.join(named, "rep", "left_semi"), shingle))
+    near = cut(_verified(pairs, sets, similarity))
+    roots = components(near)
+    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("whole", "rep", F.coalesce("root", "rep").alias("group"))
+    exact = found.select("doc_id", "whole").join(named, "whole").select("doc_id", "group", "rep")
     alone = exact.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
     return exact.join(alone, "group").select("doc_id", "group").distinct()
 
