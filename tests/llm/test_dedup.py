@@ -213,3 +213,19 @@ def test_links_have_the_exact_similarity(make):
         rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(r, base, r.randint(3, 6), f"n{i}")))]
     assert 20 < len(want := naive_groups(rows)) < 130
     assert found_groups(make, rows) == want
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_crowds_of_several_families_lose_no_pair(spark, make, batch):
+    r = random.Random(22)
+    licence = [f"l{i}" for i in range(120)]  # under 0.8 of every text, but often a whole band
+    rows = [(i, " ".join(licence + [f"a{i}_{k}" for k in range(48)])) for i in range(150)]
+    for f in range(40):
+        tail = [f"f{f}_{k}" for k in range(48)]
+        rows += [(1000 + 2 * f + k, " ".join(licence + edited(r, tail, 1, f"{f}_{k}"))) for k in range(2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert found_groups(make, rows) == (want := naive_groups(rows))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(want) == 40

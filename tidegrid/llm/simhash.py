@@ -190,12 +190,14 @@ def report(docs: DataFrame) -> DataFrame:
 # 64 bits, which no set of segment keys of bounded size covers. Fingerprints and the bands of min-wise
 # sketches of the same shingle hashes give candidate pairs there; a link is a pair whose sets of
 # shingles have the exact similarity. Under a key of up to HELD documents every pair is a candidate.
-# Under a larger one, documents are compared with the first HELD.
+# Under a larger one, documents are compared with the first HELD; every document that this leaves
+# outside the key's largest component is then compared with all others of the key, in blocks.
 
 SKETCH, BANDS, ROWS = 128, 16, 4
 #: More than four standard errors of a sketch: what it rules out is below the similarity asked for.
 SLACK = 0.15
 HELD = 32
+BLOCK, CHUNK = 512, 2048  # outsiders and members of a key that meet in one task
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -335,6 +337,53 @@ def _banded_pairs(reps: DataFrame, least: float) -> DataFrame:
     return keyed.repartition("band", "key").sortWithinPartitions("band", "key", F.xxhash64("rep", "band")).mapInArrow(run, "u long, v long, band int, key long")
 
 
+def _outsider_links(crowd: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between components that meet under a crowded key: all members against those outside the key's largest component."""
+    labelled = cut(crowd.join(roots, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("root", "rep").alias("root")))
+    parts = labelled.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("n > top.n")
+    held = labelled.join(keys.select("band", "key", "n", (F.col("n") - F.col("top.n")).alias("out"), F.col("top.root").alias("top")), ["band", "key"])
+    blocks, chunks = F.ceil(F.col("out") / BLOCK).cast("int"), F.ceil(F.col("n") / CHUNK).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    members = held.select("band", "key", "rep", "root", F.explode(upto(blocks)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), chunks).cast("int").alias("chunk"), F.lit(1).alias("late"))
+    outside = held.where("root <> top").select("band", "key", "rep", "root", F.pmod(F.xxhash64("rep", F.lit(2)), blocks).cast("int").alias("block"), F.explode(upto(chunks)).alias("chunk"), F.lit(0).alias("late"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, own, rows, out_sigs, sets_, merged = None, [], [], [], None, [], {}
+
+        def find(r: int) -> int:
+            while merged.get(r, r) != r:
+                r = merged[r]
+            return r
+
+        for b in batches:
+            found = []
+            for band, key, block, chunk, late, rep, root, sig, held_set in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
+                if last != (band, key, block, chunk):
+                    last, ids, own, rows, out_sigs, sets_, merged = (band, key, block, chunk), [], [], [], None, [], {}
+                mine, me = np.frombuffer(sig, np.uint8), np.frombuffer(held_set, np.uint64)
+                if not late:
+                    ids.append(rep)
+                    own.append(root)
+                    rows.append(mine)
+                    sets_.append(me)
+                    continue
+                if not ids:
+                    continue
+                if out_sigs is None:
+                    out_sigs = np.stack(rows)
+                for k in np.flatnonzero((out_sigs == mine).mean(axis=1) >= similarity - SLACK).tolist():
+                    p, q = find(root), find(own[k])
+                    if p != q and jaccard(me, sets_[k]) >= similarity:
+                        merged[max(p, q)] = min(p, q)
+                        found.append((rep, ids[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["u", "v"])
+
+    at = ["band", "key", "block", "chunk", "late"]
+    full = outside.union(members.select(outside.columns)).join(sigs, "rep").join(sets, "rep").select(*at, "rep", "root", "sig", "set")
+    return full.repartition(*at[:4]).sortWithinPartitions(*at).mapInArrow(run, "u long, v long")
+
+
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group (its least doc_id) of every document that is not alone, at the similarity given.
 
@@ -354,10 +403,14 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     banded = cut(_banded_pairs(reps, similarity - SLACK))
     pairs = same.union(by_code).union(banded.where("v IS NOT NULL").select("u", "v")).where("u <> v")
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    named = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
+    crowd = banded.where("v IS NULL").select("band", "key", F.col("u").alias("rep"))
+    named = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).union(crowd.select("rep")).distinct()
     sets = cut(_sets(docs, reps.join(named, "rep", "left_semi"), shingle))
     near = cut(_verified(pairs, sets, similarity))
-    roots = components(near)
+    roots = cut(components(near))
+    more = cut(_outsider_links(crowd, roots, reps.select("rep", "sig"), sets, similarity))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("whole", "rep", F.coalesce("root", "rep").alias("group"))
     exact = found.select("doc_id", "whole").join(named, "whole").select("doc_id", "group", "rep")
     alone = exact.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
