@@ -164,3 +164,13 @@ def test_only_one_label(make, spark):
     docs = make([(i, f"word {i}") for i in range(20)])
     assert all(r.score < 0.1 for r in toxicity.report(docs, one).collect())
     assert all(r.score > 0.9 for r in quality_classifier.report(docs, one).collect())
+
+
+def test_neighbour_counts_do_not_saturate(make):
+    """More than 2**24 equal pairs in one task, beside rarer ones."""
+    many, mixed = "a " * 100_000, "a 7 " * 50_000
+    (form_a, shape_a), (form_7, shape_7) = (quality_classifier.terms(w) for w in (b"a", b"7"))
+    index = quality_classifier.index_vectors()
+    want = 2 * 90 * 99_999 * (index[form_a] + index[shape_a]) + 10 * 99_999 * (index[form_7] + index[shape_7])
+    got = quality_classifier.word_vectors(make([(i, many if i < 90 else mixed) for i in range(100)]).coalesce(1))
+    assert np.allclose(got[shape_a], want / np.linalg.norm(want), atol=1e-9)

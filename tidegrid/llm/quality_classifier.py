@@ -80,11 +80,17 @@ class Vocabulary:
         return np.stack([both >> 16, both & 0xFFFF], axis=1)
 
 
+def projected(pairs: np.ndarray) -> np.ndarray:
+    """(TERMS, DIM) sums of index vectors; counts are whole numbers, exact at any size, and turned into floats block by block."""
+    index = index_vectors()
+    return np.concatenate([part @ index for part in pairs.reshape(-1, BLOCK, TERMS)])
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """(TERMS, DIM) vectors of unit length from the neighbours in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pairs = Vocabulary(), np.zeros(TERMS * TERMS, np.float32)
+        vocabulary, pairs = Vocabulary(), np.zeros(TERMS * TERMS, np.int64)
         for b in batches:
             held: list[np.ndarray] = []
             size = 0
@@ -95,15 +101,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                         held += [ids[:-1, x] * TERMS + ids[1:, y], ids[1:, y] * TERMS + ids[:-1, x]]
                 size += 8 * len(ids)
                 if size > 1 << 20 or i == b.num_rows - 1:
-                    np.add.at(pairs, np.concatenate(held), np.float32(1))
+                    np.add.at(pairs, np.concatenate(held), 1)
                     held, size = [], 0
-        summed = pairs.reshape(TERMS, TERMS) @ index_vectors().astype(np.float32)
-        blocks = summed.reshape(-1, BLOCK * DIM)
+        blocks = projected(pairs).reshape(-1, BLOCK * DIM)
         live = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(list(blocks[live]), pa.list_(pa.float32()))], ["block", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(list(blocks[live]), pa.list_(pa.float64()))], ["block", "v"])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, v array<float>")
-    each = parts.select("block", F.posexplode("v").alias("i", "x")).where("x <> 0").groupBy("block", "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, v array<double>")
+    each = parts.select("block", F.posexplode("v").alias("i", "x")).where("x <> 0").groupBy("block", "i").agg(F.sum("x").alias("x"))
     got = each.select((F.col("block") * (BLOCK * DIM) + F.col("i")).alias("at"), "x").toPandas()
     out = np.zeros(TERMS * DIM)
     out[got["at"].to_numpy(np.int64)] = np.round(got["x"].to_numpy(), 3)
