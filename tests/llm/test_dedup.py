@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,36 +62,42 @@ def test_suffix_automaton():
             assert m.reaches(b, n) == [tuple(b[i : i + n]) in held for i in range(len(b) - n + 1)]
 
 
+def text_hash(text):
+    """The hash that orders rows of one doc_id; a null text has none."""
+    return 0 if text is None else (xxhash.xxh64_intdigest(text.encode(), 42) ^ 1 << 63) - (1 << 63)
+
+
 def naive_lines(rows, n=3):
-    seen, drop = {}, {}
-    order = sorted({(i, t) for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
-    spans = {}
-    for i, t in order:
+    """{(doc_id, text): text without the lines of later windows}."""
+    seen, drop, spans = {}, {}, {}
+    for i, t in set(rows):
         lines = [(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
         for a in range(len(lines) - n + 1):
-            w = lines[a : a + n]
-            at = ((i is not None, i or 0), w[0][0])
-            key = tuple(x for _, x in w)
+            at = ((i is not None, i or 0), text_hash(t), lines[a][0])
+            key = tuple(x for _, x in lines[a : a + n])
             seen[key] = min(seen.get(key, at), at)
-            spans.setdefault(key, []).append((at, i, [k for k, _ in w]))
+            spans.setdefault(key, []).append((at, (i, t), [k for k, _ in lines[a : a + n]]))
     for key, found in spans.items():
-        for at, i, ks in found:
+        for at, row, ks in found:
             if at > seen[key]:
-                drop.setdefault(i, set()).update(ks)
-    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in drop.get(i, ())) for i, t in rows}
+                drop.setdefault(row, set()).update(ks)
+    return {(i, t): "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in drop.get((i, t), ())) for i, t in rows}
 
 
 def test_line_dedup_equals_brute_force(make):
     r = random.Random(3)
     line = lambda: r.choice(["", "a b", "c", " ", "d e f", "g", "h i"])
     rows = [(i, "\n".join(line() for _ in range(r.randint(0, 14)))) for i in range(40)] + [(99, None), (98, ""), (None, "a b\nc\nd e f\ng")]
-    rows += [(97, "x\n" * 5000), (1, rows[1][1])]
+    rows += [(97, "x\n" * 5000), (1, rows[1][1]), (None, "a b\nc\nd e f\ng")]
+    # Equal ids, null ones too, with other texts: no row may lose lines that only another row repeats.
+    rows += [(5, "own 1\nown 2\nown 3\nown 4"), (5, "a b\nc\ng\nown 5"), (None, "free 1\nfree 2\nfree 3"), (None, "free 1\nfree 2\nfree 3\nfree 4")]
     out = line_dedup.without_repeats(make(rows).withColumn("w", F.lit(1)).withColumn("i", F.lit(2))).collect()
     want = naive_lines(rows)
     assert len(out) == len(rows)
-    for x in out:
-        assert x.text == (None if x.doc_id == 99 else want[x.doc_id])
-        assert x.w == 1 and x.n_chars == (None if x.text is None else len(x.text))
+    assert Counter((x.doc_id, x.text) for x in out) == Counter((i, None if t is None else want[i, t]) for i, t in rows)
+    assert all(x.w == 1 and x.n_chars == (None if x.text is None else len(x.text)) for x in out)
+    assert (5, "own 1\nown 2\nown 3\nown 4") in {(x.doc_id, x.text) for x in out}
+    assert line_dedup.without_repeats(make([])).count() == 0
 
 
 def naive_fingerprint(text):

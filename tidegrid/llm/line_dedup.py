@@ -2,17 +2,20 @@
 
 A window is three consecutive lines that hold a word; lines without a word are neither counted nor
 removed. A window that occurs more than once in the corpus stays where it occurs first by (doc_id,
-position); the lines of all its later occurrences are marked and the marks of overlapping windows
-merge. Hashing is 128 bits wide (two hashes of the three lines).
+hash of the text, position); the lines of all its later occurrences are marked and the marks of
+overlapping windows merge. Hashing is 128 bits wide (two hashes of the three lines).
 
 Plan: scan -> explode windows -> partial and final count by hash -> join of the repeated hashes with
 their occurrences (a sort-merge join, whose hot keys AQE can split) -> lines by document -> join with
 the texts. No group is gathered but the line numbers of one document.
 
 Edge cases: null and empty texts have no lines and stay as they are; fewer than three lines with
-words give no window; ties and repeated rows: rows that share a doc_id are one document, so none of
-them is a later occurrence of another; a null doc_id sorts first; an empty table stays empty; other
-columns pass through, whatever they are called but for names that begin with _ld_.
+words give no window; repeated rows (doc_id and text alike, a null doc_id too) are one document, so
+none is a later occurrence of another; rows that share a doc_id but not a text are documents of
+their own, ordered by the text's hash, and never touch each other's lines; a null doc_id sorts
+first; a very long text is one row and its windows are spread like those of many short ones; an
+empty table stays empty; other columns pass through, whatever they are called but for names that
+begin with _ld_.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ def _lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_ld_doc, _ld_lines (the three line numbers), _ld_h1, _ld_h2 for each window of each document."""
-    lines = docs.select(F.col(doc_id).alias("_ld_doc"), _lines(body(text)).alias("_ld_l")).where(F.size("_ld_l") >= WINDOW)
+    """_ld_doc, _ld_th, _ld_lines (the three line numbers), _ld_h1, _ld_h2 for each window of each document."""
+    lines = docs.select(F.col(f"`{doc_id}`").alias("_ld_doc"), F.xxhash64(f"`{text}`").alias("_ld_th"), _lines(body(f"`{text}`")).alias("_ld_l")).where(F.size("_ld_l") >= WINDOW)
 
     def window(s: Column, k: Column) -> Column:
         three = [s["x"], F.get(F.col("_ld_l"), k + 1)["x"], F.get(F.col("_ld_l"), k + 2)["x"]]
@@ -43,13 +46,13 @@ def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         return F.struct(numbers.alias("n"), F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit("second"), *reversed(three)).alias("h2"))
 
     return lines.select(
-        "_ld_doc", F.explode(F.slice(F.transform("_ld_l", window), 1, F.size("_ld_l") - (WINDOW - 1))).alias("w")
-    ).select("_ld_doc", F.col("w.n").alias("_ld_lines"), F.col("w.h1").alias("_ld_h1"), F.col("w.h2").alias("_ld_h2"))
+        "_ld_doc", "_ld_th", F.explode(F.slice(F.transform("_ld_l", window), 1, F.size("_ld_l") - (WINDOW - 1))).alias("w")
+    ).select("_ld_doc", "_ld_th", F.col("w.n").alias("_ld_lines"), F.col("w.h1").alias("_ld_h1"), F.col("w.h2").alias("_ld_h2"))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_ld_doc and _ld_drop, the sorted numbers of the lines that later occurrences cover."""
-    found = windows(docs, doc_id, text).withColumn("_ld_at", F.struct("_ld_doc", F.get("_ld_lines", F.lit(0)).alias("i")))
+    """_ld_doc, _ld_th and _ld_drop, the sorted numbers of the lines that later occurrences cover."""
+    found = windows(docs, doc_id, text).withColumn("_ld_at", F.struct("_ld_doc", "_ld_th", F.get("_ld_lines", F.lit(0)).alias("i")))
     first = (
         found.groupBy("_ld_h1", "_ld_h2")
         .agg(F.min("_ld_at").alias("_ld_first"), F.max("_ld_at").alias("_ld_last"))
@@ -59,8 +62,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return (
         found.join(first, ["_ld_h1", "_ld_h2"])
         .where(F.col("_ld_at") > F.col("_ld_first"))
-        .select("_ld_doc", F.explode("_ld_lines").alias("i"))
-        .groupBy("_ld_doc")
+        .select("_ld_doc", "_ld_th", F.explode("_ld_lines").alias("i"))
+        .groupBy("_ld_doc", "_ld_th")
         .agg(F.sort_array(F.collect_set("i")).alias("_ld_drop"))
     )
 
@@ -68,9 +71,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with _ld_drop (null: none) and _ld_kept, the text without those lines (null where the text is null)."""
     marked = repeated_lines(docs, doc_id, text)
-    lines = F.split(text, "\n")
+    lines = F.split(f"`{text}`", "\n")
     kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_ld_drop"), s["i"])), lambda s: s["x"]), "\n")
-    return docs.join(marked, F.col(f"`{doc_id}`").eqNullSafe(F.col("_ld_doc")), "left").drop("_ld_doc").withColumn("_ld_kept", F.when(F.col("_ld_drop").isNull(), F.col(f"`{text}`")).otherwise(kept))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_ld_doc")) & (F.xxhash64(f"`{text}`") == F.col("_ld_th"))
+    return docs.join(marked, same, "left").drop("_ld_doc", "_ld_th").withColumn("_ld_kept", F.when(F.col("_ld_drop").isNull(), F.col(f"`{text}`")).otherwise(kept))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
