@@ -65,50 +65,85 @@ def test_several_shards_find_the_same(make, spark, items, monkeypatch):
 @pytest.fixture(scope="module")
 def pieces():
     with open(sentencepieces.model_path(), "rb") as f:
-        encoder = sentencepieces.Encoder(f.read())
-    return encoder, sentencepieces.Arcs(*sentencepieces.lattice_arcs(encoder.processor))
+        return sentencepieces.Encoder(f.read())
 
 
-TEXTS = ["a  b", "  lead", "trail ", "trail   ", "", "   ", " ", "é漢 x", "tab\there\n\n x ", "x" * 300, "▁a ▁", "\x00a", "The quick brown fox jumps over 12 lazy dogs. " * 30]
+TEXTS = ["a  b", "  lead", "trail ", "trail   ", "", "   ", " ", "é漢 x", "tab\there\n\n x ", "x" * 300, "▁a ▁", "\x00a", "漢😀𐍈", "The quick brown fox jumps over 12 lazy dogs. " * 30]
 
 
 def test_encoding_equals_the_library_and_decodes(pieces):
-    encoder, _ = pieces
     for t in TEXTS:
-        ids = encoder.encode(t)
-        assert ids.tolist() == encoder.processor.encode(t)
-        assert encoder.decode(ids) == t.replace("▁", " ")
+        ids = pieces.encode(t)
+        assert ids.tolist() == pieces.processor.encode(t)
+        assert pieces.decode(ids) == t.replace("▁", " ")
 
 
 def test_samples_are_distinct_segmentations(pieces):
-    encoder, arcs = pieces
-    for n, t in enumerate(TEXTS):
-        ids = encoder.encode(t)
-        found = sentencepieces.sample_segmentations(ids, arcs, 4, np.random.default_rng(n))
-        paths = [tuple(sentencepieces.chosen_ids(ids, a, arcs).tolist()) for a, _, _ in found]
+    drawn = pieces.samples(TEXTS, sentencepieces.row_seeds(list(range(len(TEXTS)))), 4)
+    for t, found in zip(TEXTS, drawn, strict=True):
+        paths = [tuple(ids.tolist()) for ids, _, _ in found]
         assert len(set(paths)) == len(paths) >= 1
-        assert all(encoder.decode(np.array(p, np.int64)) == t.replace("▁", " ") for p in paths)
+        assert all(pieces.decode(np.array(p, np.int64)) == t.replace("▁", " ") for p in paths)
         assert all(0 < q <= 1 for _, _, q in found)
 
 
+def naive_segmentations(pieces, word):
+    """{ids: probability} of all ways to write a word as vocabulary pieces."""
+    of = {pieces.processor.id_to_piece(i): i for i in range(pieces.processor.vocab_size())}
+    text, weight, out = "▁" + word, lambda i: (i + 3.0) ** -sentencepieces.ALPHA, {}
+
+    def go(at, ids, w):
+        if at == len(text):
+            out[tuple(ids)] = w
+            return
+        for end in range(at + 1, len(text) + 1):
+            if (i := of.get(text[at:end])) is not None:
+                go(end, [*ids, i], w * weight(i))
+        if text[at] not in of:
+            raw = [of[f"<0x{x:02X}>"] for x in text[at].encode()]
+            go(at + 1, ids + raw, w * float(np.prod([weight(i) for i in raw])))
+
+    go(0, [], 1.0)
+    total = sum(out.values())
+    return {k: v / total for k, v in out.items()}
+
+
+@pytest.mark.parametrize("word", ["a", "that", "idiots", "é漢x", "walking"])
+def test_the_lattice_holds_every_segmentation(pieces, word):
+    """All segmentations come out if that many are asked for, among them those that cross the canonical pieces' borders."""
+    want = naive_segmentations(pieces, word)
+    (found,) = pieces.samples([word], sentencepieces.row_seeds([1]), len(want) + 5)
+    assert {tuple(ids.tolist()): pytest.approx(np.exp(lp), rel=1e-9) for ids, lp, _ in found} == want
+    assert all(q == 1.0 for _, _, q in found)
+
+
+def test_long_words_and_texts(pieces):
+    texts = ["ab" * 4000, "漢" * 2000, "word " * 3000]
+    drawn = pieces.samples(texts, sentencepieces.row_seeds([1, 2, None]), 3)
+    assert [[pieces.decode(ids) for ids, _, _ in found] for found in drawn] == [[texts[0]] * 3, [texts[1]], [texts[2]] * 3]
+
+
+def test_samples_depend_on_the_row_alone(pieces):
+    texts = ["the river and the stone", "walking in light", "the river and the stone"]
+    whole = pieces.samples(texts, sentencepieces.row_seeds([5, 6, 5]), 3)
+    alone = [pieces.samples([t], sentencepieces.row_seeds([d]), 3)[0] for t, d in zip(texts, [5, 6, 5], strict=True)]
+    as_lists = lambda rows: [[(ids.tolist(), lp, q) for ids, lp, q in r] for r in rows]
+    assert as_lists(whole) == as_lists(alone) and as_lists(whole)[0] == as_lists(whole)[2]
+
+
 def test_inclusion_scores_are_unbiased(pieces):
-    """Horvitz-Thompson: probabilities over inclusion scores sum to one on average."""
-    encoder, arcs = pieces
-    ids = encoder.encode("that in")
-    total, first = [], 0
-    for s in range(1500):
-        found = sentencepieces.sample_segmentations(ids, arcs, 2, np.random.default_rng(s))
-        total.append(sum(np.exp(lp) / q for _, lp, q in found))
-        first += not found[0][0].any()
-    assert np.mean(total) == pytest.approx(1, abs=0.02)
-    assert first / 1500 == pytest.approx(float(np.exp(arcs.logp[ids, 0].sum())), abs=0.03)
-
-
-def test_all_segmentations_of_a_short_text(pieces):
-    encoder, arcs = pieces
-    ids = encoder.encode("a")
-    many = sentencepieces.sample_segmentations(ids, arcs, 50, np.random.default_rng(0))
-    assert len(many) == np.prod(np.isfinite(arcs.logp[ids]).sum(axis=1)) and all(q == 1.0 for _, _, q in many)
+    """Horvitz-Thompson: probabilities over inclusion scores sum to one on average; first samples follow the distribution."""
+    n, text = 6000, "that in"
+    drawn = pieces.samples([text] * n, sentencepieces.row_seeds(list(range(n))), 2)
+    assert np.mean([sum(np.exp(lp) / q for _, lp, q in found) for found in drawn]) == pytest.approx(1, abs=0.02)
+    a, b = (naive_segmentations(pieces, w) for w in ("that", "in"))
+    want = {x + y: p * q for x, p in a.items() for y, q in b.items()}
+    first, second = ([tuple(found[i][0].tolist()) for found in drawn] for i in (0, 1))
+    for ids, p in sorted(want.items(), key=lambda x: -x[1])[:4]:
+        assert first.count(ids) / n == pytest.approx(p, abs=0.02)
+        # The second of two drawn without replacement.
+        rest = sum(q * p / (1 - q) for other, q in want.items() if other != ids)
+        assert second.count(ids) / n == pytest.approx(rest, abs=0.02)
 
 
 def test_encoding_rows(make):

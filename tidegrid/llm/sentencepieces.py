@@ -3,38 +3,45 @@
 Encoding. Pieces never cross the start of a word, so a text is encoded word by word, each distinct
 word of a task once. Decoding joins the pieces' bytes.
 
-Sampling. The lattice of a text holds, for every piece of its encoding, the ways to write that piece
-as one or more vocabulary pieces (the `ARCS` likeliest); a path is one segmentation of the text
-and its probability the product over the pieces. A best-first (A-star) search draws the top k perturbed
-log-probabilities from the top down: a node is a set of paths with a common beginning, its key the
-maximum of their Gumbel-perturbed log-probabilities. The maximum of a node runs along a path drawn
-piece by piece; at each piece, the paths that turn off there form a node whose maximum is a Gumbel
-truncated at its parent's. Popping the best node k times yields k distinct segmentations, sampled
-without replacement. With kappa, the (k+1)-th key, a segmentation's inclusion score is
-1 - exp(-exp(log p - kappa)). Every draw is seeded by the row's key.
+Sampling. A word's lattice has a node for each of its characters and an arc for every vocabulary
+piece that stands there (bytes where no piece does); a path is a segmentation, its probability
+proportional to the product of its pieces' weights. Backward log-sums turn the weights into the
+probability of each arc given its node: an exact bound for the search, as they are the mass of
+everything behind a node. A text's lattice is its words' lattices in a row. A best-first (A-star)
+search draws the top k perturbed log-probabilities from the top down: a search node is a set of
+paths with a common beginning, its key the maximum of their Gumbel-perturbed log-probabilities. The
+maximum of a search node runs along a path drawn arc by arc; at each word, the paths that write it
+otherwise form a search node whose maximum is a Gumbel truncated at its parent's. Popping the best
+one k times yields k distinct segmentations, sampled without replacement. With kappa, the (k+1)-th
+key, a segmentation's inclusion score is 1 - exp(-exp(log p - kappa)). Every draw is a hash of the
+row's key and its place, so samples don't depend on how rows are batched.
 
 Edge cases: null and empty texts have no pieces, decode to the empty text and have one (empty)
-segmentation; texts with fewer than k segmentations return all of them with score 1; equal rows get
-equal samples; a null doc_id seeds like 0; U+2581 is a blank to the vocabulary and decodes to a
-space; empty tables give empty results.
+segmentation; texts with fewer than k segmentations return all of them with score 1; ties: equal
+rows, and rows of one doc_id, draw from equal hashes, so equal rows get equal samples; a null doc_id
+seeds like 0; U+2581 is a blank to the vocabulary and decodes to a space; a very long text is worked
+through alone, with memory in proportion to it; empty tables give empty results; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARCS = 8
 SAMPLES = 3
 #: Sharpness of the distribution over segmentations: log p is proportional to it.
 ALPHA = 0.6
 SEED = 20240
+#: Texts that are worked on at once: rows, and characters beyond which no further row joins them.
+ROWS, CHARS = 256, 1 << 19
+#: Lattice arcs and words that a task keeps for words to come; beyond, it starts afresh.
+MOST_ARCS, MOST_WORDS = 2_000_000, 120_000
 _BLANK = "▁"
 
 
@@ -64,38 +71,6 @@ def piece_bytes(processor) -> list[bytes]:
     return out
 
 
-def _ways(piece: str, rank: dict[str, int], arcs: int) -> list[tuple[float, list[int]]]:
-    """The likeliest ways to write a piece: n-best over its positions; a piece's weight falls with its rank."""
-    best: list[list[tuple[float, list[int]]]] = [[] for _ in range(len(piece) + 1)]
-    best[0] = [(0.0, [])]
-    for end in range(1, len(piece) + 1):
-        ways = []
-        for start in range(end):
-            if (k := rank.get(piece[start:end])) is not None:
-                weight = -ALPHA * float(np.log(k + 3.0))
-                ways += [(w + weight, [*ids, k]) for w, ids in best[start]]
-        best[end] = sorted(ways, key=lambda x: (-x[0], x[1]))[:arcs]
-    return best[-1]
-
-
-def lattice_arcs(processor, arcs: int = ARCS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each piece: log-probabilities (vocabulary, arcs), -inf where there are fewer; starts and lengths into ids."""
-    size = processor.vocab_size()
-    plain = [i for i in range(size) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
-    rank = {processor.id_to_piece(i): i for i in plain}
-    logp = np.full((size, arcs), -np.inf)
-    starts, lengths, ids = np.zeros((size, arcs), np.int64), np.ones((size, arcs), np.int64), []
-    single = set(range(size)) - set(plain)
-    for i in range(size):
-        ways = [(0.0, [i])] if i in single else _ways(processor.id_to_piece(i), rank, arcs)
-        w = np.array([x for x, _ in ways])
-        logp[i, : len(ways)] = w - np.logaddexp.reduce(w)
-        for k, (_, parts) in enumerate(ways):
-            starts[i, k], lengths[i, k] = len(ids), len(parts)
-            ids += parts
-    return logp, starts, lengths, np.array(ids, np.int32)
-
-
 def words_of(text: str) -> list[str]:
     """The text cut before each run of blanks, with the blank that encoding puts in front."""
     parts = text.replace(_BLANK, " ").split(" ")
@@ -111,25 +86,365 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-class Encoder:
-    """Encodes texts, each distinct word once until the cache is full."""
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.n = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.empty(max(n, 2 * len(self.held)) - self.n, self.held.dtype)])
+        self.held[self.n : n] = values
+        self.n = n
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the ranges (start, size), one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
-    def __init__(self, model: bytes, most: int = 400_000) -> None:
-        self.processor, self.cache, self.most = _processor(model), {}, most
-        self.bytes = piece_bytes(self.processor)
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keys_of(seed: np.ndarray, *places: np.ndarray | int) -> np.ndarray:
+    """A random long for each seed and place."""
+    out = _scrambled(np.asarray(seed, np.uint64))
+    for p in places:
+        out = _scrambled(out + np.asarray(p, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return out
+
+
+def unit(keys: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1, both left out."""
+    return ((keys >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+class Lattice:
+    """The lattices of words, side by side. Arcs of a node lie together, the likeliest first; -1 ends a word.
+
+    p and logp are an arc's probability given its node, other is that of the node's other arcs, cum
+    the running sum of p (infinite at the node's last arc).
+    """
+
+    BASE = np.uint64(0x100000001B3)
+
+    def __init__(self, processor, alpha: float = ALPHA) -> None:
+        size = processor.vocab_size()
+        weight = -alpha * np.log(np.arange(size) + 3.0)
+        plain = [i for i in range(size) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
+        hashes = np.array([self._hash(processor.id_to_piece(i)) for i in plain], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids, self.weight = hashes[order], np.array(plain, np.int32)[order], weight
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._slot(self.hashes)] = True
+        self.longest = max(len(processor.id_to_piece(i)) for i in plain)
+        self.of_byte = np.zeros(256, np.int32)
+        for i in range(size):
+            if processor.is_byte(i):
+                self.of_byte[int(processor.id_to_piece(i)[1:-1], 16)] = i
+        self.clear()
+
+    def clear(self) -> None:
+        self.first, self.last = Grown(np.int32), Grown(np.int32)
+        self.cum, self.p, self.logp, self.other, self.to, self.piece = Grown(np.float64), Grown(np.float64), Grown(np.float64), Grown(np.float64), Grown(np.int32), Grown(np.int32)
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def _pieces(self, codes: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(places, length, ids) of the vocabulary pieces, by length; left: characters to the end of the word."""
+        h, live = np.zeros(len(codes), np.uint64), np.arange(len(codes))
+        for n in range(1, self.longest + 1):
+            live = live[left[live] >= n]
+            if not len(live):
+                return
+            now = h[live] * self.BASE + codes[live + (n - 1)] + np.uint64(1)
+            h[live] = now
+            likely = self.maybe[self._slot(now)]
+            at, now = live[likely], now[likely]
+            found = np.minimum(np.searchsorted(self.hashes, now), len(self.hashes) - 1)
+            right = self.hashes[found] == now
+            yield at[right], n, self.ids[found[right]]
+
+    def _bytes(self, codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, byte pieces of each) of characters that no piece writes, by their number of bytes."""
+        text = [chr(c).encode() for c in codes[at].tolist()]
+        sizes = np.array([len(x) for x in text], np.int64)
+        for n in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == n)
+            yield at[rows], self.of_byte[np.frombuffer(b"".join(text[i] for i in rows.tolist()), np.uint8).reshape(-1, n)]
+
+    def add(self, words: list[str]) -> np.ndarray:
+        """The root node of each word (written with its blanks)."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n, ends = len(codes), np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(n)
+        start, step, piece, weight, to = ([] for _ in range(5))
+        chain_to, chain_piece, nodes = [], [], n
+        written = np.zeros(n, bool)
+        for at, size, ids in self._pieces(codes, left):
+            start.append(at)
+            step.append(np.full(len(at), size))
+            piece.append(ids)
+            weight.append(self.weight[ids])
+            to.append(np.where(left[at] == size, -1, at + size))
+            if size == 1:
+                written[at] = True
+        for at, ids in self._bytes(codes, np.flatnonzero(~written)):
+            start.append(at)
+            step.append(np.ones(len(at), np.int64))
+            piece.append(ids[:, 0])
+            weight.append(self.weight[ids].sum(axis=1))
+            after = np.where(left[at] == 1, -1, at + 1)
+            # One node of its own before each further byte.
+            chain = nodes + np.arange(len(at) * (ids.shape[1] - 1)).reshape(len(at), -1)
+            to.append(chain[:, 0] if chain.shape[1] else after)
+            chain_to.append(np.hstack([chain[:, 1:], after[:, None]]).ravel() if chain.shape[1] else after[:0])
+            chain_piece.append(ids[:, 1:].ravel())
+            nodes += chain.size
+        start, step, piece, weight, to = (np.concatenate(x) for x in (start, step, piece, weight, to))
+        # Backward sums, from the last character of all words to the first.
+        order = np.lexsort((start, left[start]))
+        start, step, piece, weight, to = (x[order] for x in (start, step, piece, weight, to))
+        behind, value = np.zeros(n + 1), np.empty(len(start))
+        ending = left[start] == step
+        edge = np.searchsorted(left[start], np.arange(1, int(left.max(initial=0)) + 2))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if lo == hi:
+                continue
+            s = start[lo:hi]
+            v = weight[lo:hi] + np.where(ending[lo:hi], 0.0, behind[np.minimum(s + step[lo:hi], n)])
+            group = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            most = np.maximum.reduceat(v, group)
+            each = np.diff(np.append(group, len(s)))
+            behind[s[group]] = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, each)), group))
+            value[lo:hi] = v - behind[s]
+        order = np.lexsort((piece, -value, start))
+        start, piece, logp, to = start[order], piece[order], value[order], to[order]
+        p = np.exp(logp)
+        group = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]])) if n else np.empty(0, np.int64)
+        each = np.diff(np.append(group, len(start)))
+        running = np.cumsum(p)
+        cum = running - np.repeat(running[group] - p[group], each)
+        cum[group + each - 1] = np.inf
+        other, lesser = 1.0 - p, p.copy()
+        lesser[group] = 0.0
+        other[group] = np.add.reduceat(lesser, group) if n else 0.0
+        more = nodes - n
+        base, arcs = self.first.n, self.p.n
+        self.first.add(arcs + np.concatenate([group, len(p) + np.arange(more)]))
+        self.last.add(arcs + np.concatenate([group + each, len(p) + 1 + np.arange(more)]))
+        ahead = np.concatenate([to, *chain_to])
+        self.to.add(np.where(ahead < 0, -1, ahead + base))
+        self.piece.add(np.concatenate([piece, *chain_piece]))
+        for held, values, same in ((self.cum, cum, np.inf), (self.p, p, 1.0), (self.logp, logp, 0.0), (self.other, other, 0.0)):
+            held.add(np.concatenate([values, np.full(more, same)]))
+        return ends - sizes + base
+
+    def walk(self, roots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A path drawn for each word: all arcs, how many each has, its log-probability, the mass of the word's other paths."""
+        first, cum, p, logp, other, to = (x.held for x in (self.first, self.cum, self.p, self.logp, self.other, self.to))
+        n = len(roots)
+        sizes, total, prefix, beside = np.zeros(n, np.int64), np.zeros(n), np.ones(n), np.zeros(n)
+        live, node, steps = np.arange(n), roots, []
+        while len(live):
+            u, arc = unit(keys_of(keys[live], len(steps))), first[node].astype(np.int64)
+            over = np.flatnonzero(u > cum[arc])
+            while len(over):
+                arc[over] += 1
+                over = over[u[over] > cum[arc[over]]]
+            steps.append((live, arc))
+            beside[live] += prefix[live] * other[arc]
+            prefix[live] *= p[arc]
+            total[live] += logp[arc]
+            sizes[live] += 1
+            node = to[arc]
+            goes_on = node >= 0
+            live, node = live[goes_on], node[goes_on]
+        begin, arcs = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.int64)
+        for i, (live, arc) in enumerate(steps):
+            arcs[begin[live] + i] = arc
+        return arcs, sizes, total, beside
+
+    def _trie(self, root: int, taken: list[tuple[int, ...]]) -> tuple[list[int], list[dict[int, int]], list[float]]:
+        """Nodes that the taken paths pass, their children by arc, and the mass that the paths leave behind each."""
+        node, kids = [root], [{}]
+        for path in taken:
+            at = 0
+            for arc in path:
+                if arc not in kids[at]:
+                    kids[at][arc] = len(node)
+                    node.append(int(self.to.held[arc]))
+                    kids.append({})
+                at = kids[at][arc]
+        left = [0.0] * len(node)
+        for i in range(len(node) - 1, -1, -1):
+            if node[i] >= 0:
+                left[i] = sum(w for _, w in self._weights(node[i], kids[i], left))
+        return node, kids, left
+
+    def _weights(self, node: int, kids: dict[int, int], left: list[float]) -> list[tuple[int, float]]:
+        lo, hi = int(self.first.held[node]), int(self.last.held[node])
+        return [(a, x * left[kids[a]] if a in kids else x) for a, x in zip(range(lo, hi), self.p.held[lo:hi].tolist(), strict=True)]
+
+    def other_path(self, root: int, taken: list[tuple[int, ...]], key: int) -> tuple[tuple[int, ...], float, float]:
+        """A path of the word drawn from those not taken, its log-probability, and the mass that is left beside it."""
+        node, kids, left = self._trie(root, taken)
+        at, here, out = 0, root, []
+        while here >= 0:
+            inside = at >= 0
+            choices = self._weights(here, kids[at] if inside else {}, left)
+            u = float(unit(keys_of(np.array([key], np.uint64), 7919 + len(out)))[0]) * sum(w for _, w in choices)
+            arc = next(a for a, w in reversed(choices) if w > 0)
+            for a, w in choices:
+                if w > 0 and u < w:
+                    arc = a
+                    break
+                u -= w
+            out.append(arc)
+            at = kids[at].get(arc, -1) if inside else -1
+            here = int(self.to.held[arc])
+        return tuple(out), float(self.logp.held[out].sum()), self._trie(root, [*taken, tuple(out)])[2][0]
+
+
+def _log(mass: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(mass)
+
+
+def _truncated(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Maxima of Gumbels at phi, given that they lie under top; -inf where there are no paths."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        return np.where(np.isfinite(phi), phi - np.log(np.exp(phi - top) - np.log(u)), -np.inf)
+
+
+class Path:
+    """A segmentation of a text: arcs, their number and log-probability by word, and the search nodes that turn off it.
+
+    These begin at the word `begin`; the one there also leaves out the paths of that word in `off`.
+    """
+
+    __slots__ = ("arcs", "begin", "keys", "logp", "off", "sizes")
+
+    def __init__(self, arcs, sizes, logp, keys, begin, off) -> None:
+        self.arcs, self.sizes, self.logp, self.keys, self.begin, self.off = arcs, sizes, logp, keys, begin, off
+
+
+def sample_segmentations(lattice: Lattice, roots: np.ndarray, lengths: np.ndarray, seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each row up to k (piece ids, log-probability, inclusion score), distinct and in order of their keys.
+
+    roots: the words' root nodes of all rows, one row after the other; lengths: words by row.
+    """
+    row, begin = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+    word = np.arange(len(roots)) - begin[row]
+    found: list[list[Path]] = [[] for _ in lengths]
+    kappa = np.full(len(lengths), -np.inf)
+    # What is drawn in a round: (row, first word, beginning, path of the first word, top).
+    todo: list[tuple] = [(r, 0, None, None, -np.log(-np.log(u)), frozenset()) for r, u in enumerate(unit(keys_of(seeds, 0)).tolist())]
+    for round_ in range(k + 1):
+        if round_:
+            todo = []
+            for r, paths in enumerate(found):
+                if len(paths) < round_:
+                    continue
+                best, at, of = max(((float(p.keys[i]), i, p) for p in paths if len(p.keys) for i in (int(p.keys.argmax()),)), key=lambda x: x[0], default=(-np.inf, 0, None))
+                if best == -np.inf:
+                    continue
+                if round_ == k:
+                    kappa[r] = best
+                    continue
+                of.keys[at] = -np.inf
+                at += of.begin
+                edge = int(of.sizes[:at].sum())
+                mine = tuple(of.arcs[edge : edge + of.sizes[at]].tolist())
+                taken = frozenset({mine} | (of.off if at == of.begin else frozenset()))
+                todo.append((r, at, (of, edge), lattice.other_path(int(roots[begin[r] + at]), sorted(taken), int(seeds[r]) ^ (round_ * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), best, taken))
+        if not todo:
+            continue
+        rows, after = np.array([t[0] for t in todo]), np.array([t[1] + (t[2] is not None) for t in todo])
+        many = lengths[rows] - after
+        take = spread(begin[rows] + after, many)
+        keys = keys_of(seeds[row[take]], round_ + 1, word[take])
+        arcs, sizes, logp, beside = lattice.walk(roots[take], keys)
+        rest, noise = _log(beside), unit(keys_of(keys, 104_729))
+        arc_at, word_at = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(many)])
+        for i, (r, at, base, other, top, taken) in enumerate(todo):
+            lo, hi = int(word_at[i]), int(word_at[i + 1])
+            a, s, lp, left, u = arcs[arc_at[lo] : arc_at[hi]], sizes[lo:hi], logp[lo:hi], rest[lo:hi], noise[lo:hi]
+            before = 0.0
+            if base is not None:
+                of, edge = base
+                path, own, mass = other
+                before = float(of.logp[:at].sum())
+                a, s = np.concatenate([of.arcs[:edge], path, a]), np.concatenate([of.sizes[:at], [len(path)], s])
+                lp, left, u = np.concatenate([[own], lp]), np.concatenate([_log(np.array([mass])), left]), np.concatenate([unit(keys_of(seeds[r : r + 1], round_, 15_485_863)), u])
+            phi = before + np.cumsum(lp) - lp + left
+            if base is not None:
+                lp = np.concatenate([base[0].logp[:at], lp])
+            found[r].append(Path(a, s, lp, _truncated(phi, top, u), at, taken if base is not None else frozenset()))
+    out = []
+    with np.errstate(over="ignore"):
+        for paths, most in zip(found, kappa.tolist(), strict=True):
+            out.append([(lattice.piece.held[p.arcs], lp := float(p.logp.sum()), float(-np.expm1(-np.exp(min(lp - most, 700.0)))) if np.isfinite(most) else 1.0) for p in paths])
+    return out
+
+
+class Encoder:
+    """Encodes and decodes texts and draws segmentations; each distinct word is worked out once until the cache is full."""
+
+    def __init__(self, model: bytes) -> None:
+        self.processor = _processor(model)
+        self.lattice = Lattice(self.processor)
+        pieces = piece_bytes(self.processor)
+        self.sizes = np.array([len(x) for x in pieces], np.int64)
+        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(pieces), np.uint8)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.roots, self.at, self.many, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.int64), Grown(np.int32)
+        self.lattice.clear()
+
+    def _learn(self, words: list[str]) -> None:
+        # An empty last word is the blank alone, which the processor would drop.
+        ids = [self._one(w) if not w.strip(" ") else found for w, found in zip(words, self.processor.encode(words, num_threads=1), strict=True)]
+        many = np.array([len(x) for x in ids], np.int64)
+        self.at.add(self.ids.n + np.cumsum(many) - many)
+        self.many.add(many)
+        self.ids.add(np.array([i for x in ids for i in x], np.int32))
+        self.roots.add(self.lattice.add([_BLANK + w.replace(" ", _BLANK) for w in words]))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers of all texts, and how many each text has."""
+        split = [words_of(t) if t else [] for t in texts]
+        if self.lattice.p.n > MOST_ARCS or len(self.known) > MOST_WORDS:
+            self.clear()
+        new = list({w for ws in split for w in ws}.difference(self.known))
+        for lo in range(0, len(new), 20_000):
+            self._learn(new[lo : lo + 20_000])
+        lengths = np.array([len(ws) for ws in split], np.int64)
+        known = self.known
+        return np.fromiter((known[w] for ws in split for w in ws), np.int64, int(lengths.sum())), lengths
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.ids.held[spread(self.at.held[numbers], self.many.held[numbers])]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        words, cache = words_of(text), self.cache
-        new = list(set(words).difference(cache))
-        if new:
-            if len(cache) > self.most:
-                cache.clear()
-                new = list(set(words))
-            # An empty last word is the blank alone, which the processor would drop.
-            cache.update(zip(new, [self._one(w) if not w.strip(" ") else ids for w, ids in zip(new, self.processor.encode(new, num_threads=1), strict=True)], strict=True))
-        return np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), np.int32)
+        return self.ids_of(self.numbers([text])[0])
 
     def _one(self, blanks: str) -> list[int]:
         """Ids of a run of blanks at the end: the longest pieces first."""
@@ -142,118 +457,69 @@ class Encoder:
             left -= n
         return out
 
+    def decoded(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts given their ids, one text after the other, and where each text begins and the last ends."""
+        sizes = self.sizes[ids]
+        out = self.bytes[spread(self.starts[ids], sizes)]
+        edge = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths)])]
+        # The blank that encoding puts in front of a text goes.
+        front = edge[:-1][(edge[1:] > edge[:-1])]
+        front = front[out[front] == 32]
+        gone = np.zeros(len(out) + 1, np.int64)
+        gone[front + 1] = 1
+        return np.delete(out, front), edge - np.cumsum(gone)[edge]
+
     def decode(self, ids: np.ndarray) -> str:
-        out = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+        ids = np.asarray(ids, np.int64)
+        return self.decoded(ids, np.array([len(ids)]))[0].tobytes().decode("utf-8", "replace")
 
+    def samples(self, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+        numbers, lengths = self.numbers(texts)
+        return sample_segmentations(self.lattice, self.roots.held[numbers], lengths, seeds, k)
 
-def _truncated(phi: np.ndarray, top: float, rng: np.random.Generator) -> np.ndarray:
-    """Maxima of Gumbels at phi, given that they lie under top; -inf where there are no paths."""
-    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        return np.where(np.isfinite(phi), phi - np.log(np.exp(phi - top) - np.log(rng.random(len(phi)))), -np.inf)
-
-
-class Arcs:
-    """The lattice's arcs by piece, with what sampling needs of them worked out once."""
-
-    def __init__(self, logp: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
-        self.logp, self.starts, self.lengths, self.flat = logp, starts, lengths, flat
-        self.p = np.where(np.isfinite(logp), np.exp(logp), 0.0)
-        self.cdf = np.cumsum(self.p, axis=1)
-        self.cdf[self.cdf > 1 - 1e-9] = 1.0
-        with np.errstate(divide="ignore"):
-            #: log of the share of the other arcs; -inf where there is no other.
-            self.rest = np.where(np.isfinite(logp[:, 1:2]), np.log1p(-np.minimum(self.p, 1 - 1e-15)), -np.inf)
-        self.first_cdf, self.first_logp, self.first_rest = (np.ascontiguousarray(x[:, 0]) for x in (self.cdf, self.logp, self.rest))
-
-    def draw(self, ids: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An arc for each piece, its log-probability, and the log of the share of the others."""
-        u = rng.random(len(ids))
-        arcs, chosen, rest = np.zeros(len(ids), np.int64), self.first_logp[ids], self.first_rest[ids]
-        moved = np.flatnonzero(u > self.first_cdf[ids])
-        if len(moved):
-            of = ids[moved]
-            arcs[moved] = k = np.minimum((u[moved, None] > self.cdf[of]).sum(axis=1), self.cdf.shape[1] - 1)
-            chosen[moved], rest[moved] = self.logp[of, k], self.rest[of, k]
-        return arcs, chosen, rest
-
-
-def sample_segmentations(ids: np.ndarray, lattice: Arcs, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
-    """Up to k (arc of each piece, log-probability, inclusion score), distinct and in order of their keys."""
-    n = len(ids)
-
-    def path(base: np.ndarray | None, at: int, first: int, top: float, off: frozenset[int]):
-        """A path drawn from those that follow base up to `at`, with arc `first` there, and the nodes that turn off it.
-
-        The nodes are (key, place) in arrays that begin at `at`; a node at `at` also leaves out the arcs in off.
-        """
-        arcs, chosen, rest = lattice.draw(ids[at:], rng)
-        before = 0.0
-        if base is not None:
-            arcs[0], chosen[0] = first, lattice.logp[ids[at], first]
-            left = 1.0 - lattice.p[ids[at], [*off, first]].sum()
-            rest[0] = np.log(left) if left > 1e-12 else -np.inf
-            before = float(lattice.logp[ids[:at], base[:at]].sum())
-            arcs = np.concatenate([base[:at], arcs])
-        total = np.cumsum(chosen)
-        phi = before + total - chosen + rest
-        return arcs, before + (float(total[-1]) if len(total) else 0.0), _truncated(phi, top, rng), at, off
-
-    found = [path(None, 0, 0, float(rng.gumbel()), frozenset())]
-    kappa = -np.inf
-    while n:
-        tops = [int(p[2].argmax()) for p in found]
-        which = max(range(len(found)), key=lambda i: found[i][2][tops[i]])
-        base, _, nodes, begin, off = found[which]
-        at, best = begin + tops[which], float(nodes[tops[which]])
-        if best == -np.inf:
-            break
-        if len(found) == k:
-            kappa = best
-            break
-        nodes[tops[which]] = -np.inf
-        gone = frozenset({int(base[at])} | (off if at == begin else frozenset()))
-        share = lattice.p[ids[at]].copy()
-        share[list(gone)] = 0.0
-        total = np.cumsum(share)
-        first = int(min(np.searchsorted(total, rng.random() * total[-1], side="right"), np.flatnonzero(share)[-1]))
-        found.append(path(base, at, first, best, gone))
-    with np.errstate(over="ignore"):
-        return [(arcs, lp, float(-np.expm1(-np.exp(min(lp - kappa, 700.0)))) if np.isfinite(kappa) else 1.0) for arcs, lp, *_ in found]
+
+def row_seeds(doc_ids: list[int | None]) -> np.ndarray:
+    return keys_of(np.array([(d or 0) & 0xFFFFFFFFFFFFFFFF for d in doc_ids], np.uint64), SEED)
 
 
-def chosen_ids(ids: np.ndarray, arcs: np.ndarray, lattice: Arcs) -> np.ndarray:
-    """The piece ids along a path."""
-    s, n = lattice.starts[ids, arcs], lattice.lengths[ids, arcs]
-    return lattice.flat[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+def _pieces_of_work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ROWS rows that end where they hold CHARS characters."""
+    at = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        size += n or 0
+        if i + 1 - at >= ROWS or size >= CHARS:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def encode(docs: DataFrame, path: str | None = None, samples: int = SAMPLES) -> DataFrame:
     """doc_id, ids, decoded and samples (ids, log_p, inclusion) for each row of docs (doc_id, text)."""
     with open(path or model_path(), "rb") as f:
-        model = f.read()
-    tables = docs.sparkSession.sparkContext.broadcast((model, *lattice_arcs(_processor(model))))
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, text string, ids array<int>, decoded string, samples array<struct<ids:array<int>,log_p:double,inclusion:double>>"
-    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_p", pa.float64()), ("inclusion", pa.float64())]))
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        edge = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(edge, np.concatenate([np.empty(0, np.int32), *parts]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, *arrays = tables.value
-        encoder, lattice = Encoder(model), Arcs(*arrays)
+        encoder = Encoder(model.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids, decoded, drawn = [], [], []
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                    found = encoder.encode(text.as_py() or "")
-                    rng = np.random.Generator(np.random.SFC64([SEED, (doc or 0) & 0xFFFFFFFFFFFFFFFF]))
-                    ids.append(found)
-                    decoded.append(encoder.decode(found))
-                    drawn.append([(chosen_ids(found, arcs, lattice), lp, q) for arcs, lp, q in sample_segmentations(found, lattice, samples, rng)])
+            for b in _pieces_of_work(whole):
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                numbers, lengths = encoder.numbers(texts)
+                ids, many = encoder.ids_of(numbers), np.zeros(len(texts), np.int64)
+                np.add.at(many, np.repeat(np.arange(len(texts)), lengths), encoder.many.held[numbers])
+                out, edge = encoder.decoded(ids, many)
+                decoded = pa.StringArray.from_buffers(len(texts), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(out))
+                drawn = sample_segmentations(encoder.lattice, encoder.roots.held[numbers], lengths, row_seeds(b.column("doc_id").to_pylist()), samples)
                 every = [x for d in drawn for x in d]
-                offsets = np.cumsum([0, *map(len, drawn)]).astype(np.int32)
-                lists = lambda parts: pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), np.concatenate([np.empty(0, np.int32), *parts]))
-                fields = pa.StructArray.from_arrays([lists([x[0] for x in every]), pa.array([x[1] for x in every], pa.float64()), pa.array([x[2] for x in every], pa.float64())], fields=list(kind.value_type))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), lists(ids), pa.array(decoded), pa.ListArray.from_arrays(offsets, fields)], ["doc_id", "text", "ids", "decoded", "samples"])
+                fields = pa.StructArray.from_arrays([lists([x[0] for x in every]), pa.array([x[1] for x in every], pa.float64()), pa.array([x[2] for x in every], pa.float64())], names=["ids", "log_p", "inclusion"])
+                held = pa.ListArray.from_arrays(np.cumsum([0, *map(len, drawn)]).astype(np.int32), fields)
+                encoded = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), ids)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), encoded, decoded, held], ["doc_id", "text", "ids", "decoded", "samples"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
