@@ -26,7 +26,9 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,9 @@ SEED = 20240
 #: Texts that are worked on at once: rows, and characters beyond which no further row joins them.
 ROWS, CHARS = 256, 1 << 19
 #: Lattice arcs and words that a task keeps for words to come; beyond, it starts afresh.
-MOST_ARCS, MOST_WORDS = 2_000_000, 120_000
+MOST_ARCS, MOST_WORDS = 4_000_000, 180_000
+#: Words that are learnt at once.
+LEARNT = 4000
 _BLANK = "▁"
 
 
@@ -99,6 +103,10 @@ class Grown:
         self.held[self.n : n] = values
         self.n = n
 
+    def clear(self) -> None:
+        """The memory stays, for the next ones."""
+        self.n = 0
+
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of the ranges (start, size), one after the other."""
@@ -111,12 +119,23 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def keys_of(seed: np.ndarray, *places: np.ndarray | int) -> np.ndarray:
+def keys_of(seed: np.ndarray, place: np.ndarray | int) -> np.ndarray:
     """A random long for each seed and place."""
-    out = _scrambled(np.asarray(seed, np.uint64))
-    for p in places:
-        out = _scrambled(out + np.asarray(p, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return out
+    if isinstance(place, int):
+        return _scrambled(seed + np.uint64((place + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return _scrambled(seed + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _key(seed: int, place: int) -> int:
+    """The same for a single one."""
+    x = (seed + (place + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 31)
+
+
+def _unit(key: int) -> float:
+    return ((key >> 11) + 0.5) * 2.0**-53
 
 
 def unit(keys: np.ndarray) -> np.ndarray:
@@ -125,10 +144,11 @@ def unit(keys: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """The lattices of words, side by side. Arcs of a node lie together, the likeliest first; -1 ends a word.
+    """The lattices of words, side by side. Arcs of a node lie together, the longest piece first; -1 ends a word.
 
     p and logp are an arc's probability given its node, other is that of the node's other arcs, cum
-    the running sum of p (infinite at the node's last arc).
+    the running sum of p (infinite at the node's last arc). Pieces are found by a 64-bit hash of
+    their characters, by the hash's leading bits first.
     """
 
     BASE = np.uint64(0x100000001B3)
@@ -137,46 +157,58 @@ class Lattice:
         size = processor.vocab_size()
         weight = -alpha * np.log(np.arange(size) + 3.0)
         plain = [i for i in range(size) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
-        hashes = np.array([self._hash(processor.id_to_piece(i)) for i in plain], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids, self.weight = hashes[order], np.array(plain, np.int32)[order], weight
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self._slot(self.hashes)] = True
+        # Every beginning of a piece, so that a search ends where no piece goes on; only whole pieces have an id.
+        held: dict[int, int] = {}
+        for i in plain:
+            h = 0
+            for c in processor.id_to_piece(i):
+                h = (h * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                held.setdefault(h, -1)
+            held[h] = i
+        hashes = np.fromiter(held, np.uint64, len(held))
+        slots = self._slot(hashes)
+        order = np.argsort(slots, kind="stable")
+        self.hashes, self.ids, self.weight = hashes[order], np.fromiter(held.values(), np.int32, len(held))[order], weight
+        self.at, self.crowd = np.full(1 << 22, -1, np.int32), int(np.bincount(slots.astype(np.int64)).max())
+        self.at[slots[order][::-1]] = np.arange(len(held))[::-1]
         self.longest = max(len(processor.id_to_piece(i)) for i in plain)
         self.of_byte = np.zeros(256, np.int32)
         for i in range(size):
             if processor.is_byte(i):
                 self.of_byte[int(processor.id_to_piece(i)[1:-1], 16)] = i
-        self.clear()
+        self.first, self.last, self.to, self.piece = (Grown(np.int32) for _ in range(4))
+        self.cum, self.p, self.logp, self.other = (Grown(np.float64) for _ in range(4))
 
     def clear(self) -> None:
-        self.first, self.last = Grown(np.int32), Grown(np.int32)
-        self.cum, self.p, self.logp, self.other, self.to, self.piece = Grown(np.float64), Grown(np.float64), Grown(np.float64), Grown(np.float64), Grown(np.int32), Grown(np.int32)
-
-    def _hash(self, piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h
+        for held in (self.first, self.last, self.to, self.piece, self.cum, self.p, self.logp, self.other):
+            held.clear()
 
     @staticmethod
     def _slot(hashes: np.ndarray) -> np.ndarray:
-        return (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        return (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
     def _pieces(self, codes: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(places, length, ids) of the vocabulary pieces, by length; left: characters to the end of the word."""
         h, live = np.zeros(len(codes), np.uint64), np.arange(len(codes))
         for n in range(1, self.longest + 1):
-            live = live[left[live] >= n]
+            some = np.flatnonzero(left[live] >= n)
+            live = live[some]
+            h = h[some] * self.BASE + codes[live + (n - 1)] + np.uint64(1)
+            found = self.at[self._slot(h)]
+            some = np.flatnonzero(found >= 0)
+            live, h, found = live[some], h[some], found[some]
+            right = self.hashes[found] == h
+            for _ in range(self.crowd - 1):  # of several beginnings in a slot the next
+                wrong = np.flatnonzero(~right)
+                if not len(wrong):
+                    break
+                found[wrong] = np.minimum(found[wrong] + 1, len(self.hashes) - 1)
+                right[wrong] = self.hashes[found[wrong]] == h[wrong]
+            live, h, ids = live[right], h[right], self.ids[found[right]]
             if not len(live):
                 return
-            now = h[live] * self.BASE + codes[live + (n - 1)] + np.uint64(1)
-            h[live] = now
-            likely = self.maybe[self._slot(now)]
-            at, now = live[likely], now[likely]
-            found = np.minimum(np.searchsorted(self.hashes, now), len(self.hashes) - 1)
-            right = self.hashes[found] == now
-            yield at[right], n, self.ids[found[right]]
+            whole = ids >= 0
+            yield live[whole], n, ids[whole]
 
     def _bytes(self, codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places, byte pieces of each) of characters that no piece writes, by their number of bytes."""
@@ -215,34 +247,39 @@ class Lattice:
             chain_to.append(np.hstack([chain[:, 1:], after[:, None]]).ravel() if chain.shape[1] else after[:0])
             chain_piece.append(ids[:, 1:].ravel())
             nodes += chain.size
-        start, step, piece, weight, to = (np.concatenate(x) for x in (start, step, piece, weight, to))
-        # Backward sums, from the last character of all words to the first.
-        order = np.lexsort((start, left[start]))
+        start, step, piece, weight, to = (np.concatenate(x[::-1]) for x in (start, step, piece, weight, to))
+        order = np.argsort(start, kind="stable")
         start, step, piece, weight, to = (x[order] for x in (start, step, piece, weight, to))
-        behind, value = np.zeros(n + 1), np.empty(len(start))
-        ending = left[start] == step
-        edge = np.searchsorted(left[start], np.arange(1, int(left.max(initial=0)) + 2))
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if lo == hi:
-                continue
-            s = start[lo:hi]
-            v = weight[lo:hi] + np.where(ending[lo:hi], 0.0, behind[np.minimum(s + step[lo:hi], n)])
-            group = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            most = np.maximum.reduceat(v, group)
-            each = np.diff(np.append(group, len(s)))
-            behind[s[group]] = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, each)), group))
-            value[lo:hi] = v - behind[s]
-        order = np.lexsort((piece, -value, start))
-        start, piece, logp, to = start[order], piece[order], value[order], to[order]
-        p = np.exp(logp)
-        group = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]])) if n else np.empty(0, np.int64)
+        group = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
         each = np.diff(np.append(group, len(start)))
+        # Backward sums, from the last character of all words to the first: nodes by their distance to the end.
+        most = int(left.max())
+        far = left.astype(np.uint16) if most < 1 << 16 else left
+        nodes_by = np.argsort(far, kind="stable")
+        edge = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=most + 1)[1:])])
+        behind, ahead = np.zeros(n + 1), np.where(left[start] == step, n, np.minimum(start + step, n))
+        value = np.empty(len(start))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            here = nodes_by[lo:hi]
+            size = each[here]
+            arcs = spread(group[here], size)
+            v = weight[arcs] + behind[ahead[arcs]]
+            at = np.cumsum(size) - size
+            top = np.maximum.reduceat(v, at)
+            total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size)), at))
+            behind[here] = total
+            value[arcs] = v - np.repeat(total, size)
+        logp, p = value, np.exp(value)
         running = np.cumsum(p)
         cum = running - np.repeat(running[group] - p[group], each)
         cum[group + each - 1] = np.inf
+        # Beside a node's likeliest arc the others are summed up, so that little mass isn't lost in rounding.
+        likely = np.maximum.reduceat(logp, group)
+        best = np.flatnonzero(logp == np.repeat(likely, each))
+        best = best[np.concatenate([[True], start[best[1:]] != start[best[:-1]]])]
         other, lesser = 1.0 - p, p.copy()
-        lesser[group] = 0.0
-        other[group] = np.add.reduceat(lesser, group) if n else 0.0
+        lesser[best] = 0.0
+        other[best] = np.add.reduceat(lesser, group)
         more = nodes - n
         base, arcs = self.first.n, self.p.n
         self.first.add(arcs + np.concatenate([group, len(p) + np.arange(more)]))
@@ -251,33 +288,34 @@ class Lattice:
         self.to.add(np.where(ahead < 0, -1, ahead + base))
         self.piece.add(np.concatenate([piece, *chain_piece]))
         for held, values, same in ((self.cum, cum, np.inf), (self.p, p, 1.0), (self.logp, logp, 0.0), (self.other, other, 0.0)):
-            held.add(np.concatenate([values, np.full(more, same)]))
+            held.add(np.concatenate([values, np.full(more, same)]) if more else values)
         return ends - sizes + base
 
     def walk(self, roots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A path drawn for each word: all arcs, how many each has, its log-probability, the mass of the word's other paths."""
         first, cum, p, logp, other, to = (x.held for x in (self.first, self.cum, self.p, self.logp, self.other, self.to))
         n = len(roots)
-        sizes, total, prefix, beside = np.zeros(n, np.int64), np.zeros(n), np.ones(n), np.zeros(n)
-        live, node, steps = np.arange(n), roots, []
+        sizes, out_total, out_beside = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        live, node, total, prefix, beside, steps = np.arange(n), roots, np.zeros(n), np.ones(n), np.zeros(n), []
         while len(live):
-            u, arc = unit(keys_of(keys[live], len(steps))), first[node].astype(np.int64)
+            u, arc = unit(keys_of(keys, len(steps))), first[node].astype(np.int64)
             over = np.flatnonzero(u > cum[arc])
             while len(over):
                 arc[over] += 1
                 over = over[u[over] > cum[arc[over]]]
             steps.append((live, arc))
-            beside[live] += prefix[live] * other[arc]
-            prefix[live] *= p[arc]
-            total[live] += logp[arc]
-            sizes[live] += 1
+            beside += prefix * other[arc]
+            prefix *= p[arc]
+            total += logp[arc]
             node = to[arc]
-            goes_on = node >= 0
-            live, node = live[goes_on], node[goes_on]
+            done, on = np.flatnonzero(node < 0), np.flatnonzero(node >= 0)
+            ended = live[done]
+            sizes[ended], out_total[ended], out_beside[ended] = len(steps), total[done], beside[done]
+            live, node, keys, total, prefix, beside = live[on], node[on], keys[on], total[on], prefix[on], beside[on]
         begin, arcs = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.int64)
         for i, (live, arc) in enumerate(steps):
             arcs[begin[live] + i] = arc
-        return arcs, sizes, total, beside
+        return arcs, sizes, out_total, out_beside
 
     def _trie(self, root: int, taken: list[tuple[int, ...]]) -> tuple[list[int], list[dict[int, int]], list[float]]:
         """Nodes that the taken paths pass, their children by arc, and the mass that the paths leave behind each."""
@@ -307,7 +345,7 @@ class Lattice:
         while here >= 0:
             inside = at >= 0
             choices = self._weights(here, kids[at] if inside else {}, left)
-            u = float(unit(keys_of(np.array([key], np.uint64), 7919 + len(out)))[0]) * sum(w for _, w in choices)
+            u = _unit(_key(key, len(out))) * sum(w for _, w in choices)
             arc = next(a for a, w in reversed(choices) if w > 0)
             for a, w in choices:
                 if w > 0 and u < w:
@@ -317,7 +355,43 @@ class Lattice:
             out.append(arc)
             at = kids[at].get(arc, -1) if inside else -1
             here = int(self.to.held[arc])
-        return tuple(out), float(self.logp.held[out].sum()), self._trie(root, [*taken, tuple(out)])[2][0]
+        logp = float(self.logp.held[out].sum())
+        return tuple(out), logp, self.mass_beside(root, [*taken, tuple(out)])
+
+    def mass_beside(self, root: int, taken: list[tuple[int, ...]]) -> float:
+        return self._trie(root, taken)[2][0]
+
+    def turn_offs(self, roots: np.ndarray, arcs: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word and a path of it, where a path drawn from the others turns off.
+
+        How many arcs it shares, the arc it then takes, the log-probability up to there, and the mass of all others.
+        """
+        begin = np.cumsum(sizes) - sizes
+        logp, p, to = self.logp.held, self.p.held, self.to.held
+        running = np.concatenate([[0.0], np.cumsum(logp[arcs])])
+        before = running[:-1] - np.repeat(running[begin], sizes)
+        weight = np.exp(before) * self.other.held[arcs]
+        mass = np.add.reduceat(weight, begin)
+        # The place is drawn within each word's own sums, free of what lies before.
+        at, u = begin.copy(), unit(keys_of(keys, 0)) * mass
+        live = np.arange(len(roots))
+        while len(live):
+            u[live] -= weight[at[live]]
+            live = live[(u[live] >= 0) & (at[live] + 1 < begin[live] + sizes[live])]
+            at[live] += 1
+        while len(live := np.flatnonzero(weight[at] <= 0)):
+            at[live] -= 1  # rounding ran past the last place with any mass
+        node = np.where(at == begin, roots, to[arcs[np.maximum(at - 1, 0)]])
+        lo, hi = self.first.held[node].astype(np.int64), self.last.held[node].astype(np.int64)
+        arc, u = lo.copy(), unit(keys_of(keys, 1)) * self.other.held[arcs[at]]
+        live, last = np.arange(len(roots)), np.full(len(roots), -1)
+        while len(live):
+            free = arc[live] != arcs[at[live]]
+            u[live] -= np.where(free, p[arc[live]], 0.0)
+            last[live[free]] = arc[live[free]]
+            live = live[((u[live] >= 0) | ~free) & (arc[live] + 1 < hi[live])]
+            arc[live] += 1
+        return at - begin, last, before[at] + logp[last], mass
 
 
 def _log(mass: np.ndarray) -> np.ndarray:
@@ -352,8 +426,8 @@ def sample_segmentations(lattice: Lattice, roots: np.ndarray, lengths: np.ndarra
     word = np.arange(len(roots)) - begin[row]
     found: list[list[Path]] = [[] for _ in lengths]
     kappa = np.full(len(lengths), -np.inf)
-    # What is drawn in a round: (row, first word, beginning, path of the first word, top).
-    todo: list[tuple] = [(r, 0, None, None, -np.log(-np.log(u)), frozenset()) for r, u in enumerate(unit(keys_of(seeds, 0)).tolist())]
+    # What is drawn in a round: (row, first word, path to turn off and its arcs before, that word's path, top, paths taken there).
+    todo: list[tuple] = [(r, 0, None, (), -np.log(-np.log(u)), frozenset()) for r, u in enumerate(unit(keys_of(seeds, 2)).tolist())]
     for round_ in range(k + 1):
         if round_:
             todo = []
@@ -370,31 +444,78 @@ def sample_segmentations(lattice: Lattice, roots: np.ndarray, lengths: np.ndarra
                 at += of.begin
                 edge = int(of.sizes[:at].sum())
                 mine = tuple(of.arcs[edge : edge + of.sizes[at]].tolist())
-                taken = frozenset({mine} | (of.off if at == of.begin else frozenset()))
-                todo.append((r, at, (of, edge), lattice.other_path(int(roots[begin[r] + at]), sorted(taken), int(seeds[r]) ^ (round_ * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), best, taken))
+                todo.append((r, at, (of, edge), mine, best, frozenset({mine} | (of.off if at == of.begin else frozenset()))))
         if not todo:
             continue
-        rows, after = np.array([t[0] for t in todo]), np.array([t[1] + (t[2] is not None) for t in todo])
-        many = lengths[rows] - after
-        take = spread(begin[rows] + after, many)
-        keys = keys_of(seeds[row[take]], round_ + 1, word[take])
-        arcs, sizes, logp, beside = lattice.walk(roots[take], keys)
-        rest, noise = _log(beside), unit(keys_of(keys, 104_729))
-        arc_at, word_at = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(many)])
-        for i, (r, at, base, other, top, taken) in enumerate(todo):
-            lo, hi = int(word_at[i]), int(word_at[i + 1])
-            a, s, lp, left, u = arcs[arc_at[lo] : arc_at[hi]], sizes[lo:hi], logp[lo:hi], rest[lo:hi], noise[lo:hi]
-            before = 0.0
-            if base is not None:
-                of, edge = base
-                path, own, mass = other
-                before = float(of.logp[:at].sum())
-                a, s = np.concatenate([of.arcs[:edge], path, a]), np.concatenate([of.sizes[:at], [len(path)], s])
-                lp, left, u = np.concatenate([[own], lp]), np.concatenate([_log(np.array([mass])), left]), np.concatenate([unit(keys_of(seeds[r : r + 1], round_, 15_485_863)), u])
-            phi = before + np.cumsum(lp) - lp + left
-            if base is not None:
-                lp = np.concatenate([base[0].logp[:at], lp])
-            found[r].append(Path(a, s, lp, _truncated(phi, top, u), at, taken if base is not None else frozenset()))
+        rows, turned = np.array([t[0] for t in todo]), np.array([t[2] is not None for t in todo])
+        at = np.array([t[1] for t in todo])
+        # The word where a search node turns off: words of one path taken together, others one by one.
+        heads: list[tuple[list[int], float, float, int]] = [([], 0.0, 0.0, -1)] * len(todo)
+        alone = np.array([i for i, t in enumerate(todo) if t[2] is not None and len(t[5]) == 1], np.int64)
+        seeds_of = keys_of(seeds, 3 * round_)
+        if len(alone):
+            taken = np.array([a for i in alone for a in todo[i][3]], np.int64)
+            sizes = np.array([len(todo[i][3]) for i in alone], np.int64)
+            shared, arc, logp, mass = lattice.turn_offs(roots[begin[rows[alone]] + at[alone]], taken, sizes, seeds_of[rows[alone]])
+            for i, n, a, lp, m, to in zip(alone.tolist(), shared.tolist(), arc.tolist(), logp.tolist(), mass.tolist(), lattice.to.held[arc].tolist(), strict=True):
+                heads[i] = [*todo[i][3][:n], a], lp, m, to
+        for i, t in enumerate(todo):
+            if len(t[5]) > 1:
+                path, lp, m = lattice.other_path(int(roots[begin[t[0]] + t[1]]), sorted(t[5]), int(seeds_of[t[0]]))
+                heads[i] = list(path), lp, m, -2
+        # Everything drawn freely: the rest of that word, if any, and all words behind it.
+        rest = np.array([h[3] for h in heads])
+        open_ = rest >= 0
+        many = lengths[rows] - at - turned
+        place = spread(begin[rows] + at + turned, many)
+        first = np.cumsum(many + open_) - (many + open_)
+        where = np.empty(int((many + open_).sum()), np.int64)
+        free = np.ones(len(where), bool)
+        free[first[open_]] = False
+        where[free], where[~free] = roots[place], rest[open_]
+        keys = np.empty(len(where), np.uint64)
+        keys[free], keys[~free] = keys_of(keys_of(seeds, 3 * round_ + 1)[row[place]], word[place]), keys_of(seeds_of[rows[open_]], 1 << 40)
+        arcs, sizes, logp, beside = lattice.walk(where, keys)
+        arc_at, word_at = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([first, [len(where)]])
+        # Log-probability of what stands before the first whole word drawn in each row, then before each word.
+        own = np.array([h[1] for h in heads])
+        own[open_] += logp[~free]
+        before = np.array([0.0 if of is None else float(of[0].logp[: t].sum()) for _, t, of, _, _, _ in todo])
+        sizes_free, logp_free = sizes[free], logp[free]
+        edge_free = np.concatenate([[0], np.cumsum(many)])
+        running = np.concatenate([[0.0], np.cumsum(logp_free)])
+        phi = running[:-1] + np.repeat(before + own - running[edge_free[:-1]], many) + _log(beside[free])
+        cuts = _truncated(phi, np.repeat([t[4] for t in todo], many), unit(keys_of(keys[free], 1 << 40)))
+        for i, (r, at_, base, _, top, taken) in enumerate(todo):
+            lo, hi = edge_free[i], edge_free[i + 1]
+            drawn = arcs[arc_at[word_at[i]] : arc_at[word_at[i + 1]]]
+            if base is None:
+                found[r].append(Path(drawn, sizes_free[lo:hi], logp_free[lo:hi], cuts[lo:hi], at_, taken))
+                continue
+            of, edge = base
+            head, _, mass, _ = heads[i]
+            mine = len(head) + (int(sizes[word_at[i]]) if open_[i] else 0)
+            if len(taken) == 1:
+                # What is left beside both paths of the word: the difference unless rounding would show in it.
+                less = mass - math.exp(own[i])
+                if less < 1e-4 * mass:
+                    less = lattice.mass_beside(int(roots[begin[r] + at_]), [*taken, (*head, *drawn[: mine - len(head)].tolist())])
+                mass = less
+            # The search node of that word, without the paths taken there.
+            cut = -math.inf
+            if mass > 0:
+                cut = before[i] + math.log(mass)
+                cut -= math.log(math.exp(min(cut - top, 700.0)) - math.log(_unit(_key(int(seeds[r]), 3 * round_ + 2))))
+            found[r].append(
+                Path(
+                    np.concatenate([of.arcs[:edge], head, drawn]),
+                    np.concatenate([of.sizes[:at_], [mine], sizes_free[lo:hi]]),
+                    np.concatenate([of.logp[:at_], [own[i]], logp_free[lo:hi]]),
+                    np.concatenate([[cut], cuts[lo:hi]]),
+                    at_,
+                    taken,
+                )
+            )
     out = []
     with np.errstate(over="ignore"):
         for paths, most in zip(found, kappa.tolist(), strict=True):
@@ -402,6 +523,18 @@ def sample_segmentations(lattice: Lattice, roots: np.ndarray, lengths: np.ndarra
     return out
 
 
+class Numbers(dict):
+    """Words numbered as they are met; the new ones are listed."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Encodes and decodes texts and draws segmentations; each distinct word is worked out once until the cache is full."""
 
@@ -411,34 +544,33 @@ class Encoder:
         pieces = piece_bytes(self.processor)
         self.sizes = np.array([len(x) for x in pieces], np.int64)
         self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(pieces), np.uint8)
-        self.clear()
+        self.known = Numbers()
+        self.roots, self.at, self.many, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.int64), Grown(np.int32)
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.roots, self.at, self.many, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.int64), Grown(np.int32)
-        self.lattice.clear()
+        self.known = Numbers()
+        for held in (self.roots, self.at, self.many, self.ids, self.lattice):
+            held.clear()
 
     def _learn(self, words: list[str]) -> None:
         # An empty last word is the blank alone, which the processor would drop.
-        ids = [self._one(w) if not w.strip(" ") else found for w, found in zip(words, self.processor.encode(words, num_threads=1), strict=True)]
-        many = np.array([len(x) for x in ids], np.int64)
+        ids = [found if w and w[-1] != " " else self._one(w) for w, found in zip(words, self.processor.encode(words, num_threads=1), strict=True)]
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
         self.at.add(self.ids.n + np.cumsum(many) - many)
         self.many.add(many)
-        self.ids.add(np.array([i for x in ids for i in x], np.int32))
-        self.roots.add(self.lattice.add([_BLANK + w.replace(" ", _BLANK) for w in words]))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ids.add(np.fromiter(chain.from_iterable(ids), np.int32, int(many.sum())))
+        self.roots.add(self.lattice.add([_BLANK + (w.replace(" ", _BLANK) if " " in w else w) for w in words]))
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers of all texts, and how many each text has."""
         split = [words_of(t) if t else [] for t in texts]
         if self.lattice.p.n > MOST_ARCS or len(self.known) > MOST_WORDS:
             self.clear()
-        new = list({w for ws in split for w in ws}.difference(self.known))
-        for lo in range(0, len(new), 20_000):
-            self._learn(new[lo : lo + 20_000])
-        lengths = np.array([len(ws) for ws in split], np.int64)
-        known = self.known
-        return np.fromiter((known[w] for ws in split for w in ws), np.int64, int(lengths.sum())), lengths
+        found = np.array(list(map(self.known.__getitem__, chain.from_iterable(split))), np.int64)
+        for lo in range(0, len(self.known.new), LEARNT):
+            self._learn(self.known.new[lo : lo + LEARNT])
+        self.known.new = []
+        return found, np.fromiter(map(len, split), np.int64, len(split))
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
         return self.ids.held[spread(self.at.held[numbers], self.many.held[numbers])]
@@ -479,7 +611,7 @@ class Encoder:
 
 
 def row_seeds(doc_ids: list[int | None]) -> np.ndarray:
-    return keys_of(np.array([(d or 0) & 0xFFFFFFFFFFFFFFFF for d in doc_ids], np.uint64), SEED)
+    return keys_of(_scrambled(np.array([(d or 0) & 0xFFFFFFFFFFFFFFFF for d in doc_ids], np.uint64)), SEED)
 
 
 def _pieces_of_work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
