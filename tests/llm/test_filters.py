@@ -1,14 +1,16 @@
 """Quality rules, personal data and chat formatting against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat_format, pii, quality_rules
+from tidegrid.llm import chat_format, line_dedup, pii, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,16 +68,16 @@ def test_pii_base_equals_plain_python(make):
     bits = ["a", "b.c", "@", "@", ".", ".com", "1", "12", "255", "256", ".3", "+", "+1", "-", " ", "(", ")", "4111111111111111", "4111 1111-1111 1111", "_", "é", "😀", "\n", "%"]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 60)))) for i in range(500)]
     rows += [(900, None), (901, ""), (902, "a" * 3000), (903, "1" * 3000), (904, "+1" + "(" * 3000), (905, "a@b" + ".c" * 3000), (None, "x@y.zz"), (1, rows[1][1])]
-    got = pii.report(make(rows)).collect()
-    assert len(got) == len(rows)
-    text = dict(rows)
-    for x in got:
-        want = naive_spans(text[x.doc_id])
-        joined = ",".join("%s:%d:%d" % s for s in want)
-        n = Counter(s[0] for s in want)
-        assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == tuple(n[k] for k in PATTERNS)
-        assert x.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
-        assert x.spans.startswith(joined)
+    rows += [(1, "z@other.org 10.0.0.1"), (None, "q@other.org")]  # equal ids, other texts
+    got = pii.report(make(rows).withColumn("term", F.lit(1)).withColumn("s", F.lit(2))).collect()
+    want = Counter()
+    for i, t in rows:
+        base = naive_spans(t)
+        joined = ",".join("%s:%d:%d" % s for s in base)
+        n = Counter(s[0] for s in base)
+        want[i, *(n[k] for k in PATTERNS), hashlib.sha256(joined.encode()).hexdigest()] += 1
+    assert Counter((x.doc_id, x.n_email, x.n_ip, x.n_card, x.n_phone, x.base_sha256) for x in got) == want
+    assert pii.report(make([])).count() == 0
 
 
 def test_pii_is_linear_in_long_runs(make):
@@ -84,14 +86,66 @@ def test_pii_is_linear_in_long_runs(make):
     assert [x.spans for x in pii.report(make(rows)).collect()] == ["", "", ""]
 
 
-def test_disclosing_terms_and_sanitising(make):
-    rows = [(i, f"Report by Zebulon for zeb@corp.example on the matter {i}") for i in range(3)]
-    rows += [(10 + i, f"Report by someone for q{i}@corp.example on the matter") for i in range(20)]
-    rows += [(50 + i, "Report by nobody on the matter") for i in range(20)]
-    spans = {x.doc_id: x.spans for x in pii.report(make(rows)).collect()}
-    assert all("term:10:17" in spans[i] and spans[i].count("term") == 1 for i in range(3))
-    assert all("term" not in spans[i] for i in spans if i >= 10)
-    assert pii.sanitise(make(rows[:3])).where("doc_id = 0").first().text.count("<EMAIL>") == 1
+LETTERS = regex.compile(r"^[^\p{L}]*(\p{L}[\p{L}\p{M}'’-]+\p{L})[^\p{L}]*$")
+
+
+def naive_terms(text):
+    """(start, end, term) of each word that is a term once signs around it are off."""
+    out = []
+    for m in WORD.finditer(text or ""):
+        if found := LETTERS.match(m.group()):
+            out.append((m.start() + found.start(1), m.start() + found.end(1), found.group(1).lower()))
+    return out
+
+
+def naive_disclosure(rows, alpha=1.25, support=2):
+    """The PMI rule written out over all documents: all spans of each row, and the sanitised text."""
+    base = [[(k, s, e, f"{k}:{t[s:e]}") for k, s, e in naive_spans(t)] for _, t in rows]
+    named = [{x[3] for x in b} for b in base]
+    terms = [{x[2] for x in naive_terms(t)} for _, t in rows]
+    n, n_e, n_t = len(rows), Counter(e for es in named for e in es), Counter(t for ts in terms for t in ts)
+    n_te = Counter((t, e) for es, ts in zip(named, terms, strict=True) for e in es for t in ts)
+    bad = {(t, e) for (t, e), k in n_te.items() if k >= support and n_e[e] >= support and math.log2(n * k / (n_t[t] * n_e[e])) >= math.log2(n / n_e[e]) / alpha - 1e-12}
+    out = []
+    for (i, t), b, es in zip(rows, base, named, strict=True):
+        marks = [("term", s, e) for s, e, w in naive_terms(t) if any((w, x) in bad for x in es)]
+        every = [x[:3] for x in b] + marks
+        clean, at = "", 0
+        spans = sorted((s, e, k) for k, s, e in every)
+        while spans:
+            s, e, k = spans.pop(0)
+            while spans and spans[0][0] < e:
+                e = max(e, spans.pop(0)[1])
+            clean, at = clean + (t or "")[at:s] + f"<{k.upper()}>", e
+        out.append((i, ",".join("%s:%d:%d" % x for x in every), clean + (t or "")[at:]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("share", [1000, 8])
+def test_disclosing_terms_equal_brute_force(make, monkeypatch, share):
+    """Entities and terms from rare to very common, far from each other, and rows that share ids."""
+    monkeypatch.setattr(pii, "SHARE", share)
+    r = random.Random(8)
+    words = ["river,", "Ärzte", "o'neill", "x1y", "of", "stone", "light", "garden", "naïve-té", "market.", "walking", "STONE", "12th", "don't"]
+    people = ["zeb@corp.example", "+49 30 1234567", "10.1.2.3", "info@shop.example", "4111111111111111"]
+    rows = []
+    for i in range(120):
+        held = [r.choice(words) for _ in range(r.randint(0, 25))]
+        for e in people[: 1 + i % 5] if i % 2 else ():
+            held.insert(r.randint(0, len(held)), e)
+        if "zeb@corp.example" in held and i % 4 == 1:
+            held = ["Zebulon", *held, "(zebulon),"]
+        if ("10.1.2.3" in held) != (r.random() < 0.03):
+            held.insert(0, "(Quartz)")
+        rows.append((i, r.choice([" ", "\n", "  "]).join(held)))
+    rows += [(200 + i, f"only {'abcdefgh'[i]}{'ijklmnop'[i]}word u{i}@one.example") for i in range(8)]
+    rows += [(5, "unrelated text without any of it"), (0, "Zebulon walks"), (None, rows[1][1]), (None, "quartz"), (3, rows[3][1]), (300, None), (301, ""), (302, "zeb@corp.example " + "quiet river " * 4000)]
+    got = pii.report(make(rows)).collect()
+    clean = Counter(map(tuple, pii.sanitise(make(rows)).collect()))
+    want = naive_disclosure(rows)
+    assert sorted(((x.doc_id, x.spans, x.sanitised_sha256) for x in got), key=str) == sorted(((i, s, hashlib.sha256(c.encode()).hexdigest()) for i, s, c in want), key=str)
+    assert clean == Counter((i, c) for i, _, c in want)
+    assert sum("term" in s for _, s, _ in want) > 10
 
 
 def chat(spark, rows):
@@ -120,7 +174,7 @@ def test_typed_parts_become_placeholders(spark):
     assert [(a.kind, a.ref, a.tokens) for a in row.attachments] == [("image", "a.png", 512), ("audio", "b.wav", 75), ("document", "c.pdf", 512)]
 
 
-@pytest.mark.parametrize("operator", [quality_rules.report, pii.report])
+@pytest.mark.parametrize("operator", [quality_rules.report, pii.report, line_dedup.report, lambda d: chat_format.digests(d.selectExpr("doc_id conv_id", "0L turn", "lang role", "text"))])
 def test_native_plans_have_no_python(make, operator):
     plan = operator(make([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -1,29 +1,36 @@
 """Personal data: pattern matches, then terms that give the matched entities away.
 
 Base detectors find emails, IP addresses, cards and phone numbers. Each distinct match is a
-protected entity. Corpus co-occurrence (documents holding both) then estimates how strongly the
-words beside a mention reveal the entity: a term t is disclosing for an entity e when
+protected entity. Corpus co-occurrence then estimates how strongly the words of a document reveal
+the entities that it names: a term t is disclosing for an entity e when
 
     PMI(t; e) = log2( N n(t,e) / (n(t) n(e)) ) >= IC(e) / alpha,   IC(e) = log2(N / n(e)),
 
-with n(t,e) of at least `support` documents. Such terms are marked where they stand beside a mention
-of e; `sanitise` generalises base matches to their kind and disclosing terms to their shape class.
+with N all documents, n() the documents that hold a term, an entity or both, wherever these stand, and
+n(t,e) and n(e) of at least `support`. A term is a word of three letters or more once signs around it
+are off, in lower case. A document that names e has every occurrence of e's disclosing terms marked;
+`sanitise` generalises base matches to their kind and disclosing terms to <TERM>.
 
-Everything is built-in expressions. Offsets are code points: pieces between matches and the matches
-themselves are measured and summed up. Counts cover the whole corpus and are aggregated before the
-shuffle; only mentions and their neighbours, not texts, are shuffled; the counts of all terms are part of that.
+Everything is built-in expressions. Offsets are code points. Counts cover the whole corpus and are
+aggregated before the shuffle. As n(t,e) <= n(e), only terms with n(t) <= n(e) (N / n(e))^(1 - 1/alpha)
+can disclose e; common terms are left out of the pairs by that bound, which is exact. Entities,
+terms and pairs in more than one document of SHARE are joined by broadcast: there are at most SHARE
+times as many as a mean document holds, whatever the corpus size. Others are joined by exchange, where
+no key has more than one in SHARE of the documents.
 
 Edge cases: a null text is empty; texts without matches give zero counts and the digest of the empty
-string; repeated rows and exact copies each count as documents; rows that share a doc_id are one
-document for the disclosing terms; a null doc_id takes no disclosing terms; an empty table gives an
-empty result; columns of other names are not read.
+string; ties (a PMI that equals the threshold) count as disclosing; repeated rows and exact copies
+each count as documents; rows that share a doc_id but not a text, null ids too, are documents of
+their own, as marks go by (doc_id, hash of the text); very long texts are taken whole, their words
+being rows of an exchange; an empty table gives an empty result; columns of other names are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.llm.lineage import cut
 from tidegrid.llm.text import body
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,9 +45,14 @@ PATTERNS = {
 }
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: How far beside a mention terms are looked at, in code points and in words.
-REACH, NEIGHBOURS = 64, 3
 ALPHA, SUPPORT = 1.25, 2
+#: What is held by more than one document of so many is joined by broadcast.
+SHARE = 1000
+_WHITE = r"\x20\x09-\x0D"
+_AROUND = rf"[^\p{{L}}{_WHITE}]*+"
+_CORE = r"(\p{L}[\p{L}\p{M}'’-]+\p{L})"
+#: A term within a text, and a term that is all of a word.
+TERM, WHOLE = rf"(?<![^{_WHITE}]){_AROUND}{_CORE}{_AROUND}(?![^{_WHITE}])", rf"^{_AROUND}{_CORE}{_AROUND}$"
 
 
 def _luhn(match: Column) -> Column:
@@ -90,8 +102,9 @@ _MARK = {"email": "@", "ip": ".", "phone": "+"}
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, _p_text and _p_base, the base spans by kind and start."""
-    out = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("_p_text"))
+    """doc_id, _p_key (of the row's id and text), _p_text and _p_base, the base spans by kind and start."""
+    key = F.concat_ws(":", F.col(doc_id).cast("string"), F.xxhash64(text).cast("string"))
+    out = docs.select(F.col(doc_id).alias("doc_id"), key.alias("_p_key"), body(text).alias("_p_text"))
     empty = F.array().cast("array<string>")
     for kind in KINDS:
         pieces, matches, spans = _spans(kind, "_p_text")
@@ -99,85 +112,106 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         out = out.withColumn(f"_p_{kind}_matches", F.when(worth, matches).otherwise(empty))
         out = out.withColumn(f"_p_{kind}_pieces", F.when(F.size(f"_p_{kind}_matches") > 0, pieces).otherwise(empty))
         out = out.withColumn(f"_p_{kind}", spans)
-    return out.select("doc_id", "_p_text", F.concat(*[f"_p_{k}" for k in KINDS]).alias("_p_base"))
+    return out.select("doc_id", "_p_key", "_p_text", F.concat(*[f"_p_{k}" for k in KINDS]).alias("_p_base"))
+
+
+def distinct_terms(text: str) -> Column:
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.array_join(F.regexp_extract_all(text, F.lit(TERM), F.lit(1)), " ")), " ")), "")
+
+
+def _joined_counts(rows: DataFrame, counts: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with counts on keys of which some may be very frequent."""
+    often = F.broadcast(counts.where(F.col(count) > total / SHARE))
+    seldom = counts.where(F.col(count) <= total / SHARE)
+    return rows.join(often, on).unionByName(rows.join(F.broadcast(counts.where(F.col(count) > total / SHARE).select(*on)), on, "left_anti").join(seldom, on))
+
+
+class Disclosure:
+    """Pairs of entities and disclosing terms, and where these terms stand."""
+
+    def __init__(self, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text") -> None:
+        self.total, self.alpha, self.support = docs.count(), alpha, support
+        named = F.array_distinct(F.transform("_p_base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
+        #: Documents that name an entity, with their texts: read from the shared folder from here on.
+        naming = cut(find(docs, doc_id, text).where(F.size("_p_base") > 0).select("_p_key", "_p_text", named.alias("_p_named")))
+        each = naming.select("_p_key", F.explode("_p_named").alias("entity"))
+        entities = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+        of = _joined_counts(each.distinct(), entities, ["entity"], "n_e", self.total).groupBy("_p_key").agg(F.collect_set(F.struct("entity", "n_e")).alias("_p_of"))
+        #: The same, only entities with support.
+        self.naming = cut(naming.drop("_p_named").join(of, "_p_key"))
+        self.terms = docs.select(F.explode(distinct_terms_of(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+
+    def _floor(self, n_e: Column) -> Column:
+        """The share of a term's documents that must name an entity of n_e documents."""
+        return F.pow(n_e / F.lit(float(max(1, self.total))), F.lit(1 - 1 / self.alpha))
+
+    def pairs_by_document(self) -> DataFrame:
+        """_p_key, entity, n_e, term, and n_t where the term is a common one; terms too common to disclose the entity are left out."""
+        often = F.broadcast(self.terms.where(F.col("n_t") > self.total / SHARE))
+        each = self.naming.select("_p_key", "_p_of", F.explode(distinct_terms("_p_text")).alias("term")).join(often, "term", "left")
+        worth = F.filter("_p_of", lambda e: F.col("n_t").isNull() | (F.col("n_t") * self._floor(e["n_e"]) <= e["n_e"] * (1 + 1e-9)))
+        return each.select("_p_key", "term", "n_t", F.explode(worth).alias("e")).select("_p_key", "e.entity", "e.n_e", "term", "n_t")
+
+    def pairs(self) -> DataFrame:
+        """entity, term, n_te of all pairs over the disclosure threshold."""
+        both = self.pairs_by_document().groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t")).where(F.col("n_te") >= self.support)
+        seldom = self.terms.where(F.col("n_t") <= self.total / SHARE)
+        counted = both.where("n_t IS NOT NULL").unionByName(both.where("n_t IS NULL").drop("n_t").join(seldom, "term"))
+        pmi = F.log2(F.lit(float(self.total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+        return counted.where(pmi >= F.log2(F.lit(float(self.total)) / F.col("n_e")) / self.alpha - 1e-12).select("entity", "term", "n_te")
+
+    def marks(self) -> DataFrame:
+        """_p_key and _p_terms: the disclosing terms of a document as spans of the kind term."""
+        found = cut(self.pairs())
+        reveal = _joined_counts(self.pairs_by_document().select("_p_key", "entity", "term"), found, ["entity", "term"], "n_te", self.total).select("_p_key", "term").distinct()
+        texts = self.naming.groupBy("_p_key").agg(F.first("_p_text").alias("_p_text"))
+        words = texts.select("_p_key", F.posexplode(F.split("_p_text", rf"[{_WHITE}]")).alias("i", "word"))
+        before = Window.partitionBy("_p_key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))
+        placed = words.withColumn("at", start).withColumn("core", F.regexp_extract("word", WHOLE, 1)).where("core <> ''")
+        lead = F.length(F.regexp_extract("word", r"^[^\p{L}]*+", 0))
+        s = (F.col("at") + lead).cast("int")
+        spans = placed.select("_p_key", F.lower("core").alias("term"), s.alias("s"), (s + F.length("core")).alias("e")).join(reveal, ["_p_key", "term"])
+        return spans.groupBy("_p_key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "s", "e", F.col("term").alias("value")))).alias("_p_terms"))
+
+
+def distinct_terms_of(text: str) -> Column:
+    """Of a column that may be null."""
+    return F.coalesce(distinct_terms(text), F.array().cast("array<string>"))
+
+
+def marked(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, _p_text, _p_base and _p_terms for each row."""
+    marks = Disclosure(docs, alpha, support, doc_id, text).marks()
+    none = F.array().cast("array<struct<kind:string,s:int,e:int,value:string>>")
+    return find(docs, doc_id, text).join(marks, "_p_key", "left").select("doc_id", "_p_text", "_p_base", F.coalesce("_p_terms", none).alias("_p_terms"))
 
 
-_TERM = r"[A-Za-zÀ-ɏ]"
+def _islands() -> Column:
+    """Spans, or runs of spans that overlap, with the kind of the first of them; an empty one begins the list."""
+    spans = F.array_sort(F.transform(F.concat("_p_base", "_p_terms"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    one = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))
+    start = F.struct(F.array().cast("array<struct<s:int,e:int,kind:string>>").alias("done"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("kind"))
+    step = lambda a, x: F.when(
+        x["s"] < a["e"], F.struct(a["done"].alias("done"), a["s"].alias("s"), F.greatest(a["e"], x["e"]).alias("e"), a["kind"].alias("kind"))
+    ).otherwise(F.struct(F.concat(a["done"], F.array(one(a))).alias("done"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.array(one(a))))
 
 
-def _terms(context: Column, before: bool, offset: Column) -> Column:
-    """Up to NEIGHBOURS whole words at the near end of a context, as struct(s, e, term)."""
-    cut = F.split(context, r"[\x20\x09-\x0D]")
-    placed = F.aggregate(
-        cut,
-        F.struct(offset.alias("at"), F.array().cast("array<struct<s:int,e:int,term:string>>").alias("out")),
-        lambda a, w: F.struct(
-            (a["at"] + F.length(w) + 1).cast("int").alias("at"),
-            F.concat(a["out"], F.array(F.struct(a["at"].cast("int").alias("s"), (a["at"] + F.length(w)).cast("int").alias("e"), F.lower(w).alias("term")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    # The word at the far end may be cut off, the one at the near end may touch the mention: neither counts.
-    inner = F.slice(placed, 2, F.greatest(F.size(placed) - 2, F.lit(0)))
-    whole = F.filter(inner, lambda t: t["term"].rlike(rf"^{_TERM}{{3,}}$"))
-    return F.slice(whole, F.greatest(F.size(whole) - NEIGHBOURS, F.lit(0)) + 1, NEIGHBOURS) if before else F.slice(whole, 1, NEIGHBOURS)
-
-
-def mentions(found: DataFrame) -> DataFrame:
-    """A row for each term beside a mention: doc_id, entity, term, s, e."""
-    m = found.where(F.size("_p_base") > 0).select("doc_id", "_p_text", F.explode("_p_base").alias("m"))
-    from_ = F.greatest(F.col("m.s") - REACH, F.lit(0))
-    near = (
-        m.withColumn("_from", from_)
-        .withColumn("_before", F.concat(F.lit(" "), F.col("_p_text").substr(F.col("_from") + 1, F.col("m.s") - F.col("_from"))))
-        .withColumn("_after", F.concat(F.col("_p_text").substr(F.col("m.e") + 1, F.lit(REACH)), F.lit(" ")))
-        .withColumn("_before", F.when(F.col("_from") == 0, F.col("_before")).otherwise(F.col("_before").substr(F.lit(2), F.lit(REACH))))
-    )
-    offset = F.when(F.col("_from") == 0, F.lit(-1)).otherwise(F.col("_from"))
-    return near.select(
-        "doc_id",
-        F.concat("m.kind", F.lit(":"), "m.value").alias("entity"),
-        F.explode(F.concat(_terms(F.col("_before"), True, offset), _terms(F.col("_after"), False, F.col("m.e")))).alias("t"),
-    ).select("doc_id", "entity", "t.term", "t.s", "t.e")
-
-
-def disclosing(found: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs over the disclosure threshold, from counts over the whole corpus."""
-    one = F.count("*")
-    total = found.agg(one.alias("n"))
-    entity = found.select(F.explode(F.array_distinct(F.transform("_p_base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))).alias("entity")).groupBy("entity").agg(one.alias("n_e")).where(F.col("n_e") >= support)
-    pair = mentions(found).groupBy("doc_id", "entity", "term").agg(F.lit(1)).groupBy("entity", "term").agg(one.alias("n_te")).where(F.col("n_te") >= support)
-    term = (
-        found.select(F.explode(F.array_distinct(F.split(F.lower("_p_text"), r"[\x20\x09-\x0D]+"))).alias("term"))
-        .groupBy("term")
-        .agg(one.alias("n_t"))
-        .where(F.col("n_t") >= support)
-    )
-    joined = pair.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return joined.where(pmi >= F.log2(F.col("n") / F.col("n_e")) / alpha).select("entity", "term")
-
-
-def disclosed(found: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """_p_doc and _p_terms: the disclosing terms of a document as spans of the kind term."""
-    return (
-        mentions(found)
-        .join(disclosing(found, alpha, support), ["entity", "term"])
-        .groupBy(F.col("doc_id").alias("_p_doc"))
-        .agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "s", "e", F.col("term").alias("value")))).alias("_p_terms"))
-    )
+def _sanitised(found: DataFrame) -> DataFrame:
+    """Adds _p_clean, the text with each island written as its kind."""
+    text, held = F.col("_p_text"), F.col("_p_islands")
+    end = lambda i: F.coalesce(F.get(held, i)["e"], F.lit(0))
+    shown = lambda k: F.when(k == "", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(k), F.lit(">")))
+    parts = F.transform(held, lambda x, i: F.concat(text.substr(end(i - 1) + 1, x["s"] - end(i - 1)), shown(x["kind"])))
+    clean = F.concat(F.array_join(parts, ""), text.substr(end(F.size(held) - 1) + 1, F.length(text)))
+    some = F.size("_p_base") + F.size("_p_terms") > 0
+    return found.withColumn("_p_islands", F.when(some, _islands())).withColumn("_p_clean", F.when(some, clean).otherwise(text))
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """doc_id and the text with base matches generalised to their kind and disclosing terms to <TERM>; overlaps keep the earlier span."""
-    found = find(docs)
-    none = F.array().cast("array<struct<kind:string,s:int,e:int,value:string>>")
-    spans = F.sort_array(F.transform(F.concat("_p_base", F.coalesce("_p_terms", none)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    step = lambda a, x: F.when(x["s"] < a["at"], a).otherwise(
-        F.struct(F.concat(a["out"], F.col("_p_text").substr(a["at"] + 1, x["s"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out"), x["e"].alias("at"))
-    )
-    out = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.col("_p_text").substr(a["at"] + 1, F.length("_p_text"))))
-    return found.join(disclosed(found, alpha, support), F.col("doc_id") == F.col("_p_doc"), "left").select("doc_id", out.alias("text"))
+    """doc_id and the text with base matches generalised to their kind and disclosing terms to <TERM>."""
+    return _sanitised(marked(docs, alpha, support)).select("doc_id", F.col("_p_clean").alias("text"))
 
 
 def _joined(spans: Column) -> Column:
@@ -185,9 +219,13 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """One row for each document: counts by kind, the digest of the base spans, all spans."""
-    found = find(docs)
-    out = found.drop("_p_text").join(disclosed(found, alpha, support), F.col("doc_id") == F.col("_p_doc"), "left")
-    none = F.array().cast("array<struct<kind:string,s:int,e:int,value:string>>")
+    """One row for each document: counts by kind, the digest of the base spans, all spans, the digest of the sanitised text."""
+    out = _sanitised(marked(docs, alpha, support))
     count = lambda k: F.size(F.filter("_p_base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    return out.select("doc_id", *map(count, KINDS), F.sha2(_joined(F.col("_p_base")), 256).alias("base_sha256"), _joined(F.concat("_p_base", F.coalesce("_p_terms", none))).alias("spans"))
+    return out.select(
+        "doc_id",
+        *map(count, KINDS),
+        F.sha2(_joined(F.col("_p_base")), 256).alias("base_sha256"),
+        _joined(F.concat("_p_base", "_p_terms")).alias("spans"),
+        F.sha2("_p_clean", 256).alias("sanitised_sha256"),
+    )
