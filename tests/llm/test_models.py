@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,8 +19,16 @@ def items():
     return [(i, f"{say(r.randint(9, 18))} {say(r.randint(4, 8))}") for i in range(60)], words
 
 
+def shard_of(bench):
+    """All items as one index, counted in plain Python."""
+    split = [(i, *decontaminate.split_item(t)) for i, t in bench]
+    df = Counter(w for _, q, a in split for w in set(q + a))
+    sizes = [len(q) + len(a) for _, q, a in split]
+    return decontaminate.Index([(i, q, a, df) for i, q, a in split], len(split), sum(sizes) / len(sizes), max(sizes)), df
+
+
 def test_wand_finds_what_scoring_all_finds(items):
-    index = decontaminate.Index(items[0])
+    index, _ = shard_of(items[0])
     r = random.Random(1)
     for _ in range(150):
         terms = r.sample(range(len(index.terms)), 30)
@@ -28,12 +37,81 @@ def test_wand_finds_what_scoring_all_finds(items):
         terms = sorted(set(terms))
         scores = {}
         for t in terms:
-            for d, x in index.postings[t]:
-                scores[d] = scores.get(d, 0) + x
+            for held in index.postings[t].values():
+                for d, x in held:
+                    scores[d] = scores.get(d, 0) + x
         for bound in (0.2, 0.5):
             assert sorted(d for d, _ in index.wand(terms, bound)) == sorted(d for d, x in scores.items() if x >= bound - 1e-9)
 
 
+def naive_leaks(rows, bench):
+    """Every passage scored against every item with BM25 written out, then the check of question and answer."""
+    split = {k: decontaminate.split_item(t) for k, t in enumerate(t for _, t in bench)}
+    words = {k: q + a for k, (q, a) in split.items() if q or a}
+    n, mean, longest = len(words), sum(map(len, words.values())) / len(words), max(map(len, words.values()))
+    df = Counter(w for ws in words.values() for w in set(ws))
+
+    def weight(w, ws):
+        tf = ws.count(w)
+        return np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+
+    shares = {}
+    for k, ws in words.items():
+        each = {w: weight(w, ws) for w in set(ws)}
+        shares[k] = {w: x / sum(each.values()) for w, x in each.items()}
+
+    def covered(part, size, passage):
+        size = min(size, len(part))
+        wanted = {tuple(part[i : i + size]) for i in range(len(part) - size + 1)} if size else set()
+        held = {tuple(passage[i : i + size]) for i in range(len(passage) - size + 1)}
+        return len(wanted & held) >= 0.5 * len(wanted)
+
+    out = []
+    for i, text in rows:
+        ws = (text or "").encode().split()
+        found = set()
+        for c in range(max(1, -(-len(ws) // longest) - 1)):
+            passage = [x for x in map(decontaminate.normal, ws[c * longest : (c + 2) * longest]) if x]
+            held = set(passage)
+            for k, share in shares.items():
+                if sum(x for w, x in share.items() if w in held) >= 0.5 and covered(split[k][0], 5, passage) and covered(split[k][1], 3, passage):
+                    found.add(bench[k][0])
+        out.append((i, tuple(sorted(found))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shard_chars", [2_000_000, 600])
+def test_report_equals_brute_force_at_any_number_of_shards(make, spark, items, monkeypatch, shard_chars):
+    bench, words = items
+    r = random.Random(5)
+    noise = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = []
+    for i in range(60):  # whole, cut short, or with words changed
+        item = bench[i][1].split()
+        for _ in range(r.randint(0, len(item) // 2)):
+            item[r.randrange(len(item))] = r.choice(words)
+        rows.append((i, f"{noise(r.randint(0, 90))} {' '.join(item[r.randint(0, 4) :])} {noise(r.randint(0, 90))}"))
+    rows += [(100 + i, noise(r.randint(1, 400))) for i in range(60)] + [(1, bench[4][1]), (None, bench[6][1]), (None, None), (7, "")]
+    table = [*bench, (3, bench[9][1]), (61, bench[9][1])]  # an id with two texts, a text with two ids
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", shard_chars)
+    got = decontaminate.report(make(rows), spark.createDataFrame([*table, table[0], (98, None), (99, " .. ")], "item_id long, text string")).collect()
+    assert sorted(((x.doc_id, tuple(x.item_ids)) for x in got), key=str) == naive_leaks(rows, table)
+    assert all(x.contaminated == bool(x.item_ids) for x in got) and sum(x.contaminated for x in got) > 10
+
+
+def test_first_sums_cut_into_parts_lose_nothing(items):
+    """A text whose first sums don't fit one step, with gaps between the parts."""
+    bench, words = items
+    index, _ = shard_of(bench)
+    number = np.full(400_000, -1, np.int64)
+    placed = [index.terms.get(decontaminate.normal(w), -1) for w in bench[3][1].encode().split()]
+    for at in (5, 90_000, 399_000):
+        number[at : at + len(placed)] = placed
+    number[200_000:300_000] = np.arange(100_000) % len(index.terms)
+    live = dict(index.candidates(number))
+    assert all(any(3 // decontaminate.BLOCK in live.get(c, ()) for c in (at // index.longest - 1, at // index.longest)) for at in (5, 90_000, 399_000))
+
+
 def test_leaks_are_found_and_clean_texts_left_alone(make, spark, items):
     bench, words = items
     r = random.Random(2)
@@ -51,17 +129,6 @@ def test_leaks_are_found_and_clean_texts_left_alone(make, spark, items):
     assert decontaminate.drop_leaks(docs, table.limit(0)).count() == len(rows)
 
 
-def test_several_shards_find_the_same(make, spark, items, monkeypatch):
-    bench, words = items
-    docs = make([(i, f"{' '.join(words[:40])} {bench[i][1]}") for i in range(10)] + [(50, "nothing here"), (None, bench[1][1])])
-    table = spark.createDataFrame(bench, "item_id long, text string")
-    whole = sorted(decontaminate.report(docs, table).collect(), key=str)
-    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 2500)
-    monkeypatch.setattr(decontaminate, "COMMON", 1.0)
-    parts = sorted(decontaminate.report(docs, table).collect(), key=str)
-    assert [(x.doc_id, x.contaminated) for x in whole] == [(x.doc_id, x.contaminated) for x in parts]
-
-
 @pytest.fixture(scope="module")
 def pieces():
     with open(sentencepieces.model_path(), "rb") as f:
@@ -209,3 +276,62 @@ def test_neighbour_counts_do_not_saturate(make):
     want = 2 * 90 * 99_999 * (index[form_a] + index[shape_a]) + 10 * 99_999 * (index[form_7] + index[shape_7])
     got = quality_classifier.word_vectors(make([(i, many if i < 90 else mixed) for i in range(100)]).coalesce(1))
     assert np.allclose(got[shape_a], want / np.linalg.norm(want), atol=1e-9)
+
+
+def naive_kneser_ney(rows, discount=0.75, order=7):
+    """P(word | class) from counters of strings: rows are (word bytes, class or None)."""
+    def runs(w):
+        padded = b" " * (order - 1) + w + b" "
+        return [padded[i : i + order] for i in range(len(w) + 1)]
+
+    top, shared = [Counter(), Counter()], [None] * (order + 1)
+    seen = set()
+    for w, y in rows:
+        for g in runs(w):
+            seen.add(g)
+            if y is not None:
+                top[y][g] += 1
+    for n in range(order - 1, 0, -1):
+        shared[n] = Counter(g[1:] for g in seen)
+        seen = set(shared[n])
+
+    def p(counts, g, lower):
+        total = sum(c for x, c in counts.items() if x[:-1] == g[:-1])
+        if not total:
+            return lower
+        kinds = sum(1 for x in counts if x[:-1] == g[:-1])
+        return max(counts[g] - discount, 0) / total + discount * kinds / total * lower
+
+    def chance(g, y):
+        out = 1 / 256
+        for n in range(1, order):
+            out = p(shared[n], g[-n:], out)
+        return p(top[y], g, out)
+
+    return chance, lambda w: sum(np.log(chance(g, 1) / chance(g, 0)) for g in runs(w))
+
+
+KN_ROWS = [(b"idiot", 1), (b"idiots", 1), (b"the", 1), (b"the", 0), (b"then", 0), (b"river", 0), (b"stone", 0), (b"stone", 0), (b"clown", None), (b"idea", None), (b"the", None), (b"", 0)]
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    texts = spark.createDataFrame([(w.decode() or "...", y) for w, y in KN_ROWS], "text string, y int")
+    model = toxicity.kneser_ney(toxicity._count(texts))
+    chance, ratio = naive_kneser_ney(KN_ROWS)
+    words = [b"idiot", b"the", b"stones", b"clown", b"unseen", b"\xc3\xa9t\xc3\xa9", b""]
+    assert toxicity.ratios(model, words).tolist() == pytest.approx([ratio(w) for w in words], rel=1e-6, abs=1e-9)
+    assert abs(ratio(b"zzzz")) < 1e-9  # unknown to both classes: shared counts alone
+
+
+@pytest.mark.parametrize("floor", [2.0**-20, 0.08])
+def test_kneser_ney_probabilities_sum_to_one(spark, monkeypatch, floor):
+    monkeypatch.setattr(toxicity, "FLOOR", floor)
+    texts = spark.createDataFrame([(w.decode() or "...", y) for w, y in KN_ROWS], "text string, y int")
+    (ordinary, toxic), shared = toxicity.kneser_ney(toxicity._count(texts))
+    for context in (b"      ", b"  idio", b"   the", b"qqqqqq", b"    st"):
+        grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.int64)
+        p = np.full(256, 1 / 256)
+        for n, of in enumerate(shared, 1):
+            p = toxicity.probability(of, grams & ((1 << 8 * n) - 1), p)
+            assert p.sum() == pytest.approx(1)
+        assert all(toxicity.probability(of, grams, p).sum() == pytest.approx(1) for of in (ordinary, toxic))

@@ -16,14 +16,24 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % 5
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, text, y, part (0 to 9) of at most per_class documents of each class, none of fold 0.
+def part() -> Column:
+    """0 to 9 by the id's hash."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).cast("int")
+
+
+def known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of all rows that may be learnt from."""
+    return labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold() != 0)).distinct()
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, parts: int = 10) -> DataFrame:
+    """doc_id, text, y, part (under `parts`) of at most per_class documents of each class, none of fold 0.
 
     The choice is the least hashes of the ids, so it doesn't depend on the order of rows. The ids
     chosen are broadcast: two times per_class rows at most.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold() != 0)).distinct()
+    every = known(labels, label).where(part() < parts)
     order = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = reduce(DataFrame.union, [known.where(F.col("y") == y).orderBy(order).limit(per_class) for y in (0, 1)])
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).cast("int").alias("part")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", part)
+    chosen = reduce(DataFrame.union, [every.where(F.col("y") == y).orderBy(order).limit(per_class) for y in (0, 1)])
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", part().alias("part"))
