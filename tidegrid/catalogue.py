@@ -13,12 +13,14 @@ from tidegrid.models import mlp
 from tidegrid.operators import panel as pn
 from tidegrid.operators import windows as wd
 from tidegrid.operators import xsection as xs
+from tidegrid.plans import datasets, groups
 from tidegrid.plans import evaluate as ev
-from tidegrid.plans import groups
 from tidegrid.plans.factors import FactorDef as Fd
 from tidegrid.plans.factors import compile_factors
 from tidegrid.sources import bars, walks
 from tidegrid.sources.bars import SLOTS
+from tidegrid.sources.store import shared_folder
+from tidegrid.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,10 +116,10 @@ for _last, _f in ((True, "last_value"), (False, "first_value")):
     )
 
 
-@query("align_semi", o.pick(o.DAILY, "daily", KEY, ["close"], "WHERE (date, instrument) IN (SELECT date, instrument FROM daily WHERE instrument % 5 = 1 AND volume > 1)"))
+@query("align_semi", o.pick(o.DAILY, "daily", KEY, ["close"], "WHERE (date, instrument) IN (SELECT date, instrument FROM daily WHERE volume > 1)"))
 def _align(s, d):
     p = daily(s, d)
-    return pn.align(p, p.where("instrument % 5 = 1 AND volume > 1"), strict=False).select(*KEY, "close")
+    return pn.align(p, p.where("volume > 1"), strict=False).select(*KEY, "close")
 
 
 @query("incremental_anti", f"WITH {o.EVENTS} SELECT DISTINCT date FROM e WHERE date NOT IN (SELECT date FROM e WHERE event_type = 'signup' AND instrument < 2)")
@@ -137,18 +139,26 @@ def _sets(s, d):
     return tag("both", pn.common_keys(a, b)).union(tag("only_a", a.exceptAll(b))).union(tag("any", a.union(b).distinct()))
 
 
-_X = "SELECT date, instrument, close FROM daily WHERE instrument % 2 = 0"
-_Y = "SELECT date, instrument, volume FROM daily WHERE instrument % 3 = 0"
+# Two panels with other keys: days with a view and days with a click.
+_X = "SELECT date, instrument, max(px) AS close FROM e WHERE event_type = 'view' GROUP BY date, instrument"
+_Y = "SELECT date, instrument, CAST(count(*) AS DOUBLE) AS volume FROM e WHERE event_type = 'click' GROUP BY date, instrument"
+
+
+def _viewed(s, d):
+    return bars.events(s, d).where("event_type = 'view'").groupBy(*KEY).agg(F.max("px").alias("close"))
+
+
+def _clicked(s, d):
+    return bars.events(s, d).where("event_type = 'click'").groupBy(*KEY).agg(F.count("*").cast("double").alias("volume"))
+
+
 for _how in ("left", "inner", "full"):
-    query(f"merge_{'outer' if _how == 'full' else _how}", o.pick(f"{o.DAILY}, a AS ({_X}), b AS ({_Y})", f"a {_how} JOIN b USING (date, instrument)", KEY, ["close", "volume"]))(
-        lambda s, d, how=_how: pn.merge(daily(s, d).where("instrument % 2 = 0").select(*KEY, "close"), daily(s, d).where("instrument % 3 = 0").select(*KEY, "volume"), how)
-    )
+    query(f"merge_{'outer' if _how == 'full' else _how}", o.pick(f"{o.EVENTS}, a AS ({_X}), b AS ({_Y})", f"a {_how} JOIN b USING (date, instrument)", KEY, ["close", "volume"]))(lambda s, d, how=_how: pn.merge(_viewed(s, d), _clicked(s, d), how))
 
 
 @query("series_side_by_side", o.pick(f"{o.DAILY}, a AS ({_X}), b AS ({_Y}), c AS (SELECT date, instrument, high FROM daily WHERE volume > 2)", "a FULL JOIN b USING (date, instrument) FULL JOIN c USING (date, instrument)", KEY, ["close", "volume", "high"]))
 def _side(s, d):
-    p = daily(s, d)
-    return pn.side_by_side([p.where("instrument % 2 = 0").select(*KEY, "close"), p.where("instrument % 3 = 0").select(*KEY, "volume"), p.where("volume > 2").select(*KEY, "high")])
+    return pn.side_by_side([_viewed(s, d), _clicked(s, d), daily(s, d).where("volume > 2").select(*KEY, "high")])
 
 
 @query("execution_period", o.pick(f"{o.EVENTS},\n{o.INTRA}", "intra", SLOTKEY, ["mid_price"], "WHERE slot % 2 = 0 AND slot / 2 >= 7"))
@@ -156,9 +166,20 @@ def _execution(s, d):
     return pn.execution_period(intra(s, d), "close", 2, slots=SLOTS).select(*SLOTKEY, "mid_price")
 
 
-@query("sample_one_slot", o.pick(f"{o.EVENTS},\n{o.INTRA}", "intra", [*SLOTKEY, "CAST(floor((slot - 6) / 12.0 * 240) AS BIGINT) AS position"], ["mid_price"], "WHERE slot >= 6 AND slot < 18 QUALIFY row_number() OVER (PARTITION BY date, instrument ORDER BY (((instrument * 7919 + slot * 104729 + 9097963) * 31) % 10007), slot) = 1"))
+_INSIDE = "slot >= 6 AND slot < 18"
+
+
+@query(
+    "sample_one_slot",
+    f"WITH {o.EVENTS},\n{o.INTRA} SELECT date, count(DISTINCT instrument) AS drawn, count(DISTINCT instrument) AS inside, 0::BIGINT AS foreign_rows FROM intra WHERE {_INSIDE} GROUP BY date",
+)
 def _one_slot(s, d):
-    return pn.one_random_slot(intra(s, d), 7, period=(6, 18)).select(*SLOTKEY, "position", "mid_price")
+    """What any draw must fulfil, by date: one row an instrument, in the period, and a row of the panel."""
+    panel = intra(s, d)
+    drawn = pn.one_random_slot(panel, 7, period=(6, 18))
+    foreign = drawn.join(panel.select(*SLOTKEY, F.col("mid_price").alias("m")), SLOTKEY, "left").withColumn("f", ~F.col("mid_price").eqNullSafe(F.col("m")))
+    place = F.floor((F.col("slot") - 6) / 12.0 * 240)
+    return foreign.groupBy("date").agg(F.count("*").alias("drawn"), F.count_if(F.expr(_INSIDE) & (F.col("position") == place)).alias("inside"), F.count_if("f").alias("foreign_rows"))
 
 
 @query("train_part", o.pick(o.DAILY, "daily", KEY, ["close"], "WHERE date >= DATE '2024-01-03' AND date < DATE '2024-01-20'"))
@@ -355,33 +376,9 @@ _factor(
     [{"sp": f"CASE WHEN bid_price1 = 0 THEN {MID} ELSE bid_price1 END"}, {"z": f"coalesce(lead(sp, 10) {o.SLOT}, last_value(sp) {o.REST})"}],
 )
 
-# Groups: every factor of a group is made in one plan; the oracle checks some of its columns.
-SHORT = (1, 2, 3, 5, 10)
-
-
-def clipped(x: str, shift: float, scale: float) -> str:
-    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(least((({x}) - {shift}) * {scale}, 5), -5) END"
-
-
-@query("group_lib", o.factor_sql(_Y1 | {"m": f"avg({o.AC}) {_B5} * factor"} | _sums, {"price_dev_from_ma_5": clipped(f"({L(MID)} - {L('m')}) / sqrt(5)", 0, 100), "daily_mom_1": clipped(o.MOM1, 0, 50), "daily_volatility_5": clipped(f"sqrt({_with[2]} / (s0 + 1))", 0.025, 100)}))
-def _group_lib(s, d):
-    return factors(s, d, groups.group("lib"), raw=False).select(*SLOTKEY, "price_dev_from_ma_5", "daily_mom_1", "daily_volatility_5")
-
-
-@query("group_filters", o.factor_sql(_Y1 | {f"c{w}": f"count({o.AC}) {o.back(w)}" for w in (1, 3, 5)}, {f"daily_recent_vacancy_{w}": f"CASE WHEN c{w} / {w}.0 > 0.8 THEN 1 ELSE 0 END" for w in (1, 3, 5)}))
-def _group_filters(s, d):
-    return factors(s, d, groups.group("filters"), raw=False).select(*SLOTKEY, *[f"daily_recent_vacancy_{w}" for w in (1, 3, 5)])
-
-
-@query("group_targets", o.factor_sql({f"c{w}": f"lead({o.AC}, {w}) {o.BY_DAY} * factor" for w in (3, 1)} | _HL, {f"future_day_targets_{w}": clipped(f"{L(f'c{w}')} - {L(_BUY)}", 0, 1) for w in (3, 1)} | {"future_day_range_targets_3": clipped(f"{L('h3')} - {L('l3')}", 0, 1)}))
-def _group_targets(s, d):
-    return factors(s, d, groups.group("targets_with_costs_10m_3D_with_range"), raw=False).select(*SLOTKEY, "future_day_targets_3", "future_day_targets_1", "future_day_range_targets_3")
-
-
-@query("group_fg260114")
-def _group_large(s, d):
-    return factors(s, d, groups.group("fg260114"), raw=False)
-
+# Groups: every factor of a group in one plan, all of them returned and compared.
+for _g in groups.GROUPS:
+    query("group_targets" if _g.endswith("with_range") else f"group_{_g}", o.group_sql(groups.group(_g)))(lambda s, d, g=_g: factors(s, d, groups.group(g), raw=False))
 
 # Ranks ------------------------------------------------------------------------------------------
 
@@ -392,9 +389,12 @@ query("rank_exact", o.pick(f"{o.DAILY}, x AS (SELECT *, rank() OVER (PARTITION B
 )
 
 
-@query("rank_factors", o.binned(o.DAILY, "daily", "volume", "date", 2000, 3.5, False, KEY, "rank_volume", "4 * ({}) - 2"))
+_RANKED = [o.binned(o.DAILY, "daily", c, "date", 2000, 3.5, False, KEY, f"rank_{c}", "4 * ({}) - 2") for c in ("volume", "close")]
+
+
+@query("rank_factors", f"SELECT * FROM ({_RANKED[0]}) JOIN ({_RANKED[1]}) USING (date, instrument)")
 def _rank_factors(s, d):
-    return xs.ranked_columns(daily(s, d).select(*KEY, "volume", "close"), ["volume", "close"], KEY, ["date"]).select(*KEY, "rank_volume")
+    return xs.ranked_columns(daily(s, d).select(*KEY, "volume", "close"), ["volume", "close"], KEY, ["date"]).select(*KEY, "rank_volume", "rank_close")
 
 
 # Cross-sections and evaluation --------------------------------------------------------------------
@@ -435,22 +435,65 @@ def _metric_table(s, d):
     return ev.metric_table(pred(s, d), [("day", "pred", ["gt_1"], ["ic", "tiered_returns"])], _D)
 
 
-def _daily_sql(h: int) -> str:
-    pairs = f"SELECT date, instrument, pred, gt_{h} AS gt FROM pred WHERE pred IS NOT NULL AND gt_{h} IS NOT NULL"
-    return f"""SELECT date, 'gt_{h}' AS horizon, CASE WHEN count(*) >= 20 THEN corr(pred, gt) END AS ic, corr(p, g) AS rank_ic, avg(CASE WHEN (pred > q) = (gt > 0) THEN 1.0 ELSE 0.0 END) AS hit_rate,
-  CASE WHEN count(*) >= 20 AND count(*) FILTER (WHERE gt > 0) BETWEEN 1 AND count(*) - 1 THEN (sum(r) FILTER (WHERE gt > 0) - count(*) FILTER (WHERE gt > 0) * (count(*) FILTER (WHERE gt > 0) + 1) / 2.0) / (count(*) FILTER (WHERE gt > 0) * (count(*) - count(*) FILTER (WHERE gt > 0))) END AS auc
-  FROM (SELECT *, quantile_cont(pred, 0.5) OVER (PARTITION BY date) AS q, row_number() OVER (PARTITION BY date ORDER BY pred, instrument) AS p, row_number() OVER (PARTITION BY date ORDER BY gt, instrument) AS g,
-    rank() OVER (PARTITION BY date ORDER BY pred) + (count(*) OVER (PARTITION BY date, pred) - 1) / 2.0 AS r FROM ({pairs})) GROUP BY date"""
+def _metrics_sql(source: str, horizons: list[str], by: list[str], least: int, q: int, tops: tuple[int, ...]) -> str:
+    """Two table expressions: cs, every metric of each cross-section, and ev, their averages by date and horizon."""
+    g, keys = ", ".join([*by, "horizon"]), ", ".join(by)
+    long = " UNION ALL ".join(f"SELECT {keys}, instrument, pred AS p, '{h}' AS horizon, {h} AS g FROM {source}" for h in horizons)
+    tied = lambda c, part: f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY {part} ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {part}, {c}) - 1) / 2.0 END"
+    mean = lambda c: f"avg(g) FILTER (WHERE ok AND {c})"
+    corr = lambda x, y, c: f"CASE WHEN count(*) FILTER (WHERE {c}) >= {least} THEN nullif(corr({x}, {y}) FILTER (WHERE {c}), 'nan'::DOUBLE) END"
+    enough = f"max(n) >= {max(50, 5 * q)}"
+    pos = "count(*) FILTER (WHERE ok AND g > 0)"
+    returns = [mean(f"floor(((k + 1) * {q} - 1) / n) = {i}") for i in range(q)] + [mean(f"k >= n - {c}") for c in tops]
+    rank = lambda i: " + ".join(["0.5", *[f"(b{j} < b{i})::INT + (b{j} = b{i})::INT * 0.5" for j in range(q)]])
+    centred = {i: f"({rank(i)} - {(q + 1) / 2})" for i in range(q)}
+    mono = f"({' + '.join(f'{i + 1 - (q + 1) / 2} * {centred[i]}' for i in range(q))}) / nullif(sqrt({sum((i + 1 - (q + 1) / 2) ** 2 for i in range(q))} * ({' + '.join(f'{centred[i]} * {centred[i]}' for i in range(q))})), 0)"
+    return f"""lg AS ({long}),
+rk1 AS (SELECT *, {tied('p', g)} AS rp, {tied('g', g)} AS rg, coalesce(p IS NOT NULL AND g IS NOT NULL, false) AS ok FROM lg),
+rk2 AS (SELECT *, quantile_cont(rp, 0.5) OVER (PARTITION BY {g}) AS m, quantile_cont(p, 0.5) OVER (PARTITION BY date, horizon) AS t, count(*) FILTER (WHERE ok) OVER (PARTITION BY {g}) AS n,
+  row_number() OVER (PARTITION BY {g}, ok ORDER BY p, instrument) - 1 AS k, {tied('p', f'{g}, ok')} AS ru FROM rk1),
+cs0 AS (SELECT {g}, max(n) AS n, {corr('p', 'g', 'ok')} AS ic, {corr('rp', 'rg', 'ok')} AS rank_ic, {corr('rp', 'rg', 'ok AND rp >= m')} AS rank_ic_long, -{corr('rp', 'rg', 'ok AND rp <= m').replace('CASE', '(CASE', 1)}) AS rank_ic_short,
+  CASE WHEN max(n) >= {least} THEN avg(((p > t) = (g > 0))::INT) FILTER (WHERE ok) END AS hit_rate,
+  CASE WHEN max(n) >= 20 AND {pos} > 0 AND {pos} < max(n) THEN (sum(ru) FILTER (WHERE ok AND g > 0) - {pos} * ({pos} + 1) / 2.0) / ({pos} * (max(n) - {pos})) END AS auc,
+  CASE WHEN {enough} THEN {mean('k >= n - greatest(1, round_even(0.01 * n, 0))')} - {mean('k < greatest(1, round_even(0.01 * n, 0))')} END AS tail,
+  {', '.join(f'CASE WHEN {enough} THEN {x} END AS b{i}' for i, x in enumerate(returns))} FROM rk2 GROUP BY {g}),
+cs AS (SELECT *, b{q + len(tops) - 1} AS top, b0 AS bottom, b{q - 1} - b0 AS spread, CASE WHEN b0 IS NOT NULL THEN {mono} END AS monotonicity FROM cs0),
+ev AS (SELECT date, horizon, {', '.join(f'avg({m}) AS {m}' for m in ev.DAILY)}, {', '.join(f'avg(b{i}) AS b{i}' for i in range(q + len(tops)))} FROM cs GROUP BY date, horizon)"""
+
+
+_HS, _MS = ["gt_1", "gt_2", "gt_3"], list(ev.DAILY)
+_QT = {"q": 5, "tops": (5, 10)}
+_EV = f"{o.PRED},\n{_metrics_sql('pred', _HS, ['date'], 20, 5, (5, 10))}"
+_BS = {f"return_{i}": f"b{i}" for i in range(7)}
+
+
+def _spread_out(df: DataFrame) -> DataFrame:
+    return df.select("date", "horizon", *_MS, *[F.get("quantile_returns", F.lit(i)).alias(n) for i, n in enumerate(_BS)])
+
 
+def _daily_metrics(s, d):
+    return ev.daily_metrics(pred(s, d), "pred", _HS, **_QT)
 
-_EV = f"{o.PRED}, ev AS ({' UNION ALL '.join(_daily_sql(h) for h in (1, 2, 3))})"
-_MS = ["ic", "rank_ic", "hit_rate", "auc"]
-query("eval_daily", o.pick(_EV, "ev", ["date", "horizon"], _MS))(lambda s, d: ev.daily_metrics(pred(s, d), "pred", ["gt_1", "gt_2", "gt_3"]))
-query("eval_summary", f"WITH {_EV} SELECT horizon, count(*) AS n_days, {', '.join(f'round(avg({m}), 6) + 0.0 AS {m}_mean, round(stddev_samp({m}), 6) + 0.0 AS {m}_std' for m in _MS)} FROM ev GROUP BY horizon")(
-    lambda s, d: ev.summary(ev.daily_metrics(pred(s, d), "pred", ["gt_1", "gt_2", "gt_3"]), _MS)
+
+query("eval_daily", o.pick(_EV, "ev", ["date", "horizon"], {m: m for m in _MS} | _BS))(lambda s, d: _spread_out(_daily_metrics(s, d)))
+_SLOTTED = f"{o.EVENTS},\n{o.INTRA},\nsl AS (SELECT date, slot, instrument, resid AS pred, {o.ln(f'coalesce(lead(mid_price, 3) {o.SLOT}, last_value(mid_price) {o.REST})')} - {o.ln('mid_price')} AS r3, {o.ln(f'last_value(mid_price) {o.REST}')} - {o.ln('mid_price')} AS rc FROM intra),\n{_metrics_sql('sl', ['r3', 'rc'], ['date', 'slot'], 20, 5, (5, 10))}"
+
+
+@query("eval_slots", o.pick(_SLOTTED, "ev", ["date", "horizon"], {m: m for m in _MS} | _BS))
+def _eval_slots(s, d):
+    """Cross-sections of every slot, averaged to days."""
+    rows = intra(s, d).select(*SLOTKEY, F.col("resid").alias("pred"), wd.return_ahead("mid_price", 3).alias("r3"), wd.return_ahead("mid_price", -1).alias("rc"))
+    return _spread_out(ev.daily_metrics(rows, "pred", ["r3", "rc"], slot="slot", **_QT))
+
+
+_SUMMED = f"SELECT horizon, count(*) AS n_days, {', '.join(f'round(avg({m}), 6) + 0.0 AS {m}_mean, round(stddev_samp({m}), 6) + 0.0 AS {m}_std' for m in _MS)} FROM ev GROUP BY horizon"
+query("eval_summary", f"WITH {_EV} {_SUMMED}")(lambda s, d: ev.summary(_daily_metrics(s, d), _MS))
+_PEAKED = ["ic", "rank_ic", "rank_ic_long"]
+query("eval_peak_horizon", f"WITH {_EV}, sm AS (SELECT horizon, {', '.join(f'abs(avg({m})) AS {m}' for m in _PEAKED)} FROM ev GROUP BY horizon) SELECT {', '.join(f'arg_max(horizon, {m}) AS {m}_peak' for m in _PEAKED)} FROM sm")(
+    lambda s, d: ev.peak_horizon(ev.summary(_daily_metrics(s, d), _PEAKED), _PEAKED)
 )
-query("eval_peak_horizon", f"WITH {_EV}, sm AS (SELECT horizon, {', '.join(f'abs(avg({m})) AS {m}' for m in _MS)} FROM ev GROUP BY horizon) SELECT {', '.join(f'arg_max(horizon, {m}) AS {m}_peak' for m in _MS)} FROM sm")(
-    lambda s, d: ev.peak_horizon(ev.summary(ev.daily_metrics(pred(s, d), "pred", ["gt_1", "gt_2", "gt_3"]), _MS), _MS)
+query("eval_top_horizons", f"WITH {_EV}, sm AS (SELECT horizon, abs(avg(rank_ic)) AS m FROM ev GROUP BY horizon) SELECT row_number() OVER (ORDER BY m DESC, horizon) AS rank, horizon FROM sm QUALIFY rank <= 2")(
+    lambda s, d: ev.top_horizons(ev.summary(_daily_metrics(s, d), _PEAKED), "rank_ic", 2)
 )
 
 
@@ -508,25 +551,60 @@ def _neutral2(s, d):
     return xs.neutralize(bars.month_panel(s, d), "daily_return", ["alpha", "high"], ["date"], least=20).select(*KEY, "residual")
 
 
+# Three regressors by taking one after the other out of the rest; a month on which they can't be told apart is left out.
+def _out(of: list[str], x: str) -> str:
+    return ", ".join(f"{c} - coalesce(regr_slope({c}, {x}) OVER (PARTITION BY date), 0) * ({x} - avg({x}) OVER (PARTITION BY date)) - avg({c}) OVER (PARTITION BY date) AS {c}" for c in of)
+
+
+@query(
+    "neutralize_3f",
+    o.pick(
+        f"{o.MONTH}, z0 AS (SELECT date, instrument, daily_return AS y, alpha AS a, high AS b, volume / 100.0 AS c, count(*) OVER (PARTITION BY date) AS n FROM month), "
+        f"z1 AS (SELECT date, instrument, n, {_out(['y', 'b', 'c'], 'a')} FROM z0), z2 AS (SELECT date, instrument, n, {_out(['y', 'c'], 'b')} FROM z1), z3 AS (SELECT date, instrument, n, {_out(['y'], 'c')} FROM z2)",
+        "z3", KEY, {"residual": "y"}, "WHERE n >= 20",
+    ),
+)
+def _neutral3(s, d):
+    panel = bars.month_panel(s, d).withColumn("c", F.col("volume") / 100)
+    return xs.neutralize(panel, "daily_return", ["alpha", "high", "c"], ["date"], least=20).select(*KEY, "residual")
+
+
+query("betas", o.pick(f"{o.MONTH}", "(SELECT date, count(*) AS n, regr_intercept(daily_return, alpha) AS i, regr_slope(daily_return, alpha) AS b, corr(daily_return, alpha) AS c FROM month GROUP BY date)", ["date", "n"], {"intercept": "i", "beta_alpha": "b", "corr_alpha": "c"}, "WHERE n >= 20"))(
+    lambda s, d: xs.betas(bars.month_panel(s, d), "daily_return", ["alpha"], ["date"], least=20)
+)
+
+
 # Sketches, profiles, losses, sampling, models, streams ------------------------------------------------
 
 _TL = (0.9, 0.99, 0.999)
 
 
-@query("sketch_tail", " UNION ALL ".join(f"SELECT '{c}' AS horizon, CAST({x} AS DOUBLE) AS level, round(quantile_cont({c}, {x}), 6) + 0.0 AS upper, round(quantile_cont({c}, {round(1 - x, 6)}), 6) + 0.0 AS lower FROM lineitem" for c in ("l_quantity", "l_extendedprice") for x in _TL))
+@query("exact_tail", " UNION ALL ".join(f"SELECT '{c}' AS horizon, CAST({x} AS DOUBLE) AS level, round(quantile_cont({c}, {x}), 6) + 0.0 AS upper, round(quantile_cont({c}, {round(1 - x, 6)}), 6) + 0.0 AS lower FROM lineitem" for c in ("l_quantity", "l_extendedprice") for x in _TL))
+def _exact_tail(s, d):
+    return ev.exact_tails(bars.read(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], _TL)
+
+
+# Sketches: what they return depends on how rows were dealt, so it is their rank in the exact distribution that is compared, to hundredths.
+_RANKS = " UNION ALL ".join(f"SELECT '{c}' AS horizon, CAST({x} AS DOUBLE) AS level, CAST(round({x}, 2) AS DOUBLE) AS upper_rank, CAST(round({1 - x}, 2) AS DOUBLE) AS lower_rank" for c in ("l_extendedprice",) for x in _TL)
+
+
+@query("sketch_tail", _RANKS)
 def _tail(s, d):
-    return ev.tails(bars.read(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], _TL)
+    """Both tails from a sketch merged of the months' sketches, and the exact ranks of its quantiles."""
+    line = bars.read(s, d, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
+    months = ev.quantile_sketches(line, ["l_extendedprice"], 4096, by=["month"])
+    got = ev.sketch_quantiles(ev.merged(months), _TL)
+    both = line.crossJoin(F.broadcast(got)).groupBy("horizon", "level")  # a row for each level
+    rank = lambda c: F.round(F.avg((F.col("l_extendedprice") <= F.col(c)).cast("double")), 2)
+    return both.agg(rank("upper").alias("upper_rank"), rank("lower").alias("lower_rank"))
 
 
-@query("sketch_cdf", "SELECT 'l_extendedprice' AS horizon, CAST(x AS DOUBLE) AS x, true AS near FROM (VALUES (10000), (30000), (60000)) t(x)")
+_POINTS = (10000.0, 30000.0, 60000.0)
+
+
+@query("sketch_cdf", f"SELECT 'l_extendedprice' AS horizon, CAST(x AS DOUBLE) AS x, round((SELECT avg((l_extendedprice <= x)::INT) FROM lineitem), 2) + 0.0 AS cdf FROM (VALUES {', '.join(f'({p})' for p in _POINTS)}) t(x)")
 def _cdf(s, d):
-    """The sketch's cdf, compared with the exact one: within one hundredth."""
-    line = bars.read(s, d, "lineitem")
-    points = (10000.0, 30000.0, 60000.0)
-    got = ev.sketch_ranks(ev.quantile_sketches(line, ["l_extendedprice"]), points)
-    exact = line.agg(*[F.avg((F.col("l_extendedprice") <= p).cast("double")).alias(f"p{i}") for i, p in enumerate(points)])
-    long = exact.select(F.explode(F.array(*[F.struct(F.lit(p).alias("x"), F.col(f"p{i}").alias("exact")) for i, p in enumerate(points)])).alias("e")).select("e.*")
-    return got.join(long, "x").select("horizon", "x", (F.abs(F.col("cdf") - F.col("exact")) < 0.01).alias("near"))
+    return ev.sketch_ranks(ev.quantile_sketches(bars.read(s, d, "lineitem"), ["l_extendedprice"], 4096), _POINTS).withColumn("cdf", F.round("cdf", 2))
 
 
 @query(
@@ -544,12 +622,12 @@ def _profile(s, d):
     return k.groupBy("instrument", "slot").agg(F.sum(F.when(F.col("k") == 0, decayed).otherwise(0.05 * decayed) * F.col("share")).alias("profile"))
 
 
-_PW = "FROM pairs a JOIN pairs b ON a.date = b.date AND a.instrument < b.instrument WHERE a.date = DATE '2024-01-15'"
+_PW = "FROM pairs a JOIN pairs b ON a.date = b.date AND a.instrument < b.instrument"
 
 
 @query("pairwise_loss", f"WITH {o.PRED} SELECT a.date, count(*) AS pairs, round(sum(greatest(a.pred - b.pred, 0) + ln(1 + exp(-abs(a.pred - b.pred))) - (a.pred - b.pred) * (a.gt_1 - b.gt_1 > 0.001)::INT) / (count(*) + 1e-8), 6) + 0.0 AS loss {_PW} GROUP BY a.date")
 def _pairwise(s, d):
-    return xs.pair_loss(pred(s, d).where("date = DATE '2024-01-15'"), "pred", "gt_1", ["date"])
+    return xs.pair_loss(pred(s, d), "pred", "gt_1", ["date"])
 
 
 @query("losses", f"WITH {o.PRED} SELECT date, round(avg(abs(pred - gt_1)), 6) + 0.0 AS mae_pred_gt_1, round(avg((pred - gt_1) * (pred - gt_1)), 6) + 0.0 AS mse_pred_gt_1, round(0.5 * avg(abs(pred - gt_1)) + 2 * avg((pred - gt_1) * (pred - gt_1)), 6) + 0.0 AS total FROM pairs GROUP BY date")
@@ -588,13 +666,87 @@ def _factor_summary(s, d):
     return f.agg(F.lit(v).alias("factor"), F.count_if(F.col(v).isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
-@query("stream_running", "SELECT CAST(ts AS DATE) AS date, user_id AS instrument, count(*) AS n, round(sum(value), 6) + 0.0 AS total, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low FROM events GROUP BY 1, 2")
-def _stream(s, d):
-    """A file stream drained into the shared folder in update mode; the last state of each key."""
+# Training items and inference
+
+
+_ITEM = {"features": [_mom1, Fd("daily_mom", 5, daily=("adjusted_close",), intraday=(MID,), scale=50)], "targets": [Fd("future_day_targets", 1, future=("adjusted_close",), intraday=("ask_price1", MID))], "filters": groups.group("filters")}
+_ITEM_SQL = o.group_sql([d for part in _ITEM.values() for d in part])
+_FILTERED = " AND ".join(f"{d.name} > 0" for d in _ITEM["filters"])
+
+
+@query("dataset_item", f"SELECT date, instrument, slot, daily_mom_1, daily_mom_5, future_day_targets_1, coalesce({_FILTERED}, false) AS selector FROM ({_ITEM_SQL})")
+def _item(s, d):
+    return datasets.DATASETS["intraday_cs"](dense(s, d), intra(s, d), **_ITEM, slots=SLOTS)
+
+
+@query("dataset_sample", f"SELECT date, count(*) AS kept, count(*) AS chosen FROM (SELECT date, instrument FROM ({_ITEM_SQL}) WHERE slot >= 6 AND slot < 18 GROUP BY 1, 2 HAVING bool_and(coalesce({_FILTERED}, false))) GROUP BY date")
+def _item_sample(s, d):
+    """Draws of the instruments all of whose slots are selected: none of them may be lost."""
+    items = _item(s, d)
+    drawn = datasets.COLLATES["sample"](items, 3, (6, 18)).select(*KEY, F.lit(1).alias("one"))
+    sure = items.where("slot >= 6 AND slot < 18").groupBy(*KEY).agg(F.every("selector").alias("sure")).where("sure")
+    return sure.join(drawn, KEY, "left").groupBy("date").agg(F.count("one").alias("kept"), F.count("*").alias("chosen"))
+
+
+def _linear(w) -> list[str]:
+    """SQL of the outputs of a network without blocks."""
+    hidden = [" + ".join([f"{float(w['in'][0][i, j])!r} * {d.name}" for i, d in enumerate(_ITEM["features"])]) for j in range(len(w["in"][1]))]
+    return [" + ".join(f"{float(w['out'][0][j, k])!r} * ({h})" for j, h in enumerate(hidden)) for k in range(len(w["out"][1]))]
+
+
+_NET = mlp.init_weights(2, 3, hidden=4, blocks=0)
+
+
+@query("factor_inference", f"SELECT date, instrument, slot, {', '.join(f'round({x}, 6) + 0.0 AS pred_{k}' for k, x in enumerate(_linear(_NET)))} FROM ({o.group_sql(_ITEM['features']).replace('round(CAST(', '(CAST(').replace(' AS DOUBLE), 6) + 0.0', ' AS DOUBLE))')})")
+def _factor_inference(s, d):
+    return datasets.infer(_ITEM["features"], _NET, dense(s, d), intra(s, d), SLOTS)
+
+
+# Streams, drained into the shared folder
+
+
+def _streams(s: SparkSession) -> str:
     from uuid import uuid4
 
-    from tidegrid.streaming import running
+    return f"{shared_folder(s)}/stream-{uuid4().hex}"
+
 
-    top = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    out = running.running_day(running.event_stream(s, d)).select("date", "instrument", "n", "total", "high", "low")
-    return running.run_to_table(out, f"{top.rstrip('/')}/stream-{uuid4().hex}", "running", "update", ("date", "instrument"))
+_RAW = {"n": "CAST(count(*) AS DOUBLE)"} | {f"s{k}": f"sum({' * '.join(['value'] * k)})" for k in (1, 2, 3)}
+
+
+@query(
+    "stream_running",
+    f"WITH g AS (SELECT CAST(ts AS DATE) AS date, user_id AS instrument, {', '.join(f'{x} AS {n}' for n, x in _RAW.items())}, max(value) AS high, min(value) AS low FROM events GROUP BY 1, 2) "
+    f"SELECT date, instrument, CAST(n AS BIGINT) AS n, round(s1, 6) + 0.0 AS total, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(sqrt(greatest(s2 / n - pow(s1 / n, 2), 0)), 6) + 0.0 AS std, round({o.skew_adj('n', 's1', 's2', 's3')}, 6) + 0.0 AS skewness FROM g",
+)
+def _stream(s, d):
+    """A file stream in update mode; the last state of each key."""
+    return running.run_to_table(running.running_day(running.event_stream(s, d)), _streams(s), "running", "update", ("date", "instrument"))
+
+
+@query("stream_sketches", " UNION ALL ".join(f"SELECT CAST(ts AS DATE) AS date, 'value' AS horizon, CAST({x} AS DOUBLE) AS level, round(quantile_disc(value, {x}), 6) + 0.0 AS upper, round(quantile_disc(value, {1 - x}), 6) + 0.0 AS lower FROM events GROUP BY 1" for x in (0.75, 0.875)))
+def _stream_sketches(s, d):
+    """Quantiles of each day from streamed sketches: exact where a day has fewer values than the sketch keeps."""
+    out = running.run_to_table(running.day_sketches(running.event_stream(s, d), k=4096), _streams(s), "sketches", "update", ("date", "horizon"))
+    return ev.sketch_quantiles(out, (0.75, 0.875))
+
+
+@query("stream_ewma", ORACLES["vol_profile_ewma"])
+def _stream_ewma(s, d):
+    """The volume profile as streamed state: the days arrive in three files, each in its turn."""
+    w = Window.partitionBy("instrument", "date")
+    share = intra(s, d).withColumn("share", wd.total("volume") / F.sum("volume").over(w)).where("slot % 6 = 5").select("date", "instrument", "slot", "share")
+    top = _streams(s)
+    for a, b in (("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20"), ("2024-01-21", "2024-12-31")):
+        pn.between(share, a, b).coalesce(1).write.mode("append").parquet(f"{top}/share")
+    out = running.run_to_table(running.decayed(running.file_stream(s, f"{top}/share"), "share", 0.95, ("instrument", "slot")), top, "profile", "update", ("instrument", "slot"))
+    return out.select("instrument", "slot", F.col("ewma").alias("profile"))
+
+
+@query("stream_factors", ORACLES["f_daily_mom"])
+def _stream_factors(s, d):
+    """A factor online: bars as a stream against the history that was there before the day."""
+    top = _streams(s)
+    intra(s, d).select(*SLOTKEY, MID).repartition(3).write.parquet(f"{top}/bars")
+    made = compile_factors([Fd("daily_mom", 5, daily=("adjusted_close",), intraday=(MID,))], dense(s, d), running.file_stream(s, f"{top}/bars"), SLOTS, raw=True)
+    return running.run_to_table(made, top, "factors", "append")

@@ -72,11 +72,6 @@ def time_grid(spark: SparkSession, day: str, step_minutes: int = 1, sessions=(("
     return grid.withColumn("slot", F.row_number().over(Window.orderBy("datetime")) - 1)  # one day's slots
 
 
-def on_grid(df: DataFrame, grid: DataFrame, time: str = "datetime") -> DataFrame:
-    """Rows whose time is exactly a grid time, with its slot."""
-    return df.join(grid, time)
-
-
 def zero_filled(name: str) -> bool:
     return name in ZERO_FIELDS or name.endswith("diff")
 
@@ -184,9 +179,14 @@ def side_by_side(series: Sequence[DataFrame], keys: Sequence[str] = ("date", "in
     return reduce(lambda a, b: a.join(b, list(keys), "full"), series)
 
 
+def all_positive(conditions: Sequence[str]) -> Column:
+    """Whether all of the flag columns are positive; missing where one of them is."""
+    return reduce(lambda a, b: a & b, [F.col(c) > 0 for c in conditions])
+
+
 def every(df: DataFrame, conditions: Sequence[str]) -> DataFrame:
     """Rows where all of the flag columns are positive."""
-    return df.where(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in conditions]))
+    return df.where(all_positive(conditions))
 
 
 def execution_period(df: DataFrame, period: str = "all", stride: int = 1, slot: str = "slot", slots: int = 24) -> DataFrame:
@@ -216,12 +216,35 @@ def first_at_or_after(df: DataFrame, marks: Sequence[int], minute: str, by: Sequ
     return df.withColumn("_m", own).withColumn("_p", F.lag("_m").over(w)).where((F.col("_m") >= 0) & (F.col("_p").isNull() | (F.col("_p") < F.col("_m")))).drop("_p").withColumnRenamed("_m", "mark")
 
 
-def one_random_slot(df: DataFrame, seed: int, by: Sequence[str] = ("date", "instrument"), slot: str = "slot", period: tuple[int, int] | None = None) -> DataFrame:
-    """One row of each group, drawn by a hash of the seed and its keys; position is its place in 240 minutes."""
+def one_random_slot(df: DataFrame, seed: int, by: Sequence[str] = ("date", "instrument"), slot: str = "slot", period: tuple[int, int] | None = None, valid: str | None = None, selector: Column | None = None) -> DataFrame:
+    """One row of each group, drawn by a hash of the seed, the group and the slot; position is its place in 240 minutes.
+
+    valid: a flag that a group's rows need to take part; selector: what the drawn row must fulfil to stay (it is not drawn anew).
+    """
     a, b = period or (0, 24)
-    w = Window.partitionBy(*by).orderBy(F.pmod((F.col(by[-1]) * 7919 + F.col(slot) * 104729 + seed * 1299709) * 31, F.lit(10007)), slot)
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *by, slot), slot)
     inside = df.where((F.col(slot) >= a) & (F.col(slot) < b))
-    return inside.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("position", F.floor((F.col(slot) - a) / F.lit(float(b - a)) * 240).cast("int"))
+    inside = inside if valid is None else inside.where(F.col(valid))
+    drawn = inside.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    kept = drawn if selector is None else drawn.where(selector)
+    return kept.withColumn("position", F.floor((F.col(slot) - a) / F.lit(float(b - a)) * 240).cast("int"))
+
+
+def without_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df, whose named columns may hold no missing value and no NaN: a row that does fails the query when it is read."""
+    kinds = dict(df.dtypes)
+    gap = reduce(lambda x, y: x | y, [F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in columns])
+    first = columns[0]
+    return df.withColumn(first, F.when(gap, F.raise_error(F.lit("a missing value in the batch")).cast(kinds[first])).otherwise(F.col(first)))
+
+
+def trailing(df: DataFrame, time: str, until, n: int | None = None, by: str = "instrument") -> DataFrame:
+    """What a cursor at `until` has seen: rows up to and with it, or the last n of them of each instrument."""
+    seen = df.where(F.col(time) <= F.lit(until))
+    if n is None:
+        return seen
+    w = Window.partitionBy(by).orderBy(F.desc(time))
+    return seen.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
 def train_part(df: DataFrame, start, end, time: str = "date") -> DataFrame:

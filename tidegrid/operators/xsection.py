@@ -7,9 +7,11 @@ cross-section of instruments.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,13 @@ def ranked_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str], b
     return df.join(wide, list(keys))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of a group's pairs; NULL where either doesn't vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def both(x: str, y: str) -> Column:
     return F.col(x).isNotNull() & F.col(y).isNotNull()
 
@@ -75,14 +84,14 @@ def both(x: str, y: str) -> Column:
 def ic(df: DataFrame, pred: str, gt: str, by: Sequence[str], least: int = 20) -> DataFrame:
     """Pearson correlation over the pairs without gaps; NULL under `least` pairs."""
     pairs = df.where(both(pred, gt))
-    agg = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.corr(pred, gt).alias("_ic"), F.stddev_pop(pred).alias("_a"), F.stddev_pop(gt).alias("_b"))
+    agg = pairs.groupBy(*by).agg(F.count("*").alias("n"), correlation(pred, gt).alias("_ic"), F.stddev_pop(pred).alias("_a"), F.stddev_pop(gt).alias("_b"))
     return df.select(*by).distinct().join(agg, list(by), "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.when((F.col("n") >= least) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("_ic")).alias("ic"))
 
 
 def rank_ic(df: DataFrame, pred: str, gt: str, by: Sequence[str], tie: str = "instrument", scaled: bool = True) -> DataFrame:
     """Correlation of position ranks; scaled: times (n - 1) / n, as the metric of that name has it."""
     ranked = df.where(both(pred, gt)).select(*by, position_rank(pred, by, tie).alias("_p"), position_rank(gt, by, tie).alias("_g"))
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(F.col("_p").cast("double"), F.col("_g").cast("double")).alias("_c"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col("_p").cast("double"), F.col("_g").cast("double")).alias("_c"))
     return out.select(*by, "n", F.when(F.col("n") >= 2, F.col("_c") * ((F.col("n") - 1) / F.col("n") if scaled else F.lit(1.0))).alias("rank_ic"))
 
 
@@ -138,7 +147,7 @@ def quantile_summary(df: DataFrame, pred: str, gt: str, by: Sequence[str], q: in
     buckets = quantile_stats(df, pred, gt, by, q, tie, least)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("mean", "bucket")).cast("double")
     b = buckets.withColumn("_r", rank).groupBy(*by).agg(
-        (F.max_by("mean", "bucket") - F.min_by("mean", "bucket")).alias("spread"), F.corr(F.col("bucket").cast("double"), "_r").alias("monotonicity")
+        (F.max_by("mean", "bucket") - F.min_by("mean", "bucket")).alias("spread"), correlation(F.col("bucket").cast("double"), "_r").alias("monotonicity")
     )
     t = top_share(df, pred, gt, by, 0.01, tie).where(F.col("_n") >= least).withColumn("_k", F.greatest(F.lit(1), F.round(F.col("_n") * 0.01)))
     mean = lambda c: F.avg(F.when(c, F.col(gt)))
@@ -203,36 +212,73 @@ def newey_west(df: DataFrame, x: str, time: str, lag: int = 5, least: int = 10)
     return agg.select("n", "mean", F.when((F.col("n") >= least) & (spread > 0), F.col("mean") / F.sqrt(spread / F.col("n"))).alias("t"))
 
 
-def neutralize(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], least: int = 500, intercept: bool = True, nonpositive: bool = False, share: float = 1.0) -> DataFrame:
-    """Rows without gaps with the betas and `residual` = y - share * (X beta), fitted by group with at least `least` rows.
+def _solved(moments: DataFrame, by: Sequence[str], k: int, intercept: bool, nonpositive: bool) -> DataFrame:
+    """by, _n, _base and arrays _beta, _corr: least squares from a group's mean values and covariances, one small system a group.
 
-    One or two regressors are solved from group sums by Cramer's rule, so the fit is an aggregate and a
-    join, never a group gathered in one task. Sums are centred first for accuracy.
+    A singular system gets its solution of least norm. nonpositive: coefficients over zero become zero.
+    """
+    kinds = dict(moments.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            column = lambda c: np.asarray(batch.column(c), dtype=np.float64)
+            mean = np.stack([column(f"_m{i}") for i in range(k + 1)], axis=1)
+            cov = np.empty((n, k + 1, k + 1))
+            for i in range(k + 1):
+                for j in range(i, k + 1):
+                    cov[:, i, j] = cov[:, j, i] = column(f"_s{i}_{j}")
+            gram = cov if intercept else cov + mean[:, :, None] * mean[:, None, :]
+            size = np.sqrt(np.maximum(np.diagonal(gram, axis1=1, axis2=2)[:, 1:], 0.0))  # regressors of unlike sizes are put on one scale
+            size[size == 0] = 1.0
+            scaled = gram[:, 1:, 1:] / (size[:, :, None] * size[:, None, :])
+            beta = (np.linalg.pinv(scaled, rcond=1e-12, hermitian=True) @ (gram[:, 1:, :1] / size[:, :, None]))[:, :, 0] / size if n else np.empty((0, k))
+            base = mean[:, 0] - (beta * mean[:, 1:]).sum(axis=1) if intercept else np.zeros(n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                corr = cov[:, 1:, 0] / np.sqrt(cov[:, 0, 0][:, None] * np.diagonal(cov, axis1=1, axis2=2)[:, 1:])
+            if nonpositive:
+                beta, base = np.minimum(beta, 0.0), np.minimum(base, 0.0)
+            lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (beta, np.where(np.isfinite(corr), corr, np.nan))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), batch.column("_n"), pa.array(base), *lists], [*by, "_n", "_base", "_beta", "_corr"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "_n long, _base double, _beta array<double>, _corr array<double>"])
+    return moments.mapInArrow(run, schema)
+
+
+def betas(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], least: int = 500, intercept: bool = True, nonpositive: bool = False) -> DataFrame:
+    """by, n, intercept, beta_x and corr_x for each regressor: a fit of y on xs in each group of at least `least` rows without gaps.
+
+    Counts, means and covariances are one aggregate, combined before the exchange; no group is gathered.
     """
-    if len(xs) > 2:
-        raise ValueError("one or two regressors")
-    pairs = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *xs)]))
     cols = [y, *xs]
-    means = pairs.groupBy(*by).agg(F.count("*").alias("_n"), *[(F.avg(c) if intercept else F.lit(0.0)).alias(f"_m_{c}") for c in cols])
-    centred = pairs.join(means, list(by)).withColumns({f"_d_{c}": F.col(c) - F.col(f"_m_{c}") for c in cols})
-    s = lambda a, b: F.sum(F.col(f"_d_{a}") * F.col(f"_d_{b}"))
-    sums = {f"_s{i}{j}": s(cols[i], cols[j]) for i in range(len(cols)) for j in range(i, len(cols))}
-    fit = centred.groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()])
-    c = F.col
-    if len(xs) == 1:
-        betas = [F.try_divide(c("_s01"), c("_s11"))]
-    else:
-        det = c("_s11") * c("_s22") - c("_s12") * c("_s12")
-        betas = [F.try_divide(c("_s01") * c("_s22") - c("_s02") * c("_s12"), det), F.try_divide(c("_s02") * c("_s11") - c("_s01") * c("_s12"), det)]
-    if nonpositive:
-        betas = [F.least(b, F.lit(0.0)) for b in betas]
-    fit = fit.select(*by, *[b.alias(f"beta_{x}") for b, x in zip(betas, xs, strict=True)])
-    out = centred.join(fit, list(by)).where(F.col("_n") >= least)
-    base = F.col(f"_m_{y}") - reduce(lambda a, x: a + F.col(f"beta_{x}") * F.col(f"_m_{x}"), xs, F.lit(0.0)) if intercept else F.lit(0.0)
-    if nonpositive:
-        base = F.least(base, F.lit(0.0))
-    fitted = reduce(lambda a, x: a + F.col(f"beta_{x}") * F.col(x), xs, base)
-    return out.withColumn("residual", F.col(y) - share * fitted).drop("_n", *[f"_m_{x}" for x in cols], *[f"_d_{x}" for x in cols])
+    pairs = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+    sums = [F.covar_pop(cols[i], cols[j]).alias(f"_s{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+    moments = pairs.groupBy(*by).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)], *sums).where(F.col("_n") >= least)
+    fit = _solved(moments, by, len(xs), intercept, nonpositive)
+    return fit.select(
+        *by, F.col("_n").alias("n"), F.col("_base").alias("intercept"), *[F.get("_beta", F.lit(i)).alias(f"beta_{x}") for i, x in enumerate(xs)], *[F.nanvl(F.get("_corr", F.lit(i)), F.lit(None)).alias(f"corr_{x}") for i, x in enumerate(xs)]
+    )
+
+
+def neutralize(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], least: int = 500, intercept: bool = True, nonpositive: bool = False, share: float = 1.0) -> DataFrame:
+    """Rows without gaps with the betas, correlations and `residual` = y - share * (X beta), of groups with at least `least` rows.
+
+    The fit has a row for each group and is joined back on it; the rows are read once more, not exchanged
+    while the fit is small enough to be broadcast.
+    """
+    fit = betas(df, y, xs, by, least, intercept, nonpositive)
+    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *xs)]))
+    out = rows.join(fit.drop("n"), list(by))
+    fitted = reduce(lambda a, x: a + F.col(f"beta_{x}") * F.col(x), xs, F.col("intercept"))
+    return out.withColumn("residual", F.col(y) - share * fitted).drop("intercept")
+
+
+def sequence_pair_loss(df: DataFrame, pred: str, gt: str, mask: str, by: Sequence[str], step: str, order: str = "instrument", margin: float = 0.001) -> DataFrame:
+    """by, pairs, loss: pair losses of sequences, over pairs of sequences at every step where both are masked in."""
+    rows = df.where(F.col(mask) > 0)
+    each = pair_loss(rows, pred, gt, [*by, step], order, margin)
+    total = F.sum(F.col("loss") * (F.col("pairs") + 1e-8)) / (F.sum("pairs") + 1e-8)
+    return each.groupBy(*by).agg(F.sum("pairs").alias("pairs"), total.alias("loss"))
 
 
 def pair_loss(df: DataFrame, pred: str, gt: str, by: Sequence[str], order: str = "instrument", margin: float = 0.001) -> DataFrame:

@@ -132,3 +132,187 @@ b2 AS (SELECT *, CASE WHEN NOT flat AND v IS NOT NULL THEN {bin_} END AS k, CASE
 b3 AS (SELECT *, count(v) OVER (PARTITION BY {by}, k) AS here, count(v) OVER (PARTITION BY {by} ORDER BY k NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM b2)""",
         "b3", keys, {name: scaled.format("CASE WHEN v IS NULL THEN NULL WHEN flat THEN 0.5 WHEN v <= lo THEN 0 WHEN v >= hi THEN 1 ELSE (upto - here + here * (place - k)) / m END")},
     )
+
+
+class GroupSql:
+    """The SQL of a list of factors, from the formulas written out above: one query with all their columns."""
+
+    def __init__(self, defs, shifted: bool = True) -> None:
+        self.day: dict[str, str] = {}
+        self.day2: dict[str, str] = {}
+        self.running: list[dict[str, str]] = [{}, {}, {}]
+        self.values: dict[str, str] = {}
+        self.ranked: dict[str, str] = {}
+        self.shifted = shifted
+        for d in defs:
+            self._add(d)
+
+    def _put(self, store: dict[str, str], name: str, value: str) -> str:
+        store.setdefault(name, value)
+        return name
+
+    def _field(self, f: str) -> tuple[str, str]:
+        """The field on the factor-free scale, and what brings it back to a day."""
+        if not f.startswith("adjusted_"):
+            return f, "* 1"
+        raw = f.removeprefix("adjusted_")
+        return (f"({raw} * factor)", "/ factor") if raw in ("volume", "amount") else (f"({raw} / factor)", "* factor")
+
+    def _sum(self, f: str, k: int, w: int) -> str:
+        return self._put(self.day, f"s{k}_{f}_{w}", power(f, k, w)) if w else "0"
+
+    def _mean(self, f: str, w: int) -> str:
+        x, back_to = self._field(f)
+        return self._put(self.day, f"m_{f}_{w}", f"avg({x}) {back(w)} {back_to}")
+
+    def _now(self, d) -> str:
+        f = (d.cache or d.intraday)[0]
+        return f"({self.values[f]})" if f in self.values else f
+
+    def _column(self, d) -> str:
+        """Today's value as a column of a running stage."""
+        f = (d.cache or d.intraday)[0]
+        return self._put(self.running[0], f"v_{f}", self._now(d))
+
+    def _moments(self, d) -> dict[str, str]:
+        n, w = f"({self._sum(d.daily[0], 0, d.window - 1)} + 1)", d.window - 1
+        r = self._now(d)
+        return {"n": n} | {f"s{k}": f"({self._sum(d.daily[0], k, w)} + {' * '.join([r] * k)})" for k in (1, 2, 3, 4)}
+
+    def _change_moments(self, v: str) -> tuple[str, ...]:
+        change = self._put(self.running[1], f"d_{v}", f"CASE WHEN slot = 0 THEN {v} ELSE {v} - lag({v}) {SLOT} END")
+        return change, *self._sums(change)
+
+    def _sums(self, x: str) -> tuple[str, ...]:
+        n = self._put(self.running[2], f"n_{x}", f"CAST(count({x}) {RUN} AS DOUBLE)")
+        return n, *[self._put(self.running[2], f"r{k}_{x}", f"coalesce(sum({' * '.join([x] * k)}) {RUN}, 0)") for k in (1, 2, 3)]
+
+    def _total(self, f: str) -> str:
+        return self._put(self.running[0], f"t_{f}", f"sum({f}) {RUN}")
+
+    def _add(self, d) -> None:
+        w, root_w = d.window, f"sqrt({max(d.window, 1)})"
+        share = "((slot + 1) / 24.0)"
+        if d.kind == "price_dev_from_ma":
+            out = f"({ln(d.intraday[0])} - {ln(self._mean(d.daily[0], w))}) / {root_w}"
+        elif d.kind == "price_dev_from_vwap":
+            b = back(w)
+            m = self._put(self.day, f"vwap_{w}", f"CASE WHEN coalesce(sum(volume) {b}, 0) = 0 THEN avg({AC}) {b} * factor ELSE coalesce(sum({AC} * volume) {b}, 0) * factor / (coalesce(sum(volume) {b}, 0) + 1e-6) END")
+            out = f"({ln(d.intraday[0])} - {ln(m)}) / {root_w}"
+        elif d.kind == "price_position":
+            p = d.intraday[0]
+            hi = self._put(self.day, f"hi_{w}", f"max(high / factor) {back(w)} * factor")
+            lo = self._put(self.day, f"lo_{w}", f"min(low / factor) {back(w)} * factor")
+            out = f"CASE WHEN {hi} IS NOT NULL AND greatest({hi}, {p}) > least({lo}, {p}) THEN ({p} - least({lo}, {p})) / (greatest({hi}, {p}) - least({lo}, {p})) END"
+        elif d.kind == "daily_mom":
+            out = f"({ln(d.intraday[0])} - {ln(self._put(self.day, f'lag_{w}', f'lag({AC}, {w}) {BY_DAY} * factor'))}) / {root_w}"
+        elif d.kind == "daily_mom_sum":
+            out = f"({d.intraday[0]} + {self._sum(d.daily[0], 1, w - 1)}) / {root_w}"
+        elif d.kind == "daily_volatility":
+            m = self._moments(d)
+            out = f"sqrt({m['s2']} / {m['n']})"
+        elif d.kind == "daily_skewness":
+            m = self._moments(d)
+            out = skew_pop(m["n"], m["s1"], m["s2"], m["s3"])
+        elif d.kind == "daily_kurtosis":
+            m = self._moments(d)
+            out = f"CASE WHEN {m['n']} >= {w} THEN {kurt(f'{w}.0', m['s1'], m['s2'], m['s3'], m['s4'])} END"
+        elif d.kind == "daily_volvol":
+            f, w2, r = d.daily[0], d.window2, self._now(d)
+            over = f"OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+            v = self._put(self.day, f"vol_{f}_{w}", f"CASE WHEN count(*) {over} >= {w} THEN sqrt(coalesce(sum({f} * {f}) {over}, 0) / {w}) END")
+            a, b = (self._put(self.day2, f"{n}_{f}_{w}_{w2}", f"CASE WHEN count({v}) {back(w2 - 1)} >= {w2 - 1} THEN sum({x}) {back(w2 - 1)} END") for n, x in (("vv1", v), ("vv2", f"{v} * {v}")))
+            q = f"({self._sum(f, 2, w - 1)} + {r} * {r}) / {w}"
+            out = f"CASE WHEN {a} IS NOT NULL AND {r} IS NOT NULL THEN sqrt(greatest(({b} + {q}) / {w2} - pow(({a} + sqrt({q})) / {w2}, 2), 0)) END"
+        elif d.kind == "daily_recent_vacancy":
+            out = f"CASE WHEN {self._put(self.day, f'c_{w}', f'CAST(count({AC}) {back(w)} AS DOUBLE)')} / {w} > {d.threshold} THEN 1 ELSE 0 END"
+        elif d.kind == "volume_ratio":
+            out = f"{ln(f'({self._total(d.intraday[0])} + 1) / {share}')} - {ln(self._mean(d.daily[0], w))}"
+        elif d.kind == "rv_corr":
+            f, r, v = d.daily[0], self._now(d), f"({self._total(d.intraday[-1])} / {share})"
+            y, b = "(volume * factor)", back(w - 1)
+            put = lambda n, x, to="": self._put(self.day, f"{n}_{f}_{w}", f"coalesce(sum(CASE WHEN {f} IS NOT NULL AND {y} IS NOT NULL THEN {x} END) {b}, 0) {to}")
+            n = f"({self._put(self.day, f'pn_{f}_{w}', f'CAST(count({f} * {y}) {b} AS DOUBLE)')} + 1)"
+            sx, sxx = f"({put('px', f)} + {r})", f"({put('pxx', f'{f} * {f}')} + {r} * {r})"
+            sy, syy = f"({put('py', y, '/ factor')} + {v})", f"({put('pyy', f'{y} * {y}', '/ (factor * factor)')} + {v} * {v})"
+            sxy = f"({put('pxy', f'{f} * {y}', '/ factor')} + {r} * {v})"
+            out = f"CASE WHEN {n} >= {max(2, w // 2)} AND {n} * {sxx} - pow({sx}, 2) > 1e-12 AND {n} * {syy} - pow({sy}, 2) > 1e-12 THEN ({n} * {sxy} - {sx} * {sy}) / sqrt(({n} * {sxx} - pow({sx}, 2)) * ({n} * {syy} - pow({sy}, 2))) END"
+        elif d.kind in ("today_mom", "today_volatility", "today_skewness"):
+            v = self._column(d)
+            if d.kind == "today_mom":
+                out = f"{v} - {self._put(self.running[1], f'o_{v}', f'first_value({v}) {RUN}')}"
+            else:
+                change, n, s1, s2, s3 = self._change_moments(v)
+                out = f"CASE WHEN {n} > 1 THEN sqrt({s2} / ({n} - 1)) ELSE sqrt({s2}) * 0.5 END" if d.kind == "today_volatility" else f"CASE WHEN {change} IS NOT NULL THEN {skew_adj(n, s1, s2, s3)} END"
+        elif d.kind == "today_position":
+            p, h, lo_f = d.intraday
+            gap = lambda f: f"count({f}) {RUN} = count(*) {RUN}"
+            hi = self._put(self.running[0], f"rh_{h}", f"CASE WHEN {gap(h)} THEN max({h}) {RUN} END")
+            lo = self._put(self.running[0], f"rl_{lo_f}", f"CASE WHEN {gap(lo_f)} THEN min({lo_f}) {RUN} END")
+            out = f"CASE WHEN {p} = 0 OR coalesce({hi} - {lo}, 0) = 0 THEN 0.5 ELSE ({p} - {lo}) / ({hi} - {lo}) END"
+        elif d.kind in ("today_std", "today_log_skewness"):
+            x = self._put(self.running[0], f"lv_{d.intraday[0]}", f"ln({d.intraday[0]} + 1)")
+            out = self._put(self.running[1], f"sd_{x}", f"stddev_pop({x}) {RUN}") if d.kind == "today_std" else skew_adj(*self._sums(x))
+        elif d.kind == "today_amount_ratio":
+            out = f"{self._total(d.intraday[0])} / ({self._total(d.intraday[1])} + 1)"
+        elif d.kind in ("id", "abs"):
+            out = self._now(d) if d.kind == "id" else f"abs({self._now(d)})"
+        elif d.kind == "is_tradable":
+            p, ask, bid = d.intraday
+            y = self._put(self.day, "yest", YEST)
+            at = " OR ".join(f"round_even(({p} / {y} - 1) * 100, 0) / 100 = {x}" for x in (0.05, 0.1, 0.2))
+            out = f"1 - CASE WHEN {y} IS NOT NULL AND ({at}) AND {ask} = 0 AND {bid} > 0 THEN 1 ELSE 0 END"
+        elif d.kind == "future_day_targets":
+            out = f"{ln(self._put(self.day, f'f_{w}', f'lead({AC}, {w}) {BY_DAY} * factor'))} - {ln(self._price(d.intraday[0], d.intraday[-1]))}"
+        elif d.kind == "today_targets":
+            buy, sell, mid = d.intraday
+            price = self._put(self.running[0], f"sell_{sell}", self._price(sell, mid))
+            then = self._put(self.running[1], f"to_{sell}_{w}", f"coalesce(lead({price}, {w}) {SLOT}, last_value({price}) {REST})")
+            out = f"{ln(then)} - {ln(self._price(buy, mid))}"
+        elif d.kind.startswith("future_day_") and d.kind.endswith("range_targets"):
+            ahead = f"OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING)"
+            hi, lo = (self._put(self.day, f"f{a}_{w}", f"{a}({c} / factor) {ahead} * factor") for a, c in (("max", "high"), ("min", "low")))
+            one, two = {"future_day_range_targets": (hi, lo), "future_day_up_range_targets": (hi, MID_FIELD), "future_day_down_range_targets": (lo, MID_FIELD)}[d.kind]
+            out = f"{ln(one)} - {ln(two)}"
+        elif d.kind == "rank_targets":
+            self.ranked[d.name] = d.cache[0]
+            self.values[d.name] = "NULL"
+            return
+        else:
+            raise ValueError(f"no SQL for {d.kind}")
+        self.values[d.name] = out
+
+    @staticmethod
+    def _price(price: str, mid: str) -> str:
+        return price if price == mid else f"(CASE WHEN {price} = 0 THEN {mid} ELSE {price} END)"
+
+
+MID_FIELD = "mid_price"
+
+
+def group_sql(defs) -> str:
+    """date, instrument, slot and every factor of the list, shifted, scaled and clipped; ranked targets by the binned percentile of the slot."""
+    g = GroupSql(defs)
+    day = ", ".join(f"{x} AS {n}" for n, x in g.day.items()) or "1 AS one"
+    day2 = "".join(f", {x} AS {n}" for n, x in g.day2.items())
+    names = [*g.day, *g.day2]
+    sql = f"{DENSE},\n{INTRA},\ndayf AS (SELECT *, close / factor AS ac, {day} FROM dense),\ndayg AS (SELECT *{day2} FROM dayf),\nr0 AS (SELECT i.*, d.factor{''.join(f', d.{n}' for n in names)} FROM intra i JOIN dayg d ON d.date = i.date AND d.instrument = i.instrument)"
+    last = "r0"
+    for k, stage in enumerate(g.running, 1):
+        if stage:
+            sql += f",\nr{k} AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in stage.items())} FROM {last})"
+            last = f"r{k}"
+    plain = {d.name: f"({g.values[d.name]})" for d in defs if d.name not in g.ranked}
+    sql += f",\nraw AS (SELECT date, instrument, slot, {', '.join(f'{x} AS {n}' for n, x in plain.items())} FROM {last})"
+    last = "raw"
+    for k, (name, of) in enumerate(g.ranked.items()):
+        by, bins, sigmas = "PARTITION BY date, slot", 2000, 3.5
+        sql += f""",
+q{k}a AS (SELECT *, count({of}) OVER ({by}) AS qm, stddev_samp({of}) OVER ({by}) AS qs, avg({of}) OVER ({by}) AS qa FROM {last}),
+q{k}b AS (SELECT *, qa - qs * {sigmas} AS lo, qa + qs * {sigmas} AS hi, coalesce(qs < 1e-12, true) AS flat FROM q{k}a),
+q{k}c AS (SELECT *, CASE WHEN NOT flat AND {of} IS NOT NULL THEN CASE WHEN {of} <= lo THEN -1 WHEN {of} >= hi THEN {bins} ELSE least(greatest(floor(({of} - lo) * {bins} / (hi - lo)), 0), {bins - 1}) END END AS k, CASE WHEN NOT flat THEN ({of} - lo) * {bins} / (hi - lo) END AS place FROM q{k}b),
+q{k}d AS (SELECT *, count({of}) OVER (PARTITION BY date, slot, k) AS here, count({of}) OVER ({by} ORDER BY k NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q{k}c),
+q{k} AS (SELECT * EXCLUDE (qm, qs, qa, lo, hi, flat, k, place, here, upto), CASE WHEN {of} IS NULL THEN NULL WHEN flat THEN 0.5 WHEN {of} <= lo THEN 0 WHEN {of} >= hi THEN 1 ELSE (upto - here + here * (place - k)) / qm END AS {name} FROM q{k}d)"""
+        last = f"q{k}"
+    clipped = {d.name: f"CASE WHEN {d.name} IS NOT NULL THEN greatest(least(({d.name} - {d.shift}) * {d.scale}, {d.upper}), {d.lower}) END" for d in defs}
+    return pick(sql, last, ["date", "instrument", "slot"], clipped)

@@ -40,18 +40,75 @@ def metric_table(df: DataFrame, schemas: Sequence[tuple[str, str, Sequence[str],
     return reduce(lambda a, b: a.join(b, list(by), "full"), parts)
 
 
-def daily_metrics(df: DataFrame, pred: str, horizons: Sequence[str], by: Sequence[str] = ("date",), least: int = 20) -> DataFrame:
-    """date, horizon and ic, rank_ic, hit_rate, auc; each an average over pairs without gaps."""
-    out = []
-    for h in horizons:
-        parts = [
-            xs.ic(df, pred, h, by, least).select(*by, "ic"),
-            xs.rank_ic(df, pred, h, by, scaled=False).select(*by, "rank_ic"),
-            xs.hit_rate(df, pred, h, by),
-            xs.auc(df, pred, h, by, least).select(*by, "auc"),
-        ]
-        out.append(reduce(lambda a, b: a.join(b, list(by)), parts).withColumn("horizon", F.lit(h)))
-    return reduce(DataFrame.union, out)
+#: The metrics of a cross-section, each averaged over a day's slots.
+DAILY = ("ic", "rank_ic", "rank_ic_long", "rank_ic_short", "hit_rate", "auc", "top", "bottom", "spread", "monotonicity", "tail")
+
+
+def cross_section_metrics(
+    df: DataFrame, pred: str, horizons: Sequence[str], by: Sequence[str] = ("date",), day: str = "date", least: int = 20, q: int = 10, tops: Sequence[int] = (20, 50, 100), tie: str = "instrument"
+) -> DataFrame:
+    """by, horizon, n, DAILY and quantile_returns (q bucket means, then the means of the top rows) of each cross-section.
+
+    The horizons are unpivoted once; all ranks are windows over (by, horizon), so one exchange serves
+    every metric. Ranks are averaged over ties and taken among all predictions (outcomes) there are;
+    correlations need `least` pairs, buckets and tails max(50, 5 q). The long (short) half has ranks at
+    or above (below) the median. A hit is a prediction over the day's median with a positive outcome, or neither.
+    """
+    long = df.select(*by, tie, F.col(pred).alias("_p"), F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(h).alias("g")) for h in horizons])).alias("s")).select(*by, tie, "_p", "s.horizon", F.col("s.g").alias("_g"))
+    group = [*by, "horizon"]
+    up_p, up_g = (Window.partitionBy(*group).orderBy(F.col(c).asc_nulls_last()) for c in ("_p", "_g"))
+    whole = Window.partitionBy(*group)
+    average = lambda c, w: F.when(F.col(c).isNotNull(), (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))) / 2.0)
+    ranked = long.withColumns({"_rp": average("_p", up_p), "_i": F.row_number().over(up_p), "_rg": average("_g", up_g)})
+    there = F.count("_p").over(whole)
+    middle = lambda at: F.max(F.when(F.col("_i") == at, F.col("_rp"))).over(whole)
+    ok = F.col("_p").isNotNull() & F.col("_g").isNotNull()
+    placed = ranked.withColumns({"_ok": ok, "_m": (middle(F.ceil(there / 2.0)) + middle(F.floor(there / 2.0) + 1)) / 2.0, "_n": F.count(F.when(ok, 1)).over(whole)})
+    pairs = Window.partitionBy(*group, "_ok")
+    placed = placed.withColumn("_k", F.row_number().over(pairs.orderBy("_p", tie)) - 1)
+    placed = placed.withColumn("_ranks_up", average("_p", pairs.orderBy("_p")))
+    placed = placed.withColumn("_t", F.percentile("_p", F.lit(0.5)).over(Window.partitionBy(day, "horizon")))
+    n, k, g = F.col("_n"), F.col("_k"), F.col("_g")
+    corr = lambda x, y, c: F.when(F.count(F.when(c, 1)) >= least, xs.correlation(F.when(c, x), F.when(c, y)))
+    mean = lambda c: F.avg(F.when(F.col("_ok") & c, g))
+    some, up = F.col("_ok"), F.col("_g") > 0
+    ones = F.count_if(some & up)
+    area = F.try_divide(F.sum(F.when(some & up, F.col("_ranks_up"))) - ones * (ones + 1) / 2.0, ones * (F.max("_n") - ones))
+    enough, share = F.max("_n") >= max(50, 5 * q), F.greatest(F.lit(1), F.rint(0.01 * n))
+    bucket = F.floor(F.try_divide((k + 1) * q - 1, n))
+    means = [mean(bucket == i) for i in range(q)]
+    out = placed.groupBy(*group).agg(
+        F.max("_n").alias("n"),
+        corr(F.col("_p"), g, some).alias("ic"),
+        corr(F.col("_rp"), F.col("_rg"), some).alias("rank_ic"),
+        corr(F.col("_rp"), F.col("_rg"), some & (F.col("_rp") >= F.col("_m"))).alias("rank_ic_long"),
+        (-corr(F.col("_rp"), F.col("_rg"), some & (F.col("_rp") <= F.col("_m")))).alias("rank_ic_short"),
+        F.when(F.max("_n") >= least, F.avg(F.when(some, ((F.col("_p") > F.col("_t")) == up).cast("double")))).alias("hit_rate"),
+        F.when((F.max("_n") >= 20) & (ones > 0) & (ones < F.max("_n")), area).alias("auc"),
+        F.when(enough, mean(k >= n - share) - mean(k < share)).alias("tail"),
+        F.when(enough, F.array(*means, *[mean(k >= n - c) for c in tops])).alias("quantile_returns"),
+    )
+    buckets = F.slice("quantile_returns", 1, q)
+    rank = lambda m: F.size(F.filter(buckets, lambda x: x < m)) + (F.size(F.filter(buckets, lambda x: x == m)) + 1) / 2.0
+    # Spearman of the bucket's number and its mean: both sets of ranks have the mean (q + 1) / 2.
+    off = F.transform(buckets, lambda m, i: F.struct((i + 1 - (q + 1) / 2.0).alias("a"), (rank(m) - (q + 1) / 2.0).alias("b")))
+    total = lambda f: F.aggregate(F.transform(off, f), F.lit(0.0), lambda a, x: a + x)
+    return out.withColumns(
+        {
+            "top": F.get("quantile_returns", F.lit(q + len(tops) - 1)),
+            "bottom": F.get("quantile_returns", F.lit(0)),
+            "spread": F.get("quantile_returns", F.lit(q - 1)) - F.get("quantile_returns", F.lit(0)),
+            "monotonicity": F.try_divide(total(lambda x: x["a"] * x["b"]), F.sqrt(total(lambda x: x["a"] * x["a"]) * total(lambda x: x["b"] * x["b"]))),
+        }
+    ).select(*group, "n", *DAILY, "quantile_returns")
+
+
+def daily_metrics(df: DataFrame, pred: str, horizons: Sequence[str], slot: str | None = None, day: str = "date", least: int = 20, q: int = 10, tops: Sequence[int] = (20, 50, 100)) -> DataFrame:
+    """day, horizon and the metrics of each cross-section averaged over the day's slots; slots without a value are left out."""
+    by = [day, slot] if slot else [day]
+    every = cross_section_metrics(df, pred, horizons, by, day, least, q, tops)
+    returns = F.array(*[F.avg(F.get("quantile_returns", F.lit(i))) for i in range(q + len(tops))])
+    return every.groupBy(day, "horizon").agg(*[F.avg(m).alias(m) for m in DAILY], returns.alias("quantile_returns"))
 
 
 def summary(daily: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -62,15 +119,22 @@ def summary(daily: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return daily.groupBy("horizon").agg(*aggs)
 
 
+def top_horizons(summed: DataFrame, metric: str, k: int = 2) -> DataFrame:
+    """rank, horizon: the k horizons with the largest absolute mean of a metric; ties go to the lesser name."""
+    some = F.filter(F.collect_list(F.when(F.col(f"{metric}_mean").isNotNull(), F.struct((-F.abs(f"{metric}_mean")).alias("v"), "horizon"))), lambda x: x.isNotNull())
+    best = F.slice(F.sort_array(some), 1, k)
+    return summed.agg(best.alias("b")).select(F.posexplode("b").alias("i", "x")).select((F.col("i") + 1).alias("rank"), "x.horizon")
+
+
 def peak_horizon(summed: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """For each metric the horizon with the largest absolute mean."""
     return summed.agg(*[F.max_by("horizon", F.when(F.col(f"{m}_mean").isNotNull(), F.struct(F.abs(f"{m}_mean"), F.col("horizon")))).alias(f"{m}_peak") for m in metrics])
 
 
-def quantile_sketches(df: DataFrame, values: Sequence[str], k: int = 800) -> DataFrame:
-    """horizon and a mergeable sketch of its values: partial sketches combine before the shuffle and across days."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("horizon"), F.col(v).alias("v")) for v in values])).alias("s")).select("s.*").where("v IS NOT NULL")
-    return long.groupBy("horizon").agg(F.kll_sketch_agg_double("v", F.lit(k)).alias("sketch"))
+def quantile_sketches(df: DataFrame, values: Sequence[str], k: int = 800, by: Sequence[str] = ()) -> DataFrame:
+    """by, horizon and a mergeable sketch of its values: partial sketches combine before the exchange and across days."""
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("horizon"), F.col(v).cast("double").alias("v")) for v in values])).alias("s")).select(*by, "s.*").where("v IS NOT NULL")
+    return long.groupBy(*by, "horizon").agg(F.kll_sketch_agg_double("v", F.lit(k)).alias("sketch"))
 
 
 def sketch_ranks(sketches: DataFrame, points: Sequence[float]) -> DataFrame:
@@ -78,8 +142,24 @@ def sketch_ranks(sketches: DataFrame, points: Sequence[float]) -> DataFrame:
     return sketches.select("horizon", F.explode(ranks).alias("r")).select("horizon", "r.x", "r.cdf")
 
 
-def tails(df: DataFrame, values: Sequence[str], levels: Sequence[float] = (0.9, 0.95, 0.99, 0.999, 0.9999)) -> DataFrame:
-    """horizon, level, upper and lower exact quantiles."""
+LEVELS = (0.9, 0.95, 0.99, 0.999, 0.9999)
+
+
+def merged(sketches: DataFrame, by: Sequence[str] = ("horizon",)) -> DataFrame:
+    """One sketch for each group of sketches: of days to a month, of parts to a whole."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
+    """The other columns, level, upper and lower: what a tracker reports of both tails, from its sketch."""
+    rest = [c for c in sketches.columns if c != "sketch"]
+    at = lambda x: F.kll_sketch_get_quantile_double("sketch", F.lit(float(x)))
+    pairs = F.array(*[F.struct(F.lit(float(x)).alias("level"), at(x).alias("upper"), at(round(1 - x, 6)).alias("lower")) for x in levels])
+    return sketches.select(*rest, F.explode(pairs).alias("t")).select(*rest, "t.*")
+
+
+def exact_tails(df: DataFrame, values: Sequence[str], levels: Sequence[float] = LEVELS) -> DataFrame:
+    """horizon, level, upper and lower exact quantiles, for checking a sketch: every distinct value of a horizon is held in one buffer."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("horizon"), F.col(v).alias("v")) for v in values])).alias("s")).select("s.*").where("v IS NOT NULL")
     q = long.groupBy("horizon").agg(
         F.percentile("v", F.array(*[F.lit(x) for x in levels])).alias("u"), F.percentile("v", F.array(*[F.lit(round(1 - x, 6)) for x in levels])).alias("l")

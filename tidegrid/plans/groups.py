@@ -111,18 +111,18 @@ def lib() -> list[Fd]:
     back = dict(daily=("daily_return",), cache=("daily_mom_1",))
     rest = dict(daily=("alpha",), intraday=(RESID,))
     return [
-        Fd("price_dev_from_ma", 5, scale=100, **price),
-        Fd("price_dev_from_vwap", 5, daily=("adjusted_close", "volume"), intraday=(MID,), scale=100),
-        Fd("price_position", 5, daily=("adjusted_high", "adjusted_low"), intraday=(MID,), shift=0.5, scale=5),
+        Fd("price_dev_from_ma", 10, scale=100, **price),
+        Fd("price_dev_from_vwap", 10, daily=("adjusted_close", "volume"), intraday=(MID,), scale=100),
+        Fd("price_position", 10, daily=("adjusted_high", "adjusted_low"), intraday=(MID,), shift=0.5, scale=5),
         Fd("daily_mom", 1, scale=50, **price),
-        Fd("daily_mom", 5, scale=50, **price),
-        Fd("daily_volatility", 5, shift=0.025, scale=100, **back),
-        Fd("daily_skewness", 5, **back),
-        Fd("daily_kurtosis", 10, scale=0.5, **back),
-        Fd("daily_volvol", 2, window2=6, shift=0.01, scale=200, **back),
-        Fd("daily_mom_sum", 5, scale=50, **rest),
-        Fd("daily_volatility", 5, prefix="alpha_", shift=0.02, scale=100, **rest),
-        Fd("daily_skewness", 5, prefix="alpha_", **rest),
+        Fd("daily_mom", 10, scale=50, **price),
+        Fd("daily_volatility", 10, shift=0.025, scale=100, **back),
+        Fd("daily_skewness", 21, **back),
+        Fd("daily_kurtosis", 63, scale=0.5, **back),
+        Fd("daily_volvol", 10, window2=30, shift=0.01, scale=200, **back),
+        Fd("daily_mom_sum", 10, scale=50, **rest),
+        Fd("daily_volatility", 10, prefix="alpha_", shift=0.02, scale=100, **rest),
+        Fd("daily_skewness", 21, prefix="alpha_", **rest),
     ]
 
 

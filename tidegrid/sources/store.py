@@ -14,7 +14,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.panel import adjusted, between, missing_dates
+from tidegrid.operators.panel import adjusted, between, missing_dates, with_more_rows_than
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; on a single machine the warehouse serves."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 @dataclass(frozen=True)
@@ -107,6 +117,10 @@ class PanelStore:
         out = adjusted(df, list(fields), last=True)
         return out if include else out.where(F.col("date") < F.lit(day).cast("date"))
 
+    def recent(self, day, rows: int, calendar_days: int, fields: Sequence[str] = ("close",)) -> DataFrame:
+        """The days before a day of instruments with more than `rows` rows in the calendar days before it."""
+        return with_more_rows_than(self.daily_before(day, calendar_days, fields), rows)
+
     def daily_after(self, day, calendar_days: int = 21, fields: Sequence[str] = ("close",)) -> DataFrame:
         end = F.date_add(F.lit(day).cast("date"), calendar_days)
         df = self.daily(fields=fields).where((F.col("date") >= F.lit(day).cast("date")) & (F.col("date") <= end))

@@ -49,18 +49,61 @@ _STATE = "n long, total double, high double, low double"
 
 
 def running_state(stream: DataFrame) -> DataFrame:
-    """The same sums kept by a custom stateful operator, for statistics that no built-in aggregate expresses: last state of each key."""
+    """The same sums kept by a custom stateful operator, for statistics that no built-in aggregate expresses: last state of each key.
+
+    A day's state goes once the watermark has passed its end.
+    """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, total, high, low = state.get if state.exists else (0, 0.0, float("-inf"), float("inf"))
         for p in parts:
             n, total = n + len(p), total + float(p["value"].sum())
             high, low = max(high, float(p["value"].max())), min(low, float(p["value"].min()))
-        state.update((n, total, high, low))
+        end = int((pd.Timestamp(key[0]) + pd.Timedelta(days=1)).timestamp() * 1000)
+        if end > state.getCurrentWatermarkMs():
+            state.update((n, total, high, low))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"date": [key[0]], "instrument": [key[1]], "n": [n], "total": [total], "high": [high], "low": [low]})
 
-    keyed = stream.select(F.to_date("ts").alias("date"), F.col("user_id").alias("instrument"), "value")
-    return keyed.groupBy("date", "instrument").applyInPandasWithState(update, f"date date, instrument long, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout)
+    keyed = stream.select(F.to_date("ts").alias("date"), F.col("user_id").alias("instrument"), "value", "ts")
+    return keyed.groupBy("date", "instrument").applyInPandasWithState(update, f"date date, instrument long, {_STATE}", _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def decayed(stream: DataFrame, x: str, decay: float, by: tuple[str, ...], time: str = "date") -> DataFrame:
+    """by, time, ewma: s_n = decay s_(n-1) + (1 - decay) x_n from s_0 = x_0, one number of state a key.
+
+    Rows of a batch are taken in order of time; what comes at or before the last time of its key is left out.
+    """
+    kinds = dict(stream.dtypes)
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, value = state.get if state.exists else (None, None)
+        for row in pd.concat(list(parts)).sort_values(time).itertuples(index=False):
+            at, now = getattr(row, time), getattr(row, x)
+            if last is None or at > last:
+                last, value = at, now if value is None else decay * value + (1 - decay) * now
+        state.update((last, value))
+        yield pd.DataFrame({**{c: [k] for c, k in zip(by, key, strict=True)}, time: [last], "ewma": [value]})
+
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"{time} {kinds[time]}", "ewma double"])
+    rows = stream.select(*by, time, F.col(x).cast("double").alias(x))
+    return rows.groupBy(*by).applyInPandasWithState(update, out, f"{time} {kinds[time]}, ewma double", "update", GroupStateTimeout.NoTimeout)
+
+
+def day_sketches(stream: DataFrame, x: str = "value", k: int = 800) -> DataFrame:
+    """date, horizon, sketch: a mergeable sketch of each day's values so far; a new day begins with an empty one."""
+    day = stream.groupBy(F.window("ts", "1 day")).agg(F.kll_sketch_agg_double(F.col(x).cast("double"), F.lit(k)).alias("sketch"))
+    return day.select(F.to_date("window.start").alias("date"), F.lit(x).alias("horizon"), "sketch")
+
+
+def file_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, in the order in which they were written."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, folder: str, name: str, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -75,5 +118,7 @@ def run_to_table(stream: DataFrame, folder: str, name: str, mode: str = "complet
     out = spark.read.parquet(path)
     if mode == "complete":
         return out.drop("_batch")
+    if mode == "append":
+        return out.drop("_batch")
     rest = [c for c in out.columns if c not in (*keys, "_batch")]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
