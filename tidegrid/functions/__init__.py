@@ -17,12 +17,13 @@ def without_nan(df: DataFrame) -> DataFrame:
 
 
 def ln(x: str | Column) -> Column:
-    """Natural logarithm of positive numbers, else NULL."""
-    return F.when(col(x) > 0, F.ln(col(x)))
+    """Natural logarithm of positive numbers; of others it is NULL by definition."""
+    return F.ln(col(x))
 
 
 def ln1p(x: str | Column) -> Column:
-    return F.when(col(x) > -1, F.log1p(col(x)))
+    """ln(1 + x); NULL from -1 downwards."""
+    return F.log1p(col(x))
 
 
 def root(x: str | Column) -> Column:

@@ -96,6 +96,10 @@ def fill_columns(df: DataFrame, by: Sequence[str], time: str, columns: Sequence[
     return marked.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def calendar(df: DataFrame, time: str) -> DataFrame:
     """One row with the sorted distinct times: as many as trading days, whatever the number of instruments."""
     return df.groupBy(time).agg(F.lit(1)).agg(F.sort_array(F.collect_list(time)).alias("_times"))
@@ -109,6 +113,8 @@ def densify(df: DataFrame, time: str = "date", instrument: str = "instrument", i
     """
     columns = [c for c in df.columns if c not in (time, instrument)]
     who = df.select(instrument).distinct() if instruments is None else instruments.select(instrument).distinct()
+    # A fixed number of partitions: the list of instruments is small beside the windows worked out behind it.
+    who = who.repartitionByRange(partitions(df.sparkSession), instrument)
     grid = who.join(F.broadcast(calendar(df, time)), how="cross").select(F.explode("_times").alias(time), instrument)
     rows = df.withColumn("_seen", F.lit(True))
     joined = grid.join(rows, [time, instrument], "left")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions import cents, clip, larger, ln, ln1p, ratio, root, smaller
+from tidegrid.functions import cents, clip, larger, ln, ln1p, ratio, smaller
 from tidegrid.operators import moments, windows
 from tidegrid.operators.xsection import binned_percentile, ranked_columns
 
@@ -78,7 +78,6 @@ class Plan:
         self.history: dict[str, Column] = {}
         self.sums: dict[str, tuple[Column, int]] = {}
         self.deeper: dict[str, Column] = {}
-        self.after: dict[str, Column] = {}  # from history and deeper columns of the same row
         self.levels: list[dict] = []
         self.names = {d.name for d in defs}
         self.level_of: dict[str, int] = {}
@@ -165,6 +164,13 @@ class Plan:
             stage[name] = value
         return F.col(name)
 
+    def part(self, of: str, step: int = 0) -> moments.Keep:
+        """Keeps parts of a formula as columns, in one projection for each step of all formulas of a level.
+
+        An expression is a tree: a part that is used ten times would be planned and compiled ten times.
+        """
+        return lambda name, value: self.running(10 + step, f"_k{step}_{of}_{name}", value)
+
     def change(self, field: str) -> Column:
         return self.running(0, f"_d_{field}", windows.change(field))
 
@@ -240,8 +246,8 @@ def _today(plan: Plan, d: FactorDef) -> Column:
 
 @register_factor("daily_volatility", daily=1)
 def _volatility(plan: Plan, d: FactorDef) -> Column:
-    r, w = _today(plan, d), d.window - 1
-    return root((r * r + plan.power_sum(d.daily[0], 2, w)) / (plan.power_sum(d.daily[0], 0, w) + 1))
+    n, _, square = _with_today(plan, d, 2)
+    return F.sqrt(square / n)
 
 
 @register_factor("daily_volvol", daily=1)
@@ -255,29 +261,37 @@ def _volvol(plan: Plan, d: FactorDef) -> Column:
     s1 = plan._put(plan.deeper, f"_vv1_{f}_{w}_{w2}", F.when(enough, F.sum(vol).over(frame)))
     s2 = plan._put(plan.deeper, f"_vv2_{f}_{w}_{w2}", F.when(enough, F.sum(vol * vol).over(frame)))
     r = _today(plan, d)
-    v0 = root((plan.power_sum(f, 2, w - 1) + r * r) / w)
-    spread = (s2 + v0 * v0) / w2 - F.pow((s1 + v0) / w2, F.lit(2.0))
+    keep = plan.part(f"{d.name}_{f}")
+    v0 = keep("now", F.sqrt((plan.power_sum(f, 2, w - 1) + r * r) / w))
+    mean = plan.part(d.name, 1)("mean", (s1 + v0) / w2)
+    spread = plan.part(d.name, 2)("spread", (s2 + v0 * v0) / w2 - mean * mean)
     return F.when(spread.isNotNull(), F.sqrt(F.greatest(spread, F.lit(0.0))))
 
 
+def _steps(plan: Plan, d: FactorDef, first: str = "") -> moments.Keep:
+    """Parts of a factor's formula: the one called `first` a step before the others."""
+    return lambda name, value: plan.part(d.name, 1 if name == first else 2)(name, value)
+
+
 def _with_today(plan: Plan, d: FactorDef, powers: int) -> list[Column]:
     r, w = _today(plan, d), d.window - 1
-    out, term = [plan.power_sum(d.daily[0], 0, w) + 1], F.lit(1.0)
+    keep = plan.part(f"{d.daily[0]}_{(d.cache or d.intraday)[0]}_{d.window}")
+    out, term = [keep("n", plan.power_sum(d.daily[0], 0, w) + 1)], F.lit(1.0)
     for k in range(1, powers + 1):
         term = term * r
-        out.append(plan.power_sum(d.daily[0], k, w) + term)
+        out.append(keep(f"s{k}", plan.power_sum(d.daily[0], k, w) + term))
     return out
 
 
 @register_factor("daily_skewness", daily=1)
 def _skewness(plan: Plan, d: FactorDef) -> Column:
-    return moments.skewness(*_with_today(plan, d, 3))
+    return moments.skewness(*_with_today(plan, d, 3), keep=_steps(plan, d, "mean"))
 
 
 @register_factor("daily_kurtosis", daily=1)
 def _kurtosis(plan: Plan, d: FactorDef) -> Column:
     n, *sums = _with_today(plan, d, 4)
-    return F.when(n >= d.window, moments.excess_kurtosis(F.lit(float(d.window)), *sums))
+    return F.when(n >= d.window, moments.excess_kurtosis(F.lit(float(d.window)), *sums, keep=_steps(plan, d, "mean")))
 
 
 @register_factor("volume_ratio", daily=1, intraday=1)
@@ -290,10 +304,12 @@ def _volume_ratio(plan: Plan, d: FactorDef) -> Column:
 def _return_volume(plan: Plan, d: FactorDef) -> Column:
     r, v, w = *d.daily, d.window - 1
     now_r = _today(plan, d)
-    now_v = plan.total(d.intraday[-1]) / plan.fraction()
+    now_v = plan.part(d.intraday[-1])("rate", plan.total(d.intraday[-1]) / plan.fraction())
     sxy, n = plan.product_sum(r, v, w)
     part = lambda of, k: plan.pair_sum(r, v, of, k, w)
-    return moments.correlation(n + 1, part(r, 1) + now_r, part(v, 1) + now_v, part(r, 2) + now_r * now_r, part(v, 2) + now_v * now_v, sxy + now_r * now_v, max(2, d.window // 2))
+    keep = plan.part(d.name, 1)
+    sums = {"n": n + 1, "sx": part(r, 1) + now_r, "sy": part(v, 1) + now_v, "sxx": part(r, 2) + now_r * now_r, "syy": part(v, 2) + now_v * now_v, "sxy": sxy + now_r * now_v}
+    return moments.correlation(*[keep(k, x) for k, x in sums.items()], max(2, d.window // 2), keep=_steps(plan, d))
 
 
 @register_factor("daily_on_balance_volume_ratio", daily=2)
@@ -337,7 +353,7 @@ def _today_volatility(plan: Plan, d: FactorDef) -> Column:
 def _today_skewness(plan: Plan, d: FactorDef) -> Column:
     f = (d.cache or d.intraday)[0]
     v = plan.change(f)
-    return F.when(v.isNotNull(), moments.adjusted_skewness(*plan.running_moments(f"d_{f}", v)))
+    return F.when(v.isNotNull(), moments.adjusted_skewness(*plan.running_moments(f"d_{f}", v), keep=_steps(plan, d, "mean")))
 
 
 @register_factor("today_std", intraday=1)
@@ -350,7 +366,7 @@ def _today_std(plan: Plan, d: FactorDef) -> Column:
 def _today_log_skewness(plan: Plan, d: FactorDef) -> Column:
     f = d.intraday[0]
     x = plan.running(0, f"_l_{f}", ln1p(f))
-    return F.when(x.isNotNull(), moments.adjusted_skewness(*plan.running_moments(f"l_{f}", x)))
+    return F.when(x.isNotNull(), moments.adjusted_skewness(*plan.running_moments(f"l_{f}", x), keep=_steps(plan, d, "mean")))
 
 
 @register_factor("today_position", intraday=3)
@@ -481,7 +497,7 @@ def levels(defs: Sequence[FactorDef], fields: Sequence[str]) -> dict[str, int]:
     return found
 
 
-def compile_factors(defs: Sequence[FactorDef], daily: DataFrame, intraday: DataFrame, slots: int, ranks: bool = False, raw: bool = False, broadcast_below: int | None = None) -> DataFrame:
+def compile_factors(defs: Sequence[FactorDef], daily: DataFrame, intraday: DataFrame, slots: int, ranks: bool = False, raw: bool = False) -> DataFrame:
     """date, instrument, slot and a column for each factor.
 
     daily: the dense daily grid with `factor`; intraday: the dense intraday grid. Only the fields that

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Without the call site of every Column operation: a group of factors has tens of thousands of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

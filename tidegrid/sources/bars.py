@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import ln, ratio
-from tidegrid.operators.panel import backfill, densify, fill_columns
+from tidegrid.operators.panel import backfill, densify, fill_columns, partitions
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -85,10 +85,14 @@ def intraday_panel(spark: SparkSession, folder: str) -> DataFrame:
     Days without a bar have no valid price and would fall to the validity rule, so they are not built.
     """
     bars = hourly_bars(spark, folder)
-    days = bars.groupBy("date", "instrument").agg(F.lit(1).alias("one")).select("date", "instrument", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
-    grid = days.join(bars, ["date", "instrument", "slot"], "left")
     keys = ["date", "instrument", "slot"]
-    fields = [c for c in grid.columns if c not in keys]
+    fields = [c for c in bars.columns if c not in keys]
+    # One exchange, of the bars there are, serves the grid and everything by instrument and day that follows. It
+    # has a fixed number of partitions: what is a few megabytes here becomes 24 slots of every factor behind it.
+    dealt = bars.repartition(partitions(spark), "date", "instrument")
+    days = dealt.groupBy("date", "instrument").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*fields).alias("bar")))).alias("_bars"))
+    slots = days.select("date", "instrument", "_bars", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    grid = slots.select(*keys, F.try_element_at("_bars", F.col("slot")).alias("_bar")).select(*keys, "_bar.*")
     filled = fill_columns(grid, ["date", "instrument"], "slot", fields, zero=ZERO_HOURLY, bar=F.col("volume").isNotNull())  # every bar has a volume
     prices = [c for c in fields if c not in ZERO_HOURLY]
     out = backfill(filled, ["date", "instrument"], "slot", prices)
