@@ -272,7 +272,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[bytes, int] = {}
             for b in batches:
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known.clear()
                 found = [held.value.leaks(t.as_py(), known, cover) for t in b.column("_dc_text")]
                 kept = [b.column(i) for i in range(b.num_columns - 1)]

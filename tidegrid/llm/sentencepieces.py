@@ -43,7 +43,7 @@ SEED = 20240
 #: Texts that are worked on at once: rows, and characters beyond which no further row joins them.
 ROWS, CHARS = 256, 1 << 19
 #: Lattice arcs and words that a task keeps for words to come; beyond, it starts afresh.
-MOST_ARCS, MOST_WORDS = 4_000_000, 180_000
+MOST_ARCS, MOST_WORDS = 2_000_000, 90_000
 #: Words that are learnt at once.
 LEARNT = 4000
 _BLANK = "▁"
