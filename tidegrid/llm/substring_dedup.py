@@ -17,9 +17,11 @@ smaller doc_id is marked; every word under a marked window goes. Steps:
    vain. Those few windows are settled by the least document for each 128-bit window hash.
 
 Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose
-nothing; a repeat inside one document only is no repeat; rows that share a doc_id are the same
-document and do not mark each other; a null doc_id is neither smaller nor larger than any other;
-empty tables give empty results; other columns are not read.
+nothing; a repeat inside one document only is no repeat; ties and repeated rows: rows that share a
+doc_id, whatever their texts, are the same document and do not mark each other, but each keeps marks
+of its own (they go by doc_id and the text's hash); a null doc_id is neither smaller nor larger than
+any other; a very long text is cut into shards of BLOCK windows and its runs are dealt like those of
+many short ones; empty tables give empty results; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -81,8 +83,9 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - size : w - size + n])
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def _hashed(words: list[bytes], seed: int = 0) -> np.ndarray:
+    digests = (xxhash.xxh64_intdigest(w, seed) for w in words) if seed else map(xxhash.xxh64_intdigest, words)
+    return np.fromiter(digests, np.uint64, len(words))
 
 
 def anchors(words: list[bytes], window: int) -> np.ndarray:
@@ -258,8 +261,8 @@ def _matched(sent: DataFrame, window: int) -> DataFrame:
                 found = [(at + a, n, None, None) for a, n in _runs(hits)]
                 missed = np.flatnonzero(hits < 0)
                 if len(missed):
-                    h = _hashed(words)
-                    h1, h2 = (gram_hashes(h, window, salt)[missed].view(np.int64).tolist() for salt in (11, 77))
+                    # Two hashes of the words themselves, so that words alike in one still differ in the other.
+                    h1, h2 = (gram_hashes(_hashed(words, salt), window, salt)[missed].view(np.int64).tolist() for salt in (11, 77))
                     found += zip((at + missed).tolist(), [1] * len(missed), h1, h2, strict=True)
                 for x in found:
                     for column, value in zip(out, (doc, th, *x), strict=True):
