@@ -1,6 +1,7 @@
 """The whole pipeline and the registered queries on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegrid.llm import registry
 
@@ -32,3 +33,24 @@ def test_pipeline_stages(spark):
         seen = out
     final = pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in final} == {r.doc_id for r in seen.collect()} and all(r.restored for r in final)
+
+
+def test_stages_on_awkward_rows(spark, make):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    good = "the cat and the dog of that house was in it for as long as on the day they had with us in time and peace"
+    other = "an old man of the sea was with his boat and it is said that from that day on he was at peace with all in it"
+    rows = [(1, good), (1, good), (1, other), (2, None), (3, ""), (None, good), (4, good), (5, f"{other} " * 400)]
+    docs = make(rows).withColumn("rep", F.lit(7)).withColumn("k", F.lit("own")).withColumn("term", F.lit(1.5))
+    for table in (docs, docs.limit(0)):
+        seen = table
+        for _, stage in pipeline.STAGES[:-1]:
+            seen = stage(spark, seen, SF)
+            assert seen.columns == docs.columns
+        left = seen.collect()
+        assert all(r.rep == 7 and r.k == "own" for r in left)
+        final = pipeline.STAGES[-1][1](spark, seen, SF).collect()
+        assert len(final) == len(left) and all(r.restored for r in final)
+        if table is docs:
+            assert {r.doc_id for r in left} == {1, None}  # one of each group of copies; repeated rows are one document
+        else:
+            assert not left

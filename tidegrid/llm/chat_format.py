@@ -7,7 +7,8 @@ ordered placeholders; their references and expanded token counts are recorded be
 
 Edge cases: a null text is empty, a null role is the empty role, a null or unknown part kind is
 flattened as an empty text, an empty table gives no conversation, ties in ``turn`` are ordered by
-role and then message, repeated rows stay repeated. The whole string of a conversation is one row
+role and then message, repeated rows stay repeated, a very long text is escaped in its own row before
+its conversation is put together, columns of other names are not read. The whole string of a conversation is one row
 by definition: it is put together from messages that were formatted beforehand, row by row.
 """
 

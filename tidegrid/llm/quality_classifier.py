@@ -11,8 +11,10 @@ A network of two layers in numpy, fitted on a bounded sample of labelled documen
 a temperature fitted on sample documents that training left out turns it into a probability.
 
 Edge cases: null and empty texts have the zero vector and get its score; one word has no neighbours;
-missing labels are not learnt from and a single class gives its share as score; repeated rows are
-scored alike; a null doc_id is not held out; empty tables give empty results.
+missing labels are not learnt from and a single class gives its share as score; ties and repeated
+rows are scored alike; a very long text is one row, pooled in memory in proportion to it; a null
+doc_id is not held out; empty tables give empty results; columns but doc_id and text (doc_id and the
+label of labels) are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 Every measure is a built-in expression, so the whole operator is a single scan without a shuffle.
 
 Edge cases: a null text counts as empty; an empty text has zero words and fails; rows with equal
-ids are judged one by one; an empty table gives an empty result; other columns pass through
-untouched unless they carry one of the measures' names, which start with an underscore inside.
+ids, repeated ones too, are judged one by one; ties: a measure that equals its bound passes; a very
+long text is judged whole, in arrays as long as its words; an empty table gives an empty result;
+other columns pass through untouched unless their names begin with _q_.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ STOP_WORDS = (
     "el la los las de que y en un una se del por con para es no lo",
 )
 
+# Beside the usual ratios: bar_ratio finds tables and menus flattened to text, shout_ratio advertising
+# (words that end in "!!"), stutter_ratio generated loops of one word.
 #: (measure, least, most): a text fails if any measure lies outside its bounds. Words count, ratios are a word or a line.
 THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
     ("n_words", 20, None),

@@ -14,8 +14,10 @@ its pairs but a star for each of its connected parts, so edges grow with members
 
 Edge cases: a null text is empty; a text without words has the fingerprint zero and is linked like
 any other; fewer words than a shingle make one shingle; equal texts, repeated rows and ties share a
-fingerprint and so a component; a null doc_id takes part but is no component's id unless it is
-alone; empty tables give empty results; other columns are not read.
+fingerprint and so a component, rows that share a doc_id but not a text each have their own; a null
+doc_id takes part but is no component's id unless it is alone; a very long text is hashed and voted
+on in steps of bounded size; empty tables give empty results; other columns are not read, whatever
+they are called.
 """
 
 from __future__ import annotations
