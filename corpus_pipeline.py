@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each an operator of tidegrid.llm over all that the stage before kept."""
+"""A training corpus from raw documents: five stages, each an operator of tidegrid.llm over all that the stage before kept.
+
+Edge cases are those of the operators: a null or empty text fails the quality rules and goes there; rows
+that repeat or share a doc_id are kept or dropped by what each operator says of them; a null doc_id
+passes near-duplicate removal unharmed; very long texts are taken whole; an empty table stays empty
+through all stages; further columns of documents are carried to the last stage, whatever they are
+called but for the prefixes that the operators reserve (_q_, _ld_, _sh_, _dc_).
+"""
 
 from __future__ import annotations
 
