@@ -21,19 +21,20 @@ def part() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).cast("int")
 
 
-def known(labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, y of all rows that may be learnt from."""
-    return labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold() != 0)).distinct()
+def chosen(labels: DataFrame, label: str, per_class: int, first: int = 0, end: int = 10) -> DataFrame:
+    """doc_id, y of at most per_class labelled documents of each class: the least hashes of ids in parts first to end - 1, none of fold 0.
 
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, parts: int = 10) -> DataFrame:
-    """doc_id, text, y, part (under `parts`) of at most per_class documents of each class, none of fold 0.
-
-    The choice is the least hashes of the ids, so it doesn't depend on the order of rows. The ids
-    chosen are broadcast: two times per_class rows at most.
+    The choice doesn't depend on the order of rows, and its size is bounded, so it may be broadcast.
     """
-    every = known(labels, label).where(part() < parts)
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold() != 0) & part().between(first, end - 1)).distinct()
     order = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = reduce(DataFrame.union, [every.where(F.col("y") == y).orderBy(order).limit(per_class) for y in (0, 1)])
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", part().alias("part"))
+    return reduce(DataFrame.union, [known.where(F.col("y") == y).orderBy(order).limit(per_class) for y in (0, 1)])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, end: int = 10) -> DataFrame:
+    """doc_id, text, y, part (under `end`) of at most per_class documents of each class."""
+    return keyed(docs).join(F.broadcast(chosen(labels, label, per_class, 0, end)), "doc_id").select("doc_id", "text", "y", part().alias("part"))
