@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, toxicity
+from tidegrid.llm import (
+    chat_format,
+    decontaminate,
+    line_dedup,
+    pair_bpe,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sentencepieces,
+    simhash,
+    sort_means,
+    substring_dedup,
+    target_sampling,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +71,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(turns.unionByName(trap))
 
 
+def op11_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bpe.report(table(spark, sf_dir, "documents"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_sentencepieces": op3_sentencepieces,
     "op2_decontaminate": op2_decontaminate,
@@ -68,6 +94,9 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_pair_bpe": op11_pair_bpe,
+    "op12_sort_means": op12_sort_means,
+    "op13_target_sampling": op13_target_sampling,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in quality_rules._stop_words())
@@ -133,7 +162,63 @@ SELECT conv_id, count(*) AS n_turns,
 FROM m GROUP BY conv_id
 """
 
+
+
+def _op12_sql() -> str:
+    """Lloyd's rounds one after another, each vector against every centroid."""
+    distance = "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m
+  FROM (SELECT sha256('3:' || coalesce(cast(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT 8))""",
+    ]
+    for r in range(11):
+        steps.append(f"d{r} AS (SELECT vec_id, v, c, cast({distance} AS BIGINT) AS d FROM v, c{r})")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(c, cast(d AS HUGEINT) * 8 + c) AS c, min(d) AS d FROM d{r} GROUP BY vec_id)")
+        if r < 10:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN (
+    SELECT c, list(cast((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+      SELECT c, i, cast(sum(x) AS HUGEINT) AS s, cast(count(*) AS HUGEINT) AS n
+      FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) n ON n.c = o.c)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, cast(a.c AS INTEGER) AS cluster, d AS distance,
+  cast(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, cast(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a10 a JOIN c10 m ON m.c = a.c"""
+
+
+#: The CRC-32 of w's bytes, bit by bit with the reflected polynomial.
+_CRC = """xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode(w))), lambda i: cast('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS UBIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: cast(z AS UBIGINT))), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))"""
+
+_WORDS_13 = r"""unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w"""
+
+OP13_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, {_WORDS_13} FROM documents) GROUP BY doc_id, w),
+b AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT {_WORDS_13} FROM benchmark) GROUP BY w),
+k AS MATERIALIZED (SELECT w, cast({_CRC} AS BIGINT) % 10000 AS bucket FROM (SELECT w FROM d UNION SELECT w FROM b)),
+s AS (SELECT bucket, sum(n) AS s FROM d JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM b JOIN k USING (w) GROUP BY bucket),
+g AS MATERIALIZED (
+  SELECT bucket, cast(floor(1000 * ln(cast((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000) AS DOUBLE) / cast((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM d JOIN k USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, cast(coalesce(n_features, 0) AS BIGINT) AS n_features, cast(coalesce(weight, 0) AS BIGINT) AS weight,
+    cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN w USING (doc_id)),
+r AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k FROM f)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 10 * (SELECT count(*) FROM r WHERE able) // 100 THEN k END AS rank FROM r
+"""
+
 ORACLES = {
+    "op13_target_sampling": OP13_SQL,
+    "op12_sort_means": _op12_sql(),
     "op6_line_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_chat_format": OP10_SQL,
