@@ -17,6 +17,7 @@ from tidegrid.plans import datasets, groups
 from tidegrid.plans import evaluate as ev
 from tidegrid.plans.factors import FactorDef as Fd
 from tidegrid.plans.factors import compile_factors
+from tidegrid.plans.online import Online
 from tidegrid.sources import bars, walks
 from tidegrid.sources.bars import SLOTS
 from tidegrid.sources.store import shared_folder
@@ -380,6 +381,10 @@ _factor(
 for _g in groups.GROUPS:
     query("group_targets" if _g.endswith("with_range") else f"group_{_g}", o.group_sql(groups.group(_g)))(lambda s, d, g=_g: factors(s, d, groups.group(g), raw=False))
 
+# Whole lists with the ranks of every factor, after one exchange by cross-section.
+for _g in ("lib", "fg260114"):
+    query(f"group_{_g}_ranked", o.ranked_group_sql(groups.group(_g)))(lambda s, d, g=_g: factors(s, d, groups.group(g), raw=False, ranks=True))
+
 # Ranks ------------------------------------------------------------------------------------------
 
 query("rank_binned_pop", o.binned(o.DAILY, "daily", "close", "date", 2000, 3.5, False, KEY))(lambda s, d: xs.binned_percentile(daily(s, d).select(*KEY, "close"), "close", ["date"], 2000, 3.5).select(*KEY, "rank"))
@@ -394,7 +399,7 @@ _RANKED = [o.binned(o.DAILY, "daily", c, "date", 2000, 3.5, False, KEY, f"rank_{
 
 @query("rank_factors", f"SELECT * FROM ({_RANKED[0]}) JOIN ({_RANKED[1]}) USING (date, instrument)")
 def _rank_factors(s, d):
-    return xs.ranked_columns(daily(s, d).select(*KEY, "volume", "close"), ["volume", "close"], KEY, ["date"]).select(*KEY, "rank_volume", "rank_close")
+    return xs.ranked_columns(daily(s, d).select(*KEY, "volume", "close"), ["volume", "close"], ["date"]).select(*KEY, "rank_volume", "rank_close")
 
 
 # Cross-sections and evaluation --------------------------------------------------------------------
@@ -630,6 +635,16 @@ def _pairwise(s, d):
     return xs.pair_loss(pred(s, d), "pred", "gt_1", ["date"])
 
 
+#: Sequences are instruments, their steps a day's slots; the mask leaves out slots without trades.
+_SEQ = f"WITH {o.DENSE},\n{o.INTRA}, q AS (SELECT date, instrument, slot, {L(MID)} - {L(f'first_value({MID}) {o.RUN}')} AS p, {L(f'last_value({MID}) {o.REST}')} - {L(MID)} AS g, volume AS m FROM intra)"
+
+
+@query("sequence_pair_loss", f"{_SEQ} SELECT a.date, count(*) AS pairs, round(sum(greatest(a.p - b.p, 0) + ln(1 + exp(-abs(a.p - b.p))) - (a.p - b.p) * (a.g - b.g > 0.001)::INT) / (count(*) + 1e-8), 6) + 0.0 AS loss FROM q a JOIN q b ON a.date = b.date AND a.slot = b.slot AND a.instrument < b.instrument WHERE a.m > 0 AND b.m > 0 GROUP BY a.date")
+def _sequence_pairs(s, d):
+    q = intra(s, d).select(*SLOTKEY, (ln(MID) - ln(wd.opening(MID))).alias("p"), wd.return_ahead(MID, -1).alias("g"), F.col("volume").alias("m"))
+    return xs.sequence_pair_loss(q, "p", "g", "m", ["date"], "slot")
+
+
 @query("losses", f"WITH {o.PRED} SELECT date, round(avg(abs(pred - gt_1)), 6) + 0.0 AS mae_pred_gt_1, round(avg((pred - gt_1) * (pred - gt_1)), 6) + 0.0 AS mse_pred_gt_1, round(0.5 * avg(abs(pred - gt_1)) + 2 * avg((pred - gt_1) * (pred - gt_1)), 6) + 0.0 AS total FROM pairs GROUP BY date")
 def _losses(s, d):
     return mlp.hybrid(pred(s, d), [("mae", "pred", "gt_1", 0.5), ("mse", "pred", "gt_1", 2.0)], _D)
@@ -750,3 +765,34 @@ def _stream_factors(s, d):
     intra(s, d).select(*SLOTKEY, MID).repartition(3).write.parquet(f"{top}/bars")
     made = compile_factors([Fd("daily_mom", 5, daily=("adjusted_close",), intraday=(MID,))], dense(s, d), running.file_stream(s, f"{top}/bars"), SLOTS, raw=True)
     return running.run_to_table(made, top, "factors", "append")
+
+
+def _online(s: SparkSession, d: str, defs: list[Fd], **options) -> DataFrame:
+    """A list online: the slots of all days arrive in three micro-batches, with a restart before each but the first."""
+    top, bars_ = _streams(s), intra(s, d)
+    fields = dict.fromkeys(f for x in defs for f in (*x.intraday, *x.cache) if f in bars_.columns)
+    for a, b in ((0, 9), (9, 17), (17, SLOTS)):
+        bars_.where((F.col("slot") >= a) & (F.col("slot") < b)).select(*SLOTKEY, *fields).write.mode("append").parquet(f"{top}/slots")
+        engine = Online(defs, dense(s, d), f"{top}/online", SLOTS, days_kept=1 << 16, **options)
+        engine.start(running.file_stream(s, f"{top}/slots", None)).awaitTermination()
+    return engine.output()
+
+
+@query("stream_group_lib", ORACLES["group_lib"])
+def _stream_lib(s, d):
+    return _online(s, d, groups.group("lib"))
+
+
+#: Factors of the running day at three levels: first values, changes, sums, extremes and deviations are carried from batch to batch.
+_TODAY = [_mom1, *[x for x in groups.group("fg260114") if x.kind.startswith("today_") or x.kind == "id" or (x.kind == "abs" and "today" in x.cache[0])]]
+
+
+@query("stream_group_today", o.group_sql(_TODAY))
+def _stream_today(s, d):
+    return _online(s, d, _TODAY)
+
+
+@query("stream_today_ranked", o.ranked_group_sql(_TODAY[:6]))
+def _stream_ranked(s, d):
+    """Ranks of a slot's cross-section as it closes."""
+    return _online(s, d, _TODAY[:6], ranks=True)

@@ -61,13 +61,64 @@ def binned_percentile(df: DataFrame, x: str, by: Sequence[str], bins: int = 1024
     return df.withColumn(name, value).drop("_n", "_mu", "_sd", "_flat", "_low", "_high", "_place", "_bin", "_upto", "_here")
 
 
-def ranked_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str], by: Sequence[str], bins: int = 2000, sigmas: float = 3.5, prefix: str = "rank_") -> DataFrame:
-    """rank_x = 4 p - 2 for each column, all through one pass: unpivoted, ranked by (by, column), gathered again."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in columns])).alias("_s")
-    long = df.select(*keys, pairs).select(*keys, "_s._c", "_s._v")
-    ranked = binned_percentile(long, "_v", [*by, "_c"], bins, sigmas, name="_p")
-    wide = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == c, 4 * F.col("_p") - 2)).alias(f"{prefix}{c}") for c in columns])
-    return df.join(wide, list(keys))
+def _histogram_percentiles(x: np.ndarray, bins: int, sigmas: float) -> np.ndarray:
+    """binned_percentile of every column of a cross-section (a row an instrument, NaN where missing), bounds by the population's deviation."""
+    rows, columns = x.shape
+    there = ~np.isnan(x)
+    n = there.sum(0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where(there, x, 0.0).sum(0) / n
+        sd = np.sqrt(np.where(there, (x - mean) ** 2, 0.0).sum(0) / n)
+        low, high = mean - sd * sigmas, mean + sd * sigmas
+        varies = sd >= 1e-12
+        used = there & varies
+        place = np.where(used, (x - low) * bins / (high - low), 0.0)
+        # Rounded first, so that the bin of ties at an edge doesn't hang on the order in which sums were taken.
+        at = np.clip(np.floor(np.round(place, 6)), 0, bins - 1).astype(np.int64)
+        cell = at + np.arange(columns) * bins
+        counts = np.bincount(cell[used], minlength=columns * bins).reshape(columns, bins)
+        here = counts.ravel()[cell]
+        inner = (counts.cumsum(1).ravel()[cell] - here + here * (place - at)) / n
+    out = np.where(x <= low, 0.0, np.where(x >= high, 1.0, inner))
+    return np.where(there, np.where(varies, out, 0.5), np.nan)
+
+
+def ranked_columns(df: DataFrame, columns: Sequence[str], by: Sequence[str], bins: int = 2000, sigmas: float = 3.5, prefix: str = "rank_") -> DataFrame:
+    """Adds rank_x = 4 p - 2 for each column, p its binned percentile among the rows of the same `by`.
+
+    All columns are ranked after one exchange and one sort on `by`: the cross-sections go by as a stream,
+    each a matrix (instruments x columns) whose histograms are filled in one pass. A window for each
+    column would sort and copy the rows once a column. Other columns go along.
+    """
+    schema = ", ".join([f"`{c}` {kind}" for c, kind in df.dtypes] + [f"`{prefix}{c}` double" for c in columns])
+
+    def ranked(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        x = np.stack([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+        p = 4 * _histogram_percentiles(x, bins, sigmas) - 2
+        made = [pa.array(p[:, i], pa.float64(), from_pandas=True) for i in range(len(columns))]
+        return pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *(f"{prefix}{c}" for c in columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = [b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in by]
+            edges = np.flatnonzero(reduce(np.logical_or, [k[1:] != k[:-1] for k in codes])) + 1
+            same = bool(held) and all(held[-1].column(c)[-1].as_py() == b.column(c)[0].as_py() for c in by)
+            if held and not same:
+                yield ranked(held)
+                held = []
+            for first, end in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+                held.append(b.slice(first, end - first))
+                if end < b.num_rows:
+                    yield ranked(held)
+                    held = []
+        if held:
+            yield ranked(held)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:
@@ -273,19 +324,55 @@ def neutralize(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], leas
     return out.withColumn("residual", F.col(y) - share * fitted).drop("intercept")
 
 
-def sequence_pair_loss(df: DataFrame, pred: str, gt: str, mask: str, by: Sequence[str], step: str, order: str = "instrument", margin: float = 0.001) -> DataFrame:
+#: Rows of a block: pairs are formed of two blocks at a time.
+PAIR_BLOCK = 1024
+
+
+def _pair_sum(p: np.ndarray, g: np.ndarray, i: np.ndarray, q: np.ndarray, h: np.ndarray, j: np.ndarray, margin: float) -> tuple[int, float]:
+    """Number and loss of the pairs of rows of two blocks with i < j."""
+    d, first = p[:, None] - q[None, :], i[:, None] < j[None, :]
+    loss = np.maximum(d, 0.0) + np.log1p(np.exp(-np.abs(d))) - d * (g[:, None] - h[None, :] > margin)
+    return int(first.sum()), float(loss[first].sum())
+
+
+def block_pairs(df: DataFrame, pred: str, gt: str, by: Sequence[str], order: str = "instrument", margin: float = 0.001, block: int = PAIR_BLOCK) -> DataFrame:
+    """by, pairs, total: partial sums of pair losses, one row for each two blocks of a group.
+
+    A group's rows are dealt by hash into blocks of about `block` rows, and a row goes to the meetings of
+    its block with every other one: as many as the group has blocks. A task holds two blocks and adds up
+    their pairs, so a large group is spread over all tasks and no pair becomes a row.
+    """
+    rows = df.where(both(pred, gt)).select(*by, F.col(order).alias("_i"), F.col(pred).cast("double").alias("_p"), F.col(gt).cast("double").alias("_g"))
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    null_safe = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
+    dealt = rows.alias("r").join(sizes.alias("s"), null_safe).select("r.*", "_blocks", F.pmod(F.xxhash64("_i", "_p", "_g"), F.col("_blocks")).cast("int").alias("_own"))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.withColumns({"_a": F.least("_own", "_other"), "_b": F.greatest("_own", "_other")}).drop("_blocks", "_other")
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "pairs long, total double"])
+
+    def meeting(key: tuple, table: pa.Table) -> pa.Table:
+        i, p, g, own = (table.column(c).to_numpy() for c in ("_i", "_p", "_g", "_own"))
+        a, b = (k.as_py() for k in key[-2:])
+        parts = [own == a, own == b]
+        n, total = 0, 0.0
+        # Both ways round: each pair is counted where its first row comes first.
+        for one, two in ([parts] if a == b else [parts, parts[::-1]]):
+            pairs, loss = _pair_sum(p[one], g[one], i[one], p[two], g[two], i[two], margin)
+            n, total = n + pairs, total + loss
+        return pa.table({**{c: pa.array([k.as_py()], k.type) for c, k in zip(by, key)}, "pairs": [n], "total": [total]})
+
+    return met.groupBy(*by, "_a", "_b").applyInArrow(meeting, schema)
+
+
+def pair_loss(df: DataFrame, pred: str, gt: str, by: Sequence[str], order: str = "instrument", margin: float = 0.001, block: int = PAIR_BLOCK) -> DataFrame:
+    """Mean over pairs i < j of a group of softplus(d) - d [gt_i - gt_j > margin], d = pred_i - pred_j, for groups with a pair."""
+    sums = block_pairs(df, pred, gt, by, order, margin, block).groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("_t"))
+    return sums.where("pairs > 0").select(*by, "pairs", (F.col("_t") / (F.col("pairs") + 1e-8)).alias("loss"))
+
+
+def sequence_pair_loss(df: DataFrame, pred: str, gt: str, mask: str, by: Sequence[str], step: str, order: str = "instrument", margin: float = 0.001, block: int = PAIR_BLOCK) -> DataFrame:
     """by, pairs, loss: pair losses of sequences, over pairs of sequences at every step where both are masked in."""
-    rows = df.where(F.col(mask) > 0)
-    each = pair_loss(rows, pred, gt, [*by, step], order, margin)
-    total = F.sum(F.col("loss") * (F.col("pairs") + 1e-8)) / (F.sum("pairs") + 1e-8)
-    return each.groupBy(*by).agg(F.sum("pairs").alias("pairs"), total.alias("loss"))
-
-
-def pair_loss(df: DataFrame, pred: str, gt: str, by: Sequence[str], order: str = "instrument", margin: float = 0.001) -> DataFrame:
-    """Mean over pairs i < j of a group of softplus(d) - d [gt_i - gt_j > margin], d = pred_i - pred_j. by fixes one cross-section."""
-    rows = df.where(both(pred, gt)).select(*by, F.col(order).alias("_i"), F.col(pred).alias("_p"), F.col(gt).alias("_g"))
-    other = rows.select(*by, F.col("_i").alias("_j"), F.col("_p").alias("_q"), F.col("_g").alias("_h"))
-    d = F.col("_p") - F.col("_q")
-    y = (F.col("_g") - F.col("_h") > margin).cast("double")
-    loss = F.greatest(d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d))) - d * y
-    return rows.join(other, list(by)).where("_i < _j").groupBy(*by).agg(F.count("*").alias("pairs"), (F.sum(loss) / (F.count("*") + 1e-8)).alias("loss"))
+    sums = block_pairs(df.where(F.col(mask) > 0), pred, gt, [*by, step], order, margin, block)
+    out = sums.groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("_t")).where("pairs > 0")
+    return out.select(*by, "pairs", (F.col("_t") / (F.col("pairs") + 1e-8)).alias("loss"))

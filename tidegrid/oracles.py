@@ -290,8 +290,8 @@ class GroupSql:
 MID_FIELD = "mid_price"
 
 
-def group_sql(defs) -> str:
-    """date, instrument, slot and every factor of the list, shifted, scaled and clipped; ranked targets by the binned percentile of the slot."""
+def _group_ctes(defs) -> tuple[str, str]:
+    """Common table expressions of a list's raw factors, and the name of the last."""
     g = GroupSql(defs)
     day = ", ".join(f"{x} AS {n}" for n, x in g.day.items()) or "1 AS one"
     day2 = "".join(f", {x} AS {n}" for n, x in g.day2.items())
@@ -314,5 +314,31 @@ q{k}c AS (SELECT *, CASE WHEN NOT flat AND {of} IS NOT NULL THEN CASE WHEN {of}
 q{k}d AS (SELECT *, count({of}) OVER (PARTITION BY date, slot, k) AS here, count({of}) OVER ({by} ORDER BY k NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q{k}c),
 q{k} AS (SELECT * EXCLUDE (qm, qs, qa, lo, hi, flat, k, place, here, upto), CASE WHEN {of} IS NULL THEN NULL WHEN flat THEN 0.5 WHEN {of} <= lo THEN 0 WHEN {of} >= hi THEN 1 ELSE (upto - here + here * (place - k)) / qm END AS {name} FROM q{k}d)"""
         last = f"q{k}"
-    clipped = {d.name: f"CASE WHEN {d.name} IS NOT NULL THEN greatest(least(({d.name} - {d.shift}) * {d.scale}, {d.upper}), {d.lower}) END" for d in defs}
-    return pick(sql, last, ["date", "instrument", "slot"], clipped)
+    return sql, last
+
+
+def _clipped(d) -> str:
+    return f"CASE WHEN {d.name} IS NOT NULL THEN greatest(least(({d.name} - {d.shift}) * {d.scale}, {d.upper}), {d.lower}) END"
+
+
+def group_sql(defs) -> str:
+    """date, instrument, slot and every factor of the list, shifted, scaled and clipped; ranked targets by the binned percentile of the slot."""
+    sql, last = _group_ctes(defs)
+    return pick(sql, last, ["date", "instrument", "slot"], {d.name: _clipped(d) for d in defs})
+
+
+def ranked_group_sql(defs, bins: int = 2000, sigmas: float = 3.5) -> str:
+    """group_sql with rank_x, the scaled binned percentile of each raw factor in its slot: the factors are unpivoted, ranked and pivoted again."""
+    sql, last = _group_ctes(defs)
+    names = [d.name for d in defs]
+    by = "PARTITION BY date, slot, name"
+    sql += f""",
+u AS (SELECT date, instrument, slot, unnest([{", ".join(f"'{n}'" for n in names)}]) AS name, unnest([{", ".join(f"CAST({n} AS DOUBLE)" for n in names)}]) AS v FROM {last}),
+u1 AS (SELECT *, count(v) OVER ({by}) AS m, avg(v) OVER ({by}) AS mu, stddev_pop(v) OVER ({by}) AS sd FROM u),
+u2 AS (SELECT *, mu - sd * {sigmas} AS lo, mu + sd * {sigmas} AS hi, coalesce(sd < 1e-12, true) AS flat FROM u1),
+u3 AS (SELECT *, CASE WHEN NOT flat AND v IS NOT NULL THEN least(greatest(floor(round(place, 6)), 0), {bins - 1}) END AS k FROM (SELECT *, CASE WHEN NOT flat THEN (v - lo) * {bins} / (hi - lo) END AS place FROM u2)),
+u4 AS (SELECT *, count(v) OVER (PARTITION BY date, slot, name, k) AS here, count(v) OVER ({by} ORDER BY k NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM u3),
+u5 AS (SELECT date, instrument, slot, name, 4 * CASE WHEN v IS NULL THEN NULL WHEN flat THEN 0.5 WHEN v <= lo THEN 0 WHEN v >= hi THEN 1 ELSE (upto - here + here * (place - k)) / m END - 2 AS r FROM u4),
+u6 AS (SELECT date, instrument, slot, {", ".join(f"max(r) FILTER (WHERE name = '{n}') AS rank_{n}" for n in names)} FROM u5 GROUP BY date, instrument, slot),
+z AS (SELECT * FROM {last} JOIN u6 USING (date, instrument, slot))"""
+    return pick(sql, "z", ["date", "instrument", "slot"], {d.name: _clipped(d) for d in defs} | {f"rank_{n}": f"rank_{n}" for n in names})

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import cents, clip, larger, ln, ln1p, ratio, smaller
 from tidegrid.operators import moments, windows
+from tidegrid.operators.recurrence import Recurrence
 from tidegrid.operators.xsection import binned_percentile, ranked_columns
 
 
@@ -154,8 +155,8 @@ class Plan:
     def fraction(self) -> Column:
         return (F.col("slot") + 1) / F.lit(float(self.slots))
 
-    def running(self, depth: int, name: str, value: Column) -> Column:
-        """A column over the running day, computed before this level's factors; deeper ones may use shallower ones."""
+    def running(self, depth: int, name: str, value: Column | Recurrence) -> Column:
+        """A column over the running day (or a plain one), computed before this level's factors; deeper ones may use shallower ones."""
         while len(self.levels) <= self._level:
             self.levels.append({"running": {}, "factors": {}})
         stage = self.levels[self._level]["running"].setdefault(depth, {})
@@ -172,16 +173,19 @@ class Plan:
         return lambda name, value: self.running(10 + step, f"_k{step}_{of}_{name}", value)
 
     def change(self, field: str) -> Column:
-        return self.running(0, f"_d_{field}", windows.change(field))
+        return self.running(0, f"_d_{field}", Recurrence("change", F.col(field)))
+
+    def opening(self, field: str) -> Column:
+        return self.running(0, f"_o_{field}", Recurrence("first", F.col(field)))
 
     def total(self, field: str) -> Column:
-        return self.running(0, f"_t_{field}", windows.total(field))
+        return self.running(0, f"_t_{field}", Recurrence("sum", F.coalesce(F.col(field), F.lit(0.0))))
 
     def running_moments(self, name: str, x: Column) -> tuple[Column, Column, Column, Column]:
-        out = [self.running(1, f"_n_{name}", F.count(x).over(windows.so_far()).cast("double"))]
+        out = [self.running(1, f"_n_{name}", Recurrence("count", x))]
         for k in (1, 2, 3):
             term = x if k == 1 else x * x if k == 2 else x * x * x
-            out.append(self.running(1, f"_r{k}_{name}", F.coalesce(F.sum(term).over(windows.so_far()), F.lit(0.0))))
+            out.append(self.running(1, f"_r{k}_{name}", Recurrence("sum", term)))
         return tuple(out)
 
 
@@ -237,7 +241,7 @@ def _momentum_sum(plan: Plan, d: FactorDef) -> Column:
 @register_factor("intraday_mom", intraday=1)
 def _intraday_momentum(plan: Plan, d: FactorDef) -> Column:
     f = d.intraday[0]
-    return _per_root(ln(plan.now(f)) - ln(plan.running(0, f"_o_{f}", windows.opening(f))), max(d.window, 1))
+    return _per_root(ln(plan.now(f)) - ln(plan.opening(f)), max(d.window, 1))
 
 
 def _today(plan: Plan, d: FactorDef) -> Column:
@@ -337,15 +341,15 @@ def _amount_ratio(plan: Plan, d: FactorDef) -> Column:
 @register_factor("today_mom")
 def _today_momentum(plan: Plan, d: FactorDef) -> Column:
     f = (d.cache or d.intraday)[0]
-    return plan.now(f) - plan.running(0, f"_o_{f}", windows.opening(f))
+    return plan.now(f) - plan.opening(f)
 
 
 @register_factor("today_volatility")
 def _today_volatility(plan: Plan, d: FactorDef) -> Column:
     f = (d.cache or d.intraday)[0]
     v = plan.change(f)
-    s = plan.running(1, f"_r2_d_{f}", F.coalesce(F.sum(v * v).over(windows.so_far()), F.lit(0.0)))
-    n = plan.running(1, f"_n_d_{f}", F.count(v).over(windows.so_far()).cast("double"))
+    s = plan.running(1, f"_r2_d_{f}", Recurrence("sum", v * v))
+    n = plan.running(1, f"_n_d_{f}", Recurrence("count", v))
     return F.when(n > 1, F.sqrt(F.try_divide(s, n - 1))).otherwise(F.sqrt(s) * 0.5)
 
 
@@ -359,7 +363,7 @@ def _today_skewness(plan: Plan, d: FactorDef) -> Column:
 @register_factor("today_std", intraday=1)
 def _today_std(plan: Plan, d: FactorDef) -> Column:
     f = d.intraday[0]
-    return plan.running(0, f"_sd_{f}", F.stddev_pop(ln1p(f)).over(windows.so_far()))
+    return plan.running(0, f"_sd_{f}", Recurrence("spread", ln1p(f)))
 
 
 @register_factor("today_log_skewness", intraday=1)
@@ -372,8 +376,8 @@ def _today_log_skewness(plan: Plan, d: FactorDef) -> Column:
 @register_factor("today_position", intraday=3)
 def _today_position(plan: Plan, d: FactorDef) -> Column:
     p, h, l = (plan.now(f) for f in d.intraday)  # noqa: E741
-    hi = plan.running(0, f"_hi_{d.intraday[1]}", windows.high_so_far(d.intraday[1]))
-    lo = plan.running(0, f"_lo_{d.intraday[2]}", windows.low_so_far(d.intraday[2]))
+    hi = plan.running(0, f"_hi_{d.intraday[1]}", Recurrence("high", F.col(d.intraday[1])))
+    lo = plan.running(0, f"_lo_{d.intraday[2]}", Recurrence("low", F.col(d.intraday[2])))
     return F.when((p == 0) | F.coalesce(hi - lo, F.lit(0.0)).isin(0.0), 0.5).otherwise((p - lo) / F.nullif(hi - lo, F.lit(0.0)))
 
 
@@ -435,7 +439,7 @@ def _future_day(plan: Plan, d: FactorDef) -> Column:
 def _inter_day(plan: Plan, d: FactorDef) -> Column:
     ahead = plan.daily(f"fut{d.window}", d.future[0], lambda x: windows.future(x, d.window))
     f = d.intraday[-1]
-    close = plan.running(0, f"_c_{f}", F.last(f).over(windows.today().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    close = plan.running(0, f"_c_{f}", Recurrence("whole", F.last(f).over(windows.today().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     return ln(ahead) - ln(close)
 
 
@@ -461,7 +465,7 @@ def _today_target(plan: Plan, d: FactorDef) -> Column:
     buy, sell, mid = d.intraday
     price = plan.running(0, f"_sell_{sell}_{mid}", _or_mid(F.col(sell), F.col(mid)))
     end = F.last(price).over(windows.today().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    then = plan.running(1, f"_to{d.window}_{sell}_{mid}", F.coalesce(F.lead(price, d.window).over(windows.today()), end))
+    then = plan.running(1, f"_to{d.window}_{sell}_{mid}", Recurrence("whole", F.coalesce(F.lead(price, d.window).over(windows.today()), end)))
     return ln(then) - ln(_or_mid(plan.now(buy), plan.now(mid)))
 
 
@@ -497,49 +501,90 @@ def levels(defs: Sequence[FactorDef], fields: Sequence[str]) -> dict[str, int]:
     return found
 
 
-def compile_factors(defs: Sequence[FactorDef], daily: DataFrame, intraday: DataFrame, slots: int, ranks: bool = False, raw: bool = False) -> DataFrame:
-    """date, instrument, slot and a column for each factor.
+@dataclass
+class Compiled:
+    """A list of factors laid out by level over its plan."""
 
-    daily: the dense daily grid with `factor`; intraday: the dense intraday grid. Only the fields that
-    the factors name are carried. raw: without shift, scale and clip. ranks: also rank_<factor>.
-    The join of daily columns is left to the optimizer, which broadcasts only sides it knows to be small.
-    """
+    defs: Sequence[FactorDef]
+    plan: Plan
+    built: dict[str, Column]
+    level_of: dict[str, int]
+
+    KEYS = ("date", "instrument", "slot")
+
+    def history(self, daily: DataFrame) -> DataFrame:
+        """date, instrument, the day's factor and the history (and future) columns: one exchange by instrument."""
+        plan = self.plan
+        side = daily.withColumns(plan.history) if plan.history else daily
+        side = windows.with_history_sums(side, plan.sums) if plan.sums else side
+        side = side.withColumns(plan.deeper) if plan.deeper else side
+        return side.select("date", "instrument", plan.factor, *plan.history, *plan.sums, *plan.deeper)
+
+    @property
+    def reads_history(self) -> bool:
+        return bool(self.plan.history or self.plan.sums or self.plan.deeper)
+
+    def inputs(self, intraday: DataFrame) -> list[str]:
+        return list(dict.fromkeys(f for d in self.defs for f in (*d.intraday, *d.cache) if f in intraday.columns))
+
+    def stages(self) -> list[tuple[list[dict[str, Column | Recurrence]], list[FactorDef]]]:
+        """For each level its running columns by depth, and its factors."""
+        out = []
+        for n in range(max(self.level_of.values(), default=-1) + 1):
+            running = self.plan.levels[n]["running"] if n < len(self.plan.levels) else {}
+            out.append(([running[k] for k in sorted(running)], [d for d in self.defs if self.level_of[d.name] == n]))
+        return out
+
+    def finished(self, frame: DataFrame, ranks: bool, raw: bool, keep: Sequence[str] = ()) -> DataFrame:
+        """Keys, kept columns and factors, ranked where asked for, shifted, scaled and clipped."""
+        keys = [*self.KEYS, *keep]
+        frame = frame.select(*keys, *[d.name for d in self.defs])
+        if ranks:
+            frame = ranked_columns(frame, [d.name for d in self.defs], ["date", "slot"])
+        if raw:
+            return frame
+        done = {d.name: clip((F.col(d.name) - d.shift) * d.scale, d.lower, d.upper) for d in self.defs}
+        return frame.select(*keys, *[done[c].alias(c) if c in done else F.col(c) for c in frame.columns if c not in keys])
+
+
+def compiled(defs: Sequence[FactorDef], fields: Sequence[str], slots: int) -> Compiled:
+    """The plan of a list of factors; fields: the intraday columns there are."""
     for d in defs:
         if d.kind not in REGISTRY:
             raise ValueError(f"no factor {d.kind}")
         for source, n in REGISTRY[d.kind][1].items():
             if len(getattr(d, source)) < n:
                 raise ValueError(f"{d.kind} takes {n} {source} fields, not {len(getattr(d, source))}")
-    level_of = levels(defs, intraday.columns)
+    level_of = levels(defs, fields)
     plan = Plan(defs, slots)
     built: dict[str, Column] = {}
     for d in sorted(defs, key=lambda d: level_of[d.name]):
         plan._level = level_of[d.name]
         built[d.name] = REGISTRY[d.kind][0](plan, d)
+    return Compiled(defs, plan, built, level_of)
+
+
+def ranked_target(frame: DataFrame, d: FactorDef) -> DataFrame:
+    return binned_percentile(frame, d.cache[0], ["date", "slot"], 2000, 3.5, sample_std=True, name=d.name)
+
+
+def compile_factors(defs: Sequence[FactorDef], daily: DataFrame, intraday: DataFrame, slots: int, ranks: bool = False, raw: bool = False) -> DataFrame:
+    """date, instrument, slot and a column for each factor.
 
-    keys = ["date", "instrument", "slot"]
-    side = windows.with_history_sums(daily.withColumns(plan.history) if plan.history else daily, plan.sums) if plan.sums else daily.withColumns(plan.history)
-    side = side.withColumns(plan.deeper) if plan.deeper else side
-    need = [*plan.history, *plan.sums, *plan.deeper]
-    inputs = dict.fromkeys(f for d in defs for f in (*d.intraday, *d.cache) if f in intraday.columns)
-    frame = intraday.select(*keys, *inputs)
-    if need:
-        frame = frame.join(side.select("date", "instrument", plan.factor, *need), ["date", "instrument"])
-    carried: list[str] = []
-    for n in range(max(level_of.values(), default=-1) + 1):
-        stages = plan.levels[n]["running"] if n < len(plan.levels) else {}
-        for depth in sorted(stages):
-            frame = frame.withColumns(stages[depth])
-        here = [d for d in defs if level_of[d.name] == n and d.kind != "rank_targets"]
-        if here:
-            frame = frame.withColumns({d.name: built[d.name] for d in here})
-        for d in (d for d in defs if level_of[d.name] == n and d.kind == "rank_targets"):
-            frame = binned_percentile(frame, d.cache[0], ["date", "slot"], 2000, 3.5, sample_std=True, name=d.name)
-        carried += [d.name for d in defs if level_of[d.name] == n]
-    frame = frame.select(*keys, *[d.name for d in defs])
-    if ranks:
-        frame = ranked_columns(frame, [d.name for d in defs], keys, ["date", "slot"])
-    if raw:
-        return frame
-    done = {d.name: clip((F.col(d.name) - d.shift) * d.scale, d.lower, d.upper) for d in defs}
-    return frame.select(*keys, *[done[c].alias(c) if c in done else F.col(c) for c in frame.columns if c not in keys])
+    daily: the dense daily grid with `factor`; intraday: the dense intraday grid. Only the fields that
+    the factors name are carried. raw: without shift, scale and clip. ranks: also rank_<factor>.
+    The join of daily columns is left to the optimizer, which broadcasts only sides it knows to be small.
+    """
+    c = compiled(defs, intraday.columns, slots)
+    frame = intraday.select(*c.KEYS, *c.inputs(intraday))
+    if c.reads_history:
+        frame = frame.join(c.history(daily), ["date", "instrument"])
+    for running, here in c.stages():
+        for stage in running:
+            frame = frame.withColumns({n: v.over_day() if isinstance(v, Recurrence) else v for n, v in stage.items()})
+        plain = [d for d in here if d.kind != "rank_targets"]
+        if plain:
+            frame = frame.withColumns({d.name: c.built[d.name] for d in plain})
+        for d in (d for d in here if d.kind == "rank_targets"):
+            frame = ranked_target(frame, d)
+    return c.finished(frame, ranks, raw)

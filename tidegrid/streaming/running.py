@@ -101,9 +101,19 @@ def day_sketches(stream: DataFrame, x: str = "value", k: int = 800) -> DataFrame
     return day.select(F.to_date("window.start").alias("date"), F.lit(x).alias("horizon"), "sketch")
 
 
-def file_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, in the order in which they were written."""
-    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, in the order in which they were written; None: all that are there at once."""
+    reader = spark.readStream.schema(spark.read.parquet(folder).schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
+
+
+def closed_slots(events: DataFrame, width: str = "1 hour", day: str = "date") -> DataFrame:
+    """date, instrument, slot, mid_price, high, low, volume, amount of slots that the watermark has passed: a row is given once and is final."""
+    px = F.col("value") + 100
+    bars = events.groupBy(F.window("ts", width), F.col("user_id").alias("instrument")).agg(
+        F.max_by(px, F.struct("ts", "event_id")).alias("mid_price"), F.max(px).alias("high"), F.min(px).alias("low"), F.count("*").cast("double").alias("volume"), F.sum("value").alias("amount")
+    )
+    return bars.select(F.to_date("window.start").alias(day), "instrument", F.hour("window.start").alias("slot"), "mid_price", "high", "low", "volume", "amount")
 
 
 def run_to_table(stream: DataFrame, folder: str, name: str, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
