@@ -13,12 +13,12 @@ from tidegrid.models import mlp
 from tidegrid.operators import panel as pn
 from tidegrid.operators import windows as wd
 from tidegrid.operators import xsection as xs
-from tidegrid.plans import datasets, groups
+from tidegrid.plans import datasets, groups, neutral, stats
 from tidegrid.plans import evaluate as ev
 from tidegrid.plans.factors import FactorDef as Fd
 from tidegrid.plans.factors import compile_factors
 from tidegrid.plans.online import Online
-from tidegrid.sources import bars, walks
+from tidegrid.sources import bars
 from tidegrid.sources.bars import SLOTS
 from tidegrid.sources.store import shared_folder
 from tidegrid.streaming import running
@@ -650,11 +650,6 @@ def _losses(s, d):
     return mlp.hybrid(pred(s, d), [("mae", "pred", "gt_1", 0.5), ("mse", "pred", "gt_1", 2.0)], _D)
 
 
-@query("random_walk")
-def _walk(s, d):
-    return walks.noisy_walk(s, 0.01, latent=True, steps=100, paths=8)
-
-
 @query("time_embedding", "SELECT DISTINCT CAST(hour(ts) AS BIGINT) AS slot, round(sin(hour(ts)), 6) + 0.0 AS s0, round(cos(hour(ts) * exp(-2 * ln(500) / 4)), 6) + 0.0 AS c2 FROM events")
 def _embedding(s, d):
     e = mlp.time_embedding(F.col("slot").cast("double"), 4)
@@ -796,3 +791,89 @@ def _stream_today(s, d):
 def _stream_ranked(s, d):
     """Ranks of a slot's cross-section as it closes."""
     return _online(s, d, _TODAY[:6], ranks=True)
+
+
+_LEVELS = f"[{', '.join(f'CAST({p!r} AS DOUBLE)' for p in (*[i / 100 for i in range(1, 100)], *xs.TAIL_EDGES))}]"
+
+
+@query(
+    "stream_quantile_bins",
+    "WITH e AS (SELECT CAST(ts AS DATE) AS date, value FROM events), d AS (SELECT date, list(value) AS l FROM e GROUP BY date), "
+    "p AS (SELECT e.date, e.value, len(list_filter(d.l, lambda y: y <= e.value)) AS k, len(d.l) AS m FROM e JOIN d ON e.date = d.date + 1), "
+    f"b AS (SELECT date, value, len(list_filter({_LEVELS}, lambda x: k >= ceil(round(x * m, 7)))) AS bin FROM p) "
+    "SELECT date, 'value' AS horizon, CAST(bin AS BIGINT) AS bin, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM b GROUP BY date, bin",
+)
+def _stream_bins(s, d):
+    """The whole-sample quantile accumulator as a stream: each day's values binned by yesterday's sketch."""
+    e = bars.events(s, d)
+    sketches = ev.quantile_sketches(e, ["value"], 4096, by=["date"])
+    return running.run_to_table(running.quantile_bins(running.event_stream(s, d), sketches), _streams(s), "bins", "update", ("date", "horizon", "bin"))
+
+
+# Statistics kept as states by day and merged forward: the dates arrive in three parts
+
+
+def _stored(s: SparkSession, name: str, stat: stats.Stat, rows: DataFrame) -> stats.Stats:
+    store = stats.Stats(s, f"{_streams(s)}/stats")
+    for a, b in (("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20"), ("2024-01-21", "2024-12-31")):
+        store.add(name, stat, pn.between(rows, a, b))
+    return store
+
+
+@query("stats_volume_profile", ORACLES["vol_profile_ewma"])
+def _stat_profile(s, d):
+    stat = stats.STATS["volume_profile"](0.95)
+    return _stored(s, "profile", stat, intra(s, d)).value("profile", stat)
+
+
+@query("stats_moments", o.pick(o.DAILY, "(SELECT instrument, count(close) AS n, avg(close) AS mean, stddev_samp(close) AS std FROM daily GROUP BY instrument)", ["instrument"], ["n", "mean", "std"]))
+def _stat_moments(s, d):
+    stat = stats.STATS["moments"]("close")
+    return _stored(s, "moments", stat, daily(s, d)).value("moments", stat)
+
+
+_SPAN = "WHERE date BETWEEN DATE '2024-01-18' AND DATE '2024-01-24'"
+
+
+@query("stats_window", o.pick(o.DAILY, f"(SELECT instrument, max(high) AS high, min(low) AS low FROM daily {_SPAN} GROUP BY instrument)", ["instrument"], {"high": "high", "low": "low", "range": "high - low"}))
+def _stat_window(s, d):
+    """A week's extremes from its days' states."""
+    stat = stats.STATS["extremes"]("high", "low")
+    return _stored(s, "extremes", stat, daily(s, d)).window("extremes", stat, "2024-01-18", "2024-01-24")
+
+
+@query("stats_quantiles", o.pick(o.DAILY, "(SELECT 'close' AS horizon, quantile_disc(close, 0.25) AS q25, quantile_disc(close, 0.75) AS q75 FROM daily)", ["horizon"], ["q25", "q75"]))
+def _stat_quantiles(s, d):
+    """Quantiles of all days from their merged sketches: exact where a sketch holds every value."""
+    stat = stats.STATS["quantiles"]("close", (0.25, 0.75), k=8192)
+    return _stored(s, "quantiles", stat, daily(s, d)).value("quantiles", stat)
+
+
+_ROLL = "OVER (PARTITION BY bucket ORDER BY date RANGE BETWEEN INTERVAL 4 DAYS PRECEDING AND CURRENT ROW)"
+
+
+@query("neutralize_stored", o.pick(f"{o.DAILY}, b AS (SELECT *, instrument % 3 AS bucket FROM daily), f AS (SELECT DISTINCT bucket, date, regr_count(close, volume) {_ROLL} AS n, regr_intercept(close, volume) {_ROLL} AS i, regr_slope(close, volume) {_ROLL} AS v FROM b)", "f", ["bucket", "date", "CAST(n AS BIGINT) AS n"], {"intercept": "i", "beta_volume": "v"}, "WHERE n >= 20"))
+def _rolling(s, d):
+    """Fits over five days at every date, from stored sums of products."""
+    stat = stats.STATS["regression"]("close", ["volume"], ("bucket",))
+    store = _stored(s, "products", stat, daily(s, d).withColumn("bucket", F.col("instrument") % 3))
+    return neutral.rolling_betas(store.states("products"), stat, "close", ["volume"], 5)
+
+
+# The session grid ------------------------------------------------------------------------------------
+
+_MARKS = f"[{', '.join(str(570 + m if m < 120 else 660 + m) for m in pn.sample_minutes())}]"
+
+
+@query(
+    "asof_session",
+    "WITH t AS (SELECT user_id AS instrument, ts, last(value ORDER BY event_id) AS value FROM events GROUP BY 1, 2), "
+    f"m AS (SELECT instrument, date, date + unnest({_MARKS}) * INTERVAL 1 MINUTE AS ts FROM (SELECT DISTINCT user_id AS instrument, CAST(ts AS DATE) AS date FROM events)) "
+    "SELECT m.instrument, m.ts, t.ts AS tick, round(t.value, 6) + 0.0 AS value FROM m ASOF JOIN t ON m.instrument = t.instrument AND m.ts >= t.ts WHERE m.ts <= t.ts + INTERVAL 3 HOURS",
+)
+def _asof(s, d):
+    """At each sampled minute of both sessions, the last event of the three hours before, across the break and the night."""
+    e = bars.events(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    marks = pn.session_marks(e.select("instrument", "date").distinct()).drop("minute", "date")
+    out = pn.as_of(marks, e.select("instrument", "ts", "value", "event_id"), ["instrument"], "ts", ["value"], "3 HOURS", tie="event_id")
+    return out.where("_at IS NOT NULL").select("instrument", "ts", F.col("_at").alias("tick"), "value")

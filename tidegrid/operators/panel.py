@@ -222,6 +222,39 @@ def first_at_or_after(df: DataFrame, marks: Sequence[int], minute: str, by: Sequ
     return df.withColumn("_m", own).withColumn("_p", F.lag("_m").over(w)).where((F.col("_m") >= 0) & (F.col("_p").isNull() | (F.col("_p") < F.col("_m")))).drop("_p").withColumnRenamed("_m", "mark")
 
 
+def session_marks(days: DataFrame, minutes: Sequence[int] | None = None, day: str = "date", name: str = "ts") -> DataFrame:
+    """The rows of `days`, each with every sampled minute of its two sessions (from 9:30 and from 13:00, 120 minutes each) as a timestamp."""
+    minutes = sample_minutes() if minutes is None else minutes
+    seconds = F.array(*[F.lit((570 + m if m < 120 else 660 + m) * 60) for m in minutes])
+    marked = days.withColumns({"minute": F.explode(F.array(*[F.lit(m) for m in minutes]))})
+    return marked.withColumn(name, F.timestamp_seconds(F.unix_seconds(F.col(day).cast("timestamp")) + F.get(seconds, F.array_position(F.array(*[F.lit(m) for m in minutes]), F.col("minute")).cast("int") - 1)))
+
+
+def as_of(marks: DataFrame, ticks: DataFrame, by: Sequence[str], time: str, values: Sequence[str], tolerance: str | None = None, tie: str | None = None, width: str = "1 day") -> DataFrame:
+    """Each mark with the values (and _at, the time) of the last tick of its key at or before it; none where that is older than the tolerance.
+
+    Marks and ticks are merged by one sort in spans of `width`, so that a key with very many ticks is
+    spread over its spans. What a span's first marks need of earlier spans comes from the spans' last ticks: an
+    aggregate with a row a span. Ticks of one time: the one with the largest `tie` counts. No theta join.
+    """
+    span = F.floor(F.unix_seconds(F.col(time)) / F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {width}")))
+    place = F.struct(time, *([tie] if tie else []))
+    held = F.struct(F.col(time).alias("_at"), *values)
+    rest = [c for c in marks.columns if c not in (*by, time)]
+    m = marks.select(*by, time, span.alias("_span"), F.struct(*rest).alias("_mark") if rest else F.lit(True).alias("_mark"), F.lit(1).alias("_kind"))
+    t = ticks.select(*by, time, span.alias("_span"), held.alias("_tick"), place.alias("_place"), F.lit(0).alias("_kind"))
+    both = t.unionByName(m, allowMissingColumns=True)
+    lasts = both.groupBy(*by, "_span").agg(F.max_by("_tick", "_place").alias("_last"))
+    over = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*by, "_span", F.last("_last", ignorenulls=True).over(over).alias("_carried"))
+    merge = Window.partitionBy(*by, "_span").orderBy(time, "_kind", "_place").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_tick", ignorenulls=True).over(merge)).where("_kind = 1")
+    found = seen.join(carried, [*by, "_span"]).withColumn("_found", F.coalesce("_seen", "_carried"))
+    if tolerance is not None:
+        found = found.withColumn("_found", F.when(F.col(time) <= F.col("_found._at") + F.expr(f"INTERVAL {tolerance}"), F.col("_found")))
+    return found.select(*by, time, *([f"_mark.{c}" for c in rest]), F.col("_found._at").alias("_at"), *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
 def one_random_slot(df: DataFrame, seed: int, by: Sequence[str] = ("date", "instrument"), slot: str = "slot", period: tuple[int, int] | None = None, valid: str | None = None, selector: Column | None = None) -> DataFrame:
     """One row of each group, drawn by a hash of the seed, the group and the slot; position is its place in 240 minutes.
 

@@ -263,7 +263,7 @@ def newey_west(df: DataFrame, x: str, time: str, lag: int = 5, least: int = 10)
     return agg.select("n", "mean", F.when((F.col("n") >= least) & (spread > 0), F.col("mean") / F.sqrt(spread / F.col("n"))).alias("t"))
 
 
-def _solved(moments: DataFrame, by: Sequence[str], k: int, intercept: bool, nonpositive: bool) -> DataFrame:
+def solved(moments: DataFrame, by: Sequence[str], k: int, intercept: bool, nonpositive: bool) -> DataFrame:
     """by, _n, _base and arrays _beta, _corr: least squares from a group's mean values and covariances, one small system a group.
 
     A singular system gets its solution of least norm. nonpositive: coefficients over zero become zero.
@@ -305,7 +305,7 @@ def betas(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], least: in
     pairs = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
     sums = [F.covar_pop(cols[i], cols[j]).alias(f"_s{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
     moments = pairs.groupBy(*by).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)], *sums).where(F.col("_n") >= least)
-    fit = _solved(moments, by, len(xs), intercept, nonpositive)
+    fit = solved(moments, by, len(xs), intercept, nonpositive)
     return fit.select(
         *by, F.col("_n").alias("n"), F.col("_base").alias("intercept"), *[F.get("_beta", F.lit(i)).alias(f"beta_{x}") for i, x in enumerate(xs)], *[F.nanvl(F.get("_corr", F.lit(i)), F.lit(None)).alias(f"corr_{x}") for i, x in enumerate(xs)]
     )

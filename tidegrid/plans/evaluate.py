@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,14 +161,81 @@ def sketch_quantiles(sketches: DataFrame, levels: Sequence[float] = LEVELS) -> D
     return sketches.select(*rest, F.explode(pairs).alias("t")).select(*rest, "t.*")
 
 
+#: Bits of a value that a pass settles.
+DIGIT = 16
+
+
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """64-bit patterns in the order of the values; zeros of both signs are one value."""
+    raw = (x + 0.0).view(np.uint64)
+    return np.where(raw >> np.uint64(63) == 1, ~raw, raw | np.uint64(1) << np.uint64(63))
+
+
+def _value_of(bits: int) -> float:
+    raw = bits & (1 << 63) - 1 if bits >> 63 else ~bits & (1 << 64) - 1
+    return float(np.array([raw], np.uint64).view(np.float64)[0])
+
+
+def order_statistics(df: DataFrame, values: Sequence[str], ranks: Callable[[int], Sequence[int]]) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
+    """How many values each column has, and its values at the ranks (from 0) that `ranks` names for that number.
+
+    Selection by refinement: a pass counts, for each prefix of bits in which a sought value lies, the values
+    by their next DIGIT bits. A task fills its histograms as its rows go by, so what is exchanged is at
+    most prefixes x 2^DIGIT counts a task whatever the input, no value is sorted or gathered, and four passes settle
+    the 64 bits of a double. The driver holds the histograms of the prefixes sought: two for each rank at most.
+    """
+    columns = df.select(*[F.col(v).cast("double").alias(v) for v in values])
+
+    def counted(shift: int, prefixes: dict[str, list[int]]) -> dict[tuple[str, int], np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = {(v, p): np.zeros(1 << DIGIT, np.int64) for v in values for p in prefixes[v]}
+            for b in batches:
+                for v in values:
+                    x = b.column(v).drop_null().to_numpy(zero_copy_only=False)
+                    bits = _ordered_bits(x[~np.isnan(x)])
+                    digit = (bits >> np.uint64(shift) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+                    head = bits >> np.uint64(shift + DIGIT) if shift + DIGIT < 64 else np.zeros(len(bits), np.uint64)
+                    for p in prefixes[v]:
+                        sums[v, p] += np.bincount(digit[head == np.uint64(p)], minlength=1 << DIGIT)
+            for (v, p), n in sums.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(some), pa.string()), pa.array([str(p)] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some])], ["v", "p", "digit", "n"])
+
+        out = {(v, p): np.zeros(1 << DIGIT, np.int64) for v in values for p in prefixes[v]}
+        for r in columns.mapInArrow(run, "v string, p string, digit int, n long").groupBy("v", "p", "digit").agg(F.sum("n").alias("n")).toLocalIterator():
+            out[r["v"], int(r["p"])][r["digit"]] = r["n"]
+        return out
+
+    found = counted(64 - DIGIT, {v: [0] for v in values})
+    sizes = {v: int(found[v, 0].sum()) for v in values}
+    # What is sought: column, rank asked for, prefix known so far, rank within the prefix.
+    sought = [(v, r, 0, r) for v in values if sizes[v] for r in sorted(set(ranks(sizes[v])))]
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        if shift < 64 - DIGIT:
+            found = counted(shift, {v: sorted({p for w, _, p, _ in sought if w == v}) for v in values})
+        after = []
+        for v, asked, p, r in sought:
+            upto = found[v, p].cumsum()
+            digit = int(np.searchsorted(upto, r, side="right"))
+            after.append((v, asked, p << DIGIT | digit, r - int(upto[digit - 1] if digit else 0)))
+        sought = after
+    return sizes, {(v, asked): _value_of(p) for v, asked, p, _ in sought}
+
+
 def exact_tails(df: DataFrame, values: Sequence[str], levels: Sequence[float] = LEVELS) -> DataFrame:
-    """horizon, level, upper and lower exact quantiles, for checking a sketch: every distinct value of a horizon is held in one buffer."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("horizon"), F.col(v).alias("v")) for v in values])).alias("s")).select("s.*").where("v IS NOT NULL")
-    q = long.groupBy("horizon").agg(
-        F.percentile("v", F.array(*[F.lit(x) for x in levels])).alias("u"), F.percentile("v", F.array(*[F.lit(round(1 - x, 6)) for x in levels])).alias("l")
-    )
-    pairs = F.arrays_zip(F.array(*[F.lit(x) for x in levels]).alias("level"), F.col("u").alias("upper"), F.col("l").alias("lower"))
-    return q.select("horizon", F.explode(pairs).alias("t")).select("horizon", "t.level", "t.upper", "t.lower")
+    """horizon, level, upper and lower exact quantiles (interpolated), for checking a sketch; no group of values is held anywhere."""
+    asked = sorted({float(q) for x in levels for q in (x, round(1 - x, 6))})
+    sizes, at = order_statistics(df, values, lambda n: [i for q in asked for i in (math.floor((n - 1) * q), math.ceil((n - 1) * q))])
+
+    def quantile(v: str, q: float) -> float | None:
+        place = (sizes[v] - 1) * q
+        if not sizes[v]:
+            return None
+        low, high = at[v, math.floor(place)], at[v, math.ceil(place)]
+        return low + (high - low) * (place - math.floor(place))
+
+    rows = [(v, float(x), quantile(v, float(x)), quantile(v, round(1 - x, 6))) for v in values if sizes[v] for x in levels]
+    return df.sparkSession.createDataFrame(rows, "horizon string, level double, upper double, lower double")
 
 
 def cumulative(daily: DataFrame, value: str, base: float = 0.0, by: Sequence[str] = ("horizon",), time: str = "date") -> DataFrame:

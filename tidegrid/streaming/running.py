@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegrid.operators import moments
+from tidegrid.operators.xsection import TAIL_EDGES
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1, late: str = "1 hour") -> DataFrame:
@@ -101,6 +102,21 @@ def day_sketches(stream: DataFrame, x: str = "value", k: int = 800) -> DataFrame
     return day.select(F.to_date("window.start").alias("date"), F.lit(x).alias("horizon"), "sketch")
 
 
+def quantile_bins(stream: DataFrame, sketches: DataFrame, x: str = "value") -> DataFrame:
+    """date, horizon, bin, n, total: the streamed values of each day by their percentile in the day before's sketch.
+
+    sketches: date, horizon, sketch (a row a day). The bins are additive state; a new day begins with none, and the
+    watermark lets finished days go. Values of days without a day before them have no percentile and are left out.
+    """
+    # A value's percentile reaches a level where the value reaches the sketch's quantile there: a day's edges are worked out once.
+    edges = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(p)) for p in (*[i / 100 for i in range(1, 100)], *TAIL_EDGES)])
+    before = sketches.where(F.col("horizon") == x).select(F.date_add("date", 1).alias("_day"), edges.alias("_edges"))
+    rows = stream.where(F.col(x).isNotNull()).withColumn("_day", F.to_date("ts"))
+    placed = rows.join(before, "_day").withColumn("bin", F.size(F.filter("_edges", lambda e: F.col(x) >= e)))
+    sums = placed.groupBy(F.window("ts", "1 day"), "bin").agg(F.count("*").alias("n"), F.sum(x).alias("total"))
+    return sums.select(F.to_date("window.start").alias("date"), F.lit(x).alias("horizon"), "bin", "n", "total")
+
+
 def file_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
     """A folder of Parquet files as a stream, in the order in which they were written; None: all that are there at once."""
     reader = spark.readStream.schema(spark.read.parquet(folder).schema)
