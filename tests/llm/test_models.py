@@ -1,5 +1,6 @@
 """Decontamination, sampled segmentations and the two classifiers."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -316,22 +317,60 @@ KN_ROWS = [(b"idiot", 1), (b"idiots", 1), (b"the", 1), (b"the", 0), (b"then", 0)
 
 def test_kneser_ney_equals_brute_force(spark):
     texts = spark.createDataFrame([(w.decode() or "...", y) for w, y in KN_ROWS], "text string, y int")
-    model = toxicity.kneser_ney(toxicity._count(texts))
+    model = toxicity.gathered(toxicity.kneser_ney(toxicity._count(texts)))
     chance, ratio = naive_kneser_ney(KN_ROWS)
     words = [b"idiot", b"the", b"stones", b"clown", b"unseen", b"\xc3\xa9t\xc3\xa9", b""]
     assert toxicity.ratios(model, words).tolist() == pytest.approx([ratio(w) for w in words], rel=1e-6, abs=1e-9)
     assert abs(ratio(b"zzzz")) < 1e-9  # unknown to both classes: shared counts alone
-
-
-@pytest.mark.parametrize("floor", [2.0**-20, 0.08])
-def test_kneser_ney_probabilities_sum_to_one(spark, monkeypatch, floor):
-    monkeypatch.setattr(toxicity, "FLOOR", floor)
-    texts = spark.createDataFrame([(w.decode() or "...", y) for w, y in KN_ROWS], "text string, y int")
-    (ordinary, toxic), shared = toxicity.kneser_ney(toxicity._count(texts))
     for context in (b"      ", b"  idio", b"   the", b"qqqqqq", b"    st"):
-        grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.int64)
-        p = np.full(256, 1 / 256)
-        for n, of in enumerate(shared, 1):
-            p = toxicity.probability(of, grams & ((1 << 8 * n) - 1), p)
-            assert p.sum() == pytest.approx(1)
-        assert all(toxicity.probability(of, grams, p).sum() == pytest.approx(1) for of in (ordinary, toxic))
+        grams = [context + bytes([b]) for b in range(256)]
+        assert all(sum(chance(g, y) for g in grams) == pytest.approx(1) for y in (0, 1))
+
+
+def test_toxicity_score_equals_brute_force(make, spark, monkeypatch):
+    """Scores of all documents, from counters, sorted lists and gradient descent."""
+    r = random.Random(21)
+    calm, rude = [f"{a}{b}r" for a in "bdfg" for b in ("a", "en", "io")], ["idiot", "moron", "trash"]
+    rows, toxic = [], {}
+    for i in range(240):
+        toxic[i] = int(i % 3 == 0)
+        ws = [r.choice(calm) for _ in range(r.randint(4, 14))]
+        if toxic[i] and r.random() < 0.8 or r.random() < 0.1:
+            ws.insert(r.randint(0, len(ws)), r.choice(rude))
+        rows.append((i, " ".join(ws)))
+    rows += [(900, None), (901, ""), (902, "Moron!")]
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.score(make(rows), labels).collect()}
+    part = {x.doc_id: x.p for x in spark.createDataFrame([(i,) for i, _ in rows], "doc_id long").select("doc_id", toxicity.labelled.part().alias("p")).collect()}
+    learnt = [i for i in toxic if zlib.crc32(str(i).encode()) % 5]
+    words = {i: [toxicity.normal(w) for w in (t or "").encode().split()] for i, t in rows}
+    counted = [i for i in learnt if part[i] >= toxicity.KEPT_BACK]
+    _, ratio = naive_kneser_ney([(w, toxic[i] if i in counted else None) for i, ws in words.items() for w in ws])
+    known = {w: ratio(w) for ws in words.values() for w in ws}
+
+    def evidence(ws):
+        x = sorted((known[w] for w in ws), reverse=True)
+        if not x:
+            return [0.0] * toxicity.WIDTH
+        tops = [sum(x[:t]) / t for t in toxicity.TOPS]
+        over = [sum(v > o for v in x) for o in toxicity.OVER]
+        return [sum(x) / len(x), math.log(len(x)), *tops, *(o / len(x) for o in over), *(math.log1p(o) for o in over)]
+
+    fit = [i for i in learnt if part[i] < toxicity.KEPT_BACK]
+    x, y = np.array([evidence(words[i]) for i in fit]), np.array([toxic[i] for i in fit], float)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z, w = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    pull = np.append(np.full(x.shape[1], 0.01 * len(x) / 10), 0)  # the ridge, as the operator weighs it
+    for _ in range(60_000):
+        w -= 0.5 / len(x) * (z.T @ (1 / (1 + np.exp(-z @ w)) - y) + pull * w)
+    for i, ws in words.items():
+        want = 1 / (1 + math.exp(-float(np.append((np.array(evidence(ws)) - mean) / scale, 1) @ w)))
+        assert got[i] == pytest.approx(want, abs=2e-3), i
+
+
+def test_counted_texts_are_bounded_by_bytes(make, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED_BYTES", 250)
+    docs = make([(i, "x" * 100) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    taken = toxicity._counting(toxicity.labelled.keyed(docs), labels, "toxic").groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in taken} == {0: 2, 1: 2}
