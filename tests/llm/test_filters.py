@@ -148,6 +148,22 @@ def test_disclosing_terms_equal_brute_force(make, monkeypatch, share):
     assert sum("term" in s for _, s, _ in want) > 10
 
 
+def test_pii_takes_many_matches(make):
+    """20,000 matches in one text, and a page of 2,000 entities with 10,000 words in two copies."""
+    import time
+
+    many = " ".join(f"u{i}@one.example" for i in range(20_000))
+    page = " ".join(f"p{i}@two.example" for i in range(2000)) + " " + " ".join("".join("abcdefghij"[int(c)] for c in str(10_000 + i)) for i in range(10_000))
+    began = time.time()
+    got = {x.doc_id: x for x in pii.report(make([(1, many), (2, many), (3, page), (4, page)] + [(10 + i, f"word {i}") for i in range(50)])).collect()}
+    for i, t in ((1, many), (3, page)):
+        base = naive_spans(t)
+        assert got[i].n_email == len(base) and got[i].base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in base).encode()).hexdigest()
+    assert got[1].sanitised_sha256 == hashlib.sha256(" ".join(["<EMAIL>"] * 20_000).encode()).hexdigest()
+    assert got[3].sanitised_sha256 == hashlib.sha256(" ".join(["<EMAIL>"] * 2000 + ["<TERM>"] * 10_000).encode()).hexdigest() == got[4].sanitised_sha256
+    assert time.time() - began < 120
+
+
 def chat(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 

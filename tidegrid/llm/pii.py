@@ -16,7 +16,8 @@ aggregated before the shuffle. As n(t,e) <= n(e), only terms with n(t) <= n(e) (
 can disclose e; common terms are left out of the pairs by that bound, which is exact. Entities,
 terms and pairs in more than one document of SHARE are joined by broadcast: there are at most SHARE
 times as many as a mean document holds, whatever the corpus size. Others are joined by exchange, where
-no key has more than one in SHARE of the documents.
+no key has more than one in SHARE of the documents. Entities that the same documents name are one in the
+pairs, so a page that lists thousands of addresses makes one entity of those that only it and its copies hold.
 
 Edge cases: a null text is empty; texts without matches give zero counts and the digest of the empty
 string; ties (a PMI that equals the threshold) count as disclosing; repeated rows and exact copies
@@ -27,6 +28,8 @@ being rows of an exchange; an empty table gives an empty result; columns of othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,41 +81,58 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: str) -> tuple[Column, Column, Column]:
-    """The pieces between matches, the matches, and from these columns the spans (kind, start, end, value)."""
-    pieces, matches = f"_p_{kind}_pieces", f"_p_{kind}_matches"
-    lengths = F.transform(matches, lambda m, i: F.struct(F.length(F.get(F.col(pieces), i)).alias("gap"), F.length(m).alias("len")))
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + x["len"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["len"]).alias("e")))).alias("out")),
-        lambda a: a["out"],
-    )
-    spans = F.filter(
-        F.zip_with(placed, matches, lambda p, m: F.struct(F.lit(kind).alias("kind"), p["s"].alias("s"), p["e"].alias("e"), m.alias("value"))),
-        lambda s: _holds(kind, s["value"]),
-    )
-    none = F.array().cast("array<struct<kind:string,s:int,e:int,value:string>>")
-    return F.split(text, PATTERNS[kind]), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.when(F.size(matches) > 0, spans).otherwise(none)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: it is the variable of a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element all up to it joined. In blocks of the root of their number, so that n elements take n^1.5 steps and no array is copied in a step."""
+
+    def within(a: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / size).cast("int") - 1), lambda k: F.slice(a, k * size + 1, size))
+
+    def joined(a: Column) -> Column:
+        return F.aggregate(a, zero, join)
+
+    def laid(blocks: Column) -> Column:
+        def after(sums: Column) -> Column:
+            block = lambda b, k: _let(joined(F.slice(sums, F.lit(1), k)), lambda before: F.transform(b, lambda x, i: join(before, joined(F.slice(b, F.lit(1), i + 1)))))
+            return F.flatten(F.transform(blocks, block))
+
+        return _let(F.transform(blocks, joined), after)
+
+    return _let(values, lambda a: F.when(F.size(a) > 0, _let(F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"), lambda size: _let(within(a, size), laid))).otherwise(a))
+
 
+def _spans(kind: str, text: str) -> Column:
+    """The spans (kind, start, end, value) of a kind, in order."""
+    # The pieces between matches; there is one more of them than of matches.
+    pairs = F.zip_with(F.split(text, PATTERNS[kind]), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda gap, m: F.struct((F.length(gap) + F.length(m)).alias("step"), F.length(m).alias("len"), m.alias("value")))
 
-#: What a text must hold for a kind to be searched at all.
+    def placed(found: Column) -> Column:
+        ends = _running(F.transform(found, lambda x: x["step"]), F.lit(0), lambda x, y: x + y)
+        return F.zip_with(found, ends, lambda x, e: F.struct(F.lit(kind).alias("kind"), (e - x["len"]).alias("s"), e.alias("e"), x["value"].alias("value")))
+
+    return F.filter(_let(F.filter(pairs, lambda x: x["value"].isNotNull()), placed), lambda s: _holds(kind, s["value"]))
+
+
+#: What a text must hold for a kind to be searched at all; a card is a run of 16 digits at least.
 _MARK = {"email": "@", "ip": ".", "phone": "+"}
+_RUN = r"[0-9](?:[\x20-]?[0-9]){15}"
+SPANS = "array<struct<kind:string,s:int,e:int,value:string>>"
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, _p_key (of the row's id and text), _p_text and _p_base, the base spans by kind and start."""
     key = F.concat_ws(":", F.col(doc_id).cast("string"), F.xxhash64(text).cast("string"))
     out = docs.select(F.col(doc_id).alias("doc_id"), key.alias("_p_key"), body(text).alias("_p_text"))
-    empty = F.array().cast("array<string>")
+    none = F.array().cast(SPANS)
+    each = []
     for kind in KINDS:
-        pieces, matches, spans = _spans(kind, "_p_text")
-        worth = F.contains("_p_text", F.lit(_MARK[kind])) if kind in _MARK else F.lit(True)
-        out = out.withColumn(f"_p_{kind}_matches", F.when(worth, matches).otherwise(empty))
-        out = out.withColumn(f"_p_{kind}_pieces", F.when(F.size(f"_p_{kind}_matches") > 0, pieces).otherwise(empty))
-        out = out.withColumn(f"_p_{kind}", spans)
-    return out.select("doc_id", "_p_key", "_p_text", F.concat(*[f"_p_{k}" for k in KINDS]).alias("_p_base"))
+        worth = F.contains("_p_text", F.lit(_MARK[kind])) if kind in _MARK else F.col("_p_text").rlike(_RUN)
+        each.append(F.when(worth, _spans(kind, "_p_text")).otherwise(none))
+    return out.select("doc_id", "_p_key", "_p_text", F.concat(*each).alias("_p_base"))
 
 
 def distinct_terms(text: str) -> Column:
@@ -134,10 +154,15 @@ class Disclosure:
         named = F.array_distinct(F.transform("_p_base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
         #: Documents that name an entity, with their texts: read from the shared folder from here on.
         naming = cut(find(docs, doc_id, text).where(F.size("_p_base") > 0).select("_p_key", "_p_text", named.alias("_p_named")))
-        each = naming.select("_p_key", F.explode("_p_named").alias("entity"))
-        entities = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-        of = _joined_counts(each.distinct(), entities, ["entity"], "n_e", self.total).groupBy("_p_key").agg(F.collect_set(F.struct("entity", "n_e")).alias("_p_of"))
-        #: The same, only entities with support.
+        each = naming.select("_p_key", F.explode("_p_named").alias("name"))
+        # What a term reveals of an entity hangs on the documents that name it, so entities of the same documents are
+        # one: an entity is known by their number and a hash of their set (sums of three hashes, in any order).
+        marks = [F.sum(F.shiftrightunsigned(F.xxhash64("_p_key", F.lit(k)), 33)).cast("string") for k in range(3)]
+        #: Names of entities with support, their documents' number and the entity that stands for them.
+        self.names = cut(each.groupBy("name").agg(F.count("*").alias("n_e"), F.concat_ws(":", F.count("*").cast("string"), *marks).alias("entity")).where(F.col("n_e") >= support))
+        known = _joined_counts(each.distinct(), self.names, ["name"], "n_e", self.total)
+        of = known.groupBy("_p_key").agg(F.collect_set(F.struct("entity", "n_e")).alias("_p_of"))
+        #: Documents with the entities of support that they name.
         self.naming = cut(naming.drop("_p_named").join(of, "_p_key"))
         self.terms = docs.select(F.explode(distinct_terms_of(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
 
@@ -153,7 +178,7 @@ class Disclosure:
         return each.select("_p_key", "term", "n_t", F.explode(worth).alias("e")).select("_p_key", "e.entity", "e.n_e", "term", "n_t")
 
     def pairs(self) -> DataFrame:
-        """entity, term, n_te of all pairs over the disclosure threshold."""
+        """entity, term, n_te of all pairs over the disclosure threshold; `names` has the entities' names."""
         both = self.pairs_by_document().groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t")).where(F.col("n_te") >= self.support)
         seldom = self.terms.where(F.col("n_t") <= self.total / SHARE)
         counted = both.where("n_t IS NOT NULL").unionByName(both.where("n_t IS NULL").drop("n_t").join(seldom, "term"))
@@ -188,25 +213,43 @@ def marked(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, doc_id
 
 
 def _islands() -> Column:
-    """Spans, or runs of spans that overlap, with the kind of the first of them; an empty one begins the list."""
+    """Spans, or runs of spans that overlap, with the kind of the first of them, in order."""
     spans = F.array_sort(F.transform(F.concat("_p_base", "_p_terms"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    one = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))
-    start = F.struct(F.array().cast("array<struct<s:int,e:int,kind:string>>").alias("done"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("kind"))
-    step = lambda a, x: F.when(
-        x["s"] < a["e"], F.struct(a["done"].alias("done"), a["s"].alias("s"), F.greatest(a["e"], x["e"]).alias("e"), a["kind"].alias("kind"))
-    ).otherwise(F.struct(F.concat(a["done"], F.array(one(a))).alias("done"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.array(one(a))))
+
+    def cut_up(all_: Column) -> Column:
+        def by_ends(ends: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (F.get(all_, i)["s"] >= F.get(ends, i - 1)))
+            upto = lambda firsts, k: F.get(ends, F.coalesce(F.get(firsts, k + 1), F.size(all_)) - 1)
+            return _let(first, lambda firsts: F.transform(firsts, lambda i, k: F.struct(F.get(all_, i)["s"].alias("s"), upto(firsts, k).alias("e"), F.get(all_, i)["kind"].alias("kind"))))
+
+        return _let(_running(F.transform(all_, lambda x: x["e"]), F.lit(0), lambda x, y: F.greatest(x, y)), by_ends)
+
+    return _let(spans, cut_up)
+
+
+#: Code points of the blocks that a text is cut into before many pieces are taken from it.
+_PAGE = 4096
+
+
+def _pieces(text: Column, islands: Column) -> Column:
+    """The text with each island written as its kind. A piece is taken from the few blocks that it lies in, not counted off from the text's beginning."""
+    pages = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _PAGE).cast("int")), lambda k: text.substr(k * _PAGE + 1, F.lit(_PAGE)))
+
+    def written(both: Column) -> Column:
+        page, held, size = both["pages"], both["islands"], both["size"]
+        whole = lambda x: F.floor(x / _PAGE).cast("int")
+        piece = lambda a, b: F.array_join(F.slice(page, whole(a) + 1, whole(b) - whole(a) + 1), "").substr(a % _PAGE + 1, b - a)
+        end = lambda i: F.coalesce(F.get(held, i)["e"], F.lit(0))
+        parts = F.transform(held, lambda x, i: F.concat(piece(end(i - 1), x["s"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), piece(end(F.size(held) - 1), size))
+
+    return _let(F.struct(pages.alias("pages"), islands.alias("islands"), F.length(text).alias("size")), written)
 
 
 def _sanitised(found: DataFrame) -> DataFrame:
     """Adds _p_clean, the text with each island written as its kind."""
-    text, held = F.col("_p_text"), F.col("_p_islands")
-    end = lambda i: F.coalesce(F.get(held, i)["e"], F.lit(0))
-    shown = lambda k: F.when(k == "", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(k), F.lit(">")))
-    parts = F.transform(held, lambda x, i: F.concat(text.substr(end(i - 1) + 1, x["s"] - end(i - 1)), shown(x["kind"])))
-    clean = F.concat(F.array_join(parts, ""), text.substr(end(F.size(held) - 1) + 1, F.length(text)))
     some = F.size("_p_base") + F.size("_p_terms") > 0
-    return found.withColumn("_p_islands", F.when(some, _islands())).withColumn("_p_clean", F.when(some, clean).otherwise(text))
+    return found.withColumn("_p_clean", F.when(some, _pieces(F.col("_p_text"), _islands())).otherwise(F.col("_p_text")))
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
