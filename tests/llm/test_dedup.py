@@ -51,6 +51,25 @@ def test_other_windows_and_crowded_shards(make, prose, window, monkeypatch):
     assert sorted(map(tuple, got), key=str) == naive_substrings(rows, window)
 
 
+def test_periodic_texts_stay_within_blocks(make, monkeypatch):
+    """Texts whose windows share one anchor: shards and rows are bounded by the block, and nothing is lost."""
+    r = random.Random(5)
+    words = lambda n: " ".join(r.choice("abcdefgh") * 2 for _ in range(n))
+    rows = [(1, "x y " * 900 + words(40)), (2, words(30) + " " + "x y " * 700), (3, "y x " * 50 + words(60) + " x y" * 20), (4, "z " * 1200), (5, words(5) + " z" * 700 + " " + words(5)), (6, "x y z " * 100), (1, "z " * 300)]
+    sent = []
+    whole = substring_dedup._sent
+    monkeypatch.setattr(substring_dedup, "_sent", lambda *a: sent.append(whole(*a).cache()) or sent[-1])
+    got = substring_dedup.remove_repeats(make(rows), 20, block=64).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == naive_substrings(rows, 20)
+    spans = sent[0].select("owner", "block", "copy", "kind", F.size(F.split(F.col("words").cast("string"), " ")).alias("n"), "doc", "th").collect()
+    assert max(x.n for x in spans) <= 64 + 19
+    shards = Counter()
+    for x in spans:
+        if x.kind == 0:
+            shards[x.owner, x.block, x.copy, x.th] += x.n
+    assert max(shards.values()) <= 64 + 19 and len(spans) > 100
+
+
 def test_suffix_automaton():
     r = random.Random(1)
     for _ in range(50):

@@ -5,16 +5,17 @@ smaller doc_id is marked; every word under a marked window goes. Steps:
 
 1. Anchors. A window's anchor is the least hash of its word 12-grams, so equal windows have equal
    anchors. An anchor that two documents hold is shared; the least document holding it owns it.
-2. Shards. A reference shard is the owner's runs of windows under the anchors that it owns (in blocks
-   of `BLOCK` windows, so a shard is bounded by a piece of one document). Other documents send
-   their runs under these anchors to the shard. Shards in demand are replicated and the runs dealt
-   among the copies.
+2. Shards. A reference shard is a block of `BLOCK` windows of the owner: the words of those under the anchors
+   that it owns, BLOCK + WINDOW - 1 at most. Other documents send their runs under an anchor to every block of
+   its owner that has it (one or two, but all blocks of a periodic text), in pieces of BLOCK windows at most, so no
+   row and no automaton is larger. Shards in demand are replicated and the runs dealt among the copies.
 3. Automata. Where a shard's rows arrive, sorted, its suffix automaton is built once and the runs are
    streamed through it: where the matching statistic reaches the window's length, the window stands
    in the owner and is marked. The automata are sent to the runs by this exchange rather than by a
    broadcast variable, because the reference has no size bound.
 4. Rest. A window that its anchor's owner lacks can only recur in documents that also sent it in
-   vain. Those few windows are settled by the least document for each 128-bit window hash.
+   vain. Those few windows are settled by the least document for each 128-bit window hash. (A window that one block
+   of an owner lacks and another has is settled too, to the same end.)
 
 Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose
 nothing; a repeat inside one document only is no repeat; ties and repeated rows: rows that share a
@@ -159,24 +160,26 @@ def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
             yield a, b - a
 
 
-def _anchored(docs: DataFrame, window: int) -> DataFrame:
-    """k, doc, at: each anchor of each document with the first window that has it."""
+def _anchored(docs: DataFrame, window: int, block: int) -> DataFrame:
+    """k, doc, block: each anchor of each document with the blocks of windows that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ks, ds, ats = [], [], []
+            ks, ds, bs = [], [], []
             for d, t in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
-                k, at = np.unique(anchors(split_words(t.as_py()), window), return_index=True)
-                ks.append(k)
-                ds.append(np.full(len(k), d, np.int64))
-                ats.append(at)
+                all_ = anchors(split_words(t.as_py()), window)
+                for no, at in enumerate(range(0, len(all_), block)):
+                    k = np.unique(all_[at : at + block])
+                    ks.append(k)
+                    ds.append(np.full(len(k), d, np.int64))
+                    bs.append(np.full(len(k), no, np.int64))
                 if sum(map(len, ks)) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, ds, ats)], ["k", "doc", "at"])
-                    ks, ds, ats = [], [], []
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, ds, bs)], ["k", "doc", "block"])
+                    ks, ds, bs = [], [], []
             if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ks, ds, ats)], ["k", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, ds, bs)], ["k", "doc", "block"])
 
-    return docs.select("doc", "text").mapInArrow(run, "k long, doc long, at long")
+    return docs.select("doc", "text").mapInArrow(run, "k long, doc long, block long")
 
 
 _SENT = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("copy", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("words", pa.binary())])
@@ -198,8 +201,27 @@ def _unpacked(packed: pa.Scalar, press: zstandard.ZstdDecompressor) -> str | Non
     return press.decompress(packed.as_py()).decode("utf-8", "surrogatepass") if packed.is_valid else None
 
 
-def _sent(docs: DataFrame, window: int) -> DataFrame:
-    """The runs of windows that each document sends: kind 0 to its own shards, kind 1 to those of others.
+def owned_spans(of: np.ndarray, keys: np.ndarray, first: int, window: int) -> Iterator[tuple[int, int]]:
+    """(first word, end) of the words under a block's windows with one of the keys; spans that overlap are one. of: the block's anchors, from window `first` on."""
+    at = np.flatnonzero(np.isin(of, keys))
+    if len(at):
+        for part in np.split(at, np.flatnonzero(np.diff(at) >= window) + 1):
+            yield first + int(part[0]), first + int(part[-1]) + window
+
+
+def sent_runs(of: np.ndarray, k: np.ndarray, number: np.ndarray, block: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, first window, windows) of the runs of windows for each shard, cut at `block` windows. k: sorted anchors, one entry for each of their shards, whose numbers are in `number`."""
+    low, high = np.searchsorted(k, of, "left"), np.searchsorted(k, of, "right")
+    for layer in range(int((high - low).max(initial=0))):
+        at = low + layer
+        flags = np.where(at < high, number[np.minimum(at, len(k) - 1)], -1)
+        for a, n in _runs(flags):
+            for cut_ in range(a, a + n, block):
+                yield int(flags[a]), cut_, min(block, a + n - cut_)
+
+
+def _sent(docs: DataFrame, window: int, block: int) -> DataFrame:
+    """The words that each document sends: kind 0 to its own shards, kind 1 runs of windows to those of others.
 
     docs: doc, th, packed, and held, an array of (k, owner, block, copies).
     """
@@ -207,23 +229,27 @@ def _sent(docs: DataFrame, window: int) -> DataFrame:
     def rows(doc: int, th: int, text: str, held: pa.Scalar) -> Iterator[tuple]:
         words = split_words(text)
         of = anchors(words, window)
-        parts = held.values.flatten()
-        k, owner, block, copies = (np.asarray(p, dtype=np.int64) for p in parts)
-        order = np.argsort(k)
-        k, owner, block, copies = k[order], owner[order], block[order], copies[order]
-        place = np.minimum(np.searchsorted(k, of), len(k) - 1)
-        shards, index = np.unique(np.stack([owner, block]), axis=1, return_inverse=True)
-        flags = np.where(k[place] == of, index.ravel()[place], -1)
+        k, owner, no, copies = (np.asarray(p, dtype=np.int64) for p in held.values.flatten())
+        own = owner == doc
+        for b in np.unique(no[own]).tolist():
+            mine = own & (no == b)
+            for a, end in owned_spans(of[b * block : (b + 1) * block], k[mine], b * block, window):
+                span = b" ".join(words[a:end])
+                for copy in range(int(copies[mine].max())):
+                    yield doc, b, copy, 0, doc, th, a, span
+        k, owner, no, copies = k[~own], owner[~own], no[~own], copies[~own]
+        if not len(k):
+            return
+        # Entries of one shard that follow one another have one number, so that a run goes on over its anchors.
+        shards, number = np.unique(np.stack([owner, no]), axis=1, return_inverse=True)
+        number = number.ravel()
         most = np.ones(shards.shape[1], np.int64)
-        np.maximum.at(most, index.ravel(), copies)
-        for a, n in _runs(flags):
-            o, bl = (int(x) for x in shards[:, flags[a]])
-            span, many = b" ".join(words[a : a + n + window - 1]), int(most[flags[a]])
-            if o == doc:
-                for copy in range(many):
-                    yield o, bl, copy, 0, doc, th, a, span
-            else:
-                yield o, bl, hash((doc, th)) % many, 1, doc, th, a, span
+        np.maximum.at(most, number, copies)
+        order = np.lexsort((number, k))
+        k, number = k[order], number[order]
+        for shard, a, n in sent_runs(of, k, number, block):
+            o, b = (int(x) for x in shards[:, shard])
+            yield o, b, hash((doc, th)) % int(most[shard]), 1, doc, th, a, b" ".join(words[a : a + n + window - 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, press = [], 0, zstandard.ZstdDecompressor()
@@ -273,35 +299,33 @@ def _matched(sent: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc long, th long, at int, n int, h1 long, h2 long")
 
 
-def marked_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, th, marks: arrays of (at, n), n marked windows from the word at on. docs: doc, th, text."""
+def marked_windows(docs: DataFrame, window: int = WINDOW, block: int | None = None) -> DataFrame:
+    """doc, th, marks: arrays of (at, n), n marked windows from the word at on. docs: doc, th, text; block: windows of a shard, BLOCK where none is given."""
+    block = block or BLOCK
     known = docs.where("doc IS NOT NULL AND text IS NOT NULL")
-    held = _anchored(known, window)
-    shared = (
-        held.groupBy("k")
-        .agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-        .where("first.doc < last")
-        .select("k", F.col("first.doc").alias("owner"), F.floor(F.col("first.at") / BLOCK).alias("block"), "n")
-    )
-    shared = cut(shared)
+    held = _anchored(known, window, block)
+    # An anchor's owner with the blocks that have it: the least document's, found without gathering the others'.
+    per = held.groupBy("k").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last")
+    shared = cut(per.join(held, (per.k == held.k) & (per.owner == held.doc)).select(per.k, "owner", "block", "n").distinct())
     demand = shared.groupBy("owner", "block").agg(F.ceil(F.sum("n") * ((window - min(GRAM, window)) // 2 + 1) / LOAD).alias("copies"))
     sharded = shared.drop("n").join(demand, ["owner", "block"])
     sending = (
         held.select("k", "doc")
+        .distinct()
         .join(sharded, "k")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("k", "owner", "block", "copies")).alias("held"))
         .join(_packed(known), "doc")
         .select("doc", "th", "packed", "held")
     )
-    found = cut(_matched(_sent(sending, window), window))
+    found = cut(_matched(_sent(sending, window, block), window))
     open_ = found.where("h1 IS NOT NULL")
     least = open_.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     settled = open_.join(least, ["h1", "h2"]).where("doc > least").select("doc", "th", "at", "n")
     return found.where("h1 IS NULL").select("doc", "th", "at", "n").union(settled).groupBy("doc", "th").agg(F.collect_set(F.struct("at", "n")).alias("marks"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) for each row of docs (doc_id, text)."""
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
@@ -319,7 +343,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(compress(words, stays) if gone[-1] else words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = _packed(keyed).join(marked_windows(keyed, window), ["doc", "th"], "left").select("doc", "packed", "marks")
+    joined = _packed(keyed).join(marked_windows(keyed, window, block), ["doc", "th"], "left").select("doc", "packed", "marks")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
