@@ -381,6 +381,18 @@ _factor(
 for _g in groups.GROUPS:
     query("group_targets" if _g.endswith("with_range") else f"group_{_g}", o.group_sql(groups.group(_g)))(lambda s, d, g=_g: factors(s, d, groups.group(g), raw=False))
 
+# Groups over half months, so that the windows of 63 and 126 days are full. Running sums of that length round off in
+# another order in each engine: four decimals are compared.
+
+
+def _long(s: SparkSession, d: str, g: str) -> DataFrame:
+    made = compile_factors(groups.group(g), bars.dense_daily(bars.long_daily_panel(s, d)), bars.long_intraday_panel(s, d), bars.LONG_SLOTS)
+    return made.select(*[F.round(c, 4).alias(c) if kind == "double" else c for c, kind in made.dtypes])
+
+
+for _g in ("default", "fg260114"):
+    query(f"group_{_g}_long", o.long_group_sql(groups.group(_g)))(lambda s, d, g=_g: _long(s, d, g))
+
 # Whole lists with the ranks of every factor, after one exchange by cross-section.
 for _g in ("lib", "fg260114"):
     query(f"group_{_g}_ranked", o.ranked_group_sql(groups.group(_g)))(lambda s, d, g=_g: factors(s, d, groups.group(g), raw=False, ranks=True))
@@ -877,3 +889,11 @@ def _asof(s, d):
     marks = pn.session_marks(e.select("instrument", "date").distinct()).drop("minute", "date")
     out = pn.as_of(marks, e.select("instrument", "ts", "value", "event_id"), ["instrument"], "ts", ["value"], "3 HOURS", tie="event_id")
     return out.where("_at IS NOT NULL").select("instrument", "ts", F.col("_at").alias("tick"), "value")
+
+
+# Checks while reading: gaps by column, counted in the pass that takes the rows in
+
+
+@query("gap_counts", f"WITH {o.PRED} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS gaps FROM pred" for c in ("pred", "gt_1", "gt_3")))
+def _gaps(s, d):
+    return pn.gap_report(pred(s, d), ["pred", "gt_1", "gt_3"], lambda df: df.write.format("noop").mode("overwrite").save())

@@ -7,10 +7,10 @@ values before the first bar stay missing unless they are filled backwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 TIME_NAMES = ("datetime", "timestamp")
@@ -269,10 +269,28 @@ def one_random_slot(df: DataFrame, seed: int, by: Sequence[str] = ("date", "inst
     return kept.withColumn("position", F.floor((F.col(slot) - a) / F.lit(float(b - a)) * 240).cast("int"))
 
 
+def _gap(df: DataFrame, c: str) -> Column:
+    return F.col(c).isNull() | (F.isnan(c) if dict(df.dtypes)[c] in ("double", "float") else F.lit(False))
+
+
+def counting_gaps(df: DataFrame, columns: Sequence[str], name: str = "gaps") -> tuple[DataFrame, Observation]:
+    """df, and what has been seen of it once it has been read whole: rows, and missing values and NaNs of each column, counted as the rows go by."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(_gap(df, c)).alias(c) for c in columns]), seen
+
+
+def gap_report(df: DataFrame, columns: Sequence[str], sink: Callable[[DataFrame], None]) -> DataFrame:
+    """column, rows, gaps of what the sink took in: no pass of its own."""
+    watched, seen = counting_gaps(df, columns)
+    sink(watched)
+    got = seen.get
+    return df.sparkSession.createDataFrame([(c, got["rows"], got[c]) for c in columns], "column string, rows long, gaps long")
+
+
 def without_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df, whose named columns may hold no missing value and no NaN: a row that does fails the query when it is read."""
     kinds = dict(df.dtypes)
-    gap = reduce(lambda x, y: x | y, [F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in columns])
+    gap = reduce(lambda x, y: x | y, [_gap(df, c) for c in columns])
     first = columns[0]
     return df.withColumn(first, F.when(gap, F.raise_error(F.lit("a missing value in the batch")).cast(kinds[first])).otherwise(F.col(first)))
 

@@ -51,6 +51,19 @@ MONTH = """month AS (SELECT *, coalesce(ln(close / lag(close) OVER (PARTITION BY
     min(l_extendedprice / l_quantity) AS low, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount, avg(l_discount) - avg(l_tax) AS alpha FROM lineitem GROUP BY 1, 2))"""
 MONTH_DENSE = MONTH + ",\n" + _dense("month", ("close", "high", "low", "alpha"))
 
+#: Half months as days and four slots each: long enough for windows of 126 days.
+_HALVES = """l AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) + CASE WHEN day(l_shipdate) > 15 THEN 15 ELSE 0 END AS date, l_suppkey AS instrument, CAST(((day(l_shipdate) - 1) % 15) // 4 AS INTEGER) AS slot,
+  l_extendedprice / l_quantity AS px, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS a, l_returnflag, l_linestatus, l_discount - l_tax AS net FROM lineitem)"""
+LONG_DENSE = f"""{_HALVES},
+l0 AS (SELECT date, instrument, avg(px) AS close, max(px) AS high, min(px) AS low, sum(q) AS volume, sum(a) AS amount, avg(net) AS alpha,
+  CASE WHEN instrument % 3 = 0 AND date >= DATE '1995-01-01' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM l GROUP BY date, instrument),
+ldaily AS (SELECT *, coalesce(ln(close / lag(close) OVER (PARTITION BY instrument ORDER BY date)), 0) AS daily_return FROM l0),
+{_dense("ldaily", ("high", "low", "close", "factor", "alpha"))}"""
+LONG_INTRA = f"""h0 AS (SELECT date, slot, instrument, avg(px) AS mid_price, max(px) AS high, min(px) AS low, sum(q) AS volume, sum(a) AS amount,
+  sum(CASE WHEN l_returnflag = 'R' THEN a ELSE 0 END) AS buy_amount, sum(CASE WHEN l_returnflag = 'A' THEN a ELSE 0 END) AS sell_amount,
+  sum(CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0 END) AS bid_volume1, sum(CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS ask_volume1 FROM l GROUP BY date, slot, instrument),
+{INTRA[INTRA.index('h1 AS'):].replace('range(24)', 'range(4)')}"""
+
 PRED = f"""{DENSE},
 pred AS (SELECT date, instrument, ({ln('close')} - {ln('lag(close, 5) OVER w')}) / sqrt(5) AS pred,
   {", ".join(f"{ln(f'lead(close, {h}) OVER w')} - {ln('close')} AS gt_{h}" for h in (1, 2, 3))}
@@ -58,10 +71,10 @@ pred AS (SELECT date, instrument, ({ln('close')} - {ln('lag(close, 5) OVER w')})
 pairs AS (SELECT * FROM pred WHERE pred IS NOT NULL AND gt_1 IS NOT NULL)"""
 
 
-def pick(ctes: str, source: str, keys: Sequence[str], floats: Sequence[str] | Mapping[str, str], where: str = "") -> str:
-    """The final selection: keys as they are, floats rounded to six decimals."""
+def pick(ctes: str, source: str, keys: Sequence[str], floats: Sequence[str] | Mapping[str, str], where: str = "", digits: int = 6) -> str:
+    """The final selection: keys as they are, floats rounded to so many decimals."""
     named = floats if isinstance(floats, Mapping) else {f: f for f in floats}
-    values = [f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS {n}" for n, x in named.items()]
+    values = [f"round(CAST({x} AS DOUBLE), {digits}) + 0.0 AS {n}" for n, x in named.items()]
     return f"WITH {ctes}\nSELECT {', '.join([*keys, *values])} FROM {source} {where}"
 
 
@@ -137,13 +150,13 @@ b3 AS (SELECT *, count(v) OVER (PARTITION BY {by}, k) AS here, count(v) OVER (PA
 class GroupSql:
     """The SQL of a list of factors, from the formulas written out above: one query with all their columns."""
 
-    def __init__(self, defs, shifted: bool = True) -> None:
+    def __init__(self, defs, slots: int = 24) -> None:
         self.day: dict[str, str] = {}
         self.day2: dict[str, str] = {}
         self.running: list[dict[str, str]] = [{}, {}, {}]
         self.values: dict[str, str] = {}
         self.ranked: dict[str, str] = {}
-        self.shifted = shifted
+        self.slots = slots
         for d in defs:
             self._add(d)
 
@@ -192,7 +205,7 @@ class GroupSql:
 
     def _add(self, d) -> None:
         w, root_w = d.window, f"sqrt({max(d.window, 1)})"
-        share = "((slot + 1) / 24.0)"
+        share = f"((slot + 1) / {self.slots}.0)"
         if d.kind == "price_dev_from_ma":
             out = f"({ln(d.intraday[0])} - {ln(self._mean(d.daily[0], w))}) / {root_w}"
         elif d.kind == "price_dev_from_vwap":
@@ -290,13 +303,13 @@ class GroupSql:
 MID_FIELD = "mid_price"
 
 
-def _group_ctes(defs) -> tuple[str, str]:
-    """Common table expressions of a list's raw factors, and the name of the last."""
-    g = GroupSql(defs)
+def _group_ctes(defs, base: str = f"{DENSE},\n{INTRA}", slots: int = 24) -> tuple[str, str]:
+    """Common table expressions of a list's raw factors over the panels `dense` and `intra`, and the name of the last."""
+    g = GroupSql(defs, slots)
     day = ", ".join(f"{x} AS {n}" for n, x in g.day.items()) or "1 AS one"
     day2 = "".join(f", {x} AS {n}" for n, x in g.day2.items())
     names = [*g.day, *g.day2]
-    sql = f"{DENSE},\n{INTRA},\ndayf AS (SELECT *, close / factor AS ac, {day} FROM dense),\ndayg AS (SELECT *{day2} FROM dayf),\nr0 AS (SELECT i.*, d.factor{''.join(f', d.{n}' for n in names)} FROM intra i JOIN dayg d ON d.date = i.date AND d.instrument = i.instrument)"
+    sql = f"{base},\ndayf AS (SELECT *, close / factor AS ac, {day} FROM dense),\ndayg AS (SELECT *{day2} FROM dayf),\nr0 AS (SELECT i.*, d.factor{''.join(f', d.{n}' for n in names)} FROM intra i JOIN dayg d ON d.date = i.date AND d.instrument = i.instrument)"
     last = "r0"
     for k, stage in enumerate(g.running, 1):
         if stage:
@@ -327,6 +340,12 @@ def group_sql(defs) -> str:
     return pick(sql, last, ["date", "instrument", "slot"], {d.name: _clipped(d) for d in defs})
 
 
+def long_group_sql(defs, digits: int = 4) -> str:
+    """group_sql over the half months."""
+    sql, last = _group_ctes(defs, f"{LONG_DENSE},\n{LONG_INTRA}", 4)
+    return pick(sql, last, ["date", "instrument", "slot"], {d.name: _clipped(d) for d in defs}, digits=digits)
+
+
 def ranked_group_sql(defs, bins: int = 2000, sigmas: float = 3.5) -> str:
     """group_sql with rank_x, the scaled binned percentile of each raw factor in its slot: the factors are unpivoted, ranked and pivoted again."""
     sql, last = _group_ctes(defs)

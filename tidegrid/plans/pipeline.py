@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from tidegrid.sources.store import PanelStore, Variable
+
 Step = Callable[..., DataFrame]
 
 
@@ -33,3 +35,13 @@ class Pipeline:
         for step, inputs, output in self.steps:
             out[output] = step(*[out[i] for i in inputs])
         return out
+
+
+def store_step(store: PanelStore, variable: Variable, overwrite: bool = True) -> Step:
+    """A step that saves its frame (dates that are there are replaced) and gives back what was stored of its dates."""
+
+    def step(df: DataFrame) -> DataFrame:
+        store.save(variable, df, overwrite)
+        return store.load(variable).join(df.select("date").distinct(), "date", "left_semi")
+
+    return step

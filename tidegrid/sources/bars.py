@@ -79,26 +79,67 @@ ZERO_HOURLY = ("volume", "amount", "buy_amount", "sell_amount", "bid_volume1", "
 SLOTS = 24
 
 
-def intraday_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """date, slot, instrument and the hourly fields on 24 slots of every day that an instrument has a bar on.
+def _gridded(bars: DataFrame, slots: int) -> DataFrame:
+    """The slot bars on all slots of every day that an instrument has a bar on, with the columns that follow from them.
 
     Days without a bar have no valid price and would fall to the validity rule, so they are not built.
     """
-    bars = hourly_bars(spark, folder)
     keys = ["date", "instrument", "slot"]
     fields = [c for c in bars.columns if c not in keys]
     # One exchange, of the bars there are, serves the grid and everything by instrument and day that follows. It
-    # has a fixed number of partitions: what is a few megabytes here becomes 24 slots of every factor behind it.
-    dealt = bars.repartition(partitions(spark), "date", "instrument")
+    # has a fixed number of partitions: what is a few megabytes here becomes `slots` rows of every factor behind it.
+    dealt = bars.repartition(partitions(bars.sparkSession), "date", "instrument")
     days = dealt.groupBy("date", "instrument").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*fields).alias("bar")))).alias("_bars"))
-    slots = days.select("date", "instrument", "_bars", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
-    grid = slots.select(*keys, F.try_element_at("_bars", F.col("slot")).alias("_bar")).select(*keys, "_bar.*")
+    every = days.select("date", "instrument", "_bars", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    grid = every.select(*keys, F.try_element_at("_bars", F.col("slot")).alias("_bar")).select(*keys, "_bar.*")
     filled = fill_columns(grid, ["date", "instrument"], "slot", fields, zero=ZERO_HOURLY, bar=F.col("volume").isNotNull())  # every bar has a volume
     prices = [c for c in fields if c not in ZERO_HOURLY]
     out = backfill(filled, ["date", "instrument"], "slot", prices)
     return out.withColumn("total_volume", F.col("volume")).withColumn("resid", ln(F.col("mid_price") / 100)).withColumn("resid_rank", F.col("mid_price") / (F.col("mid_price") + 100))
 
 
+def intraday_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """date, slot, instrument and the hourly fields on 24 slots of every day that an instrument has a bar on."""
+    return _gridded(hourly_bars(spark, folder), SLOTS)
+
+
+#: Slots of a half month.
+LONG_SLOTS = 4
+
+
+def _half_months(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem by half months as days (over 160 of them), four slots each, and suppliers as instruments."""
+    day = F.dayofmonth("l_shipdate")
+    start = F.to_date(F.trunc(F.to_date("l_shipdate"), "month"))
+    return read(spark, folder, "lineitem").select(
+        F.when(day > 15, F.date_add(start, 15)).otherwise(start).alias("date"), F.col("l_suppkey").alias("instrument"), F.floor(((day - 1) % 15) / 4).cast("int").alias("slot"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", (F.col("l_discount") - F.col("l_tax")).alias("net"),
+    )
+
+
+def long_daily_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """A panel long enough for the longest windows: the columns of the daily panel but the open."""
+    bars = _half_months(spark, folder).groupBy("date", "instrument").agg(
+        F.avg("px").alias("close"), F.max("px").alias("high"), F.min("px").alias("low"), F.sum("l_quantity").cast("double").alias("volume"), F.sum("l_extendedprice").cast("double").alias("amount"), F.avg("net").alias("alpha")
+    )
+    split = (F.col("instrument") % 3 == 0) & (F.col("date") >= F.lit("1995-01-01").cast("date"))
+    before = F.lag("close").over(Window.partitionBy("instrument").orderBy("date"))
+    return bars.select("*", F.when(split, 2.0).otherwise(1.0).alias("factor"), F.coalesce(ln(ratio("close", before)), F.lit(0.0)).alias("daily_return"))
+
+
+def long_intraday_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The slots of half months, with the fields of the hourly bars."""
+    of = lambda c, v, x: F.sum(F.when(F.col(c) == v, F.col(x) if isinstance(x, str) else x).otherwise(0.0)).cast("double")
+    one = F.lit(1.0)
+    bars = _half_months(spark, folder).groupBy("date", "slot", "instrument").agg(
+        F.avg("px").alias("mid_price"), F.max("px").alias("high"), F.min("px").alias("low"), F.sum("l_quantity").cast("double").alias("volume"), F.sum("l_extendedprice").cast("double").alias("amount"),
+        of("l_returnflag", "R", "l_extendedprice").alias("buy_amount"), of("l_returnflag", "A", "l_extendedprice").alias("sell_amount"),
+        of("l_linestatus", "O", one).alias("bid_volume1"), of("l_linestatus", "F", one).alias("ask_volume1"),
+    )
+    sides = {"bid_price1": F.when(F.col("bid_volume1") > 0, F.col("mid_price") * 0.9995).otherwise(0.0), "ask_price1": F.when(F.col("ask_volume1") > 0, F.col("mid_price") * 1.0005).otherwise(0.0)}
+    return _gridded(bars.withColumns(sides), LONG_SLOTS)
+
+
 def month_panel(spark: SparkSession, folder: str) -> DataFrame:
     """month, instrument (supplier), close, high, low, volume, amount, daily_return, alpha by shipping month."""
     price = F.col("l_extendedprice") / F.col("l_quantity")

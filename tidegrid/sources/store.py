@@ -27,15 +27,35 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+SOURCES: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_source(name: str):
+    """Adds a way to read a variable's folder: a function of (spark, path) to a lazy frame."""
+
+    def put(f):
+        if name in SOURCES:
+            raise ValueError(f"source {name} is registered already")
+        SOURCES[name] = f
+        return f
+
+    return put
+
+
+for _format in ("parquet", "orc"):
+    register_source(_format)(lambda spark, path, f=_format: spark.read.format(f).load(path))
+
+
 @dataclass(frozen=True)
 class Variable:
-    """What to read: kind is quotation, prediction, factor or daily."""
+    """What to read: kind is quotation, prediction, factor or daily; source is the registered way to read and write it."""
 
     kind: str
     name: str = ""
     epoch: int = 0
     ema: bool = False
     fields: tuple[str, ...] = field(default=())
+    source: str = "parquet"
 
 
 @dataclass
@@ -60,9 +80,14 @@ class PanelStore:
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path(v))
         return path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path)
 
+    def read(self, v: Variable) -> DataFrame:
+        if v.source not in SOURCES:
+            raise ValueError(f"no source is called {v.source}")
+        return SOURCES[v.source](self.spark, self.path(v))
+
     def load(self, v: Variable, start=None, end=None, instruments: Sequence | None = None) -> DataFrame:
         """Rows of the dates and instruments asked for; the filters reach the scan and columns are pruned."""
-        df = between(self.spark.read.parquet(self.path(v)), start, end)
+        df = between(self.read(v), start, end)
         if instruments is not None:
             df = df.where(F.col("instrument").isin(list(instruments)))
         if v.fields:
@@ -72,20 +97,20 @@ class PanelStore:
     def save(self, v: Variable, df: DataFrame, overwrite: bool = False) -> None:
         """Writes date partitions; without overwrite an existing date is an error, with it just these dates are replaced."""
         if v.kind == "daily":
-            df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", self.compression).parquet(self.path(v))
+            df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", self.compression).format(v.source).save(self.path(v))
             return
         if not overwrite and self.exists(v):
             clash = self.dates(v).join(df.select("date").distinct(), "date", "left_semi").take(1)
             if clash:
                 raise FileExistsError(f"{self.path(v)} has {clash[0].date}")
         out = df.repartition("date").write.mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic")
-        out.option("compression", self.compression).partitionBy("date").parquet(self.path(v))
+        out.option("compression", self.compression).partitionBy("date").format(v.source).save(self.path(v))
 
     def dates(self, *vs: Variable) -> DataFrame:
         """Dates that all of the variables have, in order; none if one has no folder."""
         if not all(self.exists(v) for v in vs):
             return self.spark.createDataFrame([], "date date")
-        each = [self.spark.read.parquet(self.path(v)).select(F.col("date").cast("date").alias("date")).distinct() for v in vs]
+        each = [self.read(v).select(F.col("date").cast("date").alias("date")).distinct() for v in vs]
         return reduce(DataFrame.intersect, each).orderBy("date")
 
     def todo(self, inputs: Sequence[Variable], output: Variable) -> DataFrame:
@@ -125,20 +150,3 @@ class PanelStore:
         end = F.date_add(F.lit(day).cast("date"), calendar_days)
         df = self.daily(fields=fields).where((F.col("date") >= F.lit(day).cast("date")) & (F.col("date") <= end))
         return adjusted(df, list(fields), last=False)
-
-
-SOURCES: dict[str, Callable[..., DataFrame]] = {}
-
-
-def register_source(name: str):
-    def put(f):
-        SOURCES[name] = f
-        return f
-
-    return put
-
-
-@register_source("parquet")
-def _parquet(spark: SparkSession, path: str, fields: Sequence[str] = ()) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*fields) if fields else df
