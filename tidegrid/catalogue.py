@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,11 @@ from tidegrid.plans import datasets, groups, neutral, stats
 from tidegrid.plans import evaluate as ev
 from tidegrid.plans.factors import FactorDef as Fd
 from tidegrid.plans.factors import compile_factors
+from tidegrid.plans.daily import DayLoop
 from tidegrid.plans.online import Online
 from tidegrid.sources import bars
 from tidegrid.sources.bars import SLOTS
-from tidegrid.sources.store import shared_folder
+from tidegrid.sources.store import PanelStore, Variable, shared_folder
 from tidegrid.streaming import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -897,3 +899,147 @@ def _asof(s, d):
 @query("gap_counts", f"WITH {o.PRED} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS gaps FROM pred" for c in ("pred", "gt_1", "gt_3")))
 def _gaps(s, d):
     return pn.gap_report(pred(s, d), ["pred", "gt_1", "gt_3"], lambda df: df.write.format("noop").mode("overwrite").save())
+
+
+# Networks of blocks over factors
+
+_RAW = o.group_sql(_ITEM["features"]).replace("round(CAST(", "(CAST(").replace(" AS DOUBLE), 6) + 0.0", " AS DOUBLE))")
+_X, _POSITION = [x.name for x in _ITEM["features"]], "floor(slot / 24.0 * 240)"
+_HEADS = mlp.init_dual_head(2, (2, 1), hidden=4, blocks=2, gated=True, seed=3, input_norm="layer")
+_TWO = mlp.init_dual(2, (3, 1), compose=True, seed=5, hidden=4, blocks=1, gated=True, post_norm=True, position=4)
+
+
+def _network_sql(w, dual: bool) -> str:
+    n = o.NetworkSql(_RAW, SLOTKEY)
+    return n.sql((n.dual if dual else n.network)(w, _X, _POSITION))
+
+
+@query("infer_dual_head", _network_sql(_HEADS, False))
+def _infer_heads(s, d):
+    """Two towers of gated blocks after one scaled input."""
+    return datasets.infer(_ITEM["features"], _HEADS, dense(s, d), intra(s, d), SLOTS, "dual_head_mlp")
+
+
+@query("infer_dual", _network_sql(_TWO, True))
+def _infer_dual(s, d):
+    """Two networks with time embeddings and blocks that normalise their sums, composed by the day's progress."""
+    return datasets.infer(_ITEM["features"], _TWO, dense(s, d), intra(s, d), SLOTS, "dual_mlp")
+
+
+# The store: what is saved and read back
+
+
+def _store(s: SparkSession) -> PanelStore:
+    return PanelStore(s, f"{_streams(s)}/store")
+
+
+_SOME = "WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' AND instrument IN (3, 5, 8)"
+
+
+@query("store_quotation", f"WITH {o.EVENTS},\n{o.INTRA}, q AS (SELECT * REPLACE (volume + CASE WHEN date IN (DATE '2024-01-08', DATE '2024-01-09') THEN 1 ELSE 0 END AS volume) FROM intra) SELECT date, instrument, slot, round(mid_price, 6) + 0.0 AS mid_price, round(sum(volume) {o.RUN}, 6) + 0.0 AS total_volume FROM q {_SOME}")
+def _store_quotation(s, d):
+    """Bars saved by date, two dates replaced, and read back with filters and running volumes."""
+    store, v = _store(s), Variable("quotation")
+    rows = intra(s, d).select(*SLOTKEY, MID, "volume")
+    store.save(v, rows)
+    store.save(v, pn.between(rows, "2024-01-08", "2024-01-09").withColumn("volume", F.col("volume") + 1), overwrite=True)
+    return store.quotation("2024-01-05", "2024-01-12", [3, 5, 8]).select(*SLOTKEY, MID, "total_volume")
+
+
+@query("store_dates", f"WITH {o.EVENTS}, a AS (SELECT DISTINCT date FROM e) SELECT 'both' AS part, date FROM a WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' UNION ALL SELECT 'todo', date FROM a WHERE date BETWEEN DATE '2024-01-13' AND DATE '2024-01-20'")
+def _store_dates(s, d):
+    """Dates that two variables have, and those that a third still lacks."""
+    store, rows = _store(s), daily(s, d).select(*KEY, F.lit(0).alias("slot"), "close")
+    a, b, c = Variable("quotation"), Variable("factor", "f"), Variable("prediction", "m", 3, True)
+    for v, first, last in ((a, "2024-01-01", "2024-01-20"), (b, "2024-01-10", "2024-12-31"), (c, "2024-01-01", "2024-01-12")):
+        store.save(v, pn.between(rows, first, last))
+    return store.dates(a, b).select(F.lit("both").alias("part"), "date").union(store.todo([a, b], c).select(F.lit("todo"), "date"))
+
+
+@query("store_prediction_join", f"WITH {o.EVENTS},\n{o.INTRA} SELECT date, instrument, slot, round({L('mid_price / 100')}, 6) + 0.0 AS pred_0, CASE WHEN slot < 12 THEN round(mid_price, 6) + 0.0 END AS mid_price FROM intra WHERE instrument % 2 = 0 AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
+def _store_predictions(s, d):
+    store, rows, v = _store(s), intra(s, d), Variable("prediction", "m", 7)
+    store.save(Variable("quotation"), rows.where("slot < 12").select(*SLOTKEY, MID))
+    store.save(v, rows.where("instrument % 2 = 0").select(*SLOTKEY, ln(F.col(MID) / 100).alias("pred_0")))
+    return store.prediction_with_quotation(v, "2024-01-05", "2024-01-12").select(*SLOTKEY, "pred_0", MID)
+
+
+def _slice_sql(part: str, f: str, span: str, kept: str) -> str:
+    return f"SELECT '{part}' AS part, date, instrument, round(close / factor * a, 6) + 0.0 AS adjusted_close FROM (SELECT *, {f}(factor) OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a FROM daily WHERE date BETWEEN {span}) WHERE {kept}"
+
+
+_BEFORE, _AFTER = "DATE '2024-01-10' AND DATE '2024-01-20'", "DATE '2024-01-14' AND DATE '2024-01-19'"
+
+
+@query("store_daily_slices", f"WITH {o.DAILY} {_slice_sql('before', 'last_value', _BEFORE, "date < DATE '2024-01-20'")} UNION ALL {_slice_sql('after', 'first_value', _AFTER, 'true')}")
+def _store_slices(s, d):
+    """The days before a day at its prices, the days after one at its own."""
+    store = _store(s)
+    store.save(Variable("daily"), daily(s, d))
+    tagged = lambda part, df: df.select(F.lit(part).alias("part"), *KEY, "adjusted_close")
+    return tagged("before", store.daily_before("2024-01-20", 10)).union(tagged("after", store.daily_after("2024-01-14", 5)))
+
+
+@query("store_daily", o.pick(o.DAILY, "daily", KEY, {"alpha": "CASE WHEN instrument % 5 = 0 THEN daily_return ELSE alpha END", "factor": "factor"}, _SOME))
+def _store_daily(s, d):
+    """Daily bars of a span and some instruments; a missing alpha takes the return."""
+    store = _store(s)
+    store.save(Variable("daily"), daily(s, d).withColumn("alpha", F.when(F.col("instrument") % 5 != 0, F.col("alpha"))))
+    return store.daily("2024-01-05", "2024-01-12", [3, 5, 8], ["alpha"])
+
+
+@query("store_day_loop", f"WITH {o.EVENTS},\n{o.INTRA} SELECT date, count(*) AS rows, round(sum(volume * 2), 6) + 0.0 AS total FROM intra GROUP BY date")
+def _store_loop(s, d):
+    """A factor made day by day from stored bars: dates arrive in two parts, each date is made once; rows are those of the manifest."""
+    store, bars_, out = _store(s), intra(s, d).select(*SLOTKEY, "volume"), Variable("factor", "twice")
+    build = lambda dates: store.load(Variable("quotation")).where(F.col("date").isin(dates)).withColumn("twice", F.col("volume") * 2).drop("volume")
+    loop = DayLoop(store, [Variable("quotation")], out, build, at_once=8)
+    for a, b in (("2024-01-01", "2024-01-11"), ("2024-01-12", "2024-12-31")):
+        store.save(Variable("quotation"), pn.between(bars_, a, b))
+        loop.run()
+    sums = store.load(out).groupBy("date").agg(F.sum("twice").alias("total"))
+    return loop.manifest().select("date", "rows").join(sums, "date")
+
+
+@query("trailing_rows", o.pick(o.DAILY, "(SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY date DESC) AS k FROM daily WHERE date <= DATE '2024-01-20')", KEY, ["close"], "WHERE k <= 3"))
+def _trailing(s, d):
+    return pn.trailing(daily(s, d), "date", "2024-01-20", 3).select(*KEY, "close")
+
+
+@query("grid_position", "SELECT event_id, date_trunc('minute', ts) AS minute, slot FROM events LEFT JOIN (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS slot FROM (SELECT TIMESTAMP '2024-01-05 09:25:00' AS datetime UNION SELECT unnest(generate_series(TIMESTAMP '2024-01-05 09:30:00', TIMESTAMP '2024-01-05 11:29:00', INTERVAL 1 MINUTE)) UNION SELECT unnest(generate_series(TIMESTAMP '2024-01-05 13:00:00', TIMESTAMP '2024-01-05 14:56:00', INTERVAL 1 MINUTE)))) ON datetime = date_trunc('minute', ts) WHERE CAST(ts AS DATE) = DATE '2024-01-05'")
+def _grid_position(s, d):
+    """Each event's place on its day's grid of minutes, where it falls on one."""
+    e = bars.events(s, d).where("date = DATE '2024-01-05'").select("event_id", F.date_trunc("minute", "ts").cast("timestamp").alias("minute"))
+    return pn.on_grid(e, pn.time_grid(s, "2024-01-05").withColumn("datetime", F.col("datetime").cast("timestamp")), "minute").select("event_id", "minute", "slot")
+
+
+# Series behind a report
+
+
+def _ic_by_horizon(s: SparkSession, d: str) -> DataFrame:
+    p = pred(s, d)
+    each = [xs.ic(p, "pred", f"gt_{h}", ["date"]).select("date", F.lit(f"gt_{h}").alias("horizon"), "ic") for h in (1, 2, 3)]
+    return reduce(DataFrame.union, each)
+
+
+_IC = " UNION ALL ".join(f"SELECT date, 'gt_{h}' AS horizon, {h} AS step, corr(pred, gt_{h}) AS ic FROM pred WHERE pred IS NOT NULL AND gt_{h} IS NOT NULL GROUP BY date HAVING count(*) >= 20" for h in (1, 2, 3))
+
+
+@query("report_decay", o.pick(f"{o.PRED}, i AS ({_IC}), j AS (SELECT horizon, step, count(*) AS n_days, avg(ic) AS mean, stddev_samp(ic) AS sd FROM i GROUP BY horizon, step)", "j", ["step", "horizon", "n_days"], {"mean": "mean", "t": "mean / (sd / sqrt(n_days))", "share": "mean / (SELECT mean FROM j WHERE step = 1)"}))
+def _report_decay(s, d):
+    """Saved and read again, as the evaluator's reports are."""
+    folder = f"{_streams(s)}/report"
+    ev.save_report({"decay": ev.decay_table(_ic_by_horizon(s, d), "ic", ["gt_1", "gt_2", "gt_3"])}, folder)
+    return s.read.parquet(f"{folder}/decay")
+
+
+@query("report_quantile_curve", o.pick(f"{o.PRED}, r AS (SELECT date, gt_1, row_number() OVER (PARTITION BY date ORDER BY pred, instrument) - 1 AS i, count(*) OVER (PARTITION BY date) AS n FROM pairs), b AS (SELECT date, floor(((i + 1) * 10 - 1) / n) AS bucket, count(*) AS n, avg(gt_1) AS m FROM r WHERE n >= 50 GROUP BY 1, 2), c AS (SELECT bucket, count(*) AS n_groups, sum(n) AS n, avg(m) AS m, 1.96 * stddev_samp(m) / sqrt(count(*)) AS h FROM b GROUP BY bucket)", "c", ["CAST(bucket AS BIGINT) AS bucket", "n_groups", "CAST(n AS BIGINT) AS n"], {"mean": "m", "low": "m - h", "high": "m + h"}))
+def _report_quantiles(s, d):
+    return ev.bucket_curve(xs.quantile_stats(pred(s, d), "pred", "gt_1", ["date"], 10))
+
+
+@query("report_heat_map", o.pick(f"{o.EVENTS},\n{o.INTRA}, q AS (SELECT *, {L(MID)} - lag({L(MID)}) {o.SLOT} AS r FROM intra)", "(SELECT isodow(date) AS row, slot AS column, count(r) AS n, avg(r) AS mean FROM q WHERE r IS NOT NULL GROUP BY 1, 2)", ["CAST(row AS BIGINT) AS row", 'CAST("column" AS BIGINT) AS "column"', "n"], ["mean"]))
+def _report_heat(s, d):
+    """Mean returns by weekday and slot."""
+    r = intra(s, d).withColumn("r", ln(MID) - F.lag(ln(MID)).over(wd.today()))
+    return ev.heat_map(r, "r", (F.weekday("date") + 1), F.col("slot"))

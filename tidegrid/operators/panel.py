@@ -222,6 +222,11 @@ def first_at_or_after(df: DataFrame, marks: Sequence[int], minute: str, by: Sequ
     return df.withColumn("_m", own).withColumn("_p", F.lag("_m").over(w)).where((F.col("_m") >= 0) & (F.col("_p").isNull() | (F.col("_p") < F.col("_m")))).drop("_p").withColumnRenamed("_m", "mark")
 
 
+def on_grid(df: DataFrame, grid: DataFrame, time: str, at: str = "datetime", name: str = "slot") -> DataFrame:
+    """Adds the grid's slot of exactly the row's time; missing where the grid has no such time."""
+    return df.join(grid.select(F.col(at).alias(time), F.col(name)), time, "left")
+
+
 def session_marks(days: DataFrame, minutes: Sequence[int] | None = None, day: str = "date", name: str = "ts") -> DataFrame:
     """The rows of `days`, each with every sampled minute of its two sessions (from 9:30 and from 13:00, 120 minutes each) as a timestamp."""
     minutes = sample_minutes() if minutes is None else minutes

@@ -361,3 +361,52 @@ u5 AS (SELECT date, instrument, slot, name, 4 * CASE WHEN v IS NULL THEN NULL WH
 u6 AS (SELECT date, instrument, slot, {", ".join(f"max(r) FILTER (WHERE name = '{n}') AS rank_{n}" for n in names)} FROM u5 GROUP BY date, instrument, slot),
 z AS (SELECT * FROM {last} JOIN u6 USING (date, instrument, slot))"""
     return pick(sql, "z", ["date", "instrument", "slot"], {d.name: _clipped(d) for d in defs} | {f"rank_{n}": f"rank_{n}" for n in names})
+
+
+class NetworkSql:
+    """The forward pass of a residual network written out, a column for each unit; SwiGLU blocks only, as SQL has no error function."""
+
+    def __init__(self, source: str, keys: Sequence[str]) -> None:
+        self.steps, self.last, self.keys, self.made = [f"n0 AS (SELECT * FROM ({source}))"], "n0", keys, 0
+
+    def put(self, values: Sequence[str]) -> list[str]:
+        """New columns beside all there are."""
+        names = [f"u{self.made + i}" for i in range(len(values))]
+        self.made += len(values)
+        self.steps.append(f"m{self.made} AS (SELECT *, {', '.join(f'{v} AS {n}' for n, v in zip(names, values, strict=True))} FROM {self.last})")
+        self.last = f"m{self.made}"
+        return names
+
+    def linear(self, x: Sequence[str], layer) -> list[str]:
+        return self.put([" + ".join([f"{float(layer[0][i, j])!r} * {n}" for i, n in enumerate(x)] + [repr(float(layer[1][j]))]) for j in range(len(layer[1]))])
+
+    def norm(self, x: Sequence[str]) -> list[str]:
+        (mean,) = self.put([f"({' + '.join(x)}) / {len(x)}.0"])
+        (sd,) = self.put([f"sqrt(({' + '.join(f'({v} - {mean}) * ({v} - {mean})' for v in x)}) / {len(x)}.0 + 1e-5)"])
+        return self.put([f"({v} - {mean}) / {sd}" for v in x])
+
+    def tower(self, blocks, h: list[str]) -> list[str]:
+        for b in blocks:
+            z = h if b["post_norm"] else self.norm(h)
+            gate, up = self.linear(z, b["gate"]), self.linear(z, b["up"])
+            z = self.put([f"{g} / (1 + exp(-{g})) * {u}" for g, u in zip(gate, up, strict=True)])
+            h = self.put([f"{a} + {d}" for a, d in zip(h, self.linear(z, b["down"]), strict=True)])
+            h = self.norm(h) if b["post_norm"] else h
+        return h
+
+    def network(self, w, x: Sequence[str], position: str) -> list[str]:
+        h = self.linear(self.norm(x) if w["input_norm"] is not None else x, w["in"])
+        if "towers" in w:
+            return [y for t in w["towers"] for y in self.linear(self.tower(t["blocks"], h), t["out"])]
+        if w["position"] is not None:
+            d = len(w["position"][0])
+            waves = self.put([f"{f}({position} * exp(-{i} * ln(500.0) / {d}))" for i in range(0, d, 2) for f in ("sin", "cos")])
+            h = self.put([f"{a} + {b}" for a, b in zip(h, self.linear(waves, w["position"]), strict=True)])
+        return self.linear(self.tower(w["blocks"], h), w["out"])
+
+    def dual(self, w, x: Sequence[str], position: str) -> list[str]:
+        one, two = (self.network(w[k], x, position) for k in ("first", "second"))
+        return [*one, *two, *self.put([f"{y} + {two[0]} * {position} / 240 * {share}" for y, share in zip(one, ("1 / 9.0", "1 / 6.0", "1 / 3.0"), strict=True)])]
+
+    def sql(self, outputs: Sequence[str]) -> str:
+        return pick(", ".join(self.steps), self.last, self.keys, {f"pred_{i}": n for i, n in enumerate(outputs)})

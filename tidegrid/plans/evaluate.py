@@ -245,6 +245,36 @@ def cumulative(daily: DataFrame, value: str, base: float = 0.0, by: Sequence[str
     return daily.select(*by, time, F.avg(F.col(value) - base).over(w).alias("mean_so_far"), grown.alias("equity"))
 
 
+def decay_table(daily: DataFrame, value: str, order: Sequence[str], day: str = "date") -> DataFrame:
+    """step, horizon, n_days, mean, t and share (of the first horizon's mean) of a daily value: how it fades with the horizon."""
+    step = F.array_position(F.array(*[F.lit(h) for h in order]), F.col("horizon"))
+    sums = daily.where(F.col(value).isNotNull() & (step > 0)).groupBy("horizon").agg(F.count("*").alias("n_days"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd"))
+    rows = sums.withColumns({"step": step, "t": F.try_divide(F.col("mean"), F.col("_sd") / F.sqrt("n_days"))})
+    first = F.max(F.when(F.col("step") == 1, F.col("mean"))).over(Window.partitionBy(F.lit(1)))  # a row a horizon
+    return rows.withColumn("share", F.try_divide("mean", first)).select("step", "horizon", "n_days", "mean", "t", "share")
+
+
+def bucket_curve(buckets: DataFrame, of: Sequence[str] = (), value: str = "mean") -> DataFrame:
+    """of, bucket, n_groups, n, mean, low, high: a bucket's mean over days (or slots) with the half width of its 95 % interval on both sides.
+
+    buckets: what quantile_stats or value_buckets give, a row for each cross-section and bucket.
+    """
+    half = 1.96 * F.stddev_samp(value) / F.sqrt(F.count(value))
+    mean = F.avg(value)
+    return buckets.groupBy(*of, "bucket").agg(F.count(value).alias("n_groups"), F.sum("n").alias("n"), mean.alias("mean"), (mean - half).alias("low"), (mean + half).alias("high"))
+
+
+def heat_map(df: DataFrame, value: str, rows: Column, columns: Column) -> DataFrame:
+    """row, column, n, mean of a value by two of its dimensions."""
+    return df.where(F.col(value).isNotNull()).groupBy(rows.alias("row"), columns.alias("column")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def save_report(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as a Parquet folder of its name; a report made again takes the place of the old one."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
 def timing_stats(df: DataFrame, label: str, seconds: str, order: str, window: int = 20) -> DataFrame:
     """Moving mean, sample deviation and half width of the 95 % interval of the last `window` timings of each label."""
     w = Window.partitionBy(label).orderBy(order).rowsBetween(-(window - 1), 0)
