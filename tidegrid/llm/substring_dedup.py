@@ -160,26 +160,43 @@ def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
             yield a, b - a
 
 
+def anchor_blocks(all_: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[list[int] | None]]:
+    """The distinct anchors of a text's windows, the first block of `block` windows that has each, and the other blocks where there are any."""
+    if len(all_) <= block:
+        k = np.unique(all_)
+        return k, np.zeros(len(k), np.int32), [None] * len(k)
+    held: dict[int, list[int]] = {}
+    for no, at in enumerate(range(0, len(all_), block)):
+        for k in np.unique(all_[at : at + block]).tolist():
+            held.setdefault(k, []).append(no)
+    return np.array(list(held), np.int64), np.array([b[0] for b in held.values()], np.int32), [b[1:] or None for b in held.values()]
+
+
 def _anchored(docs: DataFrame, window: int, block: int) -> DataFrame:
-    """k, doc, block: each anchor of each document with the blocks of windows that have it."""
+    """k, doc, block, more: each anchor of each document with the blocks of windows that have it, mostly one."""
+    names = ["k", "doc", "block", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            made = [*(pa.array(np.concatenate(x)) for x in (ks, ds, bs)), pa.array(more, pa.list_(pa.int32()))]
+            for x in (ks, ds, bs, more):
+                x.clear()
+            return pa.RecordBatch.from_arrays(made, names)
+
+        ks, ds, bs, more = [], [], [], []
         for b in batches:
-            ks, ds, bs = [], [], []
             for d, t in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
-                all_ = anchors(split_words(t.as_py()), window)
-                for no, at in enumerate(range(0, len(all_), block)):
-                    k = np.unique(all_[at : at + block])
-                    ks.append(k)
-                    ds.append(np.full(len(k), d, np.int64))
-                    bs.append(np.full(len(k), no, np.int64))
-                if sum(map(len, ks)) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, ds, bs)], ["k", "doc", "block"])
-                    ks, ds, bs = [], [], []
+                k, first, others = anchor_blocks(anchors(split_words(t.as_py()), window), block)
+                ks.append(k)
+                ds.append(np.full(len(k), d, np.int64))
+                bs.append(first)
+                more += others
+                if len(more) > 100_000:
+                    yield flush()
             if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ks, ds, bs)], ["k", "doc", "block"])
+                yield flush()
 
-    return docs.select("doc", "text").mapInArrow(run, "k long, doc long, block long")
+    return docs.select("doc", "text").mapInArrow(run, "k long, doc long, block int, more array<int>")
 
 
 _SENT = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("copy", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("words", pa.binary())])
@@ -226,17 +243,28 @@ def _sent(docs: DataFrame, window: int, block: int) -> DataFrame:
     docs: doc, th, packed, and held, an array of (k, owner, block, copies).
     """
 
+    def owned(of: np.ndarray, keys: np.ndarray, at: int, doc: int, th: int, b: int, copies: np.ndarray, words: list[bytes]) -> Iterator[tuple]:
+        for a, end in owned_spans(of, keys, at, window) if len(keys) else ():
+            span = b" ".join(words[a:end])
+            for copy in range(int(copies.max())):
+                yield doc, b, copy, 0, doc, th, a, span
+
     def rows(doc: int, th: int, text: str, held: pa.Scalar) -> Iterator[tuple]:
         words = split_words(text)
         of = anchors(words, window)
         k, owner, no, copies = (np.asarray(p, dtype=np.int64) for p in held.values.flatten())
         own = owner == doc
-        for b in np.unique(no[own]).tolist():
+        blocks = np.unique(no[own]).tolist()
+        for at in range(0, len(of) if blocks else 0, block):
+            b, here = at // block, of[at : at + block]
             mine = own & (no == b)
-            for a, end in owned_spans(of[b * block : (b + 1) * block], k[mine], b * block, window):
-                span = b" ".join(words[a:end])
-                for copy in range(int(copies[mine].max())):
-                    yield doc, b, copy, 0, doc, th, a, span
+            yield from owned(here, k[mine], at, doc, th, b, copies[mine], words)
+            # Of an anchor that another row of this doc_id has in other blocks, this row's windows go to the first of them.
+            rest = np.setdiff1d(np.intersect1d(here, k[own]), k[mine])
+            for f in np.unique(no[own]).tolist() if len(rest) else ():
+                strays = own & (no == f) & np.isin(k, rest)
+                rest = np.setdiff1d(rest, k[strays])
+                yield from owned(here, k[strays], at, doc, th, f, copies[own & (no == f)], words)
         k, owner, no, copies = k[~own], owner[~own], no[~own], copies[~own]
         if not len(k):
             return
@@ -304,14 +332,17 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, block: int | None = No
     block = block or BLOCK
     known = docs.where("doc IS NOT NULL AND text IS NOT NULL")
     held = _anchored(known, window, block)
-    # An anchor's owner with the blocks that have it: the least document's, found without gathering the others'.
-    per = held.groupBy("k").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last")
-    shared = cut(per.join(held, (per.k == held.k) & (per.owner == held.doc)).select(per.k, "owner", "block", "n").distinct())
+    shared = (
+        held.groupBy("k")
+        .agg(F.min(F.struct("doc", "block", "more")).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+        .where("first.doc < last")
+        .select("k", F.col("first.doc").alias("owner"), F.explode(F.concat(F.array("first.block"), F.coalesce("first.more", F.array().cast("array<int>"))).cast("array<long>")).alias("block"), "n")
+    )
+    shared = cut(shared)
     demand = shared.groupBy("owner", "block").agg(F.ceil(F.sum("n") * ((window - min(GRAM, window)) // 2 + 1) / LOAD).alias("copies"))
     sharded = shared.drop("n").join(demand, ["owner", "block"])
     sending = (
         held.select("k", "doc")
-        .distinct()
         .join(sharded, "k")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("k", "owner", "block", "copies")).alias("held"))
