@@ -143,3 +143,15 @@ def test_one_exchange_for_history_and_none_more_for_the_day(market):
     _, _, d, b = market
     plan = compile_factors(groups.group("lib"), d, b.withColumn("ask_price1", b.mid_price), SLOTS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 0 and plan.count("Python") == 0
+
+
+def test_no_factor_of_a_long_history_is_wholly_missing(spark):
+    """Half months as days: the longest windows are full, so that their columns are compared on values."""
+    from pyspark.sql import functions as F
+
+    from tidegrid import catalogue
+
+    folder = "/root/testdata/sf0.01"
+    counts = catalogue.QUERIES["group_fg260114_long"](spark, folder)
+    counts = counts.agg(*[F.count(c).alias(c) for c in counts.columns]).first().asDict()
+    assert len(counts) == 119 and min(counts.values()) > 1000
