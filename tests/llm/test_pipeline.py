@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.llm import registry
+from tidegrid.llm import lineage, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,13 +12,28 @@ SF = "/root/testdata/sf0.001"
 def test_query_covers_its_table(spark, name):
     out = registry.QUERIES[name](spark, SF)
     rows = out.collect()
-    if name != "op10_chat_format":
+    if name == "op12_sort_means":
+        assert sorted(r.vec_id for r in rows) == sorted(r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
+    elif name != "op10_chat_format":
         docs = spark.read.parquet(f"{SF}/documents.parquet")
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     else:
         assert {r.conv_id for r in rows} == {r.conv_id for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()} | {-1}
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        def __init__(self, master, named=None):
+            settings = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": "/warehouse/"}
+            self.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: settings.get(k, d))})
+            self.sparkContext = type("Context", (), {"master": master})
+
+    assert lineage.shared_folder(Session("local[4]")) == "/warehouse/_checkpoints"
+    assert lineage.shared_folder(Session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="checkpoint"):
+        lineage.shared_folder(Session("spark://host:7077"))
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
