@@ -15,7 +15,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import decontaminate, line_dedup, quality_rules, sentencepieces, simhash
-from tidegrid.llm.lineage import shared_folder
+from tidegrid.llm.lineage import remove, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,10 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written as Parquet to the shared folder and read again."""
+    """All stages over documents; each result but the last is written as Parquet to the shared folder and read again.
+
+    A stage's result goes once the next one is written; the last of them stays, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    top, before = f"{shared_folder(spark)}/pipeline-{uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{top}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
