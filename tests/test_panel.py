@@ -96,3 +96,17 @@ def test_filter_is_pushed_below_the_window(spark, tmp_path):
     spark.range(100).select(F.lit(dt.date(2023, 1, 1)).alias("date"), (F.col("id") % 5).alias("instrument"), F.rand(1).alias("price")).write.parquet(path)
     plan = pn.densify(spark.read.parquet(path), ffill=False).where("instrument = 3")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(instrument), EqualTo(instrument,3)]" in plan
+
+
+def test_order_within_partitions_and_valid_rows(spark):
+    rows = [(dt.date(2024, 1, 1 + k % 5), k % 7, float(k) if k % 3 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "date date, instrument int, close double").repartition(4)
+    for by, key in (("datetime-first", ("date", "instrument")), ("instrument-first", ("instrument", "date"))):
+        part = pn.in_order(df, by).withColumn("p", F.spark_partition_id()).collect()
+        for n in {r.p for r in part}:
+            own = [(r[key[0]], r[key[1]]) for r in part if r.p == n]
+            assert own == sorted(own)
+    assert pn.in_order(df, "none") is df
+    # Dense to tidy: rows that hold a value.
+    dense = pn.densify(df.where("close > 20"), ffill=False)
+    assert {(r.date, r.instrument) for r in dense.where("close IS NOT NULL").collect()} == {(d, i) for d, i, c in rows if c is not None and c > 20}
