@@ -42,8 +42,8 @@ ALPHA = 0.6
 SEED = 20240
 #: Texts that are worked on at once: rows, and characters beyond which no further row joins them.
 ROWS, CHARS = 256, 1 << 19
-#: Lattice arcs and words that a task keeps for words to come; beyond, it starts afresh.
-MOST_ARCS, MOST_WORDS = 2_000_000, 90_000
+#: Words that a task keeps for texts to come, and lattice arcs for each of them; beyond, it starts afresh. Memory against time: results don't depend on it.
+KEPT, ARCS = 180_000, 22
 #: Words that are learnt at once.
 LEARNT = 4000
 _BLANK = "▁"
@@ -538,8 +538,8 @@ class Numbers(dict):
 class Encoder:
     """Encodes and decodes texts and draws segmentations; each distinct word is worked out once until the cache is full."""
 
-    def __init__(self, model: bytes) -> None:
-        self.processor = _processor(model)
+    def __init__(self, model: bytes, kept: int = KEPT) -> None:
+        self.kept, self.processor = kept, _processor(model)
         self.lattice = Lattice(self.processor)
         pieces = piece_bytes(self.processor)
         self.sizes = np.array([len(x) for x in pieces], np.int64)
@@ -564,7 +564,7 @@ class Encoder:
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers of all texts, and how many each text has."""
         split = [words_of(t) if t else [] for t in texts]
-        if self.lattice.p.n > MOST_ARCS or len(self.known) > MOST_WORDS:
+        if self.lattice.p.n > ARCS * self.kept or len(self.known) > self.kept:
             self.clear()
         found = np.array(list(map(self.known.__getitem__, chain.from_iterable(split))), np.int64)
         for lo in range(0, len(self.known.new), LEARNT):
@@ -626,8 +626,8 @@ def _pieces_of_work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at)
 
 
-def encode(docs: DataFrame, path: str | None = None, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, ids, decoded and samples (ids, log_p, inclusion) for each row of docs (doc_id, text)."""
+def encode(docs: DataFrame, path: str | None = None, samples: int = SAMPLES, kept: int = KEPT) -> DataFrame:
+    """doc_id, ids, decoded and samples (ids, log_p, inclusion) for each row of docs (doc_id, text); kept: words that a task remembers."""
     with open(path or model_path(), "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, text string, ids array<int>, decoded string, samples array<struct<ids:array<int>,log_p:double,inclusion:double>>"
@@ -637,7 +637,7 @@ def encode(docs: DataFrame, path: str | None = None, samples: int = SAMPLES) ->
         return pa.ListArray.from_arrays(edge, np.concatenate([np.empty(0, np.int32), *parts]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value)
+        encoder = Encoder(model.value, kept)
         for whole in batches:
             for b in _pieces_of_work(whole):
                 texts = [t or "" for t in b.column("text").to_pylist()]
@@ -656,10 +656,10 @@ def encode(docs: DataFrame, path: str | None = None, samples: int = SAMPLES) ->
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     """One row for each document: pieces, whether decoding restores the text, and the sampled segmentations in short."""
     plain = F.coalesce(F.translate("text", _BLANK, " "), F.lit(""))
-    return encode(docs).select(
+    return encode(docs, kept=kept).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_pieces"),
         F.xxhash64("ids").alias("ids_hash"),
