@@ -670,11 +670,20 @@ def _embedding(s, d):
     return bars.events(s, d).select(F.hour("ts").alias("slot")).distinct().select("slot", F.get(e, F.lit(0)).alias("s0"), F.get(e, F.lit(3)).alias("c2"))
 
 
-@query("infer_mlp")
+_WIDE = mlp.init_weights(64, 4, gated=True)
+
+
+def _wide_sql() -> str:
+    n = o.NetworkSql(f"SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}' for i in range(64))} FROM embeddings WHERE len(embedding) = 64", ["vec_id"])
+    out = n.network(_WIDE, [f"x{i}" for i in range(64)], "0")
+    return o.pick(", ".join(n.steps), n.last, ["vec_id"], {f"pred_{i}": out[i] for i in (0, 2)})
+
+
+@query("infer_mlp", _wide_sql())
 def _infer(s, d):
-    v = bars.read(s, d, "embeddings").select("vec_id", "embedding")
-    width = len(v.first().embedding)
-    return mlp.predict(v, "embedding", mlp.init_weights(width, 4, gated=True), ["vec_id"], outputs=[0, 2])
+    """A network of two gated blocks over embeddings, two of its outputs."""
+    v = bars.read(s, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", "embedding")
+    return mlp.predict(v, "embedding", _WIDE, ["vec_id"], outputs=[0, 2])
 
 
 @query("timing_stats", "SELECT event_type AS label, event_id, round(value, 6) + 0.0 AS seconds, round(avg(value) OVER w, 6) + 0.0 AS mean, round(stddev_samp(value) OVER w, 6) + 0.0 AS std, round(1.96 * stddev_samp(value) OVER w / sqrt(count(value) OVER w), 6) + 0.0 AS half_width FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
