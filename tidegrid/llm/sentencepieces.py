@@ -43,7 +43,7 @@ SEED = 20240
 #: Texts that are worked on at once: rows, and characters beyond which no further row joins them.
 ROWS, CHARS = 256, 1 << 19
 #: Words that a task keeps for texts to come, and lattice arcs for each of them; beyond, it starts afresh. Memory against time: results don't depend on it.
-KEPT, ARCS = 180_000, 22
+KEPT, ARCS = 400_000, 22
 #: Words that are learnt at once.
 LEARNT = 4000
 _BLANK = "▁"
