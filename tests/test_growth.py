@@ -35,3 +35,28 @@ def test_generated_methods_are_short_enough_to_be_compiled(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     catalogue.QUERIES["panel_daily_ohlcv"](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_pair_sums_equal_all_pairs(crossing):
+    import time
+
+    import numpy as np
+
+    from tidegrid.operators import xsection as xs
+
+    draw = np.random.default_rng(3)
+    n = 700
+    i, p, g = draw.integers(0, 500, n), draw.normal(0, 3, n), np.round(draw.normal(0, 0.002, n), 3)
+    own = draw.random(n) < 0.4
+    d = p[:, None] - p[None, :]
+    loss = np.maximum(d, 0) + np.log1p(np.exp(-np.abs(d))) - d * (g[:, None] - g[None, :] > 0.001)
+    met = i[:, None] < i[None, :]
+    if crossing:
+        met &= own[:, None] != own[None, :]
+    pairs, total = xs._pair_sum(i, p, g, own, crossing, 0.001)
+    assert pairs == met.sum() and total == pytest.approx(loss[met].sum(), rel=1e-10)
+    n = 60_000  # 1.8 thousand million pairs
+    began = time.time()
+    pairs, _ = xs._pair_sum(np.arange(n), draw.normal(0, 0.1, n), draw.normal(0, 0.02, n), np.zeros(n, bool), False, 0.001)
+    assert pairs == n * (n - 1) // 2 and time.time() - began < 20
