@@ -60,3 +60,18 @@ def test_pair_sums_equal_all_pairs(crossing):
     began = time.time()
     pairs, _ = xs._pair_sum(np.arange(n), draw.normal(0, 0.1, n), draw.normal(0, 0.02, n), np.zeros(n, bool), False, 0.001)
     assert pairs == n * (n - 1) // 2 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("margin", [0.02, 0.0])
+def test_streamed_quantiles_of_a_long_day_are_exact(spark, tmp_path, margin):
+    from tidegrid.plans import evaluate as ev
+    from tidegrid.streaming import running
+
+    rows = spark.range(60_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 80_000).cast("timestamp_ntz").alias("ts"), F.round(F.rand(5) * 1e4, 1).alias("value"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    stream = lambda: running.file_stream(spark, f"{tmp_path}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    sketches = ev.quantile_sketches(spark.read.parquet(f"{tmp_path}/events.parquet").withColumn("date", F.to_date("ts")), ["value"], 64, by=["date"])
+    levels = [0.25, 0.5, 0.75, 0.999]
+    got = running.exact_quantiles(stream, sketches, levels, f"{tmp_path}/out", margin=margin).collect()
+    values = sorted(r.value for r in spark.read.parquet(f"{tmp_path}/events.parquet").collect())
+    assert len(got) == 1 and got[0].q == [values[int(x * len(values)) - 1] for x in levels]
