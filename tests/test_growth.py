@@ -75,3 +75,22 @@ def test_streamed_quantiles_of_a_long_day_are_exact(spark, tmp_path, margin):
     got = running.exact_quantiles(stream, sketches, levels, f"{tmp_path}/out", margin=margin).collect()
     values = sorted(r.value for r in spark.read.parquet(f"{tmp_path}/events.parquet").collect())
     assert len(got) == 1 and got[0].q == [values[int(x * len(values)) - 1] for x in levels]
+
+
+def test_ranks_of_targets_hold_one_cross_section(spark):
+    from tidegrid.operators import xsection as xs
+
+    df = spark.range(900).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.round(F.randn(2), 2)).alias("x"), F.lit(1.0).alias("c"), "id")
+    got = xs.with_percentiles(df, {"p": "x", "q": "c"}, ["g"], 50, 1.5, sample_std=True)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.id: r.rank for r in xs.binned_percentile(df, "x", ["g"], 50, 1.5, sample_std=True).collect()}
+    for r in got.collect():
+        assert r.q == 0.5 and (r.p is None) == (want[r.id] is None) and (r.p is None or r.p == pytest.approx(want[r.id], abs=1e-9))
+
+
+def test_a_days_median_is_counted_not_held(spark):
+    from tidegrid.plans import evaluate as ev
+
+    df = spark.range(400).select(F.lit(1).alias("date"), (F.col("id") % 4).alias("slot"), F.col("id").alias("instrument"), F.randn(1).alias("p"), F.randn(2).alias("h"))
+    out = ev.daily_metrics(df, "p", ["h"], slot="slot", q=5, tops=(5,))
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
