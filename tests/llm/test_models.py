@@ -374,3 +374,15 @@ def test_counted_texts_are_bounded_by_bytes(make, spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     taken = toxicity._counting(toxicity.labelled.keyed(docs), labels, "toxic").groupBy("y").count().collect()
     assert {r.y: r["count"] for r in taken} == {0: 2, 1: 2}
+
+
+def test_toxicity_learns_from_every_labelled_text(make, spark, monkeypatch):
+    """Neither bounds of a choice nor the cut into chunks move a score; equal texts are scored alike."""
+    rows, labels = labelled_rows("toxic")
+    docs, table = make([*rows, (950, rows[3][1]), (951, None)]), spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, toxic int")
+    whole = {r.doc_id: r.score for r in toxicity.score(docs, table).collect()}
+    assert whole[950] == whole[3]
+    for name, value in (("COUNTED", 4), ("COUNTED_BYTES", 400), ("CHUNK", 3000), ("CHUNK_ROWS", 7)):
+        monkeypatch.setattr(toxicity, name, value, raising=False)
+    again = {r.doc_id: r.score for r in toxicity.score(docs, table).collect()}
+    assert again == pytest.approx(whole, rel=1e-9)

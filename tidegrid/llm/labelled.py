@@ -21,14 +21,19 @@ def part() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).cast("int")
 
 
+def known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of all labelled documents, none of fold 0."""
+    return labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold() != 0)).distinct()
+
+
 def chosen(labels: DataFrame, label: str, per_class: int, first: int = 0, end: int = 10) -> DataFrame:
     """doc_id, y of at most per_class labelled documents of each class: the least hashes of ids in parts first to end - 1, none of fold 0.
 
     The choice doesn't depend on the order of rows, and its size is bounded, so it may be broadcast.
     """
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold() != 0) & part().between(first, end - 1)).distinct()
+    some = known(labels, label).where(part().between(first, end - 1))
     order = F.xxhash64("doc_id", F.lit("sample"))
-    return reduce(DataFrame.union, [known.where(F.col("y") == y).orderBy(order).limit(per_class) for y in (0, 1)])
+    return reduce(DataFrame.union, [some.where(F.col("y") == y).orderBy(order).limit(per_class) for y in (0, 1)])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
