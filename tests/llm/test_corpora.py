@@ -176,3 +176,19 @@ def test_packed_postings_come_back():
         places, n = np.array([0, 9, 65_535]), np.array(counts)
         got = target_sampling._unpacked(target_sampling._packed(places, n))
         assert got[0].tolist() == places.tolist() and got[1].tolist() == counts
+
+
+def test_first_pairs_are_indexed_at_once(library):
+    """The places of all words' first pairs come of one table; ASCII texts are split as the library splits them."""
+    v = pair_bpe.Codec(pair_bpe._file(None)).v
+    words = [b"running", b"a", b"aaaa", b"x1", "\u00e9t\u00e9".encode(), b"running"]
+    index = pair_bpe.PairIndex(v, words)
+    ids = [[*(v.inner[b] for b in w[:-1]), v.last[w[-1]]] for w in words]
+    want = {}
+    for at, (a, b) in enumerate(pair for w in ids for pair in zip(w, [*w[1:], None], strict=True)):
+        if b is not None and (a, b) in v.rank:
+            want.setdefault(v.rank[a, b], []).append(at)
+    assert index.places == want
+    assert (v.first_ranks >= 0).sum() == sum(a in v.base and b in v.base for a, b in v.rank)
+    text = "".join(chr(c) + t for c in range(128) for t in ("ab", "'s", " ", "1", "'RE"))
+    assert pair_bpe.Codec(pair_bpe._file(None)).encode([text])[0] == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -73,6 +74,21 @@ class Vocabulary:
         #: The rank of a pair of ids, and by rank the pair and what it becomes.
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(merges)}
         self.merges = merges
+        #: The ranks of pairs by their first symbol and by their second one.
+        self.beginning: dict[int, dict[int, int]] = {}
+        self.ending: dict[int, dict[int, int]] = {}
+        for (a, b), r in self.rank.items():
+            self.beginning.setdefault(a, {})[b] = r
+            self.ending.setdefault(b, {})[a] = r
+        #: The symbols of bytes inside a word, then of last ones, and the ranks of pairs of those (-1: none).
+        self.base = np.array([*self.inner, *self.last], np.int64)
+        kinds: dict[int, list[int]] = {}
+        for kind, s in enumerate(self.base.tolist()):
+            kinds.setdefault(s, []).append(kind)
+        self.first_ranks = np.full((512, 512), -1, np.int64)
+        for (a, b), r in self.rank.items():
+            if a in kinds and b in kinds:
+                self.first_ranks[np.ix_(kinds[a], kinds[b])] = r
         born = {c: r for r, (_, _, c) in reversed(list(enumerate(merges)))}
         self.ordered = len(born) == len(merges) and all(max(born.get(a, -1), born.get(b, -1)) < r for r, (a, b, _) in enumerate(merges))
 
@@ -82,42 +98,34 @@ class PairIndex:
 
     def __init__(self, vocabulary: Vocabulary, words: list[bytes]) -> None:
         self.v = vocabulary
-        self.symbol: list[int] = []
-        self.starts = [0]
-        inner, last = vocabulary.inner, vocabulary.last
-        for w in words:
-            self.symbol += [inner[b] for b in w[:-1]]
-            self.symbol.append(last[w[-1]])
-            self.starts.append(len(self.symbol))
-        n = len(self.symbol)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        self.starts = [0, *ends.tolist()]
+        kinds = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        kinds[ends - 1] += 256
+        self.symbol: list[int] = vocabulary.base[kinds].tolist()
+        n = len(kinds)
         # Neighbours within the word; -1 at its ends.
-        self.after = list(range(1, n + 1))
-        self.before = list(range(-1, n - 1))
-        for a, b in zip(self.starts, self.starts[1:]):
-            self.before[a] = self.after[b - 1] = -1
-        self.places: dict[int, list[int]] = {}
-        rank, places = vocabulary.rank, self.places
-        for i, (s, j) in enumerate(zip(self.symbol, self.after)):
-            if j >= 0 and (r := rank.get((s, self.symbol[j]))) is not None:
-                places.setdefault(r, []).append(i)
-        self.active = list(places)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = before[ends - sizes] = -1
+        self.after, self.before = after.tolist(), before.tolist()
+        ranks = np.where(after[:-1] >= 0, vocabulary.first_ranks[kinds[:-1], kinds[1:]], -1)
+        found = np.flatnonzero(ranks >= 0)
+        found = found[np.argsort(ranks[found], kind="stable")]
+        ranked, edges = np.unique(ranks[found], return_index=True)
+        all_places, edges = found.tolist(), [*edges.tolist(), len(found)]
+        self.places: dict[int, list[int]] = {r: all_places[lo:hi] for r, lo, hi in zip(ranked.tolist(), edges, edges[1:])}
+        self.active = list(self.places)
         heapify(self.active)
 
     def merge(self) -> None:
-        symbol, after, before, places, active, rank = self.symbol, self.after, self.before, self.places, self.active, self.v.rank
+        symbol, after, before, places, active = self.symbol, self.after, self.before, self.places, self.active
+        beginning, ending, none = self.v.beginning, self.v.ending, {}
         ordered = self.v.ordered
-
-        def found(i: int, j: int) -> None:
-            if (r := rank.get((symbol[i], symbol[j]))) is not None:
-                if (held := places.get(r)) is None:
-                    places[r] = [i]
-                    heappush(active, r)
-                else:
-                    held.append(i)
-
         while active:
             r = heappop(active)
             a, b, made = self.v.merges[r]
+            first, second = beginning.get(made, none), ending.get(made, none)
             todo = sorted(places.pop(r))
             for k, i in enumerate(todo):
                 j = after[i]
@@ -127,9 +135,18 @@ class PairIndex:
                 after[i] = n = after[j]
                 if n >= 0:
                     before[n] = i
-                    found(i, n)
-                if (p := before[i]) >= 0:
-                    found(p, i)
+                    if (q := first.get(symbol[n])) is not None:
+                        if (held := places.get(q)) is None:
+                            places[q] = [i]
+                            heappush(active, q)
+                        else:
+                            held.append(i)
+                if (p := before[i]) >= 0 and (q := second.get(symbol[p])) is not None:
+                    if (held := places.get(q)) is None:
+                        places[q] = [p]
+                        heappush(active, q)
+                    else:
+                        held.append(p)
                 if not ordered:
                     # A lower rank may have come up: the rest of these places waits for its turn.
                     if rest := todo[k + 1 :]:
@@ -149,7 +166,8 @@ class PairIndex:
 
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+")
+# The same for ASCII, the commonest kind first.
+_PLAIN = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r 0-9a-z]+")
 
 
 def normal(text: str) -> str:
