@@ -386,3 +386,15 @@ def test_toxicity_learns_from_every_labelled_text(make, spark, monkeypatch):
         monkeypatch.setattr(toxicity, name, value, raising=False)
     again = {r.doc_id: r.score for r in toxicity.score(docs, table).collect()}
     assert again == pytest.approx(whole, rel=1e-9)
+
+
+def test_lattice_that_outgrows_its_room(pieces):
+    """Rows set aside at first are a matter of memory: a lattice that has to grow draws the same."""
+    words = [f"▁{a}{b}" for a in ("stone", "été", "run", "x") for b in range(40)]
+    small, large = (sentencepieces.Lattice(pieces.processor, room=n) for n in (3, 1 << 16))
+    roots = [lattice.add(words) for lattice in (small, large)]
+    assert (roots[0] == roots[1]).all() and small.chances.n == large.chances.n > 3
+    keys = sentencepieces.row_seeds(list(range(len(words))))
+    for a, b in zip(small.walk(roots[0], keys), large.walk(roots[1], keys), strict=True):
+        assert (a == b).all()
+    assert (small.p[: small.chances.n] == np.exp(small.logp[: small.chances.n])).all()

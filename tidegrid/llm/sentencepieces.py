@@ -91,16 +91,23 @@ def words_of(text: str) -> list[str]:
 
 
 class Grown:
-    """An array that grows at its end."""
+    """An array that grows at its end, of rows of `width` numbers if one is given; `room` rows are set aside at first, and no memory is used for them before they are written."""
 
-    def __init__(self, kind: type) -> None:
-        self.held, self.n = np.empty(1024, kind), 0
+    def __init__(self, kind: type, room: int = 1024, width: int = 0) -> None:
+        self.held, self.n = np.empty((room, width) if width else room, kind), 0
 
-    def add(self, values: np.ndarray) -> None:
-        n = self.n + len(values)
+    def add(self, *values: np.ndarray) -> None:
+        """Adds the numbers, or a row's numbers as so many columns."""
+        n = self.n + len(values[0])
         if n > len(self.held):
-            self.held = np.concatenate([self.held[: self.n], np.empty(max(n, 2 * len(self.held)) - self.n, self.held.dtype)])
-        self.held[self.n : n] = values
+            held = np.empty((max(n, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
+            held[: self.n] = self.held[: self.n]
+            self.held = held
+        if self.held.ndim == 1:
+            self.held[self.n : n] = values[0]
+        else:
+            for i, column in enumerate(values):
+                self.held[self.n : n, i] = column
         self.n = n
 
     def clear(self) -> None:
@@ -147,13 +154,13 @@ class Lattice:
     """The lattices of words, side by side. Arcs of a node lie together, the longest piece first; -1 ends a word.
 
     p and logp are an arc's probability given its node, other is that of the node's other arcs, cum
-    the running sum of p (infinite at the node's last arc). Pieces are found by a 64-bit hash of
+    the running sum of p (infinite at the node's last arc): four numbers side by side, as a walk needs them together. Pieces are found by a 64-bit hash of
     their characters, by the hash's leading bits first.
     """
 
     BASE = np.uint64(0x100000001B3)
 
-    def __init__(self, processor, alpha: float = ALPHA) -> None:
+    def __init__(self, processor, alpha: float = ALPHA, room: int = 1024) -> None:
         size = processor.vocab_size()
         weight = -alpha * np.log(np.arange(size) + 3.0)
         plain = [i for i in range(size) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
@@ -176,13 +183,25 @@ class Lattice:
         for i in range(size):
             if processor.is_byte(i):
                 self.of_byte[int(processor.id_to_piece(i)[1:-1], 16)] = i
-        self.first, self.last, self.to, self.piece = (Grown(np.int32) for _ in range(4))
-        self.cum, self.p, self.logp, self.other = (Grown(np.float64) for _ in range(4))
+        self.first, self.last, self.to, self.piece = (Grown(np.int32, room) for _ in range(4))
+        self.chances = Grown(np.float64, room, 4)
 
     def clear(self) -> None:
-        for held in (self.first, self.last, self.to, self.piece, self.cum, self.p, self.logp, self.other):
+        for held in (self.first, self.last, self.to, self.piece, self.chances):
             held.clear()
 
+    @property
+    def p(self) -> np.ndarray:
+        return self.chances.held[:, 1]
+
+    @property
+    def logp(self) -> np.ndarray:
+        return self.chances.held[:, 2]
+
+    @property
+    def other(self) -> np.ndarray:
+        return self.chances.held[:, 3]
+
     @staticmethod
     def _slot(hashes: np.ndarray) -> np.ndarray:
         return (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
@@ -281,32 +300,35 @@ class Lattice:
         lesser[best] = 0.0
         other[best] = np.add.reduceat(lesser, group)
         more = nodes - n
-        base, arcs = self.first.n, self.p.n
+        base, arcs = self.first.n, self.chances.n
         self.first.add(arcs + np.concatenate([group, len(p) + np.arange(more)]))
         self.last.add(arcs + np.concatenate([group + each, len(p) + 1 + np.arange(more)]))
         ahead = np.concatenate([to, *chain_to])
         self.to.add(np.where(ahead < 0, -1, ahead + base))
         self.piece.add(np.concatenate([piece, *chain_piece]))
-        for held, values, same in ((self.cum, cum, np.inf), (self.p, p, 1.0), (self.logp, logp, 0.0), (self.other, other, 0.0)):
-            held.add(np.concatenate([values, np.full(more, same)]) if more else values)
+        self.chances.add(cum, p, logp, other)
+        if more:
+            self.chances.add(np.full(more, np.inf), np.ones(more), np.zeros(more), np.zeros(more))
         return ends - sizes + base
 
     def walk(self, roots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A path drawn for each word: all arcs, how many each has, its log-probability, the mass of the word's other paths."""
-        first, cum, p, logp, other, to = (x.held for x in (self.first, self.cum, self.p, self.logp, self.other, self.to))
+        first, chances, to = self.first.held, self.chances.held, self.to.held
         n = len(roots)
         sizes, out_total, out_beside = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         live, node, total, prefix, beside, steps = np.arange(n), roots, np.zeros(n), np.ones(n), np.zeros(n), []
         while len(live):
             u, arc = unit(keys_of(keys, len(steps))), first[node].astype(np.int64)
-            over = np.flatnonzero(u > cum[arc])
+            here = chances.take(arc, axis=0)
+            over = np.flatnonzero(u > here[:, 0])
             while len(over):
                 arc[over] += 1
-                over = over[u[over] > cum[arc[over]]]
+                here[over] = next_ = chances.take(arc[over], axis=0)
+                over = over[u[over] > next_[:, 0]]
             steps.append((live, arc))
-            beside += prefix * other[arc]
-            prefix *= p[arc]
-            total += logp[arc]
+            beside += prefix * here[:, 3]
+            prefix *= here[:, 1]
+            total += here[:, 2]
             node = to[arc]
             done, on = np.flatnonzero(node < 0), np.flatnonzero(node >= 0)
             ended = live[done]
@@ -336,7 +358,7 @@ class Lattice:
 
     def _weights(self, node: int, kids: dict[int, int], left: list[float]) -> list[tuple[int, float]]:
         lo, hi = int(self.first.held[node]), int(self.last.held[node])
-        return [(a, x * left[kids[a]] if a in kids else x) for a, x in zip(range(lo, hi), self.p.held[lo:hi].tolist(), strict=True)]
+        return [(a, x * left[kids[a]] if a in kids else x) for a, x in zip(range(lo, hi), self.p[lo:hi].tolist(), strict=True)]
 
     def other_path(self, root: int, taken: list[tuple[int, ...]], key: int) -> tuple[tuple[int, ...], float, float]:
         """A path of the word drawn from those not taken, its log-probability, and the mass that is left beside it."""
@@ -355,7 +377,7 @@ class Lattice:
             out.append(arc)
             at = kids[at].get(arc, -1) if inside else -1
             here = int(self.to.held[arc])
-        logp = float(self.logp.held[out].sum())
+        logp = float(self.logp[out].sum())
         return tuple(out), logp, self.mass_beside(root, [*taken, tuple(out)])
 
     def mass_beside(self, root: int, taken: list[tuple[int, ...]]) -> float:
@@ -367,10 +389,10 @@ class Lattice:
         How many arcs it shares, the arc it then takes, the log-probability up to there, and the mass of all others.
         """
         begin = np.cumsum(sizes) - sizes
-        logp, p, to = self.logp.held, self.p.held, self.to.held
+        logp, p, to = self.logp, self.p, self.to.held
         running = np.concatenate([[0.0], np.cumsum(logp[arcs])])
         before = running[:-1] - np.repeat(running[begin], sizes)
-        weight = np.exp(before) * self.other.held[arcs]
+        weight = np.exp(before) * self.other[arcs]
         mass = np.add.reduceat(weight, begin)
         # The place is drawn within each word's own sums, free of what lies before.
         at, u = begin.copy(), unit(keys_of(keys, 0)) * mass
@@ -383,7 +405,7 @@ class Lattice:
             at[live] -= 1  # rounding ran past the last place with any mass
         node = np.where(at == begin, roots, to[arcs[np.maximum(at - 1, 0)]])
         lo, hi = self.first.held[node].astype(np.int64), self.last.held[node].astype(np.int64)
-        arc, u = lo.copy(), unit(keys_of(keys, 1)) * self.other.held[arcs[at]]
+        arc, u = lo.copy(), unit(keys_of(keys, 1)) * self.other[arcs[at]]
         live, last = np.arange(len(roots)), np.full(len(roots), -1)
         while len(live):
             free = arc[live] != arcs[at[live]]
@@ -540,7 +562,7 @@ class Encoder:
 
     def __init__(self, model: bytes, kept: int = KEPT) -> None:
         self.kept, self.processor = kept, _processor(model)
-        self.lattice = Lattice(self.processor)
+        self.lattice = Lattice(self.processor, room=ARCS * min(kept, KEPT))
         pieces = piece_bytes(self.processor)
         self.sizes = np.array([len(x) for x in pieces], np.int64)
         self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(pieces), np.uint8)
@@ -564,7 +586,7 @@ class Encoder:
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers of all texts, and how many each text has."""
         split = [words_of(t) if t else [] for t in texts]
-        if self.lattice.p.n > ARCS * self.kept or len(self.known) > self.kept:
+        if self.lattice.chances.n > ARCS * self.kept or len(self.known) > self.kept:
             self.clear()
         found = np.array(list(map(self.known.__getitem__, chain.from_iterable(split))), np.int64)
         for lo in range(0, len(self.known.new), LEARNT):
