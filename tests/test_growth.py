@@ -119,3 +119,14 @@ def test_windows_of_factors_run_over_bars_not_slots(spark):
         other = want[r.date, r.instrument, r.slot]
         for a, b in zip(r, other, strict=True):
             assert (a is None) == (b is None) and (a is None or a == b or a == pytest.approx(b, abs=1e-9))
+
+
+@pytest.mark.parametrize(("name", "moving"), [("default", 0), ("fg260113", 14), ("fg260114", 23)])
+def test_few_factors_are_computed_slot_by_slot(spark, name, moving):
+    from tidegrid.plans import groups
+    from tidegrid.plans.factors import compiled
+    from tidegrid.sources import bars
+
+    spans = bars.intraday_spans(spark, "/root/testdata/sf0.001")
+    c = compiled(groups.group(name), spans.columns, bars.SLOTS, spans.flows)
+    assert c.plan.over_spans and sum(d.name in c.plan.nature for d in c.defs) == moving
