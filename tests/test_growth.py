@@ -130,3 +130,25 @@ def test_few_factors_are_computed_slot_by_slot(spark, name, moving):
     spans = bars.intraday_spans(spark, "/root/testdata/sf0.001")
     c = compiled(groups.group(name), spans.columns, bars.SLOTS, spans.flows)
     assert c.plan.over_spans and sum(d.name in c.plan.nature for d in c.defs) == moving
+
+
+def test_ranks_exchange_bars_not_slots(spark):
+    """Ranks over spans are those over the grid, bars that stand for slots of several parts of a day included, and the slots are laid out behind the exchange."""
+    from tidegrid.plans import groups
+    from tidegrid.plans.factors import compile_factors
+    from tidegrid.sources import bars
+
+    folder = "/root/testdata/sf0.001"
+    hourly = bars.hourly_bars(spark, folder)
+    hourly = hourly.withColumns({"volume": F.when(F.col("slot") % 5 != 2, F.col("volume")), "mid_price": F.when((F.col("slot") + F.col("instrument")) % 7 != 3, F.col("mid_price"))})
+    daily = bars.dense_daily(bars.daily_panel(spark, folder))
+    defs = groups.group("lib")
+    spans = bars._spans(hourly, bars.SLOTS)
+    got = compile_factors(defs, daily, spans, bars.SLOTS, ranks=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(sequence(greatest")]
+    want = {(r.date, r.instrument, r.slot): r for r in compile_factors(defs, daily, spans.grid(), bars.SLOTS, ranks=True).collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) and any(r.rank_price_dev_from_ma_10 is not None for r in rows)
+    for r in rows:
+        assert list(r) == [pytest.approx(x, abs=1e-6) if isinstance(x, float) else x for x in want[r.date, r.instrument, r.slot]]
