@@ -388,6 +388,23 @@ def test_toxicity_learns_from_every_labelled_text(make, spark, monkeypatch):
     assert again == pytest.approx(whole, rel=1e-9)
 
 
+def test_toxicity_exchanges_packed_columns(make, spark):
+    """What is exchanged of texts, words and n-grams is smaller than the texts, and is read back as it was."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(400))) for i in range(200)] + [(None, "a"), (200, None), (201, "")]
+    chunks = toxicity._chunks(make(rows).coalesce(1))
+    own, sent = chunks.where("of = -1").collect(), chunks.where("of >= 0")
+    sizes, numbers, times, bounds = toxicity._texts(own[0].asDict())
+    known = [w for row in sorted(sent.collect(), key=lambda x: x.to) for w in bytes(toxicity._unpack(row.packed)[0]).split(b"\n")]
+    edges = np.cumsum([0, *sizes])
+    back = {d: Counter({known[i]: n for i, n in zip(numbers[a:b].tolist(), times[a:b].tolist(), strict=True)}) for d, a, b in zip(own[0].docs, edges, edges[1:], strict=False)}
+    assert len(own) == 1 and bounds.sum() == len(known) and back == {i: Counter(toxicity.normal(w) for w in (t or "").encode().split()) for i, t in rows}
+    grams = toxicity._grams(sent, toxicity._classed(chunks, spark.createDataFrame([(1, 1, 0)], "doc_id long, y0 int, y1 int")))
+    text = sum(len(t or "") for _, t in rows)
+    assert sum(len(x.packed) for x in [*own, *sent.collect()]) < text / 3 and sum(len(x.packed) for x in grams.collect()) < text / 3
+
+
 def test_lattice_that_outgrows_its_room(pieces):
     """Rows set aside at first are a matter of memory: a lattice that has to grow draws the same."""
     words = [f"▁{a}{b}" for a in ("stone", "été", "run", "x") for b in range(40)]
