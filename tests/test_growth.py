@@ -152,3 +152,39 @@ def test_ranks_exchange_bars_not_slots(spark):
     assert len(rows) == len(want) and any(r.rank_price_dev_from_ma_10 is not None for r in rows)
     for r in rows:
         assert list(r) == [pytest.approx(x, abs=1e-6) if isinstance(x, float) else x for x in want[r.date, r.instrument, r.slot]]
+
+
+@pytest.mark.parametrize("name", ["default", "fg260114"])
+def test_no_history_crosses_an_exchange(spark, name):
+    """Bars go to the days, so that what is computed of hundreds of columns is exchanged, joined and sorted no more."""
+    from tidegrid.plans import groups
+    from tidegrid.plans.factors import compile_factors
+    from tidegrid.sources import bars
+
+    folder = "/root/testdata/sf0.001"
+    made = compile_factors(groups.group(name), bars.dense_daily(bars.long_daily_panel(spark, folder)), bars.long_intraday_spans(spark, folder), bars.LONG_SLOTS)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    wide = plan[: plan.index("Union")]
+    assert "Exchange" not in wide and "Join" not in wide
+    assert wide.count("Sort [") == 1  # daily rows and bars of a day, side by side
+
+
+def test_bars_meet_only_the_days_of_their_keys(spark):
+    """Days without bars, bars without a day, and missing keys give no rows; a day's bars come back as they were."""
+    from tidegrid.operators.spans import BARS, by_bar, by_day, with_bars
+
+    daily = spark.createDataFrame([(1, 1, 10.0), (2, 1, 20.0), (1, 2, None), (3, None, 5.0)], "date int, instrument int, x double")
+    bars = spark.createDataFrame([(1, 1, 5, 0.5), (1, 1, 0, None), (1, 2, 3, 0.3), (9, 1, 0, 0.9), (3, None, 0, 0.1)], "date int, instrument int, slot int, v double")
+    rows = by_bar(with_bars(daily, by_day(bars)).select("date", "instrument", "x", BARS)).collect()
+    assert sorted(rows, key=lambda r: (r.instrument, r.slot)) == [(1, 1, 10.0, 0, None), (1, 1, 10.0, 5, 0.5), (1, 2, None, 3, 0.3)]
+
+
+def test_partitions_of_panels_grow_with_their_tables(spark, tmp_path, monkeypatch):
+    from tidegrid.operators import panel
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(20000).select("id", F.rand(1).alias("x")).write.parquet(path)
+    frame = spark.read.parquet(path).groupBy("id").agg(F.sum("x"))
+    assert panel.by_size(frame) == 4
+    monkeypatch.setattr(panel, "SHARE", 16 << 10)
+    assert 8 < panel.by_size(frame) <= 32
