@@ -188,3 +188,42 @@ def test_partitions_of_panels_grow_with_their_tables(spark, tmp_path, monkeypatc
     assert panel.by_size(frame) == 4
     monkeypatch.setattr(panel, "SHARE", 16 << 10)
     assert 8 < panel.by_size(frame) <= 32
+
+
+def test_bars_take_turns_slot_by_slot(spark):
+    """Each bar comes by once for each slot that it stands for, a date's slots one after the other, whatever gaps there are and however bars come in batches."""
+    import random
+
+    from tidegrid.operators.spans import TO, TURN, in_turn, laid_out
+
+    draw = random.Random(5)
+    spans = [(None if d == 4 else d, i, a, a + draw.randrange(4)) for d in range(5) for i in range(40) for a in (0, 6, 11) if d != 2 or (i < 3 and a != 6)]
+    want = sorted(((d, s, i, a) for d, i, a, b in spans for s in range(a, b + 1)), key=str)
+    frame = spark.createDataFrame(spans, f"date int, instrument int, slot int, {TO} int").repartition(3, "date")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        rows = in_turn(frame).collect()
+        slots = [(r.date, r.slot, r.instrument, r._from) for r in laid_out(in_turn(frame), turns=True).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(((r.date, r[TURN], r.instrument, r.slot) for r in rows), key=str) == want == sorted(slots, key=str)
+    order = [(r.date, r[TURN]) for r in rows]
+    runs = [k for n, k in enumerate(order) if not n or k != order[n - 1]]
+    assert len(runs) == len(set(runs))
+
+
+@pytest.mark.parametrize("name", ["lib", "fg260114"])
+def test_ranks_exchange_days_and_sort_bars(spark, name):
+    """What is ranked comes by date as days with their bars, narrower than factors of bars; no slot is sorted."""
+    from tidegrid.plans import groups
+    from tidegrid.plans.factors import compile_factors
+    from tidegrid.sources import bars
+
+    folder = "/root/testdata/sf0.001"
+    made = compile_factors(groups.group(name), bars.dense_daily(bars.daily_panel(spark, folder)), bars.intraday_spans(spark, folder), bars.SLOTS, ranks=True)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan[: plan.index("Generate explode(sequence(greatest")]
+    behind = plan[: plan.index("Union")]
+    assert behind.count("Exchange") == 1 and "Exchange hashpartitioning(date" in behind
+    assert behind.index("Generate inline") < behind.index("Exchange")
